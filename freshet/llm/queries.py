@@ -15,11 +15,29 @@ def op1_ngram_join(spark, sf_dir):
     return ngram_join(_read(spark, sf_dir, "documents"))
 
 
+def op3_resharding(spark, sf_dir):
+    from freshet.llm.resharding import by_source, reshard
+
+    return reshard(_read(spark, sf_dir, "documents"), by_source())
+
+
+def op6_secret_scan(spark, sf_dir):
+    from freshet.llm.secret_scan import secret_scan
+
+    return secret_scan(_read(spark, sf_dir, "documents"))
+
+
 def op7_embedding_dedup(spark, sf_dir):
     from freshet.llm.embedding_dedup import embedding_dedup
 
     return embedding_dedup(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op7_embedding_dedup)}
+def op10_personal_data(spark, sf_dir):
+    from freshet.llm.pii import find_personal_data
+
+    return find_personal_data(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_resharding, op6_secret_scan, op7_embedding_dedup, op10_personal_data)}
 ORACLE: dict[str, str] = {}
