@@ -33,11 +33,23 @@ def op7_embedding_dedup(spark, sf_dir):
     return embedding_dedup(_read(spark, sf_dir, "embeddings"))
 
 
+def op8_sentence_spans(spark, sf_dir):
+    from freshet.llm.sentence_spans import remove_repeated_spans
+
+    return remove_repeated_spans(_read(spark, sf_dir, "documents")).drop("kept")
+
+
+def op9_quality(spark, sf_dir):
+    from freshet.llm.quality import quality_scores
+
+    return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op10_personal_data(spark, sf_dir):
     from freshet.llm.pii import find_personal_data
 
     return find_personal_data(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_resharding, op6_secret_scan, op7_embedding_dedup, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_resharding, op6_secret_scan, op7_embedding_dedup, op8_sentence_spans, op9_quality, op10_personal_data)}
 ORACLE: dict[str, str] = {}
