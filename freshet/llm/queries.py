@@ -21,6 +21,18 @@ def op3_resharding(spark, sf_dir):
     return reshard(_read(spark, sf_dir, "documents"), by_source())
 
 
+def op4_mixing(spark, sf_dir):
+    from freshet.llm.mixing import TARGETS, label_domain, mix_to_targets
+
+    return mix_to_targets(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), label_domain(), TARGETS)
+
+
+def op5_decontamination(spark, sf_dir):
+    from freshet.llm.decontaminate import contaminated
+
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op6_secret_scan(spark, sf_dir):
     from freshet.llm.secret_scan import secret_scan
 
@@ -51,5 +63,5 @@ def op10_personal_data(spark, sf_dir):
     return find_personal_data(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_resharding, op6_secret_scan, op7_embedding_dedup, op8_sentence_spans, op9_quality, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_resharding, op4_mixing, op5_decontamination, op6_secret_scan, op7_embedding_dedup, op8_sentence_spans, op9_quality, op10_personal_data)}
 ORACLE: dict[str, str] = {}
