@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from freshet.llm import common as C
 
 SAMPLE_ROWS = 20_000
-MARKERS = 256
+MARKERS = 64
+LIFT = 3.0
 
 
 def _tokens(text: Column) -> Column:
@@ -54,10 +55,13 @@ def learn_domains(docs: DataFrame, labels: DataFrame, domain: Column, names: Seq
     if not total:
         return prior, {}
     seen = sample.select("domain", F.explode("w").alias("w")).groupBy("w").agg(*[F.count(F.when(F.col("domain") == k, 1)).alias(f"n{i}") for i, k in enumerate(names)])
-    # information of a marker: how far its rate in a domain is from its rate overall
     every = sum(F.col(f"n{i}") for i in range(len(n)))
-    gain = sum(F.abs(F.col(f"n{i}") - every * (x / total)) / math.sqrt(x + 1) for i, x in enumerate(n))
-    top = seen.where(every >= 3).orderBy(gain.desc(), "w").limit(markers).collect()
+    gains = []
+    for i, x in enumerate(n):  # a marker is at least LIFT times as frequent in a domain as elsewhere
+        lift = ((F.col(f"n{i}") + 0.5) / (x + 1)) / ((every - F.col(f"n{i}") + 0.5) / (total - x + 1))
+        gains.append(F.when((lift >= LIFT) & (F.col(f"n{i}") >= 3), F.col(f"n{i}") * F.log(lift) / math.sqrt(x + 1)).otherwise(0.0))
+    seen = seen.withColumn("gain", F.greatest(*gains)).where("gain > 0")
+    top = seen.orderBy(F.col("gain").desc(), "w").limit(markers).collect()
     base, weight = list(prior), {}
     for r in top:
         p = [(r[f"n{i}"] + 0.5) / (x + 1) for i, x in enumerate(n)]
@@ -66,16 +70,20 @@ def learn_domains(docs: DataFrame, labels: DataFrame, domain: Column, names: Seq
     return base, weight
 
 
-def posterior(text: Column, base: Sequence[float], weight: dict[str, list[float]]) -> Column:
-    """array<double>: the probability of each domain."""
+def with_posterior(rows: DataFrame, base: Sequence[float], weight: dict[str, list[float]]) -> DataFrame:
+    """rows with p, array<double>: the probability of each domain.
+
+    In steps, as an expression inside a lambda would be computed for each element.
+    """
     logs = F.array(*[F.lit(b) for b in base])
     if weight:
-        words = F.array(*[F.lit(w) for w in weight])
-        table = F.array(*[F.array(*[F.lit(x) for x in v]) for v in weight.values()])
-        hits = F.array_intersect(_evidence(text), words)
-        logs = F.aggregate(hits, logs, lambda acc, w: F.zip_with(acc, F.element_at(table, F.array_position(words, w).cast("int")), lambda a, b: a + b))
-    raised = F.transform(logs, lambda x: F.exp(F.greatest(x - F.array_max(logs), F.lit(-700.0))))
-    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
+        table = F.create_map(*[x for w, v in weight.items() for x in (F.lit(w), F.array(*[F.lit(y) for y in v]))])
+        rows = rows.withColumn("hits", F.array_intersect(_evidence(F.col("text")), F.array(*[F.lit(w) for w in weight])))
+        logs = F.aggregate("hits", logs, lambda acc, w: F.zip_with(acc, F.element_at(table, w), lambda a, b: a + b))
+    rows = rows.withColumn("logs", logs).withColumn("top", F.array_max("logs"))
+    rows = rows.withColumn("raised", F.transform("logs", lambda x: F.exp(F.greatest(x - F.col("top"), F.lit(-700.0)))))
+    rows = rows.withColumn("mass", F.aggregate("raised", F.lit(0.0), lambda a, b: a + b))
+    return rows.withColumn("p", F.transform("raised", lambda x: x / F.col("mass"))).drop("hits", "logs", "top", "raised", "mass")
 
 
 def _solve(m: list[list[float]], v: list[float]) -> list[float]:
@@ -136,8 +144,8 @@ def mix_to_targets(
     base, weight = learn_domains(docs, labels, domain, names, id_col, text_col, sample_rows, markers)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select("id", F.size(_tokens(text)).cast("long").alias("tokens"), posterior(text, base, weight).alias("p"), F.xxhash64("id", "text").alias("h"))
-    rows = C.checkpoint(rows)
+    rows = rows.select("id", text.alias("text"), F.size(_tokens(text)).cast("long").alias("tokens"), F.xxhash64("id", "text").alias("h"))
+    rows = C.checkpoint(with_posterior(rows, base, weight).select("id", "tokens", "p", "h"))
     total = total_tokens if total_tokens is not None else float(rows.agg(F.sum("tokens")).first()[0] or 0)
     whole = sum(targets.values())
     rate = fit_rates(rows, [total * w / whole for w in targets.values()])

@@ -15,6 +15,12 @@ def op1_ngram_join(spark, sf_dir):
     return ngram_join(_read(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    from freshet.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op3_resharding(spark, sf_dir):
     from freshet.llm.resharding import by_source, reshard
 
@@ -63,5 +69,5 @@ def op10_personal_data(spark, sf_dir):
     return find_personal_data(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_resharding, op4_mixing, op5_decontamination, op6_secret_scan, op7_embedding_dedup, op8_sentence_spans, op9_quality, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op3_resharding, op4_mixing, op5_decontamination, op6_secret_scan, op7_embedding_dedup, op8_sentence_spans, op9_quality, op10_personal_data)}
 ORACLE: dict[str, str] = {}
