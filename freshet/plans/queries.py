@@ -1,2 +1,159 @@
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+"""Queries of the library over the driver's tables, and the same in SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from freshet.operators import climate, focal, hydrology, network, zonal
+from freshet.sources.grids import dense_grid, read
+
+
+def _cells(spark, sf_dir):
+    value = F.when(F.col("p_size") % 13 != 0, F.col("p_retailprice"))
+    return dense_grid(read(spark, sf_dir, "part"), "p_partkey", value, 50, kind=F.col("p_type"), size=F.col("p_size"), key=F.col("p_partkey"))
+
+
+def _tree(spark, sf_dir):
+    return read(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 0, F.floor((F.col("p_partkey") - 1) / 3).cast("long")).alias("next"), F.col("p_size").alias("area"), (F.col("p_size") % 3).alias("order")
+    )
+
+
+def _daily(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem")
+    return rows.groupBy(F.to_date("l_shipdate").alias("t")).agg(F.sum(F.col("l_quantity").cast("decimal(18,4)")).cast("double").alias("value"))
+
+
+def _monthly(spark, sf_dir):
+    month = F.expr("cast(year(l_shipdate) * 12 + month(l_shipdate) as long)")
+    return read(spark, sf_dir, "lineitem").groupBy(month.alias("t")).agg(F.sum(F.col("l_quantity").cast("decimal(18,4)")).cast("double").alias("value"))
+
+
+def zonal_class(spark, sf_dir):
+    return zonal.zonal(_cells(spark, sf_dir), F.col("kind"))
+
+
+def zonal_bins(spark, sf_dir):
+    return zonal.zonal_bins(_cells(spark, sf_dir), [900.0, 920.0, 950.0, 980.0, 1000.0])
+
+
+def class_fractions(spark, sf_dir):
+    return zonal.class_fractions(_cells(spark, sf_dir), F.col("size") % 7)
+
+
+def change_matrix(spark, sf_dir):
+    return zonal.change(_cells(spark, sf_dir), F.col("size") % 5, (F.col("size") + F.col("key")) % 5)
+
+
+def coarsen_mean(spark, sf_dir):
+    return zonal.coarsen(_cells(spark, sf_dir), 4)
+
+
+def surfaces(spark, sf_dir):
+    return focal.surfaces(_cells(spark, sf_dir))
+
+
+def position(spark, sf_dir):
+    return focal.position(_cells(spark, sf_dir), 5)
+
+
+def annual_total(spark, sf_dir):
+    return climate.annual_total(_daily(spark, sf_dir))
+
+
+def monthly_climatology(spark, sf_dir):
+    return climate.monthly_climatology(_daily(spark, sf_dir))
+
+
+def rank_average(spark, sf_dir):
+    return climate.rank_average(_daily(spark, sf_dir))
+
+
+def mann_kendall(spark, sf_dir):
+    return climate.trend(_monthly(spark, sf_dir))
+
+
+def upstream_closure(spark, sf_dir):
+    tree = _tree(spark, sf_dir)
+    return network.upstream(tree, spark.range(1, 2))
+
+
+def hydro_table(spark, sf_dir):
+    return network.hydro_table(_tree(spark, sf_dir))
+
+
+def streams_per_order(spark, sf_dir):
+    return network.streams_per_order(_tree(spark, sf_dir))
+
+
+def regulation_dor(spark, sf_dir):
+    lakes = read(spark, sf_dir, "customer").select((F.col("c_custkey") % 3 + 1).alias("type"), F.abs("c_acctbal").alias("volume"), F.col("c_nationkey").alias("basin"))
+    return hydrology.regulation(lakes, F.lit(100.0) + F.col("basin") * 1000)
+
+
+def runoff_retention(spark, sf_dir):
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") + 45).cast("double").alias("cn"))
+    return parts.select("id", *[c.alias(n) for n, c in hydrology.retention(F.col("cn")).items()])
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        zonal_class, zonal_bins, class_fractions, change_matrix, coarsen_mean, surfaces, position, annual_total, monthly_climatology,
+        rank_average, mann_kendall, upstream_closure, hydro_table, streams_per_order, regulation_dor, runoff_retention,
+    )
+}
+
+_CELLS = """cells AS (SELECT 0 AS layer, CAST(p_partkey // 50 AS INT) AS "row", CAST(p_partkey % 50 AS INT) AS col,
+  CASE WHEN p_size % 13 <> 0 THEN p_retailprice END AS v, p_type AS kind, p_size AS size, p_partkey AS key,
+  CAST(1113.2 * cos(radians(45e0 - CAST(p_partkey // 50 AS INT) * 1e-2)) * 1105.74e0 / 1e6 AS DECIMAL(20,9)) AS area,
+  1113.2e0 * cos(radians(45e0 - CAST(p_partkey // 50 AS INT) * 1e-2)) AS dx FROM part)"""
+
+
+def _zonal_sql(zone: str) -> str:
+    return f"""WITH {_CELLS}, z AS (SELECT layer, {zone} AS zone, count(*) AS cells, CAST(sum(area) AS DOUBLE) AS area_km2,
+  CAST(sum(CAST(v AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS mean, round(stddev_pop(v), 6) AS std, min(v) AS min, max(v) AS max,
+  round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.9), 6) AS p90
+  FROM cells WHERE v IS NOT NULL GROUP BY ALL)
+SELECT *, round(area_km2 / sum(area_km2) OVER (PARTITION BY layer), 9) AS share FROM z WHERE zone IS NOT NULL"""
+
+
+_DAILY = "d AS (SELECT CAST(l_shipdate AS DATE) AS t, CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE) AS value FROM lineitem GROUP BY 1)"
+_TREE = 'tree AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 0 THEN (p_partkey - 1) // 3 END AS next, p_size AS area, p_size % 3 AS "order" FROM part)'
+
+ORACLE = {
+    "zonal_class": _zonal_sql("kind"),
+    "zonal_bins": _zonal_sql("CASE WHEN v < 920 THEN 0 WHEN v < 950 THEN 1 WHEN v < 980 THEN 2 ELSE 3 END"),
+    "class_fractions": f"WITH {_CELLS}, n AS (SELECT layer, size % 7 AS code, count(*) AS cells FROM cells WHERE size % 7 > 0 GROUP BY ALL) SELECT *, cells / CAST(sum(cells) OVER (PARTITION BY layer) AS DOUBLE) AS fraction FROM n",
+    "change_matrix": f"WITH {_CELLS} SELECT layer, size % 5 AS before, (size + key) % 5 AS after, CAST(sum(area) AS DOUBLE) AS area_km2, size % 5 <> (size + key) % 5 AS changed FROM cells GROUP BY ALL",
+    "coarsen_mean": f'WITH {_CELLS} SELECT layer, CAST("row" // 4 AS INT) AS "row", CAST(col // 4 AS INT) AS col, CAST(sum(CAST(v AS DECIMAL(18,4))) AS DOUBLE) / nullif(count(v), 0) AS value FROM cells GROUP BY ALL',
+    "surfaces": f"""WITH {_CELLS}, n AS (SELECT c.*, e.v AS ev, w.v AS wv, s.v AS sv, n.v AS nv, e.key AS ek, w.key AS wk, s.key AS sk, n.key AS nk FROM cells c
+  LEFT JOIN cells e ON e."row" = c."row" AND e.col = c.col + 1 LEFT JOIN cells w ON w."row" = c."row" AND w.col = c.col - 1
+  LEFT JOIN cells s ON s."row" = c."row" + 1 AND s.col = c.col LEFT JOIN cells n ON n."row" = c."row" - 1 AND n.col = c.col),
+g AS (SELECT layer, "row", col,
+  CASE WHEN v IS NULL OR (ek IS NULL AND wk IS NULL) THEN NULL WHEN wk IS NULL THEN ev - v WHEN ek IS NULL THEN v - wv ELSE (ev - wv) / 2 END / dx AS gx,
+  -(CASE WHEN v IS NULL OR (sk IS NULL AND nk IS NULL) THEN NULL WHEN nk IS NULL THEN sv - v WHEN sk IS NULL THEN v - nv ELSE (sv - nv) / 2 END) / 1105.74e0 AS gy FROM n),
+h AS (SELECT *, sqrt(gx * gx + gy * gy) AS rise FROM g),
+a AS (SELECT *, atan(rise) AS s, CASE WHEN rise >= 1e-9 THEN (degrees(atan2(-gx, -gy)) + 360) % 360 END AS a FROM h)
+SELECT layer, "row", col, round(degrees(s), 6) AS slope, round(a, 6) AS aspect, round(CASE WHEN s IS NOT NULL THEN
+  greatest(0, least(1, sin(radians(45)) * cos(s) + cos(radians(45)) * sin(s) * cos(radians(315) - radians(coalesce(a, 0))))) END, 6) AS hillshade FROM a""",
+    "position": f"""WITH {_CELLS}, near AS (SELECT c.layer, c."row", c.col, any_value(c.v) AS v, CAST(sum(CAST(o.v AS DECIMAL(18,4))) AS DOUBLE) / nullif(count(o.v), 0) AS mean,
+  max(CASE WHEN abs(o."row" - c."row") <= 1 AND abs(o.col - c.col) <= 1 THEN o.v END) - min(CASE WHEN abs(o."row" - c."row") <= 1 AND abs(o.col - c.col) <= 1 THEN o.v END) AS span
+  FROM cells c JOIN cells o ON o."row" BETWEEN c."row" - 2 AND c."row" + 2 AND o.col BETWEEN c.col - 2 AND c.col + 2 GROUP BY ALL)
+SELECT layer, "row", col, CASE WHEN v IS NOT NULL THEN round(v - mean, 6) END AS tpi, CASE WHEN v IS NOT NULL THEN round(span, 6) END AS roughness FROM near""",
+    "annual_total": f"WITH {_DAILY} SELECT CAST(year(t) AS INT) AS year, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM d GROUP BY 1",
+    "monthly_climatology": f"WITH {_DAILY} SELECT CAST(month(t) AS INT) AS month, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(value) AS mean FROM d GROUP BY 1",
+    "rank_average": f"WITH {_DAILY} SELECT t, value, rank() OVER (PARTITION BY month(t) ORDER BY value) + (count(*) OVER (PARTITION BY month(t), value) - 1) / 2e0 AS rank FROM d",
+    "mann_kendall": """WITH m AS (SELECT CAST(year(l_shipdate) * 12 + month(l_shipdate) AS BIGINT) AS t, CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE) AS value FROM lineitem GROUP BY 1),
+p AS (SELECT CAST(sum(sign(b.value - a.value)) AS BIGINT) AS s, round(quantile_cont((b.value - a.value) / (b.t - a.t), 0.5), 6) AS sen FROM m a JOIN m b ON a.t < b.t),
+k AS (SELECT value, count(*) AS m FROM m GROUP BY 1), q AS (SELECT CAST(sum(m) AS BIGINT) AS n, CAST(sum(m * (m - 1) * (2 * m + 5)) AS BIGINT) AS tied FROM k),
+r AS (SELECT n, s, (n * (n - 1) * (2 * n + 5) - tied) / 18e0 AS var, sen FROM p, q WHERE n >= 10)
+SELECT n, s, var, round((s - sign(s)) / sqrt(var), 6) AS z, sen FROM r""",
+    "upstream_closure": f"WITH RECURSIVE {_TREE}, up AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS depth UNION ALL SELECT tree.id, depth + 1 FROM tree JOIN up ON tree.next = up.id) SELECT id, depth FROM up",
+    "hydro_table": f"WITH {_TREE} SELECT a.id, coalesce(b.id, -1) AS next_down, a.area FROM tree a LEFT JOIN tree b ON a.next = b.id",
+    "streams_per_order": f"""WITH {_TREE} SELECT "order", count(*) AS reaches, count(CASE WHEN NOT EXISTS (SELECT 1 FROM tree u WHERE u.next = t.id AND u."order" = t."order") THEN 1 END) AS streams FROM tree t GROUP BY 1""",
+    "regulation_dor": """WITH l AS (SELECT c_nationkey AS basin, count(*) AS reservoirs, CAST(sum(CAST(abs(c_acctbal) AS DECIMAL(18,4))) AS DOUBLE) AS storage FROM customer WHERE c_custkey % 3 IN (1, 2) GROUP BY 1),
+d AS (SELECT *, storage / ((100e0 + basin * 1000) * 31557600 / 1e6) * 100 AS dor FROM l)
+SELECT *, CASE WHEN dor < 2 THEN 'negligible' WHEN dor < 10 THEN 'slight' WHEN dor < 50 THEN 'moderate' WHEN dor < 100 THEN 'strongly regulated' ELSE 'over-year storage' END AS band FROM d""",
+    "runoff_retention": "WITH c AS (SELECT p_partkey AS id, CAST(p_size + 45 AS DOUBLE) AS cn FROM part) SELECT id, 4.2e0 * cn / (10 - 0.058e0 * cn) AS cn_dry, 23 * cn / (10 + 0.13e0 * cn) AS cn_wet, 25400 / cn - 254 AS retention, 0.2e0 * (25400 / cn - 254) AS abstraction FROM c",
+}
