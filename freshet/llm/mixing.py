@@ -99,32 +99,41 @@ def _solve(m: list[list[float]], v: list[float]) -> list[float]:
     return [row[-1] / row[i] for i, row in enumerate(a)]
 
 
-def fit_rates(rows: DataFrame, targets: Sequence[float], rounds: int = 40, tolerance: float = 1e-4) -> Column:
-    """Rates as a column of (tokens, p): greatest(0, ...) of a linear step for each round.
+def fit_rates(rows: DataFrame, targets: Sequence[float], rounds: int = 40, tolerance: float = 1e-4, keep: int = 4) -> DataFrame:
+    """rows (tokens, p) with rate, nonnegative: a projected gradient step for each round.
 
-    The loss is the squared distance of expected domain tokens from the targets in the metric of the
-    corpus's own token-weighted Gram matrix, in which a step of 1 is right for any mixture.
+    The loss is the squared distance of expected domain tokens from the targets. A step is taken in the
+    metric of the token-weighted Gram matrix of the rows whose rate is above 0, with a tenth of that of
+    all rows so that it stays bounded. The rates are written out every `keep` rounds, so the expression
+    of a rate never grows with the rounds. The best rates met are returned.
     """
     k = range(len(targets))
+    rows, rate = rows.withColumn("rate", F.lit(1.0)), F.col("rate")
+    best, best_gap = rows, float("inf")
     tok = F.col("tokens").cast("double")
-    gram = rows.agg(*[F.sum(tok * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in k for j in k]).first()
-    g = [[gram[f"g{i}_{j}"] or 0.0 for j in k] for i in k]
-    scale = sum(g[i][i] for i in k)
-    if scale <= 0:
-        return F.lit(1.0)
-    g = [[x + (1e-9 * scale if i == j else 0) for j, x in enumerate(row)] for i, row in enumerate(g)]
-    rate = F.lit(1.0)
-    best, best_gap = rate, float("inf")
-    for _ in range(rounds):
-        sums = rows.agg(*[F.sum(tok * F.col("p")[i] * rate).alias(f"s{i}") for i in k]).first()
-        gap = [(sums[f"s{i}"] or 0.0) - targets[i] for i in k]
+    pairs = [(i, j) for i in k for j in k if i <= j]
+    whole: dict[tuple[int, int], float] = {}
+    for done in range(1, rounds + 1):
+        now = rows.withColumn("rate", rate)
+        on = F.when(F.col("rate") > 0, tok)
+        got = now.agg(
+            *[F.sum(tok * F.col("p")[i] * F.col("rate")).alias(f"s{i}") for i in k],
+            *[F.sum(on * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i, j in pairs],
+        ).first()
+        gram = {ij: got[f"g{ij[0]}_{ij[1]}"] or 0.0 for ij in pairs}
+        whole = whole or gram
+        scale = sum(whole[i, i] for i in k)
+        gap = [(got[f"s{i}"] or 0.0) - targets[i] for i in k]
         size = max(map(abs, gap)) / max(sum(targets), 1e-300)
         if size < best_gap:
-            best, best_gap = rate, size
-        if size < tolerance:
+            best, best_gap = now, size
+        if scale <= 0 or size < tolerance:
             break
-        step = _solve(g, gap)
+        at = lambda i, j: gram[min(i, j), max(i, j)] + 0.1 * whole[min(i, j), max(i, j)]  # noqa: E731, B023
+        step = _solve([[at(i, j) + (1e-9 * scale if i == j else 0) for j in k] for i in k], gap)
         rate = F.greatest(F.lit(0.0), rate - sum(F.col("p")[i] * F.lit(step[i]) for i in k))
+        if done % keep == 0:
+            rows, rate = C.checkpoint(rows.withColumn("rate", rate)), F.col("rate")
     return best
 
 
@@ -148,8 +157,7 @@ def mix_to_targets(
     rows = C.checkpoint(with_posterior(rows, base, weight).select("id", "tokens", "p", "h"))
     total = total_tokens if total_tokens is not None else float(rows.agg(F.sum("tokens")).first()[0] or 0)
     whole = sum(targets.values())
-    rate = fit_rates(rows, [total * w / whole for w in targets.values()])
-    out = rows.withColumn("rate", rate)
+    out = fit_rates(rows, [total * w / whole for w in targets.values()])
     draw = F.pmod(F.col("h"), F.lit(1 << 20)) / float(1 << 20)
     return out.select(
         F.col("id").alias(id_col),
