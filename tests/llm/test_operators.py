@@ -1,0 +1,206 @@
+"""The operators of freshet.llm against brute force on small tables."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
+from freshet.llm import queries as Q
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def _by_id(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+def _groups(nodes, edges):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def test_ngram_join(spark, texts):
+    def runs(t):
+        w = re.split("[\t\n\x0b\x0c\r ]+", t.strip("\t\n\x0b\x0c\r "))
+        return frozenset() if w == [""] else frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+    sets = {i: runs(t) for i, t in texts.items()}
+    ids = sorted(texts)
+    links = [
+        (a, b) for n, a in enumerate(ids) for b in ids[n + 1 :]
+        if texts[a] == texts[b] or (sets[a] and sets[b] and len(sets[a] & sets[b]) * 10 >= 8 * len(sets[a] | sets[b]))
+    ]
+    count = Counter(x for p in links for x in p)
+    group = _groups(ids, links)
+    found = _by_id(Q.op1_ngram_join(spark, SF))
+    assert {i: (count[i], group[i]) for i in ids} == {i: (r["n_links"], r["group_id"]) for i, r in found.items()}
+
+
+def test_suffix_dedup(spark, texts):
+    data = {i: t.encode() for i, t in texts.items()}
+    seen = defaultdict(list)
+    for i, b in data.items():
+        for k in range(len(b) - 399):
+            seen[hash(b[k : k + 400])].append((i, k))
+    gone = {i: bytearray(len(b)) for i, b in data.items()}
+    for places in seen.values():
+        if len(places) > 1:
+            for i, k in places:
+                gone[i][k : k + 400] = b"\1" * 400
+    found = _by_id(Q.op2_suffix_dedup(spark, SF))
+    for i, b in data.items():
+        kept = bytes(x for x, g in zip(b, gone[i], strict=True) if not g)
+        spans = len(re.findall(b"\1+", bytes(gone[i])))
+        r = found[i]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(b), sum(gone[i]), spans, hashlib.sha256(kept).hexdigest()), i
+
+
+def test_resharding(spark, texts):
+    found = _by_id(Q.op3_resharding(spark, SF))
+    by = defaultdict(list)
+    for i, r in found.items():
+        b = texts[i].encode()
+        assert (r["size"], r["text_crc32"]) == (len(b) + 16, zlib.crc32(b))
+        by[r["shard"]].append(r["slot"])
+    assert set(found) == set(texts) and set(by) == set(range(40))
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+
+
+def _rates(rows, p):
+    return sum(r["tokens"] * r[p] * r["rate"] for r in rows)
+
+
+def test_mixing(spark, texts):
+    from freshet.llm.mixing import TARGETS
+
+    rows = Q.op4_mixing(spark, SF).collect()
+    total = sum(r["tokens"] for r in rows)
+    assert len(rows) == len(texts) and all(r["rate"] >= 0 for r in rows)
+    even = sum(abs(sum(r["tokens"] * r[f"p_{k}"] for r in rows) - total * w) for k, w in TARGETS.items())
+    fitted = sum(abs(_rates(rows, f"p_{k}") - total * w) for k, w in TARGETS.items())
+    assert fitted <= even
+
+
+def test_decontamination(spark, texts):
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    fold = lambda t: " ".join(re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)))
+    whole = {(i, k) for i, t in texts.items() for k, x in items.items() if f" {fold(x)} " in f" {fold(t)} "}
+    found = {(r["doc_id"], r["item_id"]) for r in Q.op5_decontamination(spark, SF).collect()}
+    assert whole and whole <= found
+
+
+def test_secrets(spark, texts):
+    kinds = [
+        ("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[2]) >= 12),
+        ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 18),
+        ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 16),
+    ]
+    found = _by_id(Q.op6_secret_scan(spark, SF))
+    for i, t in texts.items():
+        spans = sorted((m.start(), k, n, m.end()) for k, (n, p, ok) in enumerate(kinds) for m in re.finditer(p, t) if ok(m))
+        base = ",".join(f"{n}:{s}:{e}" for s, _, n, e in spans)
+        assert found[i]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest(), i
+        assert {x for x in base.split(",") if x} <= set(found[i]["spans"].split(","))
+
+
+def test_embeddings(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    unit = {}
+    for r in rows:
+        v = r["embedding"]
+        if v and r["label"] is not None and all(x is not None and math.isfinite(x) for x in v) and any(v):
+            n = math.sqrt(sum(x * x for x in v))
+            unit[r["vec_id"]] = (r["label"], [x / n for x in v])
+    ids = sorted(unit)
+    links = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if unit[a][0] == unit[b][0] and len(unit[a][1]) == len(unit[b][1]) and math.sumprod(unit[a][1], unit[b][1]) >= 0.93]
+    count = Counter(x for p in links for x in p)
+    group = _groups([r["vec_id"] for r in rows], links)
+    found = _by_id(Q.op7_embedding_dedup(spark, SF), "vec_id")
+    assert {i: (count[i], g, g == i) for i, g in group.items()} == {i: (r["n_links"], r["component_id"], r["kept"]) for i, r in found.items()}
+
+
+def test_sentence_spans(spark):
+    from freshet.llm.sentence_spans import remove_repeated_spans
+
+    a = "The river rises in the high hills above town. It runs past the old mill and then turns south. "
+    docs = spark.createDataFrame([(1, a + "First end."), (2, "Second start. " + a), (3, "Nothing here repeats."), (4, None), (5, "")], "doc_id long, text string")
+    found = {r["doc_id"]: r["kept"] for r in remove_repeated_spans(docs).collect()}
+    assert found == {1: a + "First end.", 2: "Second start. ", 3: "Nothing here repeats.", 4: "", 5: ""}
+
+
+def test_quality(spark):
+    found = _by_id(Q.op9_quality(spark, "/root/testdata/sf0.01"))
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality is not null").collect()
+    held = [(found[r["doc_id"]]["score"], r["quality"]) for r in labels if r["doc_id"] in found and found[r["doc_id"]]["held_out"]]
+    good, poor = [s for s, y in held if y == 1], [s for s, y in held if y == 0]
+    auc = sum((a > b) + (a == b) / 2 for a in good for b in poor) / (len(good) * len(poor))
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in found.items())
+    assert auc >= 0.9
+
+
+def test_personal_data(spark, texts):
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+
+    def luhn(d):
+        return sum(x if k % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m[0].split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15),
+    ]
+    found = _by_id(Q.op10_personal_data(spark, SF))
+    for i, t in texts.items():
+        base = ",".join(f"{n}:{m.start()}:{m.end()}" for n, p, ok in kinds for m in re.finditer(p, t) if ok(m))
+        assert found[i]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest(), i
+
+
+ODD = [(1, None, None, "en", 0), (2, "", "s", None, 0), (None, "word " * 3000, "s", "en", 5), (3, "same text here", None, "en", 1), (3, "same text here", None, "en", 1)]
+
+
+@pytest.mark.parametrize("rows", [ODD, []], ids=["odd", "empty"])
+def test_odd_rows(spark, rows):
+    from freshet.llm import decontaminate, mixing, ngram_join, pii, quality, resharding, secret_scan, sentence_spans, suffix_dedup
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, id long")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, None), (2, "")], "item_id long, text string")
+    assert ngram_join.ngram_join(docs).count() == len(rows)
+    assert suffix_dedup.remove_repeats(docs).count() == len(rows)
+    assert resharding.reshard(docs, resharding.by_source()).count() == len(rows)
+    assert mixing.mix_to_targets(docs, labels, mixing.label_domain(), mixing.TARGETS).count() == len(rows)
+    assert decontaminate.contaminated(docs, items).count() == 0
+    assert secret_scan.secret_scan(docs).count() == len(rows)
+    assert sentence_spans.remove_repeated_spans(docs).count() == len(rows)
+    assert quality.quality_scores(docs, labels).count() == len(rows)
+    assert pii.find_personal_data(docs).count() == len(rows)
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns, name
+    assert corpus_pipeline.run(spark, SF).count() > 0
