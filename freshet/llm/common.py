@@ -299,11 +299,10 @@ def candidate_groups(buckets: DataFrame, prune: Callable[[DataFrame], DataFrame]
     buckets never become pairs: their keys are joined to a group by star edges, and pairs inside such
     a group are left to linked_groups. The two cover every pair that shares a bucket.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("bucket")
-    shared = buckets.select("bucket", "key", F.count("*").over(w).alias("m"), F.min("key").over(w).alias("lo"))
-    shared = checkpoint(shared.where("m > 1"))
+    # counts are combined map-side and the join can be split, so a hot bucket never meets in one task
+    buckets = checkpoint(buckets.select("bucket", "key"))
+    size = buckets.groupBy("bucket").agg(F.count("*").alias("m"), F.min("key").alias("lo")).where("m > 1")
+    shared = checkpoint(buckets.join(size, "bucket"))
     stars = shared.where((F.col("m") > most) & (F.col("key") != F.col("lo"))).select(F.col("key").alias("a"), F.col("lo").alias("b"))
     crowd = connected_components(stars).select(F.col("node").alias("key"), F.col("component").alias("grp"))
     few = shared.where(F.col("m") <= most).select("bucket", "key").join(crowd, "key", "left")

@@ -10,7 +10,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.llm import common as C
@@ -115,9 +115,12 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kind = dict(docs.dtypes)[id_col]
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.hash(F.col(text_col).cast("string")).alias("key"))
     spans = base.mapInArrow(_spans(run, least_words), f"id {kind}, key int, at int, hash long")
-    # rank() streams over a sorted partition, so a very common span needs no more memory than a rare one
-    order = Window.partitionBy("hash").orderBy(F.col("id").asc_nulls_last(), "key", "at")
-    later = spans.withColumn("r", F.rank().over(order)).where("r > 1").select("id", "key", "at").distinct()
+    spans = C.checkpoint(spans)
+    # the first place of each span is a minimum, combined map-side; the join can be split at a hot span
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "key", "at")
+    first = spans.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("hash", "first")
+    # null-safe: places of rows without an id are compared too
+    later = spans.join(first, "hash").where(~place.eqNullSafe(F.col("first"))).select("id", "key", "at").distinct()
     marks = C.checkpoint(later.groupBy("id", "key").agg(F.collect_list("at").alias("marks")))
     b, m = base.alias("b"), marks.alias("m")
     both = b.join(m, F.col("b.id").eqNullSafe(F.col("m.id")) & (F.col("b.key") == F.col("m.key")), "left").select("b.id", "b.text", "m.marks")

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.llm import common as C
@@ -221,10 +221,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _grouped_contexts(base: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    found = base.select("key", "text").mapInArrow(_anchor_scan(least), "key binary, pos int, hash long")
-    w = Window.partitionBy("hash")
-    both = found.withColumns({"k1": F.min("key").over(w), "k2": F.max("key").over(w), "p1": F.min("pos").over(w), "p2": F.max("pos").over(w), "m": F.count("*").over(w)})
-    both = both.where((F.col("k1") != F.col("k2")) | (F.col("p1") != F.col("p2")))
+    found = C.checkpoint(base.select("key", "text").mapInArrow(_anchor_scan(least), "key binary, pos int, hash long"))
+    # combined map-side, then a join that can be split: a very common anchor never meets in one task
+    seen = found.groupBy("hash").agg(F.min("key").alias("k1"), F.max("key").alias("k2"), F.min("pos").alias("p1"), F.max("pos").alias("p2"), F.count("*").alias("m"))
+    both = found.join(seen.where("k1 <> k2 or p1 <> p2").select("hash", "m"), "hash")
     # a very common anchor is compared in pairs of blocks
     mark = F.struct("hash", "pos", F.ceil(F.col("m") / GROUP_ROWS).cast("int").alias("nb"))
     marks = both.groupBy("key").agg(F.collect_set(mark).alias("marks")).join(classes.select("key", "id"), "key")
