@@ -38,3 +38,38 @@ def rank_average(series: DataFrame) -> DataFrame:
     month = F.month("t")
     same = Window.partitionBy(month, "value")
     return series.select("t", "value", (F.rank().over(Window.partitionBy(month).orderBy("value")) + (F.count("*").over(same) - 1) / 2).alias("rank"))
+
+
+def spi(series: DataFrame, scale: int = 3, least: int = 10) -> DataFrame:
+    """series, t, total, spi of rows (series, t, value), one row for each step of t.
+
+    total runs over `scale` steps and only full windows count; each is ranked among the totals of its
+    series and calendar month (ties averaged, Weibull positions). Fewer than `least` of them give null.
+    """
+    from freshet.functions.scalar import normal_quantile
+
+    run = Window.partitionBy("series").orderBy("t").rowsBetween(1 - scale, 0)
+    total = F.sum(F.col("value").cast("decimal(18,4)")).over(run)
+    full = series.where("value is not null").select("series", "t", total.cast("double").alias("total"), F.count("*").over(run).alias("n")).where(F.col("n") == scale)
+    month = Window.partitionBy("series", F.month("t"))
+    rank = F.rank().over(month.orderBy("total")) + (F.count("*").over(Window.partitionBy("series", F.month("t"), "total")) - 1) / 2
+    ranked = full.select("series", "t", "total", rank.alias("rank"), F.count("*").over(month).alias("m"))
+    return ranked.select("series", "t", "total", F.when(F.col("m") >= least, F.round(normal_quantile(F.col("rank") / (F.col("m") + 1)), 6)).alias("spi"))
+
+
+def water_balance(flows: DataFrame) -> DataFrame:
+    """By year of (t, ppt, aet, pet, q): totals, residual, runoff coefficient and aridity; null where it would divide by 0."""
+    total = {c: F.sum(F.col(c).cast("decimal(18,4)")).cast("double") for c in ("ppt", "aet", "pet", "q")}
+    by = flows.groupBy(F.year("t").alias("year")).agg(*[e.alias(c) for c, e in total.items()])
+    return by.select("*", F.expr("ppt - aet - q").alias("residual"), F.expr("try_divide(q, ppt)").alias("runoff_coefficient"), F.expr("try_divide(ppt, pet)").alias("aridity"))
+
+
+def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two products (year, total) over their common years: n, Pearson r, bias of a against b."""
+    both = a.join(b.withColumnRenamed("total", "other"), "year")
+    return both.agg(F.count("*").alias("n"), F.round(F.corr("total", "other"), 6).alias("r"), F.round(F.try_divide(F.avg("total"), F.avg("other")) - 1, 6).alias("bias"))
+
+
+def composite_median(stack: DataFrame) -> DataFrame:
+    """Median over time of each cell and band, nodata skipped."""
+    return stack.groupBy("cell", "band").agg(F.count("value").alias("scenes"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("value"))

@@ -60,3 +60,34 @@ def position(cells: DataFrame, window: int = 3) -> DataFrame:
         F.when(known, F.round(F.col("value") - mean, 6)).alias("tpi"),
         F.when(known, F.round(F.max("hi").over(over) - F.min("lo").over(over), 6)).alias("roughness"),
     )
+
+
+def ruggedness(cells: DataFrame) -> DataFrame:
+    """tri: root of the summed squared differences to the 8 neighbours, the edge repeated outward, nodata skipped."""
+
+    def both(c: Column, w):
+        first, last = F.row_number().over(w) == 1, F.lead(F.lit(1)).over(w).isNull()
+        return F.when(first, c).otherwise(F.lag(c).over(w)), F.when(last, c).otherwise(F.lead(c).over(w))
+
+    v = F.col("value")
+    rows = cells.select("layer", "row", "col", "value", F.array(v, *both(v, _along())).alias("near"))
+    around = F.concat("near", *both(F.col("near"), _across()))
+    rows = rows.select("layer", "row", "col", "value", around.alias("near"))
+    # the centre itself adds nothing
+    total = F.aggregate("near", F.lit(0.0), lambda a, x: a + F.coalesce((x - F.col("value")) * (x - F.col("value")), F.lit(0.0)))
+    return rows.select("layer", "row", "col", F.when(v.isNotNull(), F.round(F.sqrt(total), 6)).alias("tri"))
+
+
+# The classes of slope position, by number.
+LANDFORMS = ("valley", "lower slope", "flat", "middle slope", "upper slope", "ridge")
+
+
+def landform(cells: DataFrame, window: int = 5, flat: float = 5.0) -> DataFrame:
+    """Slope position 0 to 5 from tpi in units of its standard deviation over the layer, and slope."""
+    tpi = position(cells, window).select("layer", "row", "col", "tpi")
+    # one row a layer, so the spread is joined and no layer passes through one task
+    spread = tpi.groupBy("layer").agg(F.stddev_pop("tpi").alias("sd")).where("sd > 0")
+    both = tpi.join(surfaces(cells).select("layer", "row", "col", "slope"), ["layer", "row", "col"]).join(spread, "layer")
+    z, sd = F.col("tpi"), F.col("sd")
+    kind = F.when(z <= -sd, 0).when(z <= -sd / 2, 1).when(z >= sd, 5).when(z >= sd / 2, 4).when(F.col("slope") <= flat, 2).when(z.isNotNull(), 3)
+    return both.select("layer", "row", "col", kind.alias("landform"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,83 @@ def streams_per_order(reaches: DataFrame) -> DataFrame:
     first = reaches.join(above, (F.col("id") == F.col("_id")) & (F.col("order") == F.col("_order")), "left_anti")
     streams = first.groupBy("order").agg(F.count("*").alias("streams"))
     return reaches.groupBy("order").agg(F.count("*").alias("reaches")).join(streams, "order", "left").select("order", "reaches", F.coalesce("streams", F.lit(0).cast("long")).alias("streams"))
+
+
+def path_sums(tree: DataFrame, weights: dict[str, Column], stops: Column | None = None) -> DataFrame:
+    """id, root, steps and the sum of each weight over the way from id down to its root, the root's own left out.
+
+    A root has no next, a next outside the table, or is a stop. Pointers double their reach each round,
+    so a chain of n units takes log2(n) joins, and units that have arrived join no more, which keeps a
+    root from becoming a hot key. A way that never arrives (a cycle) has a null root and null sums.
+    """
+    from freshet.operators.lineage import checkpoint
+
+    ids = tree.select(F.col("id").alias("_known"))
+    end = F.col("_known").isNull() if stops is None else F.col("_known").isNull() | F.coalesce(stops, F.lit(False))
+    start = tree.join(ids, F.col("next") == F.col("_known"), "left").withColumn("_end", end)
+    names = ["steps", *weights]
+    each = {"steps": F.lit(1), **weights}
+    start = start.select("id", F.when(F.col("_end"), F.col("id")).otherwise(F.col("next")).alias("to"), F.col("_end").alias("done"), *[F.when(F.col("_end"), 0).otherwise(w).alias(n) for n, w in each.items()])
+    state = checkpoint(start.select("id", "to", "done", *[F.col(n).cast("long" if n == "steps" else "double").alias(n) for n in names]))
+    reach, units = 1, state.count()
+    while reach <= units and not state.where("not done").isEmpty():
+        ahead = state.select(F.col("id").alias("_at"), F.col("to").alias("_to"), F.col("done").alias("_done"), *[F.col(n).alias(f"_{n}") for n in names])
+        moved = state.where("not done").join(ahead, F.col("to") == F.col("_at"))
+        moved = moved.select("id", F.col("_to").alias("to"), F.col("_done").alias("done"), *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in names])
+        state = checkpoint(state.where("done").union(moved))
+        reach *= 2
+    return state.select("id", F.when(F.col("done"), F.col("to")).alias("root"), *[F.when(F.col("done"), F.col(n)).alias(n) for n in names])
+
+
+def routing_check(tree: DataFrame) -> DataFrame:
+    """One row: units, terminal_units, dangling_next, units_in_a_cycle (or on the way into one), single_outlet."""
+    walked = path_sums(tree, {}).select("id", F.col("root").isNull().alias("lost"))
+    ids = tree.select(F.col("id").alias("_known"))
+    marked = tree.join(walked, "id").join(ids, F.col("next") == F.col("_known"), "left")
+    counts = marked.agg(
+        F.count("*").alias("units"), F.count_if(F.col("next").isNull()).alias("terminal_units"),
+        F.count_if(F.col("next").isNotNull() & F.col("_known").isNull()).alias("dangling_next"), F.count_if("lost").alias("units_in_a_cycle"),
+    )
+    return counts.withColumn("single_outlet", (F.col("terminal_units") == 1) & (F.col("dangling_next") == 0) & (F.col("units_in_a_cycle") == 0))
+
+
+def main_stem(reaches: DataFrame) -> DataFrame:
+    """id and distance to the outlet of the reaches on the main stem of each tree (id, next, area, length).
+
+    From an outlet the stem climbs to the reach with the largest area, ties to the larger id. A reach
+    is on it when no step of its way down comes from a reach that is not the largest above its next.
+    """
+    best = reaches.where("next is not null").groupBy(F.col("next").alias("_below")).agg(F.max(F.struct("area", "id"))["id"].alias("_best"))
+    marked = reaches.join(best, F.col("next") == F.col("_below"), "left")
+    ways = path_sums(marked, {"aside": F.when(F.col("id") == F.col("_best"), 0).otherwise(1), "distance": F.col("length")})
+    return ways.where("aside = 0").select("id", F.round("distance", 6).alias("distance"))
+
+
+def tributaries(reaches: DataFrame, stem: DataFrame) -> DataFrame:
+    """Reaches outside the stem that flow into it: id, joins, area, share of the area of the reach they join."""
+    on = stem.select(F.col("id").alias("_on"))
+    side = reaches.join(on, F.col("id") == F.col("_on"), "left_anti")
+    main = reaches.join(on, F.col("id") == F.col("_on"), "left_semi").select(F.col("id").alias("joins"), F.col("area").alias("_main"))
+    return side.join(main, F.col("next") == F.col("joins")).select("id", "joins", "area", F.try_divide(F.col("area").cast("double"), F.col("_main")).alias("share"))
+
+
+def order_table(reaches: DataFrame) -> DataFrame:
+    """By order: reaches, streams, length, mean length of a stream, bifurcation and length ratios to the order above or below."""
+    length = reaches.groupBy("order").agg(F.sum(F.col("length").cast("decimal(18,4)")).cast("double").alias("length"))
+    by = streams_per_order(reaches).join(length, "order").withColumn("mean_length", F.try_divide("length", "streams"))
+    line = Window.orderBy("order")  # as many rows as orders
+    return by.select(
+        "*",
+        F.try_divide(F.col("streams").cast("double"), F.lead("streams").over(line)).alias("bifurcation_ratio"),
+        F.try_divide("mean_length", F.lag("mean_length").over(line)).alias("length_ratio"),
+    )
+
+
+def long_profile(points: DataFrame) -> DataFrame:
+    """(river, seq, length, z) in downstream order to distance before each point, z with gaps filled, and the falling bed."""
+    down = Window.partitionBy("river").orderBy("seq")
+    before, after = down.rowsBetween(Window.unboundedPreceding, 0), down.rowsBetween(0, Window.unboundedFollowing)
+    distance = F.coalesce(F.sum(F.col("length").cast("decimal(18,4)")).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double")
+    filled = F.coalesce(F.last("z", True).over(before), F.first("z", True).over(after))
+    rows = points.select("river", "seq", distance.alias("distance"), filled.alias("z"))
+    return rows.withColumn("bed", F.min("z").over(before))

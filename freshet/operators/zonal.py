@@ -53,3 +53,36 @@ def coarsen(cells: DataFrame, factor: int) -> DataFrame:
     r, c = (F.floor(F.col(x) / factor).cast("int").alias(x) for x in ("row", "col"))
     total = F.sum(F.col("value").cast("decimal(18,4)")).cast("double")
     return cells.groupBy("layer", r, c).agg((total / F.nullif(F.count("value"), F.lit(0))).alias("value"))
+
+
+def zonal_mean(cells: DataFrame) -> DataFrame:
+    """Mean of each layer weighted by the cosine of latitude, nodata left out."""
+    w = F.cos(F.radians("y"))
+    known = cells.where("value is not null")
+    return known.groupBy("layer").agg(F.count("*").alias("cells"), F.round(F.sum(F.col("value") * w) / F.sum(w), 6).alias("mean"))
+
+
+def hypsometry(cells: DataFrame, steps: int = 10) -> DataFrame:
+    """layer, area_share, elevation (reached or exceeded by that share of cells) and the layer's hypsometric integral."""
+    marks = F.array(*[F.lit(1 - k / steps) for k in range(steps + 1)])
+    mean = F.sum(F.col("value").cast("decimal(18,4)")).cast("double") / F.count("value")
+    by = cells.where("value is not null").groupBy("layer").agg(
+        F.percentile("value", marks).alias("z"), F.round(F.try_divide(mean - F.min("value"), F.max("value") - F.min("value")), 6).alias("integral")
+    )
+    each = by.select("layer", "integral", F.posexplode("z").alias("k", "z"))
+    return each.select("layer", (F.col("k") / steps).alias("area_share"), F.round("z", 6).alias("elevation"), "integral")
+
+
+def histogram(cells: DataFrame, value: Column, edges: list[float]) -> DataFrame:
+    """Cells of each class [edge, next edge); the last class is open, nodata and values below the first edge have none."""
+    number = sum((value >= e).cast("int") for e in edges[1:])
+    return cells.where(value >= edges[0]).groupBy("layer", number.alias("class")).agg(F.count("*").alias("cells"))
+
+
+def cover_bands(cells: DataFrame, covered: Column, height: float, step: float = 0.01) -> DataFrame:
+    """By bands of the value: area, covered area, its share of all that is covered and of the band."""
+    area = cell_km2(F.col("y"), step)
+    known = cells.where("value is not null").select("layer", F.floor(F.col("value") / height).alias("band"), area.alias("area"), F.when(covered, area).otherwise(F.lit(0)).alias("hit"))
+    by = known.groupBy("layer", "band").agg(F.sum("area").cast("double").alias("km2"), F.sum("hit").cast("double").alias("covered_km2"))
+    whole = F.sum("covered_km2").over(Window.partitionBy("layer"))  # as many rows as bands
+    return by.select("*", F.round(F.try_divide(F.col("covered_km2"), whole) * 100, 6).alias("pct_of_cover"), F.round(F.col("covered_km2") / F.col("km2") * 100, 6).alias("pct_of_band"))
