@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from freshet.functions import scalar
-from freshet.operators import climate, focal, hydrology, nearest, network, zonal
+from freshet.operators import climate, focal, hydrology, nearest, network, routing, zonal
 from freshet.sources.grids import dense_grid, read
+from freshet.streaming import totals
 
 
 def _cells(spark, sf_dir):
@@ -218,6 +219,22 @@ def outlet_nearest(spark, sf_dir):
     return nearest.nearest(_at(read(spark, sf_dir, "supplier"), "s_suppkey"), _at(read(spark, sf_dir, "part"), "p_partkey"), 400.0)
 
 
+def _relief(spark, sf_dir):
+    return dense_grid(read(spark, sf_dir, "orders"), "o_orderkey", F.col("o_totalprice"), 100)
+
+
+def flow_routing(spark, sf_dir):
+    return routing.route(_relief(spark, sf_dir))
+
+
+def height_above_drainage(spark, sf_dir):
+    return routing.height_above_drainage(routing.route(_relief(spark, sf_dir)), F.col("area") >= 100)
+
+
+def daily_events(spark, sf_dir):
+    return totals.daily_totals(read(spark, sf_dir, "events"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -225,7 +242,7 @@ QUERIES = {
         rank_average, mann_kendall, upstream_closure, hydro_table, streams_per_order, regulation_dor, runoff_retention,
         zonal_mean, hypsometry, slope_histogram, snow_bands, tri, landform, spi, water_balance, product_agreement, composite_median,
         routing_check, path_sums, main_stem, tributaries, order_table, long_profile, texture, curve_number, concentration_time,
-        validation_envelope, magnitude_check, outlet_nearest,
+        validation_envelope, magnitude_check, outlet_nearest, flow_routing, height_above_drainage, daily_events,
     )
 }
 
@@ -361,4 +378,5 @@ SELECT *, CASE WHEN median_error_pct <= 5 THEN 'inside' WHEN median_error_pct <=
     "outlet_nearest": f"""WITH p AS ({_AT.format('s_suppkey', 'supplier')}), t AS ({_AT.format('p_partkey', 'part')}),
 d AS (SELECT p.id, t.id AS target, round(2 * 6371.0088e0 * asin(sqrt(least(1, pow(sin(radians(t.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(t.lat)) * pow(sin(radians(t.lon - p.lon) / 2), 2)))), 6) AS km FROM p, t)
 SELECT id, target, km FROM d WHERE km <= 400 QUALIFY row_number() OVER (PARTITION BY id ORDER BY km, target) = 1""",
+    "daily_events": "SELECT date_trunc('day', ts) AS start, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM events GROUP BY 1",
 }

@@ -18,7 +18,7 @@ def _rows(rows, names):
     return sorted(out, key=lambda r: [str(x) if not isinstance(x, float) else f"{x:.5f}" for x in r])
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_same_as_sql(spark, name):
     found = QUERIES[name](spark, SF)
     con = duckdb.connect()
