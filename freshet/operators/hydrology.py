@@ -96,7 +96,7 @@ def concentration_time(basins: DataFrame) -> DataFrame:
     middle = (F.try_element_at("_all", F.floor((n + 1) / 2).cast("int")) + F.try_element_at("_all", F.floor(n / 2).cast("int") + 1)) / 2
     out = out.withColumn("median", F.when(n > 0, middle)).withColumn("n_formulas", n.cast("long"))
     spread = F.try_divide(F.array_max("_all"), F.array_min("_all"))
-    return out.select("id", *minutes, "median", "n_formulas", F.round(spread, 6).alias("spread_factor"), F.round(0.6 * F.col("median"), 6).alias("lag"))
+    return out.select("id", *minutes, "median", "n_formulas", F.round(spread, 6).alias("spread_factor"), (0.6 * F.col("median")).alias("lag"))
 
 
 def envelope(basins: DataFrame) -> DataFrame:

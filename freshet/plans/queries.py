@@ -371,7 +371,7 @@ SELECT basin, cover, cells, cells / CAST(sum(cells) OVER w AS DOUBLE) AS share,
   round(60 * (4 * sqrt(area_km2) + 1.5e0 * l) / (0.8e0 * sqrt(z)), 6) AS giandotti, round(60 * 0.605e0 * l / (pow(area_km2, 0.1e0) * pow(s * 100, 0.2e0)), 6) AS bransby_williams FROM b),
 v AS (SELECT *, list_sort(list_filter([kirpich, ventura, temez, california, giandotti, bransby_williams], lambda x: x IS NOT NULL)) AS a FROM m),
 n AS (SELECT * EXCLUDE (a), a[(len(a) + 1) // 2] / 2 + a[len(a) // 2 + 1] / 2 AS median, len(a) AS n_formulas, round(a[-1] / a[1], 6) AS spread_factor FROM v)
-SELECT *, round(0.6e0 * median, 6) AS lag FROM n""",
+SELECT *, 0.6e0 * median AS lag FROM n""",
     "validation_envelope": f"""WITH {_BASINS}, e AS (SELECT id, area_km2, CAST(CASE WHEN area_km2 < 100 THEN 181 WHEN area_km2 < 500 THEN 30 WHEN area_km2 < 2000 THEN 8.9 WHEN area_km2 < 10000 THEN 1.7 WHEN area_km2 < 100000 THEN 1.3 ELSE 0.3 END AS DOUBLE) AS median_error_pct FROM b)
 SELECT *, CASE WHEN median_error_pct <= 5 THEN 'inside' WHEN median_error_pct <= 20 THEN 'edge' ELSE 'outside' END AS position FROM e""",
     "magnitude_check": f"WITH {_BASINS} SELECT id, area_km2 / up AS ratio, CASE WHEN up IS NULL THEN 'no-reference' WHEN area_km2 / up < 0.1 THEN 'far-too-small' WHEN area_km2 / up > 10 THEN 'far-too-large' ELSE 'same-order' END AS verdict FROM b",
