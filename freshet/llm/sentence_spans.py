@@ -1,7 +1,9 @@
 """Substring dedup by sliding spans of sentences.
 
-Every run of several consecutive sentences is hashed and the hashes meet in one global grouping. All
-occurrences but the first (by document, then place) mark their sentences, which are then removed.
+From each sentence on, and up to each sentence, the shortest run of sentences that is long enough is
+hashed, and the hashes meet in one global grouping. All occurrences but the first (by document, then
+place) mark their sentences, which are then removed. Any longer run is covered by such shortest ones,
+so what is removed is every repeated run that is long enough, however short its sentences are.
 """
 
 from __future__ import annotations
@@ -40,8 +42,25 @@ def sentences(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.append(starts, n), np.searchsorted(starts, offs), opens
 
 
-def _spans(run: int, least_words: int):
-    """id, key, and for each run of sentences its place and hash."""
+def shortest_runs(total: np.ndarray, first: np.ndarray, run: int, least_words: int, long_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the shortest runs that are long enough, from each sentence on and up to each sentence.
+
+    total: words before each sentence (one more than there are sentences); first: first sentence of each text.
+    """
+    m = len(total) - 1
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    i = np.arange(m)
+    words, much = (np.searchsorted(total, total[:-1] + k) for k in (least_words, long_words + 1))
+    end = np.maximum(words, np.minimum(i + run, much))
+    words, much = (np.searchsorted(total, total[1:] - k, "right") - 1 for k in (least_words, long_words + 1))
+    start = np.minimum(words, np.maximum(i + 1 - run, much))
+    on, upto = end <= first[doc + 1], start >= first[doc]
+    both = np.unique(np.concatenate([i[on] * (m + 1) + end[on], start[upto] * (m + 1) + i[upto] + 1]))
+    return both // (m + 1), both % (m + 1)
+
+
+def _spans(run: int, least_words: int, long_words: int):
+    """id, key, and for each run of sentences its place, length and hash."""
 
     def work(batches):
         for batch in C.slices(batches):
@@ -57,23 +76,26 @@ def _spans(run: int, least_words: int):
                 some = np.flatnonzero(count)
                 sent[some] = np.add.reduceat(part, wfirst[some])
             sent = C.mix(sent + count.astype(np.uint64))
-            total = np.cumsum(np.append(0, count))
-            m = len(sent) - run + 1
-            hash_, words = sent[: max(m, 0)].copy(), total[run:] - total[:-run] if m > 0 else np.zeros(0, np.int64)
-            for k in range(1, run):
-                hash_ = C.mix(hash_ * np.uint64(3) + sent[k : k + max(m, 0)])
-            doc = np.repeat(np.arange(len(first) - 1), np.diff(first))[: max(m, 0)]
-            at = np.arange(max(m, 0)) - first[doc] if m > 0 else np.zeros(0, np.int64)
-            use = (words >= least_words) & (np.arange(max(m, 0)) + run <= first[doc + 1]) if m > 0 else np.zeros(0, bool)
-            d = pa.array(doc[use])
+            lo, hi = shortest_runs(np.cumsum(np.append(0, count)), first, run, least_words, long_words)
+            n = hi - lo
+            hash_ = np.zeros(len(lo), np.uint64)
+            open_ = np.arange(len(lo))
+            k = 0
+            while len(open_):  # the next sentence goes into the runs that have one
+                hash_[open_] = C.mix(hash_[open_] * np.uint64(3) + sent[lo[open_] + k])
+                k += 1
+                open_ = open_[n[open_] > k]
+            doc = np.searchsorted(first, lo, "right") - 1
+            d = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(d), batch.column(2).take(d), pa.array(at[use], pa.int32()), pa.array(hash_[use].view(np.int64))], ["id", "key", "at", "hash"]
+                [batch.column(0).take(d), batch.column(2).take(d), pa.array(lo - first[doc], pa.int32()), pa.array(n, pa.int32()), pa.array(hash_.view(np.int64))],
+                ["id", "key", "at", "n", "hash"],
             )
 
     return work
 
 
-def _cut(run: int):
+def _cut():
     def work(batches):
         for batch in C.slices(batches):
             data, offs = C.utf8(batch.column(1))
@@ -83,8 +105,8 @@ def _cut(run: int):
             for i in range(batch.num_rows):
                 n = int(first[i + 1] - first[i])
                 gone = np.zeros(n, bool)
-                for at in marked[i] or ():
-                    gone[at : at + run] = True
+                for m in marked[i] or ():
+                    gone[m["at"] : m["at"] + m["n"]] = True
                 lo, hi = offs[i], offs[i + 1]
                 if gone.any():
                     edges = np.append(starts[first[i] : first[i + 1]], hi)
@@ -103,26 +125,26 @@ def _cut(run: int):
     return work
 
 
-def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, least_words: int = 12) -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, least_words: int = 12, long_words: int = 50) -> DataFrame:
     """One row per document: id, n_sentences, n_removed, n_bytes, n_removed_bytes, kept_sha256, kept (the text that stays).
 
-    A span is a run of `run` sentences with at least least_words words. Sentences covered by a span
-    that occurs earlier are removed; "earlier" is by id, then by the text's hash (for ids that occur
+    A span is any run of sentences with at least least_words words that has `run` sentences or more,
+    or more than long_words words. Sentences covered by a span that occurs earlier are removed; "earlier" is by id, then by the text's hash (for ids that occur
     twice), then by place, so later repeats inside a document go too. Rows without an id come last.
     Equal rows share one fate: a repeated row (same id and text) keeps what its twin keeps. Null and
     empty texts have no sentences.
     """
     kind = dict(docs.dtypes)[id_col]
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.hash(F.col(text_col).cast("string")).alias("key"))
-    spans = base.mapInArrow(_spans(run, least_words), f"id {kind}, key int, at int, hash long")
+    spans = base.mapInArrow(_spans(run, least_words, long_words), f"id {kind}, key int, at int, n int, hash long")
     spans = C.checkpoint(spans)
     # the first place of each span is a minimum, combined map-side; the join can be split at a hot span
     place = F.struct(F.col("id").isNull().alias("none"), "id", "key", "at")
-    first = spans.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("hash", "first")
+    first = spans.groupBy("hash").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1").select("hash", "first")
     # null-safe: places of rows without an id are compared too
-    later = spans.join(first, "hash").where(~place.eqNullSafe(F.col("first"))).select("id", "key", "at").distinct()
-    marks = C.checkpoint(later.groupBy("id", "key").agg(F.collect_list("at").alias("marks")))
+    later = spans.join(first, "hash").where(~place.eqNullSafe(F.col("first"))).select("id", "key", "at", "n").distinct()
+    marks = C.checkpoint(later.groupBy("id", "key").agg(F.collect_list(F.struct("at", "n")).alias("marks")))
     b, m = base.alias("b"), marks.alias("m")
     both = b.join(m, F.col("b.id").eqNullSafe(F.col("m.id")) & (F.col("b.key") == F.col("m.key")), "left").select("b.id", "b.text", "m.marks")
-    out = both.mapInArrow(_cut(run), f"id {kind}, n_sentences long, n_removed long, n_bytes long, n_removed_bytes long, kept_sha256 string, kept string")
+    out = both.mapInArrow(_cut(), f"id {kind}, n_sentences long, n_removed long, n_bytes long, n_removed_bytes long, kept_sha256 string, kept string")
     return out.withColumnRenamed("id", id_col)

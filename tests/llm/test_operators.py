@@ -146,6 +146,37 @@ def test_sentence_spans(spark):
     assert found == {1: a + "First end.", 2: "Second start. ", 3: "Nothing here repeats.", 4: "", 5: ""}
 
 
+def test_sentence_spans_of_any_length(spark):
+    from freshet.llm.sentence_spans import remove_repeated_spans
+
+    short = "".join(f"Line {k} is quite short. " for k in range(12))
+    long = " ".join(f"word{k}" for k in range(51)) + ". "
+    docs = spark.createDataFrame([(1, short + "First end."), (2, "Second start. " + short), (3, long), (4, "Own words. " + long + "And an end.")], "doc_id long, text string")
+    found = {r["doc_id"]: r["kept"] for r in remove_repeated_spans(docs).collect()}
+    assert found == {1: short + "First end.", 2: "Second start. ", 3: long, 4: "Own words. And an end."}
+
+
+def test_sentence_spans_brute_force(spark):
+    import random
+
+    from freshet.llm.sentence_spans import remove_repeated_spans
+
+    pick = random.Random(5)
+    pool = [" ".join([f"s{k}"] * pick.choice([1, 1, 2, 3, 5, 8, 13, 51])) + ". " for k in range(9)]
+    texts = [[pick.choice(pool) for _ in range(pick.randrange(14))] for _ in range(40)]
+    enough = lambda r: (w := len("".join(r).split())) >= 12 and (len(r) >= 2 or w > 50)
+    seen, kept = set(), {}
+    for i, t in enumerate(texts):
+        gone = set()
+        for lo in range(len(t)):
+            runs = [(hi, tuple(t[lo:hi])) for hi in range(lo + 1, len(t) + 1) if enough(t[lo:hi])]
+            gone |= {k for hi, r in runs if r in seen for k in range(lo, hi)}
+            seen |= {r for _, r in runs}
+        kept[i] = "".join(s for k, s in enumerate(t) if k not in gone)
+    docs = spark.createDataFrame([(i, "".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert kept == {r["doc_id"]: r["kept"] for r in remove_repeated_spans(docs).collect()}
+
+
 def test_quality(spark):
     found = _by_id(Q.op9_quality(spark, "/root/testdata/sf0.01"))
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality is not null").collect()
