@@ -33,7 +33,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document comes as often as its fitted rate, rounded by a hash, says; at rate 0 it goes."""
-    return apply_copies(docs, mix_to_targets(docs, _table(spark, sf_dir, "labels"), label_domain(), TARGETS))
+    return apply_copies(docs, mix_to_targets(docs, _table(spark, sf_dir, "labels"), label_domain(), TARGETS, keyed=True))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

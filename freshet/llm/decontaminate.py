@@ -185,7 +185,9 @@ def contaminated(
     return out.withColumnsRenamed({"id": id_col, "item": item_id})
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The documents that hold no item, columns unchanged."""
-    held = contaminated(docs, items, id_col, **how).select(F.col(id_col).alias("_held")).distinct()
-    return docs.join(held, F.col(id_col).eqNullSafe(F.col("_held")), "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The documents that hold no item, columns unchanged. The text alone decides, whatever its id."""
+    key = C.text_key(F.col(text_col).cast("string"))
+    texts = docs.select(key.alias(id_col), F.col(text_col))
+    held = contaminated(texts, items, id_col, text_col, **how).select(F.col(id_col).alias("_held")).distinct()
+    return docs.withColumn("_key", key).join(held, F.col("_key") == F.col("_held"), "left_anti").drop("_key")

@@ -139,7 +139,7 @@ def fit_rates(rows: DataFrame, targets: Sequence[float], rounds: int = 40, toler
 
 def mix_to_targets(
     docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text",
-    total_tokens: float | None = None, sample_rows: int = SAMPLE_ROWS, markers: int = MARKERS,
+    total_tokens: float | None = None, sample_rows: int = SAMPLE_ROWS, markers: int = MARKERS, keyed: bool = False,
 ) -> DataFrame:
     """One row per document: id, tokens, p_<domain>, rate, copies.
 
@@ -147,20 +147,22 @@ def mix_to_targets(
     the corpus if None. copies is the rate rounded up or down by a hash of id and text, so that its
     expectation is the rate. Null and empty texts have no tokens and their rate follows from the words
     they lack; equal rows get equal rates. Without labels all posteriors are even. A target that no
-    document can serve is met as nearly as the others allow.
+    document can serve is met as nearly as the others allow. keyed: with text_key too, for apply_copies.
     """
     names = list(targets)
     base, weight = learn_domains(docs, labels, domain, names, id_col, text_col, sample_rows, markers)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select("id", text.alias("text"), F.size(_tokens(text)).cast("long").alias("tokens"), F.xxhash64("id", "text").alias("h"))
-    rows = C.checkpoint(with_posterior(rows, base, weight).select("id", "tokens", "p", "h"))
+    key = [C.text_key(F.col("text")).alias("text_key")] if keyed else []
+    rows = rows.select("id", text.alias("text"), *key, F.size(_tokens(text)).cast("long").alias("tokens"), F.xxhash64("id", "text").alias("h"))
+    rows = C.checkpoint(with_posterior(rows, base, weight).select("id", *(["text_key"] if keyed else []), "tokens", "p", "h"))
     total = total_tokens if total_tokens is not None else float(rows.agg(F.sum("tokens")).first()[0] or 0)
     whole = sum(targets.values())
     out = fit_rates(rows, [total * w / whole for w in targets.values()])
     draw = F.pmod(F.col("h"), F.lit(1 << 20)) / float(1 << 20)
     return out.select(
         F.col("id").alias(id_col),
+        *(["text_key"] if keyed else []),
         "tokens",
         *[F.col("p")[i].alias(f"p_{k}") for i, k in enumerate(names)],
         "rate",
@@ -178,8 +180,12 @@ def label_domain() -> Column:
     return F.concat(quality, F.lit("_"), F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "clean"))
 
 
-def apply_copies(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents, each as often as its copies say (0: not at all). Ids must be unique."""
-    times = mixed.where("copies > 0").select(F.col(id_col).alias("_id"), F.col("copies").alias("_n"))
-    out = docs.join(times, F.col(id_col).eqNullSafe(F.col("_id")))
+def apply_copies(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, each as often as its copies say (0: not at all). mixed: mix_to_targets with keyed=True.
+
+    Rows are told apart by id and text; rows that have both in common have the same copies, and each gets them.
+    """
+    times = mixed.groupBy(F.col(id_col).alias("_id"), F.col("text_key").alias("_of")).agg(F.max("copies").alias("_n")).where("_n > 0")
+    out = docs.withColumn("_key", C.text_key(F.col(text_col).cast("string")))
+    out = out.join(times, (F.col("_key") == F.col("_of")) & F.col(id_col).eqNullSafe(F.col("_id")))
     return out.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)

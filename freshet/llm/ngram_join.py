@@ -158,8 +158,19 @@ def ngram_join(
     ASCII white space and compared as they are. A text of 1 to n-1 words counts as one run; null or
     empty texts are copies of each other and link with no other text. Repeated rows count as copies.
     """
-    base = docs.select(F.col(id_col).alias("id"), C.text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
-    sketched = base.mapInArrow(_sketch(n), "id " + dict(docs.dtypes)[id_col] + ", key binary, bands array<bigint>, sketch binary")
+    base = _base(docs, id_col, text_col)
+    table = _classes(base, n, threshold, tolerance, crowd).drop("component")
+    return base.select("id", "key").join(table, "key").drop("key").withColumnRenamed("id", id_col)
+
+
+def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("id"), C.text_key(text).alias("key"), text.alias("text"))
+
+
+def _classes(base: DataFrame, n: int, threshold: float, tolerance: float, crowd: int) -> DataFrame:
+    """One row per text: key, what ngram_join says of its rows, and component, the key that names its group."""
+    sketched = base.mapInArrow(_sketch(n), "id " + dict(base.dtypes)["id"] + ", key binary, bands array<bigint>, sketch binary")
     classes = C.checkpoint(
         sketched.groupBy("key").agg(
             F.min("id").alias("class_id"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
@@ -168,27 +179,39 @@ def ngram_join(
     buckets = classes.select("key", F.explode("bands").alias("bucket"))
     groups = C.candidate_groups(buckets, _prune(classes, least_matches(threshold, tolerance)), crowd)
     chosen = groups.join(classes.select("key", "class_id", "n"), "key")
-    # the class's least id names one of its rows, so a class of many copies sends one text
-    texts = base.join(chosen.withColumnRenamed("class_id", "id"), ["id", "key"]).select("key", "grp", "n", "text")
+    # the class's least id names one of its rows, so a class of many copies sends one text; a null id is a name too
+    b, c = base.alias("b"), chosen.alias("c")
+    texts = b.join(c, (F.col("b.key") == F.col("c.key")) & F.col("b.id").eqNullSafe(F.col("c.class_id"))).select("b.key", "c.grp", "c.n", "b.text")
     sets = texts.mapInArrow(_runs(n), "key binary, grp binary, n long, payload binary").dropDuplicates(["key"])
     found = C.checkpoint(C.linked_groups(sets, jaccard_kernel(threshold)))
     counts = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("texts").alias("texts"), F.sum("rows").alias("rows"))
     joined = C.connected_components(found.where("b is not null"))
     least = joined.join(classes.select(F.col("key").alias("node"), "class_id"), "node")
-    group = least.join(least.groupBy("component").agg(F.min("class_id").alias("group_id")), "component").select(F.col("node").alias("key"), "group_id")
+    group = least.join(least.groupBy("component").agg(F.min("class_id").alias("group_id")), "component").select(F.col("node").alias("key"), "group_id", "component")
     table = classes.select("key", "class_id", "n").join(counts, "key", "left").join(group, "key", "left")
-    table = table.select(
+    return table.select(
         "key",
         "class_id",
         F.col("n").alias("n_copies"),
         F.coalesce("texts", F.lit(0)).alias("n_text_links"),
         (F.coalesce("rows", F.lit(0)) + F.col("n") - 1).alias("n_links"),
         F.coalesce("group_id", "class_id").alias("group_id"),
+        F.coalesce("component", "key").alias("component"),
     )
-    return base.select("id", "key").join(table, "key").drop("key").withColumnRenamed("id", id_col)
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents that are the first of their group by id; rows without an id stay one per text."""
-    first = ngram_join(docs, id_col, text_col, **how).where(F.col(id_col).eqNullSafe(F.col("group_id"))).select(id_col).distinct()
-    return docs.join(first.withColumnRenamed(id_col, "_kept"), F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, crowd: int = 64
+) -> DataFrame:
+    """One row of each group of near duplicates: the first by id, then by a hash of the text.
+
+    Rows without an id come last. Of rows with the same id and text one stays, whatever the others hold.
+    """
+    classes = _classes(_base(docs, id_col, text_col), n, threshold, tolerance, crowd)
+    place = F.struct(F.col("class_id").isNull().alias("none"), F.col("class_id").alias("id"), "key", F.col("n_copies").alias("n"))
+    first = classes.groupBy("component").agg(F.min(place).alias("p")).select(F.col("p.id").alias("_id"), F.col("p.key").alias("_first"), F.col("p.n").alias("_n"))
+    rows = docs.withColumn("_key", C.text_key(F.col(text_col).cast("string")))
+    rows = rows.join(first, (F.col("_key") == F.col("_first")) & F.col(id_col).eqNullSafe(F.col("_id")))
+    # only a text with copies can have several rows of that id
+    several = rows.where("_n > 1").groupBy("_key").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("r"))
+    return rows.where("_n = 1").select(*docs.columns).union(several.select("r.*"))

@@ -205,6 +205,31 @@ def test_personal_data(spark, texts):
         assert found[i]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest(), i
 
 
+def test_null_and_repeated_ids(spark):
+    from freshet.llm.decontaminate import decontaminate
+    from freshet.llm.mixing import TARGETS, apply_copies, label_domain, mix_to_targets
+    from freshet.llm.ngram_join import drop_near_duplicates, ngram_join
+
+    long = lambda w: " ".join(f"{w}{k}" for k in range(60))
+    near = [(None, long("a")), (None, long("a") + " more"), (4, long("b")), (4, long("b") + " more"), (5, long("c")), (5, long("c")), (None, long("c")), (6, long("d")), (None, long("d") + " more"), (None, "alone")]
+    docs = spark.createDataFrame(near, "doc_id long, text string")
+    links = sorted((r["n_text_links"], r["n_links"]) for r in ngram_join(docs).collect())
+    assert links == sorted([(1, 1)] * 6 + [(0, 2)] * 3 + [(0, 0)])
+    kept = [tuple(r) for r in drop_near_duplicates(docs).collect()]
+    assert len(kept) == 5 and {t.split()[0] for _, t in kept} == {"a0", "b0", "c0", "d0", "alone"}
+    assert sorted(i for i, _ in kept if i) == [4, 5, 6]
+
+    items = spark.createDataFrame([(1, long("q"))], "item_id long, text string")
+    held = spark.createDataFrame([(None, long("q")), (None, "clean"), (1, "clean too"), (1, long("q"))], "doc_id long, text string")
+    assert {r["text"] for r in decontaminate(held, items).collect()} == {"clean", "clean too"}
+
+    rows = [(None, "one text"), (None, "two texts here"), (1, "one text"), (1, "one text"), (1, "another of this id")] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    mixed = mix_to_targets(docs, labels, label_domain(), TARGETS, keyed=True)
+    assert apply_copies(docs, mixed).count() == sum(r["copies"] for r in mixed.collect())
+
+
 ODD = [(1, None, None, "en", 0), (2, "", "s", None, 0), (None, "word " * 3000, "s", "en", 5), (3, "same text here", None, "en", 1), (3, "same text here", None, "en", 1)]
 
 
