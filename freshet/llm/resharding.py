@@ -116,13 +116,13 @@ def plan_transfers(counts: dict[int, int], shards: int, last_size: dict[int, int
     return segments
 
 
-def reshard(docs: DataFrame, old_shard: F.Column, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
+def reshard(docs: DataFrame, old_shard: F.Column, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", salts: int = 64, carry: bool = False) -> DataFrame:
     """One row per document: id, size, text_crc32, law ('rows'), shard, slot, grown_shard, old_shard, moved.
 
     Shards hold counts at most one apart, slots run from 0 without gaps, and the bytes that change
     shard are the fewest possible. A null text has no bytes (size 16, checksum 0); a null old shard is
     0; rows without an id and repeated rows are rows like others. Ties of size are broken by a hash of
-    the id. No rows give no rows.
+    the id. No rows give no rows. carry: with the whole row as row, for rewrite_shards.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
@@ -131,6 +131,7 @@ def reshard(docs: DataFrame, old_shard: F.Column, shards: int = 40, id_col: str
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old"),
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int").alias("salt"),
+        *([F.struct(*docs.columns).alias("row")] if carry else []),
     )
     rows = C.checkpoint(rows)
     block = rows.groupBy("old", "size", "salt").agg(F.count("*").alias("n"))
@@ -164,18 +165,20 @@ def reshard(docs: DataFrame, old_shard: F.Column, shards: int = 40, id_col: str
         F.lit(None).cast("int").alias("grown_shard"),
         F.col("old").alias("old_shard"),
         (F.col("old") != F.col("shard")).alias("moved"),
+        *(["row"] if carry else []),
     )
 
 
-def rewrite_shards(docs: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id") -> list[int]:
+def rewrite_shards(assigned: DataFrame, path: str) -> list[int]:
     """Writes the shards whose rows changed, one folder each, and returns their numbers.
 
-    Shards that neither give nor take rows keep their files. Ids must be unique.
+    assigned: reshard with carry=True, so each row is written where it was placed, whatever its id.
+    Shards that neither give nor take rows keep their files.
     """
     given = assigned.where("moved").select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
     affected = sorted(r["shard"] for r in given.limit(2 * MOST_SHARDS).collect())
-    new = assigned.where(F.col("shard").isin(affected)).select(id_col, "shard", "slot")
-    rows = docs.join(new, id_col).repartition("shard", (F.col("slot") / 1_000_000).cast("long")).sortWithinPartitions("shard", "slot")
+    rows = assigned.where(F.col("shard").isin(affected)).select("row.*", "shard", "slot")
+    rows = rows.repartition("shard", (F.col("slot") / 1_000_000).cast("long")).sortWithinPartitions("shard", "slot")
     rows.write.mode("overwrite").partitionBy("shard").parquet(path)
     return affected
 

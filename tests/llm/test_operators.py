@@ -230,6 +230,19 @@ def test_null_and_repeated_ids(spark):
     assert apply_copies(docs, mixed).count() == sum(r["copies"] for r in mixed.collect())
 
 
+def test_rewrite_shards(spark, tmp_path):
+    from freshet.llm.resharding import reshard, rewrite_shards
+
+    rows = [(None, f"text {k % 5}", 0) for k in range(12)] + [(7, "copy", 0)] * 6 + [(k, "x" * k, 1) for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, old int")
+    assigned = reshard(docs, docs["old"], shards=3, carry=True)
+    # two old shards of 18 and 9 rows, three new ones of 9: the second keeps its files
+    assert rewrite_shards(assigned, str(tmp_path / "out")) == [0, 2]
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert Counter((r["doc_id"], r["text"], r["old"]) for r in back) == Counter(r for r in rows if r[2] == 0)
+    assert sorted((r["shard"], r["slot"]) for r in back) == [(j, k) for j in (0, 2) for k in range(9)]
+
+
 ODD = [(1, None, None, "en", 0), (2, "", "s", None, 0), (None, "word " * 3000, "s", "en", 5), (3, "same text here", None, "en", 1), (3, "same text here", None, "en", 1)]
 
 
