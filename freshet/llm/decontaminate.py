@@ -61,14 +61,33 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return " ".join(w[:k]), " ".join(w[k:])
 
 
+class Statistics:
+    """What scores need to know of all items: in how many a term is, their number, words, and longest."""
+
+    def __init__(self, texts: list[str]):
+        found = [h for h in (_hashes(t or "") for t in texts) if len(h)]
+        self.terms, self.df = np.unique(np.concatenate([np.unique(h) for h in found]) if found else np.zeros(0, np.uint64), return_counts=True)
+        self.items, self.words = len(found), sum(map(len, found))
+        self.longest = max(map(len, found), default=1)
+
+    def add(self, other: Statistics) -> None:
+        self.terms, at = np.unique(np.concatenate([self.terms, other.terms]), return_inverse=True)
+        self.df = np.bincount(at, np.concatenate([self.df, other.df]), len(self.terms)).astype(np.int64)
+        self.items, self.words = self.items + other.items, self.words + other.words
+        self.longest = max(self.longest, other.longest)
+
+
 class Index:
-    """Inverted index of items: sorted term hashes, postings by item, block maxima."""
+    """Inverted index of items: sorted term hashes, postings by item, block maxima.
+
+    whole: statistics of all items, where these are a part of them.
+    """
 
-    def __init__(self, items: list[tuple[object, str]], n: int):
+    def __init__(self, items: list[tuple[object, str]], n: int, whole: Statistics):
         found = [(i, t, _hashes(t or "")) for i, t in items]
         found = [x for x in found if len(x[2])]
         self.ids = [x[0] for x in found]
-        self.longest = max((len(x[2]) for x in found), default=1)
+        self.longest = whole.longest
         parts = [tuple(_runs(_hashes(p), n) for p in question_and_answer(t)) for _, t, _ in found]
         self.question, self.answer = [p[0] for p in parts], [p[1] for p in parts]
         lens = np.array([len(h) for _, _, h in found], float)
@@ -80,9 +99,9 @@ class Index:
             tf.append(c)
         term, item, tf = (np.concatenate(x) if x else np.zeros(0, d) for x, d in ((term, np.uint64), (item, np.int64), (tf, np.int64)))
         self.terms, code = np.unique(term, return_inverse=True)
-        df = np.bincount(code, minlength=len(self.terms))
-        idf = np.log1p((len(found) - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lens / lens.mean()) if len(found) else lens
+        df = whole.df[np.searchsorted(whole.terms, self.terms)]
+        idf = np.log1p((whole.items - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * lens / (whole.words / whole.items)) if len(found) else lens
         impact = idf[code] * tf * (K1 + 1) / (tf + norm[item])
         own = np.bincount(item, impact, minlength=len(found))
         self.impact = (impact / own[item]).astype(np.float32)
@@ -167,18 +186,22 @@ def contaminated(
     its question and of its answer. Words are runs of ASCII letters and digits and of other characters
     beyond ASCII, in lower case. Null and empty texts hold nothing; items without words are never
     held; repeated rows give repeated rows. The best passage of a document is reported. The index is
-    sent to the executors in parts of at most INDEX_ITEMS items.
+    sent to the executors in parts of about INDEX_ITEMS items; scores follow from all items together.
     """
     doc_kind, item_kind = dict(docs.dtypes)[id_col], dict(items.dtypes)[item_id]
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {doc_kind}, item {item_kind}, score double, question_overlap double, answer_overlap double"
     own = items.select(F.col(item_id).alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null")
     parts = max(1, -(-own.count() // INDEX_ITEMS))
+    some = [own.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) if parts > 1 else own for k in range(parts)]
+    # scores mustn't depend on the parts, so the statistics of all items come first
+    whole = Statistics([])
+    for part in some:
+        whole.add(Statistics(part.select("text").toArrow()["text"].to_pylist()))
     out = None
-    for k in range(parts):
-        some = own.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) if parts > 1 else own
-        rows = some.toArrow()
-        index = Index(list(zip(rows["item"].to_pylist(), rows["text"].to_pylist(), strict=True)), n)
+    for part in some:
+        rows = part.toArrow()
+        index = Index(list(zip(rows["item"].to_pylist(), rows["text"].to_pylist(), strict=True)), n, whole)
         held = docs.sparkSession.sparkContext.broadcast(index)
         found = base.mapInArrow(_search(held, n, least, overlap, rows["item"].type), schema)
         out = found if out is None else out.union(found)

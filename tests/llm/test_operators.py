@@ -243,6 +243,18 @@ def test_rewrite_shards(spark, tmp_path):
     assert sorted((r["shard"], r["slot"]) for r in back) == [(j, k) for j in (0, 2) for k in range(9)]
 
 
+def test_decontamination_in_parts(spark, monkeypatch):
+    from freshet.llm import decontaminate
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    once = sorted(map(tuple, decontaminate.contaminated(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "INDEX_ITEMS", -(-items.count() // 3))
+    parts = sorted(map(tuple, decontaminate.contaminated(docs, items).collect()))
+    assert [r[:2] for r in once] == [r[:2] for r in parts]
+    assert [x for r in once for x in r[2:]] == pytest.approx([x for r in parts for x in r[2:]], abs=1e-5)
+
+
 ODD = [(1, None, None, "en", 0), (2, "", "s", None, 0), (None, "word " * 3000, "s", "en", 5), (3, "same text here", None, "en", 1), (3, "same text here", None, "en", 1)]
 
 
