@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Through the shared folder of spark.checkpoint.dir (set here only where it is unset)."""
+    """Through the shared folder of spark.checkpoint.dir.
+
+    Where that is unset, a local master takes a temporary folder and a cluster a folder in the
+    warehouse, which all executors share. Files go when Spark's cleaner drops them, if
+    spark.cleaner.referenceTracking.cleanCheckpoints is on.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        conf = df.sparkSession.conf
+        shared = tempfile.mkdtemp(prefix="checkpoints-") if sc.master.startswith("local[") or sc.master == "local" else conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+        sc.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or shared)
     return df.checkpoint()
+
+
+def release(df: DataFrame) -> None:
+    """Asks the driver for a garbage collection, so that Spark's cleaner drops shuffles and checkpoints no longer in use.
+
+    For loops that write much in every round; without it their files stay until the driver happens to collect.
+    """
+    df.sparkSession.sparkContext._jvm.System.gc()
