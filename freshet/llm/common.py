@@ -15,16 +15,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
-_U = np.uint64
+from freshet.operators.lineage import checkpoint, release
 
+__all__ = ["checkpoint", "release"]
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared folder of spark.checkpoint.dir (set here only where it is unset)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    return df.checkpoint()
+SLICE_BYTES = 4 << 20
+_U = np.uint64
 
 
 def text_key(text) -> F.Column:
@@ -209,72 +205,81 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014); a round is a few grouped
     minima and equi-joins, so hubs are combined map-side and split by AQE, and nothing is collected.
+    Stars about their smallest node need no round.
     """
     e = edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where("u <> v").distinct()
     e = checkpoint(e)
     while True:
-        many = e.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-        if not many and not e.select(F.col("u").alias("v")).join(e.select("v"), "v", "left_semi").limit(1).count():
+        ends = e.select(F.col("v").alias("x"), F.lit(1).alias("up")).union(e.select("u", F.lit(0)))
+        open_ = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.count("*").alias("n")).where("ups > 1 or (ups = 1 and n > 1)")
+        if open_.isEmpty():
             return e.select(F.col("v").alias("node"), F.col("u").alias("component")).union(e.select("u", "u").distinct())
         both = e.select(F.col("v").alias("x"), F.col("u").alias("y")).union(e.select("u", "v"))
         low = both.groupBy("x").agg(F.min(F.least("x", "y")).alias("m"))
-        large = both.join(low, "x").where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u")).distinct()
+        large = both.join(low, "x").where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u"))
         # a node that is its neighbours' minimum keeps its links through them
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).union(least.select("v", "m"))
         e = checkpoint(small.where("u <> v").distinct())
+        release(e)
 
 
 # ---------------------------------------------------------------- all pairs of a group, in blocks
 
 
-def linked_groups(members: DataFrame, kernel: Callable, block_rows: int = 1024, block_bytes: int = 8 << 20) -> DataFrame:
+def in_blocks(members: DataFrame, size: F.Column, block_rows: int, block_bytes: int) -> DataFrame:
+    """members (grp, ...) with nb, the number of blocks of its group. size: bytes that a member brings."""
+    whole = members.groupBy("grp").agg(F.count("*").alias("m"), F.sum(size).alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("m") / block_rows, F.col("bytes") / block_bytes)).cast("int")
+    return members.join(whole.where("m > 1").select("grp", F.greatest(blocks, F.lit(1)).alias("nb")), "grp")
+
+
+def linked_groups(members: DataFrame, kernel: Callable, counted: bool = True) -> DataFrame:
     """Compares all members of each group: (a, b, texts, rows); b is null in rows that count links.
 
-    members: key binary, grp binary, n long (how many rows the key stands for), payload binary.
-    kernel(list of payloads, list or None) -> boolean matrix of links (None: with itself).
+    members: key long, grp, nb int (blocks of the group), n long (how many rows the key stands for),
+    payload binary. kernel(list of payloads, list or None) -> boolean matrix of links (None: with itself).
     A group of any size is dealt in blocks, and each pair of blocks is one unit of work; what leaves a
-    unit is a count for each member and the edges of a spanning forest, never its pairs.
+    unit is a count for each member (if counted) and the edges of a spanning forest, never its pairs.
+    In a group of one block the edges are stars about the smallest key of each component.
     """
-    size = members.groupBy("grp").agg(F.count("*").alias("m"), F.sum(F.length("payload")).alias("bytes"))
-    blocks = F.ceil(F.greatest(F.col("m") / block_rows, F.col("bytes") / block_bytes)).cast("int")
-    dealt = members.join(size.select("grp", F.greatest(blocks, F.lit(1)).alias("nb")), "grp")
-    dealt = dealt.withColumn("block", F.expr("cast(pmod(xxhash64(key), nb) as int)"))
+    dealt = members.withColumn("block", F.expr("cast(pmod(xxhash64(key), nb) as int)"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
     dealt = dealt.select(
         "grp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "key", "n", "payload"
     )
 
     def work(t: pa.Table):
+        if t.num_rows < 2:
+            return None
         bi, bj = t["bi"][0].as_py(), t["bj"][0].as_py()
-        block = np.asarray(t["block"])
-        keys, payload, n = t["key"].to_pylist(), t["payload"].to_pylist(), np.asarray(t["n"])
-        left = np.flatnonzero(block == bi)
-        right = np.flatnonzero(block == bj)
+        block, keys, n, payload = np.asarray(t["block"]), np.asarray(t["key"]), np.asarray(t["n"]), t["payload"].to_pylist()
+        left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
+        if not len(left) or not len(right):
+            return None
         if bi == bj:
-            if len(left) < 2:
-                return None
             m = kernel(payload, None)
             np.fill_diagonal(m, False)
-            texts, rows = m.sum(1), m @ n
-            label = _labels(m)
-            node = np.arange(len(left))
+            node, label = left, _labels(m)
+            texts, rows = m.sum(1), (m @ n if counted else None)
         else:
-            if not len(left) or not len(right):
-                return None
             m = kernel([payload[i] for i in left], [payload[i] for i in right])
-            node = np.concatenate([left, right])
+            node, label = np.concatenate([left, right]), _cross_labels(m)
             texts = np.concatenate([m.sum(1), m.sum(0)])
-            rows = np.concatenate([m @ n[right], n[left] @ m])
-            full = np.zeros((len(node), len(node)), bool)
-            full[: len(left), len(left) :] = m
-            full[len(left) :, : len(left)] = m.T
-            label = _labels(full)
-        out = [(keys[node[i]], None, int(texts[i]), int(rows[i])) for i in np.flatnonzero(texts)]
-        out += [(keys[node[i]], keys[node[j]], 0, 0) for i, j in enumerate(label.tolist()) if i != j]
-        return dict(zip(("a", "b", "texts", "rows"), map(list, zip(*out, strict=True)), strict=True)) if out else None
-
-    return grouped(dealt, ["grp", "bi", "bj"], work, "a binary, b binary, texts long, rows long")
+            rows = np.concatenate([m @ n[right], n[left] @ m]) if counted else None
+        at = np.flatnonzero(texts) if counted else texts[:0]
+        tied = np.flatnonzero(label != np.arange(len(label)))
+        if not len(at) and not len(tied):
+            return None
+        zero, none = np.zeros(len(tied), np.int64), pa.nulls(len(at), pa.int64())
+        return {
+            "a": np.concatenate([keys[node[at]], keys[node[tied]]]),
+            "b": pa.concat_arrays([none, pa.array(keys[node[label[tied]]], pa.int64())]),
+            "texts": np.concatenate([texts[at], zero]),
+            "rows": np.concatenate([rows[at] if counted else at, zero]),
+        }
+
+    return grouped(dealt, ["grp", "bi", "bj"], work, "a long, b long, texts long, rows long", ["key"])
 
 
 def _labels(m: np.ndarray) -> np.ndarray:
@@ -292,25 +297,45 @@ def _labels(m: np.ndarray) -> np.ndarray:
     return label
 
 
-def candidate_groups(buckets: DataFrame, prune: Callable[[DataFrame], DataFrame], most: int = 64) -> DataFrame:
-    """(key, grp) for keys that may link with another: from (bucket, key) rows to candidate groups.
+def _cross_labels(m: np.ndarray) -> np.ndarray:
+    """The same for links between two sides; rows of the first come before those of the second."""
+    r, c = m.shape
+    label = np.arange(r + c)
+    done = np.zeros(r, bool)
+    for i in range(r):
+        if not done[i]:
+            rows, cols = np.zeros(r, bool), np.zeros(c, bool)
+            rows[i] = True
+            fresh = rows
+            while fresh.any():
+                new = m[fresh].any(0) & ~cols
+                cols |= new
+                fresh = m[:, new].any(1) & ~rows
+                rows |= fresh
+            done |= rows
+            label[:r][rows] = label[r:][cols] = i
+    return label
+
+
+def candidate_groups(classes: DataFrame, kernel: Callable, first: int = 4, block_rows: int = 4096) -> DataFrame:
+    """(key, grp) for keys that may link with another: components of the pairs that share a band and pass the kernel.
 
-    Buckets of up to `most` keys give pairs, and prune(pairs a, b) says which of them stay. Larger
-    buckets never become pairs: their keys are joined to a group by star edges, and pairs inside such
-    a group are left to linked_groups. The two cover every pair that shares a bucket.
+    classes: key long, bands array<bigint> (hashes with the number of the band in them), payload binary.
+    The keys of each bucket are compared by their payloads in blocks, whatever their number. The first
+    bands come first; of the others only buckets count that still join different components, so the
+    members of a large cluster are not sent once for every band.
     """
-    # counts are combined map-side and the join can be split, so a hot bucket never meets in one task
-    buckets = checkpoint(buckets.select("bucket", "key"))
-    size = buckets.groupBy("bucket").agg(F.count("*").alias("m"), F.min("key").alias("lo")).where("m > 1")
-    shared = checkpoint(buckets.join(size, "bucket"))
-    stars = shared.where((F.col("m") > most) & (F.col("key") != F.col("lo"))).select(F.col("key").alias("a"), F.col("lo").alias("b"))
-    crowd = connected_components(stars).select(F.col("node").alias("key"), F.col("component").alias("grp"))
-    few = shared.where(F.col("m") <= most).select("bucket", "key").join(crowd, "key", "left")
-    one = few.select("bucket", F.col("key").alias("a"), F.col("grp").alias("ga"))
-    two = few.select("bucket", F.col("key").alias("b"), F.col("grp").alias("gb"))
-    apart = F.coalesce(F.col("ga") != F.col("gb"), F.lit(True))
-    pairs = one.join(two, (one["bucket"] == two["bucket"]) & (F.col("a") < F.col("b")) & apart).select("a", "b").distinct()
-    kept = prune(pairs)
-    edges = kept.select("a", "b").union(crowd.select("key", "grp"))
-    groups = connected_components(edges)
-    return groups.select(F.col("node").alias("key"), F.col("component").alias("grp"))
+    found = label = None
+    for bands in (F.slice("bands", 1, first), F.expr(f"slice(bands, {first + 1}, greatest(size(bands) - {first}, 0))")):
+        have = classes.select("key", "bands") if label is None else classes.select("key", "bands").join(label, "key", "left")
+        comp = F.col("key") if label is None else F.coalesce("grp", "key")
+        rows = have.select("key", comp.alias("comp"), F.explode(bands).alias("grp"))
+        # minima are combined map-side, so a hot bucket never meets in one task
+        mixed = rows.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("grp")
+        members = checkpoint(rows.select("key", "grp").join(mixed, "grp", "left_semi"))
+        dealt = in_blocks(members, F.lit(1), block_rows, 1 << 40).join(classes.select("key", "payload"), "key")
+        edges = checkpoint(linked_groups(dealt.withColumn("n", F.lit(1).cast("long")), kernel, counted=False))
+        found = edges if found is None else found.union(edges)
+        label = connected_components(found).select(F.col("node").alias("key"), F.col("component").alias("grp"))
+        release(classes)
+    return label

@@ -3,8 +3,9 @@
 Equal texts fold into one class first. Each class has 128 MinHash values over its word runs; bands of
 four of them give candidates (a pair at 0.8 is missed with probability below 1e-7). Candidate pairs
 compare their MinHash values 32 at a time and go as soon as the posterior probability of reaching the
-threshold falls below the tolerance. What is left is verified exactly on the runs themselves. Crowded
-buckets skip the pair stage: their members are compared exactly, in blocks, within their group.
+threshold falls below the tolerance. Components of what is left are verified exactly, all members of
+one with each other, on the runs themselves. Buckets and components are compared in blocks, so none
+is too large, and pairs never leave a task.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from freshet.llm import common as C
 
 HASHES, ROWS = 128, 4
 STEP = 32
+#: Most texts, and bytes of their runs, in a block; pairs of blocks are units of work.
+BLOCK_ROWS, BLOCK_BYTES = 2048, 16 << 20
 
 
 def _signature(runs: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -56,7 +59,8 @@ def _sketch(n: int):
                 pa.array(np.concatenate([[0], np.cumsum(some * bands.shape[1])]), pa.int32()), pa.array(bands[some].ravel())
             )
             sketch = pa.array([x.tobytes() for x in low], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, sketch], ["id", "key", "bands", "sketch"])
+            size = pa.array(np.diff(at) * 8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, sketch, size], ["id", "key", "bands", "sketch", "bytes"])
 
     return work
 
@@ -78,24 +82,30 @@ def least_matches(threshold: float, tolerance: float) -> list[int]:
     return out
 
 
-def _prune(sketches: DataFrame, least: list[int]):
-    def keep(batches):
-        for batch in batches:
-            sa, sb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, HASHES) for i in (2, 3))
-            alive = np.arange(batch.num_rows)
-            matches = np.zeros(batch.num_rows, np.int64)
-            for k, m in enumerate(least):  # the next values are compared for pairs still alive only
-                part = slice(k * STEP, (k + 1) * STEP)
-                matches[alive] += (sa[alive, part] == sb[alive, part]).sum(1)
-                alive = alive[matches[alive] >= m]
-            yield batch.select([0, 1]).take(pa.array(alive))
+def bayes_kernel(least: list[int]):
+    """Whether pairs of sketches stay: the next values are compared for pairs still alive only."""
 
-    def prune(pairs: DataFrame) -> DataFrame:
-        one = sketches.select(F.col("key").alias("a"), F.col("sketch").alias("sa"))
-        two = sketches.select(F.col("key").alias("b"), F.col("sketch").alias("sb"))
-        return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(keep, "a binary, b binary")
+    def linked(a: list[bytes], b: list[bytes] | None) -> np.ndarray:
+        sa, sb = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, HASHES) for x in (a, a if b is None else b))
+        out = np.zeros((len(sa), len(sb)), bool)
+        for lo in range(0, len(sa), 256):
+            rows = sa[lo : lo + 256]
+            matches = np.zeros((len(rows), len(sb)), np.uint8)
+            for k in range(STEP):
+                matches += rows[:, k, None] == sb[None, :, k]
+            i, j = np.nonzero(matches >= least[0])
+            hits = matches[i, j].astype(np.int64)
+            for k, m in enumerate(least[1:], 1):
+                part = slice(k * STEP, (k + 1) * STEP)
+                for at in range(0, len(i), 1 << 20):
+                    s = slice(at, at + (1 << 20))
+                    hits[s] += (rows[i[s], part] == sb[j[s], part]).sum(1)
+                stay = hits >= m
+                i, j, hits = i[stay], j[stay], hits[stay]
+            out[lo + i, j] = True
+        return out
 
-    return prune
+    return linked
 
 
 def _runs(n: int):
@@ -107,7 +117,7 @@ def _runs(n: int):
             _, _, h, first = C.words(data, offs)
             runs, _, at = C.word_runs(h, first, n)
             sets = [np.unique(runs[at[i] : at[i + 1]]).tobytes() for i in range(len(at) - 1)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sets, pa.binary())], ["key", "grp", "n", "payload"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(sets, pa.binary())], ["key", "grp", "nb", "n", "payload"])
 
     return work
 
@@ -118,37 +128,34 @@ def jaccard_kernel(threshold: float):
     def linked(a: list[bytes], b: list[bytes] | None) -> np.ndarray:
         sets = [np.frombuffer(x, np.uint64) for x in [*a, *(b or [])]]
         size = np.array([len(x) for x in sets])
-        row = np.repeat(np.arange(len(sets)), size)
         if len(sets) == 2:
-            common = np.array([[0, len(np.intersect1d(*sets, assume_unique=True))]])
-            common = np.array([[size[0], common[0, 1]], [common[0, 1], size[1]]])
+            both = len(np.intersect1d(*sets, assume_unique=True))
+            common = np.array([[both]]) if b is not None else np.array([[size[0], both], [both, size[1]]])
         else:
+            row = np.repeat(np.arange(len(sets)), size)
             value, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
             rank = np.cumsum(times > 1) - 1
             use = times[code] > 1
             row, code = row[use], rank[code[use]]
             by = np.argsort(code, kind="stable")
             row, code = row[by], code[by]
-            common = np.zeros((len(sets), len(sets)), np.float32)
+            total = np.zeros((len(a), len(b or a)), np.float32)
             step = max(256, (4 << 20) // max(1, len(sets)))
             top = int(code[-1]) + 1 if len(code) else 0
             for lo in range(0, top, step):
                 i, j = np.searchsorted(code, [lo, lo + step])
                 x = np.zeros((len(sets), min(step, top - lo)), np.float32)
                 x[row[i:j], code[i:j] - lo] = 1
-                common += x @ x.T
-            common = common.astype(np.int64)
-        if b is not None:
-            common, total = common[: len(a), len(a) :], size[: len(a), None] + size[None, len(a) :]
-        else:
-            total = size[:, None] + size[None, :]
-        return common * (1000 + whole) >= whole * total
+                total += x[: len(a)] @ x[len(a) :].T if b is not None else x @ x.T
+            common = total.astype(np.int32)
+        both_sizes = size[: len(a), None] + (size[None, len(a) :] if b is not None else size[None, :])
+        return common * np.int64(1000 + whole) >= whole * both_sizes
 
     return linked
 
 
 def ngram_join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, crowd: int = 64
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6
 ) -> DataFrame:
     """One row per document: id, class_id, n_copies, n_text_links, n_links, group_id.
 
@@ -159,7 +166,7 @@ def ngram_join(
     empty texts are copies of each other and link with no other text. Repeated rows count as copies.
     """
     base = _base(docs, id_col, text_col)
-    table = _classes(base, n, threshold, tolerance, crowd).drop("component")
+    table = _classes(base, n, threshold, tolerance).drop("component")
     return base.select("id", "key").join(table, "key").drop("key").withColumnRenamed("id", id_col)
 
 
@@ -168,29 +175,33 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), C.text_key(text).alias("key"), text.alias("text"))
 
 
-def _classes(base: DataFrame, n: int, threshold: float, tolerance: float, crowd: int) -> DataFrame:
-    """One row per text: key, what ngram_join says of its rows, and component, the key that names its group."""
-    sketched = base.mapInArrow(_sketch(n), "id " + dict(base.dtypes)["id"] + ", key binary, bands array<bigint>, sketch binary")
-    classes = C.checkpoint(
-        sketched.groupBy("key").agg(
-            F.min("id").alias("class_id"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
-        )
+def _classes(base: DataFrame, n: int, threshold: float, tolerance: float) -> DataFrame:
+    """One row per text: key, what ngram_join says of its rows, and component, the number that names its group."""
+    sketched = base.mapInArrow(_sketch(n), "id " + dict(base.dtypes)["id"] + ", key binary, bands array<bigint>, sketch binary, bytes long")
+    classes = sketched.groupBy("key").agg(
+        F.min("id").alias("class_id"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("payload"), F.first("bytes").alias("bytes")
     )
-    buckets = classes.select("key", F.explode("bands").alias("bucket"))
-    groups = C.candidate_groups(buckets, _prune(classes, least_matches(threshold, tolerance)), crowd)
-    chosen = groups.join(classes.select("key", "class_id", "n"), "key")
+    # numbers stand for texts in all that follows; they are written out once and never computed again
+    classes = C.checkpoint(classes.withColumnRenamed("key", "text").withColumn("key", F.monotonically_increasing_id()))
+    C.release(classes)
+    groups = C.candidate_groups(classes.select("key", "bands", "payload"), bayes_kernel(least_matches(threshold, tolerance)))
+    chosen = groups.join(classes.select("key", "text", "class_id", "n", "bytes"), "key")
+    chosen = C.in_blocks(chosen, F.col("bytes"), BLOCK_ROWS, BLOCK_BYTES)
     # the class's least id names one of its rows, so a class of many copies sends one text; a null id is a name too
     b, c = base.alias("b"), chosen.alias("c")
-    texts = b.join(c, (F.col("b.key") == F.col("c.key")) & F.col("b.id").eqNullSafe(F.col("c.class_id"))).select("b.key", "c.grp", "c.n", "b.text")
-    sets = texts.mapInArrow(_runs(n), "key binary, grp binary, n long, payload binary").dropDuplicates(["key"])
+    texts = b.join(c, (F.col("b.key") == F.col("c.text")) & F.col("b.id").eqNullSafe(F.col("c.class_id")))
+    texts = texts.select("c.key", "c.grp", "c.nb", "c.n", "b.text")
+    sets = texts.mapInArrow(_runs(n), "key long, grp long, nb int, n long, payload binary")
     found = C.checkpoint(C.linked_groups(sets, jaccard_kernel(threshold)))
+    C.release(found)
+    # a row that comes twice (same id and text) is its own copy, never a link
     counts = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("texts").alias("texts"), F.sum("rows").alias("rows"))
     joined = C.connected_components(found.where("b is not null"))
     least = joined.join(classes.select(F.col("key").alias("node"), "class_id"), "node")
     group = least.join(least.groupBy("component").agg(F.min("class_id").alias("group_id")), "component").select(F.col("node").alias("key"), "group_id", "component")
-    table = classes.select("key", "class_id", "n").join(counts, "key", "left").join(group, "key", "left")
+    table = classes.select("key", "text", "class_id", "n").join(counts, "key", "left").join(group, "key", "left")
     return table.select(
-        "key",
+        F.col("text").alias("key"),
         "class_id",
         F.col("n").alias("n_copies"),
         F.coalesce("texts", F.lit(0)).alias("n_text_links"),
@@ -201,17 +212,19 @@ def _classes(base: DataFrame, n: int, threshold: float, tolerance: float, crowd:
 
 
 def drop_near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, crowd: int = 64
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6
 ) -> DataFrame:
-    """One row of each group of near duplicates: the first by id, then by a hash of the text.
+    """One row of each group of near duplicates, columns unchanged: the first by id, then by a hash of the text.
 
-    Rows without an id come last. Of rows with the same id and text one stays, whatever the others hold.
+    Rows without an id come last. Of rows with the same id and text one stays, whatever the others
+    hold. Null and empty texts are one group. An empty table stays empty.
     """
-    classes = _classes(_base(docs, id_col, text_col), n, threshold, tolerance, crowd)
+    classes = _classes(_base(docs, id_col, text_col), n, threshold, tolerance)
     place = F.struct(F.col("class_id").isNull().alias("none"), F.col("class_id").alias("id"), "key", F.col("n_copies").alias("n"))
-    first = classes.groupBy("component").agg(F.min(place).alias("p")).select(F.col("p.id").alias("_id"), F.col("p.key").alias("_first"), F.col("p.n").alias("_n"))
-    rows = docs.withColumn("_key", C.text_key(F.col(text_col).cast("string")))
-    rows = rows.join(first, (F.col("_key") == F.col("_first")) & F.col(id_col).eqNullSafe(F.col("_id")))
+    first = classes.groupBy("component").agg(F.min(place).alias("p")).select(F.col("p.id").alias("id"), F.col("p.key").alias("key"), F.col("p.n").alias("n"))
+    # whole rows travel in one column, so no name can clash
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), C.text_key(F.col(text_col).cast("string")).alias("key")).alias("r")
+    rows = rows.join(first.alias("f"), (F.col("r.key") == F.col("f.key")) & F.col("r.id").eqNullSafe(F.col("f.id"))).select("r.row", "f.key", "f.n")
     # only a text with copies can have several rows of that id
-    several = rows.where("_n > 1").groupBy("_key").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("r"))
-    return rows.where("_n = 1").select(*docs.columns).union(several.select("r.*"))
+    several = rows.where("n > 1").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return rows.where("n = 1").select("row.*").union(several.select("row.*"))
