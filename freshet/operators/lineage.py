@@ -4,21 +4,30 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Through the shared folder of spark.checkpoint.dir.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir.
 
     Where that is unset, a local master takes a temporary folder and a cluster a folder in the
-    warehouse, which all executors share. Files go when Spark's cleaner drops them, if
-    spark.cleaner.referenceTracking.cleanCheckpoints is on.
+    warehouse, which all executors share.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        conf = df.sparkSession.conf
-        shared = tempfile.mkdtemp(prefix="checkpoints-") if sc.master.startswith("local[") or sc.master == "local" else conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-        sc.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or shared)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and (sc.master == "local" or sc.master.startswith("local[")):
+            shared = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(shared or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts lineage through the checkpoint folder.
+
+    Files go when Spark's cleaner drops them, if spark.cleaner.referenceTracking.cleanCheckpoints is on.
+    """
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
