@@ -6,27 +6,62 @@ their lengths gives them, in code points. The pieces come from the same leftmost
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<s:int,e:int,t:string>>"
+#: Matches that are summed at once; the sums of these groups are then added up.
+GROUP = 256
+
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: inside a lambda an expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-def matches(text: Column, pattern: str, guard: Column | None = None) -> Column:
-    """array<struct<s, e, t>>: start, end (exclusive) and text of each match, in order."""
-    m = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    both = F.zip_with(m, F.slice(gaps, 1, F.size(m)), lambda x, g: F.struct(F.length(g).alias("g"), F.length(x).alias("n"), x.alias("t")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+
+def _sums(values: Column, start: Column) -> Column:
+    """start and the sum of the array up to and with each element; for short arrays, as appending copies."""
 
     def step(acc, x):
-        s = acc["at"] + x["g"]
-        span = F.struct(s.alias("s"), (s + x["n"]).alias("e"), x["t"].alias("t"))
-        return F.struct((s + x["n"]).alias("at"), F.array_append(acc["out"], span).alias("out"))
+        return F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"] + x).alias("out"))
+
+    return F.aggregate(values, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+
+
+def running(lengths: Column) -> Column:
+    """Sum of the array up to and with each element, in groups of GROUP and then over the groups' sums."""
+
+    def whole(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x))
+        before = F.concat(F.array(F.lit(0)), _sums(totals, F.lit(0)))
+        return F.flatten(F.zip_with(parts, F.slice(before, 1, F.size(parts)), lambda p, b: _sums(p, b)))
+
+    def groups(v: Column) -> Column:
+        cuts = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / GROUP).cast("int"))
+        return let(F.transform(cuts, lambda k: F.slice(v, k * GROUP + 1, F.lit(GROUP))), whole)
+
+    return let(lengths, lambda v: F.when(F.size(v) <= GROUP, _sums(v, F.lit(0))).otherwise(groups(v)))
+
+
+def matches(text: Column, pattern: str, guard: Column | None = None, left: int = 0) -> Column:
+    """array<struct<s, e, t>>: start, end (exclusive) and text of each match, in order; with left, also l.
+
+    l: up to `left` code points of what lies between the match and the one before it.
+    """
+
+    def placed(x: Column) -> Column:
+        m, gaps = x["m"], F.slice(x["gaps"], 1, F.size(x["m"]))
+        ends = running(F.zip_with(m, gaps, lambda t, g: F.length(g) + F.length(t)))
+        spans = F.zip_with(ends, m, lambda e, t: F.struct((e - F.length(t)).alias("s"), e.alias("e"), t.alias("t")))
+        if not left:
+            return spans
+        return F.zip_with(spans, gaps, lambda x, g: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), F.right(g, F.lit(left)).alias("l")))
 
-    found = F.aggregate(both, start, step, lambda acc: acc["out"])
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gaps"))
     test = F.rlike(text, F.lit(pattern)) if guard is None else guard & F.rlike(text, F.lit(pattern))
-    return F.when(test, found).otherwise(F.array().cast(SPAN))
+    return F.when(test, let(both, placed)).otherwise(F.array().cast(SPAN if not left else SPAN.replace("t:string", "t:string,l:string")))
 
 
 def labelled(spans: Column, kind: str, rank: int) -> Column:
