@@ -1,26 +1,31 @@
-"""Benchmark decontamination: BM25 over an inverted index of test items, with block-max pruning.
+"""Benchmark decontamination: BM25 over an inverted index of test items, searched with block-max WAND.
 
 Every passage of every document is a query against the index. Impacts are divided by what an item
-scores against itself, so one threshold serves all items. Items lie in small blocks; a passage's sum of
-block maxima decides which blocks it may skip (WAND's bound, Ding and Suel, 2011), for all passages of
-a slice at once, and the remaining (passage, block) pairs are scored exactly. Everything at or above
-the threshold is verified: the word runs of the item's question and answer must occur in the passage.
+scores against itself, so one threshold serves all items. Postings are ordered by item and cut into
+blocks with their largest impact. WAND (Broder et al., 2003; Ding and Suel, 2011) moves a cursor in
+each posting list of the passage's terms: the first item that the largest impacts could lift to the
+threshold is the pivot, and it is scored only if its blocks' largest impacts still reach the threshold,
+else the cursors skip past the nearest block. A passage whose terms' largest impacts don't reach the
+threshold has no pivot at all; that first test is made for all passages of a slice at once.
+Everything at or above the threshold is verified: the word runs of the item's question and answer must
+occur in the passage.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.llm import common as C
 
-#: Items of one index; a larger benchmark is searched in several passes over the documents.
-INDEX_ITEMS = 20_000
-BLOCK = 4
+#: Bytes of text of the items of one index; a larger benchmark is searched in several passes over the documents.
+INDEX_BYTES = 32 << 20
+BLOCK = 32
 K1, B = 1.2, 0.75
 
 _FOLD = np.arange(256, dtype=np.int64)
@@ -61,72 +66,98 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return " ".join(w[:k]), " ".join(w[k:])
 
 
-class Statistics:
-    """What scores need to know of all items: in how many a term is, their number, words, and longest."""
-
-    def __init__(self, texts: list[str]):
-        found = [h for h in (_hashes(t or "") for t in texts) if len(h)]
-        self.terms, self.df = np.unique(np.concatenate([np.unique(h) for h in found]) if found else np.zeros(0, np.uint64), return_counts=True)
-        self.items, self.words = len(found), sum(map(len, found))
-        self.longest = max(map(len, found), default=1)
-
-    def add(self, other: Statistics) -> None:
-        self.terms, at = np.unique(np.concatenate([self.terms, other.terms]), return_inverse=True)
-        self.df = np.bincount(at, np.concatenate([self.df, other.df]), len(self.terms)).astype(np.int64)
-        self.items, self.words = self.items + other.items, self.words + other.words
-        self.longest = max(self.longest, other.longest)
+def _terms(batches):
+    """item, its words, and how often it has each term."""
+    for batch in batches:
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            h = _hashes(text or "")
+            t, tf = np.unique(h, return_counts=True)
+            if len(t):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([item] * len(t), batch.schema.field(0).type), pa.array(np.full(len(t), len(h))), pa.array(t.view(np.int64)), pa.array(tf)], ["item", "words", "term", "tf"]
+                )
 
 
 class Index:
-    """Inverted index of items: sorted term hashes, postings by item, block maxima.
+    """Inverted index of items (id, text), with the postings (item, words, term, tf, df) of exactly these items.
 
-    whole: statistics of all items, where these are a part of them.
+    count and mean: number and mean words of all items, and df counts in all of them, so that a score
+    doesn't depend on which items share an index.
     """
 
-    def __init__(self, items: list[tuple[object, str]], n: int, whole: Statistics):
-        found = [(i, t, _hashes(t or "")) for i, t in items]
-        found = [x for x in found if len(x[2])]
-        self.ids = [x[0] for x in found]
-        self.longest = whole.longest
-        parts = [tuple(_runs(_hashes(p), n) for p in question_and_answer(t)) for _, t, _ in found]
+    def __init__(self, items: list[tuple[object, str]], postings: pa.Table, n: int, count: int, mean: float, longest: int):
+        self.ids = [i for i, _ in items]
+        self.longest = longest
+        parts = [tuple(_runs(_hashes(p), n) for p in question_and_answer(t)) for _, t in items]
         self.question, self.answer = [p[0] for p in parts], [p[1] for p in parts]
-        lens = np.array([len(h) for _, _, h in found], float)
-        term, item, tf = [], [], []
-        for k, (_, _, h) in enumerate(found):
-            t, c = np.unique(h, return_counts=True)
-            term.append(t)
-            item.append(np.full(len(t), k))
-            tf.append(c)
-        term, item, tf = (np.concatenate(x) if x else np.zeros(0, d) for x, d in ((term, np.uint64), (item, np.int64), (tf, np.int64)))
-        self.terms, code = np.unique(term, return_inverse=True)
-        df = whole.df[np.searchsorted(whole.terms, self.terms)]
-        idf = np.log1p((whole.items - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lens / (whole.words / whole.items)) if len(found) else lens
-        impact = idf[code] * tf * (K1 + 1) / (tf + norm[item])
-        own = np.bincount(item, impact, minlength=len(found))
-        self.impact = (impact / own[item]).astype(np.float32)
+        at = {i: k for k, i in enumerate(self.ids)}
+        item = np.array([at[i] for i in postings["item"].to_pylist()], np.int64)
+        words, tf, df = (np.asarray(postings[c], dtype=np.float64) for c in ("words", "tf", "df"))
+        self.terms, code = np.unique(np.asarray(postings["term"]).view(np.uint64), return_inverse=True)
+        impact = np.log1p((count - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * words / mean))
+        own = np.bincount(item, impact, minlength=len(items))
         by = np.lexsort((item, code))
-        self.code, self.item, self.impact = code[by], item[by], self.impact[by]
-        self.begin = np.searchsorted(self.code, np.arange(len(self.terms) + 1))
-        self.blocks = -(-len(found) // BLOCK)
-
-    def block_table(self, block: int) -> tuple[np.ndarray, np.ndarray]:
-        """Terms by BLOCK impacts of a block's items, and the largest for each term."""
-        use = (self.item // BLOCK) == block
-        table = np.zeros((len(self.terms), BLOCK), np.float32)
-        table[self.code[use], self.item[use] % BLOCK] = self.impact[use]
-        return table, table.max(1)
+        self.item, self.impact = item[by], (impact / own[item])[by]
+        begin = np.searchsorted(code[by], np.arange(len(self.terms) + 1))
+        self.most = np.maximum.reduceat(self.impact, begin[:-1]) if len(self.terms) else np.zeros(0)
+        # for each term: items, impacts, and the last item and largest impact of each block
+        self.lists = []
+        for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+            starts = np.arange(lo, hi, BLOCK)
+            ends = np.minimum(starts + BLOCK, hi)
+            self.lists.append((self.item[lo:hi].tolist(), self.impact[lo:hi].tolist(), self.item[ends - 1].tolist(), np.maximum.reduceat(self.impact[lo:hi], starts - lo).tolist()))
+
+    def search(self, terms: list[int], least: float) -> list[tuple[int, float]]:
+        """(item, score) of all items that score at least `least` for the terms, by block-max WAND."""
+        cursors = [[0, self.lists[t], float(self.most[t])] for t in terms]  # place, list, largest impact
+        out = []
+        while True:
+            cursors = [c for c in cursors if c[0] < len(c[1][0])]
+            cursors.sort(key=lambda c: c[1][0][c[0]])
+            bound, pivot = 0.0, -1
+            for k, c in enumerate(cursors):
+                bound += c[2]
+                if bound >= least:
+                    pivot = k
+                    break
+            if pivot < 0:
+                return out
+            item = cursors[pivot][1][0][cursors[pivot][0]]
+            while pivot + 1 < len(cursors) and cursors[pivot + 1][1][0][cursors[pivot + 1][0]] == item:
+                pivot += 1
+            # the blocks that would hold the pivot item
+            near, bound = None, 0.0
+            for c in cursors[: pivot + 1]:
+                b = bisect_left(c[1][2], item)
+                if b < len(c[1][2]):
+                    bound += c[1][3][b]
+                    near = c[1][2][b] if near is None else min(near, c[1][2][b])
+            if bound >= least:
+                score = 0.0
+                for c in cursors[: pivot + 1]:
+                    c[0] = bisect_left(c[1][0], item, c[0])
+                    if c[0] < len(c[1][0]) and c[1][0][c[0]] == item:
+                        score += c[1][1][c[0]]
+                        c[0] += 1
+                if score >= least:
+                    out.append((item, round(score, 9)))
+            else:
+                # no item up to the end of the nearest block, or before the next cursor's item, can reach the threshold
+                skip = near + 1
+                if pivot + 1 < len(cursors):
+                    skip = min(skip, cursors[pivot + 1][1][0][cursors[pivot + 1][0]])
+                for c in cursors[: pivot + 1]:
+                    c[0] = bisect_left(c[1][0], max(skip, item + 1), c[0])
 
 
 def _search(held, n: int, least: float, overlap: float, kind: pa.DataType):
     def work(batches):
         index = held.value
         size = max(32, index.longest)  # two steps make a passage, so any item lies whole in one
-        tables = [index.block_table(b) for b in range(index.blocks)] if len(index.terms) * index.blocks < 4_000_000 else None
         for batch in C.slices(batches):
             data, offs = C.utf8(batch.column(1))
             _, _, h, first = C.words(data, offs, _GAP, _FOLD)
-            if not len(h) or not index.blocks:
+            if not len(h) or not len(index.terms):
                 continue
             at = np.searchsorted(index.terms, h)
             at[at == len(index.terms)] = 0
@@ -141,30 +172,23 @@ def _search(held, n: int, least: float, overlap: float, kind: pa.DataType):
             bounds = np.searchsorted(step_of, np.arange(step0[-1] + 1))
             last = np.zeros(step0[-1], bool)
             last[step0[1:][steps > 0] - 1] = True
-            hits: dict[tuple[int, int], float] = {}
-            for b in range(index.blocks):
-                table, most = tables[b] if tables else index.block_table(b)
-                s = np.bincount(step_of, most[term], minlength=step0[-1])
-                bound = s.copy()
-                bound[:-1] += np.where(last[:-1], 0, s[1:])
-                for p in np.flatnonzero(bound >= least):
-                    t = term[bounds[p] : bounds[p + 1]]
-                    if not last[p]:
-                        t = np.union1d(t, term[bounds[p + 1] : bounds[p + 2]])
-                    score = table[t].sum(0)
-                    for k in np.flatnonzero(score >= least):
-                        hits[p, b * BLOCK + int(k)] = float(score[k])
-            rows: dict[tuple[int, int], tuple] = {}
+            bound = np.bincount(step_of, index.most[term], minlength=step0[-1])
+            bound[:-1] += np.where(last[:-1], 0, bound[1:])
             step_doc = np.repeat(np.arange(len(count)), steps)
-            for (p, k), score in hits.items():
+            rows: dict[tuple[int, int], tuple] = {}
+            for p in np.flatnonzero(bound >= least - 1e-9):
+                t = term[bounds[p] : bounds[p + 1]]
+                if not last[p]:
+                    t = np.union1d(t, term[bounds[p + 1] : bounds[p + 2]])
                 i = int(step_doc[p])
-                lo = first[i] + (p - step0[i]) * size
-                passage = h[lo : min(lo + 2 * size, first[i + 1])]
-                q, a = _share(index.question[k], passage), _share(index.answer[k], passage)
-                if q >= overlap and a >= overlap:
-                    old = rows.get((i, k))
-                    if old is None or (score, q, a) > old:
-                        rows[i, k] = (score, q, a)
+                for k, score in index.search(t.tolist(), least - 1e-9):
+                    lo = first[i] + (p - step0[i]) * size
+                    passage = h[lo : min(lo + 2 * size, first[i + 1])]
+                    q, a = _share(index.question[k], passage), _share(index.answer[k], passage)
+                    if q >= overlap and a >= overlap:
+                        old = rows.get((i, k))
+                        if old is None or (score, q, a) > old:
+                            rows[i, k] = (score, q, a)
             if rows:
                 docs, items = pa.array([i for i, _ in rows]), [index.ids[k] for _, k in rows]
                 cols = list(zip(*rows.values(), strict=True))
@@ -175,9 +199,50 @@ def _search(held, n: int, least: float, overlap: float, kind: pa.DataType):
     return work
 
 
+def _indexes(items: DataFrame, n: int, index_bytes: int):
+    """Index by index of items (item, text), each of about index_bytes of text; a larger item is alone in one.
+
+    Term counts, document frequencies and lengths are computed by Spark over all items; the driver holds
+    one part at a time.
+    """
+    # rows stand for items by number, so null and repeated ids are items of their own
+    own = C.checkpoint(items.where("text is not null").withColumn("no", F.monotonically_increasing_id()))
+    size = F.octet_length("text").cast("long")
+    # parts from running sums of bytes inside each file partition's numbers
+    split = F.shiftright("no", 33)
+    run = F.sum(size).over(Window.partitionBy(split).orderBy("no").rowsBetween(Window.unboundedPreceding, 0))
+    own = C.checkpoint(own.withColumn("part", F.struct(split.alias("s"), F.floor((run - 1) / index_bytes).alias("k"))))
+    kind = "item long, words long, term long, tf long"
+    terms = C.checkpoint(own.select("no", "text").mapInArrow(_terms, kind))
+    whole = terms.select("item", "words").distinct().agg(F.count("*").alias("n"), F.avg("words").alias("mean"), F.max("words").alias("longest")).first()
+    if not whole["n"]:
+        return
+    postings = terms.join(terms.groupBy("term").agg(F.count("*").alias("df")), "term").join(own.select(F.col("no").alias("item"), "part"), "item")
+    postings = C.checkpoint(postings)
+    small = own.groupBy("part").agg(F.sum(size).alias("bytes"))
+    # small parts share an index
+    group, held, groups = [], 0, []
+    for r in small.orderBy("part").collect():
+        if group and held + r["bytes"] > index_bytes:
+            groups.append(group)
+            group, held = [], 0
+        group.append(r["part"])
+        held += r["bytes"]
+    for parts in [*groups, group]:
+        chosen = F.col("part").isin([F.struct(F.lit(p["s"]).alias("s"), F.lit(p["k"]).alias("k")) for p in parts])
+        table = postings.where(chosen).select("item", "words", "term", "tf", "df").orderBy("item", "term").toArrow()
+        if not table.num_rows:
+            continue
+        some = own.where(chosen).join(terms.select(F.col("item").alias("no")).distinct(), "no", "left_semi").orderBy("no").toArrow()
+        texts = list(zip(some["no"].to_pylist(), some["text"].to_pylist(), strict=True))
+        index = Index(texts, table, n, whole["n"], whole["mean"], whole["longest"])
+        index.ids = some["item"].to_pylist()
+        yield index, some["item"].type
+
+
 def contaminated(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-    n: int = 5, least: float = 0.5, overlap: float = 0.8,
+    n: int = 5, least: float = 0.5, overlap: float = 0.8, index_bytes: int = INDEX_BYTES,
 ) -> DataFrame:
     """One row per document and item it holds: id, item_id, score, question_overlap, answer_overlap.
 
@@ -185,32 +250,30 @@ def contaminated(
     scores at least `least` of the item's own score and holds at least `overlap` of the n-word runs of
     its question and of its answer. Words are runs of ASCII letters and digits and of other characters
     beyond ASCII, in lower case. Null and empty texts hold nothing; items without words are never
-    held; repeated rows give repeated rows. The best passage of a document is reported. The index is
-    sent to the executors in parts of about INDEX_ITEMS items; scores follow from all items together.
+    held; items with a null or repeated id are items of their own; repeated rows give repeated rows. The
+    best passage of a document is reported. The index is sent to the executors in parts of about
+    index_bytes of item text; scores follow from all items together, so parts don't change them. No
+    documents or no items give no rows.
     """
     doc_kind, item_kind = dict(docs.dtypes)[id_col], dict(items.dtypes)[item_id]
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {doc_kind}, item {item_kind}, score double, question_overlap double, answer_overlap double"
-    own = items.select(F.col(item_id).alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null")
-    parts = max(1, -(-own.count() // INDEX_ITEMS))
-    some = [own.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) if parts > 1 else own for k in range(parts)]
-    # scores mustn't depend on the parts, so the statistics of all items come first
-    whole = Statistics([])
-    for part in some:
-        whole.add(Statistics(part.select("text").toArrow()["text"].to_pylist()))
-    out = None
-    for part in some:
-        rows = part.toArrow()
-        index = Index(list(zip(rows["item"].to_pylist(), rows["text"].to_pylist(), strict=True)), n, whole)
+    own = items.select(F.col(item_id).alias("item"), F.col(item_text).cast("string").alias("text"))
+    out = docs.sparkSession.createDataFrame([], schema)
+    for k, (index, kind) in enumerate(_indexes(own, n, index_bytes)):
         held = docs.sparkSession.sparkContext.broadcast(index)
-        found = base.mapInArrow(_search(held, n, least, overlap, rows["item"].type), schema)
-        out = found if out is None else out.union(found)
+        found = base.mapInArrow(_search(held, n, least, overlap, kind), schema)
+        out = out.union(found) if k else found
     return out.withColumnsRenamed({"id": id_col, "item": item_id})
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents that hold no item, columns unchanged. The text alone decides, whatever its id."""
-    key = C.text_key(F.col(text_col).cast("string"))
-    texts = docs.select(key.alias(id_col), F.col(text_col))
-    held = contaminated(texts, items, id_col, text_col, **how).select(F.col(id_col).alias("_held")).distinct()
-    return docs.withColumn("_key", key).join(held, F.col("_key") == F.col("_held"), "left_anti").drop("_key")
+    """The documents that hold no item, columns unchanged. The text alone decides, whatever its id.
+
+    Null and empty texts stay, rows that come twice stay twice, and no items leave all documents.
+    """
+    key = C.text_key(F.col(text_col).cast("string")).alias("key")
+    held = contaminated(docs.select(key, F.col(text_col).alias("text")), items, "key", "text", **how).select("key").distinct()
+    # whole rows travel in one column, so no name can clash
+    rows = docs.select(key, F.struct("*").alias("row"))
+    return rows.join(held, "key", "left_anti").select("row.*")
