@@ -1,9 +1,10 @@
 """Substring dedup by sliding spans of sentences.
 
-From each sentence on, and up to each sentence, the shortest run of sentences that is long enough is
-hashed, and the hashes meet in one global grouping. All occurrences but the first (by document, then
-place) mark their sentences, which are then removed. Any longer run is covered by such shortest ones,
-so what is removed is every repeated run that is long enough, however short its sentences are.
+Every run of several consecutive sentences is hashed (128 bits), as is every single sentence that is
+long, and the hashes meet in one global grouping. All occurrences but the first (by document, then
+place) mark their sentences. Longer runs are covered by the runs in them, so every repeated run counts,
+however short its sentences are. Marked sentences that follow each other are one repeated stretch; a
+stretch goes if it has enough words, so that a stock phrase is no reason to cut a document.
 """
 
 from __future__ import annotations
@@ -42,71 +43,65 @@ def sentences(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.append(starts, n), np.searchsorted(starts, offs), opens
 
 
-def shortest_runs(total: np.ndarray, first: np.ndarray, run: int, least_words: int, long_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of the shortest runs that are long enough, from each sentence on and up to each sentence.
-
-    total: words before each sentence (one more than there are sentences); first: first sentence of each text.
-    """
-    m = len(total) - 1
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    i = np.arange(m)
-    words, much = (np.searchsorted(total, total[:-1] + k) for k in (least_words, long_words + 1))
-    end = np.maximum(words, np.minimum(i + run, much))
-    words, much = (np.searchsorted(total, total[1:] - k, "right") - 1 for k in (least_words, long_words + 1))
-    start = np.minimum(words, np.maximum(i + 1 - run, much))
-    on, upto = end <= first[doc + 1], start >= first[doc]
-    both = np.unique(np.concatenate([i[on] * (m + 1) + end[on], start[upto] * (m + 1) + i[upto] + 1]))
-    return both // (m + 1), both % (m + 1)
+_U = np.uint64
 
 
-def _spans(run: int, least_words: int, long_words: int):
-    """id, key, and for each run of sentences its place, length and hash."""
+def _spans(run: int, long_words: int):
+    """id, k, and for each run of sentences its place and hash; the place of a single sentence is given as -1 - place."""
 
     def work(batches):
         for batch in C.slices(batches):
             data, offs = C.utf8(batch.column(1))
-            starts, first, opens = sentences(data, offs)
+            starts, first, _ = sentences(data, offs)
             _, _, h, wfirst = C.words(data, starts)
             count = np.diff(wfirst)
             # a sentence's hash depends on its words, not on the white space between them
-            sent = np.zeros(len(count), np.uint64)
+            sent = np.zeros((2, len(count)), _U)
             if len(h):
-                place = np.arange(len(h)) - np.repeat(wfirst[:-1], count)
-                part = C.mix(h + C.mix(place.astype(np.uint64)))
+                place = C.mix((np.arange(len(h)) - np.repeat(wfirst[:-1], count)).astype(_U))
                 some = np.flatnonzero(count)
-                sent[some] = np.add.reduceat(part, wfirst[some])
-            sent = C.mix(sent + count.astype(np.uint64))
-            lo, hi = shortest_runs(np.cumsum(np.append(0, count)), first, run, least_words, long_words)
-            n = hi - lo
-            hash_ = np.zeros(len(lo), np.uint64)
-            open_ = np.arange(len(lo))
-            k = 0
-            while len(open_):  # the next sentence goes into the runs that have one
-                hash_[open_] = C.mix(hash_[open_] * np.uint64(3) + sent[lo[open_] + k])
-                k += 1
-                open_ = open_[n[open_] > k]
-            doc = np.searchsorted(first, lo, "right") - 1
-            d = pa.array(doc)
+                for lane, salt in enumerate((_U(1), _U(0x9E3779B97F4A7C15))):
+                    sent[lane, some] = np.add.reduceat(C.mix((h ^ salt) + place), wfirst[some])
+            sent = C.mix(sent + count.astype(_U))
+            n = np.diff(first)
+            doc = np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(count))
+            whole = at[at + run <= first[doc + 1]]
+            hash_ = np.zeros((2, len(whole)), _U)
+            for k in range(run):
+                hash_ = C.mix(hash_ * _U(3) + sent[:, whole + k])
+            single = at[count > long_words] if run > 1 else at[:0]
+            lo = np.concatenate([whole, single])
+            place = lo - first[doc[lo]]
+            place[len(whole) :] = -1 - place[len(whole) :]
+            hash_ = np.concatenate([hash_, C.mix(sent[:, single] ^ _U(5))], axis=1).view(np.int64)
+            d = pa.array(doc[lo])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(d), batch.column(2).take(d), pa.array(lo - first[doc], pa.int32()), pa.array(n, pa.int32()), pa.array(hash_.view(np.int64))],
-                ["id", "key", "at", "n", "hash"],
+                [batch.column(0).take(d), batch.column(2).take(d), pa.array(place, pa.int32()), pa.array(hash_[0]), pa.array(hash_[1])], ["id", "k", "at", "h1", "h2"]
             )
 
     return work
 
 
-def _cut():
+def _cut(run: int, least_words: int):
     def work(batches):
         for batch in C.slices(batches):
             data, offs = C.utf8(batch.column(1))
             starts, first, _ = sentences(data, offs)
+            total = C.words(data, starts)[3]
             marked = batch.column(2).to_pylist()
             rows = []
             for i in range(batch.num_rows):
                 n = int(first[i + 1] - first[i])
-                gone = np.zeros(n, bool)
-                for m in marked[i] or ():
-                    gone[m["at"] : m["at"] + m["n"]] = True
+                gone = np.zeros(n + 2, bool)
+                for at in marked[i] or ():
+                    lo, hi = (at + 1, at + 1 + run) if at >= 0 else (-at, 1 - at)
+                    gone[lo:hi] = True
+                edge = np.flatnonzero(gone[1:] != gone[:-1])
+                for a, b in zip(edge[::2], edge[1::2], strict=True):
+                    if total[first[i] + b] - total[first[i] + a] < least_words:
+                        gone[a + 1 : b + 1] = False
+                gone = gone[1:-1]
                 lo, hi = offs[i], offs[i + 1]
                 if gone.any():
                     edges = np.append(starts[first[i] : first[i + 1]], hi)
@@ -125,26 +120,31 @@ def _cut():
     return work
 
 
-def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, least_words: int = 12, long_words: int = 50) -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, least_words: int = 25, long_words: int = 50) -> DataFrame:
     """One row per document: id, n_sentences, n_removed, n_bytes, n_removed_bytes, kept_sha256, kept (the text that stays).
 
-    A span is any run of sentences with at least least_words words that has `run` sentences or more,
-    or more than long_words words. Sentences covered by a span that occurs earlier are removed; "earlier" is by id, then by the text's hash (for ids that occur
-    twice), then by place, so later repeats inside a document go too. Rows without an id come last.
-    Equal rows share one fate: a repeated row (same id and text) keeps what its twin keeps. Null and
-    empty texts have no sentences.
+    A span is any run of `run` consecutive sentences (so any longer one is covered by spans), or a
+    single sentence of more than long_words words. Sentences covered by a span that occurs earlier are
+    removed where such sentences, in a row, have least_words words or more (0: always). "Earlier" is by
+    id, then by the text's hash (for ids that occur twice), then by place, so later repeats inside a
+    document go too. Rows without an id come last. Equal rows share one fate: a repeated row (same id
+    and text) keeps what its twin keeps. Null and empty texts have no sentences.
     """
     kind = dict(docs.dtypes)[id_col]
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.hash(F.col(text_col).cast("string")).alias("key"))
-    spans = base.mapInArrow(_spans(run, least_words, long_words), f"id {kind}, key int, at int, n int, hash long")
-    spans = C.checkpoint(spans)
+    text = F.col("text")
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    # a hash of the text tells rows without an id, or of one id, apart
+    base = base.select("id", "text", F.xxhash64(text).alias("k"))
+    spans = C.Written(base.mapInArrow(_spans(run, long_words), f"id {kind}, k long, at int, h1 long, h2 long"))
     # the first place of each span is a minimum, combined map-side; the join can be split at a hot span
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "key", "at")
-    first = spans.groupBy("hash").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1").select("hash", "first")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "k", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("at"))
+    first = spans.table.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1").select("h1", "h2", "first")
     # null-safe: places of rows without an id are compared too
-    later = spans.join(first, "hash").where(~place.eqNullSafe(F.col("first"))).select("id", "key", "at", "n").distinct()
-    marks = C.checkpoint(later.groupBy("id", "key").agg(F.collect_list(F.struct("at", "n")).alias("marks")))
+    later = spans.table.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("id", "k", "at")
+    marks = C.checkpoint(later.groupBy("id", "k").agg(F.collect_set("at").alias("marks")))
+    spans.drop()
+    C.release(marks)
     b, m = base.alias("b"), marks.alias("m")
-    both = b.join(m, F.col("b.id").eqNullSafe(F.col("m.id")) & (F.col("b.key") == F.col("m.key")), "left").select("b.id", "b.text", "m.marks")
-    out = both.mapInArrow(_cut(), f"id {kind}, n_sentences long, n_removed long, n_bytes long, n_removed_bytes long, kept_sha256 string, kept string")
+    both = b.join(m, F.col("b.id").eqNullSafe(F.col("m.id")) & (F.col("b.k") == F.col("m.k")), "left").select("b.id", "b.text", "m.marks")
+    out = both.mapInArrow(_cut(run, least_words), f"id {kind}, n_sentences long, n_removed long, n_bytes long, n_removed_bytes long, kept_sha256 string, kept string")
     return out.withColumnRenamed("id", id_col)
