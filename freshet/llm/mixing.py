@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 from freshet.llm import common as C
 
 SAMPLE_ROWS = 20_000
-MARKERS = 64
+#: Most marker words of each domain.
+MARKERS = 48
 LIFT = 3.0
+#: Sums of tokens are sums of whole parts of this size, so they don't depend on the order of rows.
+PARTS = 1024
 
 
 def _tokens(text: Column) -> Column:
@@ -26,15 +29,15 @@ def _tokens(text: Column) -> Column:
 
 
 def _evidence(text: Column) -> Column:
-    """Words and marks of style that a classifier may use."""
-    style = F.array_compact(
-        F.array(
-            F.when(F.rlike(text, F.lit(r"[*#$%&]{3}")), F.lit("<symbols>")),
-            F.when(F.rlike(text, F.lit(r"[A-Z]{2,}!!")), F.lit("<shouting>")),
-            F.when(F.rlike(text, F.lit(r"(\S{2,})(?: \1){5}")), F.lit("<repeats>")),
-        )
-    )
-    return F.concat(style, F.filter(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+"), lambda w: w != ""))
+    """Words, shapes of words (capitals, other letters and digits, signs), and how varied the words are, in tenths.
+
+    Shapes stand apart by a blank in front. Which of all this says anything is learnt.
+    """
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
+    shape = F.regexp_replace(F.regexp_replace(text, r"\p{Lu}+", "A"), r"[\p{L}\p{Nd}&&[^A]]+", "a")
+    shapes = F.transform(F.array_distinct(F.split(shape, r"\s+")), lambda w: F.concat(F.lit(" "), w))
+    varied = F.concat(F.lit(" varied "), F.floor(F.try_divide(F.size(F.array_distinct(words)) * 10, F.size(words))).cast("string"))
+    return F.concat(F.array_compact(F.array(varied)), shapes, words)
 
 
 def learn_domains(docs: DataFrame, labels: DataFrame, domain: Column, names: Sequence[str], id_col: str, text_col: str, sample_rows: int, markers: int) -> tuple[list[float], dict[str, list[float]]]:
@@ -54,16 +57,16 @@ def learn_domains(docs: DataFrame, labels: DataFrame, domain: Column, names: Seq
     prior = [math.log((x + 1) / (total + len(n))) for x in n]
     if not total:
         return prior, {}
-    seen = sample.select("domain", F.explode("w").alias("w")).groupBy("w").agg(*[F.count(F.when(F.col("domain") == k, 1)).alias(f"n{i}") for i, k in enumerate(names)])
+    seen = C.checkpoint(sample.select("domain", F.explode("w").alias("w")).groupBy("w").agg(*[F.count(F.when(F.col("domain") == k, 1)).alias(f"n{i}") for i, k in enumerate(names)]))
     every = sum(F.col(f"n{i}") for i in range(len(n)))
-    gains = []
+    picked = set()
     for i, x in enumerate(n):  # a marker is at least LIFT times as frequent in a domain as elsewhere
         lift = ((F.col(f"n{i}") + 0.5) / (x + 1)) / ((every - F.col(f"n{i}") + 0.5) / (total - x + 1))
-        gains.append(F.when((lift >= LIFT) & (F.col(f"n{i}") >= 3), F.col(f"n{i}") * F.log(lift) / math.sqrt(x + 1)).otherwise(0.0))
-    seen = seen.withColumn("gain", F.greatest(*gains)).where("gain > 0")
-    top = seen.orderBy(F.col("gain").desc(), "w").limit(markers).collect()
+        own = seen.where((lift >= LIFT) & (F.col(f"n{i}") >= 3)).withColumn("gain", F.col(f"n{i}") * F.log(lift))
+        picked.update(own.orderBy(F.col("gain").desc(), "w").limit(markers).collect())
+    picked = {r["w"]: r for r in picked}
     base, weight = list(prior), {}
-    for r in top:
+    for _, r in sorted(picked.items()):
         p = [(r[f"n{i}"] + 0.5) / (x + 1) for i, x in enumerate(n)]
         weight[r["w"]] = [math.log(x) - math.log1p(-x) for x in p]
         base = [b + math.log1p(-x) for b, x in zip(base, p, strict=True)]
@@ -116,14 +119,15 @@ def fit_rates(rows: DataFrame, targets: Sequence[float], rounds: int = 40, toler
     for done in range(1, rounds + 1):
         now = rows.withColumn("rate", rate)
         on = F.when(F.col("rate") > 0, tok)
+        whole_parts = lambda x: F.sum(F.round(x * PARTS).cast("long"))
         got = now.agg(
-            *[F.sum(tok * F.col("p")[i] * F.col("rate")).alias(f"s{i}") for i in k],
-            *[F.sum(on * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i, j in pairs],
+            *[whole_parts(tok * F.col("p")[i] * F.col("rate")).alias(f"s{i}") for i in k],
+            *[whole_parts(on * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i, j in pairs],
         ).first()
-        gram = {ij: got[f"g{ij[0]}_{ij[1]}"] or 0.0 for ij in pairs}
+        gram = {ij: (got[f"g{ij[0]}_{ij[1]}"] or 0) / PARTS for ij in pairs}
         whole = whole or gram
         scale = sum(whole[i, i] for i in k)
-        gap = [(got[f"s{i}"] or 0.0) - targets[i] for i in k]
+        gap = [(got[f"s{i}"] or 0) / PARTS - targets[i] for i in k]
         size = max(map(abs, gap)) / max(sum(targets), 1e-300)
         if size < best_gap:
             best, best_gap = now, size
@@ -185,7 +189,8 @@ def apply_copies(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text
 
     Rows are told apart by id and text; rows that have both in common have the same copies, and each gets them.
     """
-    times = mixed.groupBy(F.col(id_col).alias("_id"), F.col("text_key").alias("_of")).agg(F.max("copies").alias("_n")).where("_n > 0")
-    out = docs.withColumn("_key", C.text_key(F.col(text_col).cast("string")))
-    out = out.join(times, (F.col("_key") == F.col("_of")) & F.col(id_col).eqNullSafe(F.col("_id")))
-    return out.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)
+    times = mixed.groupBy(F.col(id_col).alias("id"), F.col("text_key").alias("key")).agg(F.max("copies").alias("n")).where("n > 0").alias("m")
+    # whole rows travel in one column, so no name can clash
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), C.text_key(F.col(text_col).cast("string")).alias("key")).alias("r")
+    rows = rows.join(times, (F.col("r.key") == F.col("m.key")) & F.col("r.id").eqNullSafe(F.col("m.id")))
+    return rows.select("r.row", F.explode(F.sequence(F.lit(1), F.col("m.n").cast("int"))).alias("k")).select("row.*")
