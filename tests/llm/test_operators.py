@@ -142,7 +142,9 @@ def test_sentence_spans(spark):
 
     a = "The river rises in the high hills above town. It runs past the old mill and then turns south. "
     docs = spark.createDataFrame([(1, a + "First end."), (2, "Second start. " + a), (3, "Nothing here repeats."), (4, None), (5, "")], "doc_id long, text string")
-    found = {r["doc_id"]: r["kept"] for r in remove_repeated_spans(docs).collect()}
+    found = {r["doc_id"]: r["kept"] for r in remove_repeated_spans(docs, least_words=19).collect()}
+    assert found == {r["doc_id"]: r["kept"] for r in remove_repeated_spans(docs, least_words=0).collect()}
+    assert all(r["n_removed"] == 0 for r in remove_repeated_spans(docs, least_words=20).collect())
     assert found == {1: a + "First end.", 2: "Second start. ", 3: "Nothing here repeats.", 4: "", 5: ""}
 
 
@@ -157,6 +159,7 @@ def test_sentence_spans_of_any_length(spark):
 
 
 def test_sentence_spans_brute_force(spark):
+    import itertools
     import random
 
     from freshet.llm.sentence_spans import remove_repeated_spans
@@ -164,15 +167,21 @@ def test_sentence_spans_brute_force(spark):
     pick = random.Random(5)
     pool = [" ".join([f"s{k}"] * pick.choice([1, 1, 2, 3, 5, 8, 13, 51])) + ". " for k in range(9)]
     texts = [[pick.choice(pool) for _ in range(pick.randrange(14))] for _ in range(40)]
-    enough = lambda r: (w := len("".join(r).split())) >= 12 and (len(r) >= 2 or w > 50)
     seen, kept = set(), {}
     for i, t in enumerate(texts):
-        gone = set()
+        gone = [False] * len(t)
         for lo in range(len(t)):
-            runs = [(hi, tuple(t[lo:hi])) for hi in range(lo + 1, len(t) + 1) if enough(t[lo:hi])]
-            gone |= {k for hi, r in runs if r in seen for k in range(lo, hi)}
-            seen |= {r for _, r in runs}
-        kept[i] = "".join(s for k, s in enumerate(t) if k not in gone)
+            for hi in range(lo + 1, len(t) + 1):  # runs of any length
+                if hi - lo < 2 and len(t[lo].split()) <= 50:
+                    continue
+                if tuple(t[lo:hi]) in seen:
+                    gone[lo:hi] = [True] * (hi - lo)
+                seen.add(tuple(t[lo:hi]))
+        out = []
+        for g, part in itertools.groupby(zip(gone, t, strict=True), key=lambda x: x[0]):
+            part = "".join(x for _, x in part)
+            out += [] if g and len(part.split()) >= 25 else [part]
+        kept[i] = "".join(out)
     docs = spark.createDataFrame([(i, "".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     assert kept == {r["doc_id"]: r["kept"] for r in remove_repeated_spans(docs).collect()}
 
@@ -231,28 +240,74 @@ def test_null_and_repeated_ids(spark):
 
 
 def test_rewrite_shards(spark, tmp_path):
-    from freshet.llm.resharding import reshard, rewrite_shards
+    from freshet.llm.resharding import read_shards, reshard, rewrite_shards
+
+    def files(k):
+        return {f: f.read_bytes() for f in sorted((tmp_path / "out" / "files").glob(f"version=*/shard={k}/*.parquet"))}
+
+    rows = [(None, f"text {k % 5}", 0) for k in range(12)] + [(7, "copy", 0)] * 6 + [(k, "x" * k, 1) for k in range(9)] + [(k, "y" * k, 2) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int")
+    path = str(tmp_path / "out")
+    assert rewrite_shards(reshard(docs, docs["shard"], capacities=[18, 9, 3], carry=True), path) == [0, 1, 2]
+    back = read_shards(spark, path)
+    assert Counter((r.doc_id, r.text, r.shard) for r in back.collect()) == Counter(rows)
+    # shard 1 neither gives nor takes, so its files stay byte for byte
+    untouched = files(1)
+    assert rewrite_shards(reshard(back, back["shard"], shards=3, capacities=[12, 9, 9], carry=True), path) == [0, 2]
+    assert files(1) == untouched and len(untouched) > 0
+    after = read_shards(spark, path).collect()
+    assert Counter((r.doc_id, r.text) for r in after) == Counter(r[:2] for r in rows)
+    assert Counter(r.shard for r in after) == {0: 12, 1: 9, 2: 9}
+    assert all(sorted(r.slot for r in after if r.shard == k) == list(range(n)) for k, n in enumerate([12, 9, 9]))
+
+
+def test_fewest_bytes_move(spark):
+    import itertools
+    import random
 
-    rows = [(None, f"text {k % 5}", 0) for k in range(12)] + [(7, "copy", 0)] * 6 + [(k, "x" * k, 1) for k in range(9)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, old int")
-    assigned = reshard(docs, docs["old"], shards=3, carry=True)
-    # two old shards of 18 and 9 rows, three new ones of 9: the second keeps its files
-    assert rewrite_shards(assigned, str(tmp_path / "out")) == [0, 2]
-    back = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert Counter((r["doc_id"], r["text"], r["old"]) for r in back) == Counter(r for r in rows if r[2] == 0)
-    assert sorted((r["shard"], r["slot"]) for r in back) == [(j, k) for j in (0, 2) for k in range(9)]
+    from freshet.llm.resharding import reshard
 
+    pick = random.Random(3)
+    for case in range(3):
+        sizes = [pick.choice([1, 1, 2, 3, 5, 40]) for _ in range(7)]
+        olds = [pick.choice([0, 0, 1, 2, 5]) for _ in sizes]
+        best = min(
+            sum(s + 16 for s, o, n in zip(sizes, olds, new, strict=True) if o != n)
+            for new in itertools.product(range(3), repeat=7)
+            if max(c := [new.count(j) for j in range(3)]) - min(c) <= 1
+        )
+        docs = spark.createDataFrame([(i, "x" * s, o) for i, (s, o) in enumerate(zip(sizes, olds, strict=True))], "doc_id long, text string, old int")
+        assert sum(r["size"] for r in reshard(docs, docs["old"], shards=3).collect() if r["moved"]) == best, case
 
-def test_decontamination_in_parts(spark, monkeypatch):
+
+def test_decontamination_in_parts(spark):
     from freshet.llm import decontaminate
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     once = sorted(map(tuple, decontaminate.contaminated(docs, items).collect()))
-    monkeypatch.setattr(decontaminate, "INDEX_ITEMS", -(-items.count() // 3))
-    parts = sorted(map(tuple, decontaminate.contaminated(docs, items).collect()))
-    assert [r[:2] for r in once] == [r[:2] for r in parts]
-    assert [x for r in once for x in r[2:]] == pytest.approx([x for r in parts for x in r[2:]], abs=1e-5)
+    parts = sorted(map(tuple, decontaminate.contaminated(docs, items, index_bytes=2000).collect()))
+    assert once == parts and once
+
+
+def test_wand_finds_what_all_scores_find(spark):
+    """Every passage and item by full scores, against the cursors."""
+    import numpy as np
+
+    from freshet.llm import decontaminate as D
+
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").select(D.F.col("item_id").alias("item"), "text")
+    ((index, _),) = list(D._indexes(items, 5, 1 << 20))
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rng = np.random.default_rng(1)
+    for t in [" ".join(rng.permutation(" ".join(texts[i : i + 3]).split())[:80]) for i in range(0, 150, 3)] + texts[:50]:
+        at = np.flatnonzero(np.isin(index.terms, D._hashes(t)))
+        scores = np.zeros(len(index.ids))
+        for k in at:
+            items_, impacts = index.lists[k][:2]
+            scores[items_] += impacts
+        for least in (0.05, 0.15, 0.5):
+            assert [k for k, _ in sorted(index.search(at.tolist(), least))] == np.flatnonzero(scores >= least).tolist()
 
 
 ODD = [(1, None, None, "en", 0), (2, "", "s", None, 0), (None, "word " * 3000, "s", "en", 5), (3, "same text here", None, "en", 1), (3, "same text here", None, "en", 1)]
@@ -285,3 +340,64 @@ def test_pipeline(spark):
         docs = stage(spark, docs, SF)
         assert docs.columns == columns, name
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_maximal_repeats(spark):
+    """Against all pairs of places: every repeat that can't be extended, with all its occurrences."""
+    import random
+
+    from freshet.llm.suffix_dedup import maximal_repeats
+
+    pick = random.Random(2)
+    noise = lambda n: "".join(pick.choice("abcdefgh ") for _ in range(n))
+    a, b = noise(150), noise(130)
+    texts = [noise(30) + a + noise(40), noise(50) + a + noise(20) + b, b + noise(70) + b + noise(9), noise(200), a[:100] + noise(60)]
+    docs = spark.createDataFrame([*enumerate(texts), (9, texts[3])], "doc_id long, text string")
+    least = 120
+    found = defaultdict(set)
+    for r in maximal_repeats(docs, least=least).collect():
+        found[r["repeat"], r["length"]].add((r["doc_id"], r["start"]))
+    places = [(i, k) for i, t in [*enumerate(texts), (9, texts[3])] for k in range(len(t))]
+    text = dict([*enumerate(texts), (9, texts[3])])
+    wanted = defaultdict(set)
+    for x in places:
+        for y in places:
+            if x >= y or (x[1] and y[1] and text[x[0]][x[1] - 1] == text[y[0]][y[1] - 1]):
+                continue
+            n = 0
+            s, t = text[x[0]][x[1] :], text[y[0]][y[1] :]
+            while n < min(len(s), len(t)) and s[n] == t[n]:
+                n += 1
+            if n >= least:
+                wanted[hashlib.sha256(s[:n].encode()).hexdigest(), n] |= {x, y}
+    assert len(wanted) >= 3 and all(found[k] == v for k, v in wanted.items())
+    # what else there is shows a longer one from an anchor that can't see its beginning or end
+    for (_, n), rows in found.items():
+        inside = [m for (_, m), w in wanted.items() if any(m >= n and {(i, k - d) for i, k in rows} == w for d in range(m - n + 1))]
+        assert inside, (n, rows)
+
+
+def test_mixing_meets_targets_whatever_the_order(spark):
+    from freshet.llm import mixing as M
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    runs = [{r["doc_id"]: (r["rate"], r["copies"]) for r in M.mix_to_targets(docs.repartition(k), labels, M.label_domain(), M.TARGETS).collect()} for k in (3, 7)]
+    assert runs[0] == runs[1]
+    rows = M.mix_to_targets(docs, labels, M.label_domain(), M.TARGETS).collect()
+    total = sum(r["tokens"] for r in rows)
+    for k, w in M.TARGETS.items():
+        assert abs(_rates(rows, f"p_{k}") / total - w) < 0.005, k
+
+
+def test_domains_of_unseen_labels(spark):
+    """Learnt from four fifths of the labels, the likeliest domain is right for most of the others."""
+    from freshet.llm import mixing as M
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = {r["doc_id"]: r["domain"] for r in labels.select("doc_id", M.label_domain().alias("domain")).collect() if r["domain"] and r["doc_id"] % 5 == 0}
+    base, weight = M.learn_domains(docs, labels.where("doc_id % 5 <> 0"), M.label_domain(), list(M.TARGETS), "doc_id", "text", M.SAMPLE_ROWS, M.MARKERS)
+    rows = M.with_posterior(docs.where("doc_id % 5 = 0").select("doc_id", M.F.coalesce("text", M.F.lit("")).alias("text")), base, weight).collect()
+    right = [list(M.TARGETS)[max(range(4), key=r["p"].__getitem__)] == held[r["doc_id"]] for r in rows if r["doc_id"] in held]
+    assert sum(right) / len(right) >= 0.9, sum(right) / len(right)
