@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from freshet.sources.grids import cell_metres
+from freshet.sources.grids import cell_km2, cell_metres
 
 
 def _along():
@@ -16,9 +16,9 @@ def _across():
     return Window.partitionBy("layer", "col").orderBy("row")
 
 
-def _difference(w) -> Column:
+def _difference(w, of: str = "value") -> Column:
     """Half the difference of both neighbours, one-sided at the edge of the grid; null beside nodata."""
-    v = F.col("value")
+    v = F.col(of)
     edge0, edge1 = F.row_number().over(w) == 1, F.lead(F.lit(1)).over(w).isNull()
     ahead, behind = F.lead(v).over(w), F.lag(v).over(w)
     d = F.when(edge0 & edge1, None).when(edge0, ahead - v).when(edge1, v - behind).otherwise((ahead - behind) / 2)
@@ -79,15 +79,62 @@ def ruggedness(cells: DataFrame) -> DataFrame:
 
 
 # The classes of slope position, by number.
-LANDFORMS = ("valley", "lower slope", "flat", "middle slope", "upper slope", "ridge")
+LANDFORMS = ("valley", "lower slope", "flat", "mid slope", "upper slope", "ridge")
+
 
+def landform(cells: DataFrame, window: int = 11, flat: float = 5.0) -> DataFrame:
+    """Slope position 0 to 5, and its name, from tpi in units of its standard deviation over the layer, and slope.
 
-def landform(cells: DataFrame, window: int = 5, flat: float = 5.0) -> DataFrame:
-    """Slope position 0 to 5 from tpi in units of its standard deviation over the layer, and slope."""
+    The middle classes need a known slope; without one they are null.
+    """
     tpi = position(cells, window).select("layer", "row", "col", "tpi")
     # one row a layer, so the spread is joined and no layer passes through one task
     spread = tpi.groupBy("layer").agg(F.stddev_pop("tpi").alias("sd")).where("sd > 0")
     both = tpi.join(surfaces(cells).select("layer", "row", "col", "slope"), ["layer", "row", "col"]).join(spread, "layer")
     z, sd = F.col("tpi"), F.col("sd")
-    kind = F.when(z <= -sd, 0).when(z <= -sd / 2, 1).when(z >= sd, 5).when(z >= sd / 2, 4).when(F.col("slope") <= flat, 2).when(z.isNotNull(), 3)
-    return both.select("layer", "row", "col", kind.alias("landform"))
+    kind = F.when(z <= -sd, 0).when(z <= -sd / 2, 1).when(z >= sd, 5).when(z >= sd / 2, 4).when(F.col("slope") <= flat, 2).when(F.col("slope") > flat, 3)
+    names = F.array(*[F.lit(n) for n in LANDFORMS])
+    return both.select("layer", "row", "col", kind.alias("landform")).withColumn("name", F.get(names, F.col("landform")))
+
+
+def curvature(cells: DataFrame, step: float = 0.01) -> DataFrame:
+    """laplacian: second differences along both axes, per metre; negative on a ridge, null beside nodata."""
+    g = gradient(cells, step)
+    dx, dy = cell_metres(F.col("y"), step)
+    second = _difference(_along(), "gx") / dx - _difference(_across(), "gy") / dy
+    return g.select("layer", "row", "col", (F.round(second, 9) + 0.0).alias("laplacian"))
+
+
+def wetness(cells: DataFrame, drained: Column, step: float = 0.01) -> DataFrame:
+    """twi of (layer, row, col, y, value): ln of the area drained per metre of width over the slope's tangent.
+
+    drained: upstream cells. Slopes below a hundredth of a degree count as that.
+    """
+    dx, dy = cell_metres(F.col("y"), step)
+    g = gradient(cells.withColumn("drained", drained), step)
+    tangent = F.greatest(F.hypot("gx", "gy"), F.tan(F.radians(F.lit(0.01))))
+    specific = (F.col("drained") + 1) * F.sqrt(dx * dy)
+    return g.select("layer", "row", "col", F.when(F.col("gx").isNotNull() & F.col("gy").isNotNull(), F.round(F.log(specific / tangent), 6)).alias("twi"))
+
+
+def level_surface(cells: DataFrame, smooth: float = 0.6, spread: float = 2.5, least_km2: float = 0.5, step: float = 0.01) -> DataFrame:
+    """layer, area_km2, elevation of the largest connected level surface of each layer: standing water, as a radar model sees it.
+
+    Cells whose 3 by 3 range is below `smooth` are joined to their eight neighbours; a body counts if
+    98 of 100 of its cells lie within `spread` and it has least_km2.
+    """
+    from freshet.operators.network import components
+
+    flat = cells.join(position(cells, 3).select("layer", "row", "col", "roughness"), ["layer", "row", "col"]).where(F.col("roughness") < smooth)
+    flat = flat.select("layer", "row", "col", "value", cell_km2(F.col("y"), step).alias("km2"), F.struct("layer", "row", "col").alias("cell"))
+    ahead = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    near = flat.select("layer", "cell", F.explode(ahead).alias("o"), "row", "col")
+    near = near.select("cell", "layer", (F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col"))
+    edges = near.join(flat.select("layer", "row", "col", F.col("cell").alias("other")), ["layer", "row", "col"]).select(F.col("cell").alias("a"), F.col("other").alias("b"))
+    body = components(edges).select(F.col("node").alias("cell"), "component")
+    by = flat.join(body, "cell", "left").groupBy("layer", F.coalesce("component", "cell").alias("body")).agg(
+        F.sum("km2").cast("double").alias("area_km2"), F.percentile("value", F.array(F.lit(0.02), F.lit(0.5), F.lit(0.98))).alias("q")
+    )
+    by = by.where((F.col("area_km2") >= least_km2) & (F.col("q")[2] - F.col("q")[0] <= spread))
+    best = by.groupBy("layer").agg(F.max(F.struct("area_km2", F.col("q")[1].alias("z"))).alias("b"))
+    return best.select("layer", F.col("b.area_km2").alias("area_km2"), F.round("b.z", 6).alias("elevation"))

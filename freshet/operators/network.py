@@ -7,20 +7,72 @@ from pyspark.sql import functions as F
 
 
 def upstream(tree: DataFrame, seed: DataFrame) -> DataFrame:
-    """(id, depth) of all units that drain to the seed ids, seeds at depth 0; cycles end.
+    """(id, depth) of all units that drain to the seed ids, depth counted to the first seed below; cycles without a seed are absent.
 
-    A frontier grows by one equi-join each round and is cut by an anti-join with what was reached;
-    lineage is cut by a checkpoint, so depth is not limited by the plan.
+    Every way down is followed by doubling pointers until it meets a seed, so a river of n units takes
+    log2(n) rounds.
     """
-    from freshet.operators.lineage import checkpoint
+    ids = seed.select(F.col("id").alias("_seed")).distinct()
+    marked = tree.join(ids, F.col("id") == F.col("_seed"), "left").withColumn("_stop", F.col("_seed").isNotNull()).drop("_seed")
+    ways = path_sums(marked, {}, F.col("_stop"))
+    met = ways.join(ids, F.col("root") == F.col("_seed"), "left_semi")
+    return met.select("id", F.col("steps").cast("int").alias("depth"))
+
+
+def sub_basins(tree: DataFrame, outlets: DataFrame) -> DataFrame:
+    """Each unit with the first outlet on its way down (itself included); units that meet none are absent."""
+    ids = outlets.select(F.col("id").alias("outlet")).distinct()
+    marked = tree.join(ids, F.col("id") == F.col("outlet"), "left").withColumn("_stop", F.col("outlet").isNotNull()).drop("outlet")
+    ways = path_sums(marked, {}, F.col("_stop")).select("id", F.col("root").alias("outlet"))
+    return ways.join(ids, "outlet", "left_semi").select("id", "outlet")
+
+
+def accumulate(tree: DataFrame, value: Column) -> DataFrame:
+    """id and total: the value of each unit and of all that drain to it; cycles have a null total.
+
+    Pointers and sums double their reach together, so a chain of n units takes log2(n) rounds. A round
+    sums by the unit that a pointer meets, combined map-side.
+    """
+    from freshet.operators.lineage import checkpoint, release
+
+    ids = tree.select(F.col("id").alias("_known"))
+    state = tree.join(ids, F.col("next") == F.col("_known"), "left").select("id", F.col("_known").alias("to"), value.cast("decimal(28,6)").alias("total"))
+    state = checkpoint(state)
+    reach, units = 1, state.count()
+    while reach <= units and not state.where("to is not null").isEmpty():
+        gain = state.where("to is not null").groupBy(F.col("to").alias("_at")).agg(F.sum("total").cast("decimal(28,6)").alias("_gain"))
+        ahead = state.where("to is not null").select(F.col("id").alias("_id"), F.col("to").alias("_to"))
+        grown = state.join(gain, F.col("id") == F.col("_at"), "left").join(ahead, F.col("to") == F.col("_id"), "left")
+        state = checkpoint(grown.select("id", F.col("_to").alias("to"), (F.col("total") + F.coalesce("_gain", F.lit(0))).cast("decimal(28,6)").alias("total")))
+        release(state)
+        reach *= 2
+    return state.select("id", F.when(F.col("to").isNull(), F.col("total").cast("double")).alias("total"))
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component): the smallest node reachable by undirected edges; nodes without edges are absent.
 
-    reached = front = checkpoint(seed.select("id", F.lit(0).alias("depth")).dropDuplicates(["id"]))
+    Alternating large-star and small-star rounds (Kiveris et al., 2014); a round is a few grouped
+    minima and equi-joins, so hubs are combined map-side and split by AQE, and nothing is collected.
+    Stars about their smallest node need no round.
+    """
+    from freshet.operators.lineage import checkpoint, release
+
+    e = edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where("u <> v").distinct()
+    e = checkpoint(e)
     while True:
-        above = tree.join(front.select(F.col("id").alias("next"), "depth"), "next").select("id", (F.col("depth") + 1).alias("depth"))
-        front = checkpoint(above.groupBy("id").agg(F.min("depth").alias("depth")).join(reached, "id", "left_anti"))
-        if front.isEmpty():
-            return reached
-        reached = checkpoint(reached.union(front))
+        ends = e.select(F.col("v").alias("x"), F.lit(1).alias("up")).union(e.select("u", F.lit(0)))
+        open_ = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.count("*").alias("n")).where("ups > 1 or (ups = 1 and n > 1)")
+        if open_.isEmpty():
+            return e.select(F.col("v").alias("node"), F.col("u").alias("component")).union(e.select("u", "u").distinct())
+        both = e.select(F.col("v").alias("x"), F.col("u").alias("y")).union(e.select("u", "v"))
+        low = both.groupBy("x").agg(F.min(F.least("x", "y")).alias("m"))
+        large = both.join(low, "x").where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u"))
+        # a node that is its neighbours' minimum keeps its links through them
+        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).union(least.select("v", "m"))
+        e = checkpoint(small.where("u <> v").distinct())
+        release(e)
 
 
 def hydro_table(units: DataFrame) -> DataFrame:
@@ -115,3 +167,36 @@ def long_profile(points: DataFrame) -> DataFrame:
     filled = F.coalesce(F.last("z", True).over(before), F.first("z", True).over(after))
     rows = points.select("river", "seq", distance.alias("distance"), filled.alias("z"))
     return rows.withColumn("bed", F.min("z").over(before))
+
+
+def numbered(units: DataFrame, key: str = "id") -> DataFrame:
+    """units with number, 1 to n in ascending order of the key, in steps by range so that no task sorts all of them."""
+    from freshet.operators.lineage import checkpoint
+
+    parts = checkpoint(units.repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id()))
+    size = parts.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
+    before = size.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    return parts.join(F.broadcast(before), "_part").withColumn("number", (place + F.col("_before")).cast("long")).drop("_part", "_before")
+
+
+def arc_hydro(units: DataFrame) -> DataFrame:
+    """hydro_id (1 to n by id), hydro_code, next_down_id (-1 where it is 0, null or outside) and area_km2 of (id, next, area)."""
+    table = numbered(units)
+    below = table.select(F.col("id").alias("_id"), F.col("number").alias("_number"))
+    out = table.join(below, F.col("next") == F.col("_id"), "left")
+    return out.select(F.col("number").alias("hydro_id"), F.col("id").cast("string").alias("hydro_code"), F.coalesce("_number", F.lit(-1).cast("long")).alias("next_down_id"), F.col("area").cast("double").alias("area_km2"))
+
+
+def unit_setting(units: DataFrame) -> DataFrame:
+    """(id, sub_area, up_area, endo, coast) with flags: endorheic, coastal, nothing_upstream (up and sub area less than 0.51 apart)."""
+    return units.select(
+        "id", "up_area", (F.coalesce("endo", F.lit(0)) > 0).alias("endorheic"), (F.coalesce("coast", F.lit(0)) > 0).alias("coastal"),
+        F.coalesce(F.abs(F.col("up_area") - F.col("sub_area")) < 0.51, F.lit(False)).alias("nothing_upstream"),
+    )
+
+
+def largest(units: DataFrame, by: str, n: int, key: str = "id") -> DataFrame:
+    """The n rows with the most of `by`, ties by the smaller key, with their place."""
+    top = units.orderBy(F.col(by).desc_nulls_last(), key).limit(n)  # n rows are kept from each partition, and n of them
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.col(by).desc_nulls_last(), key)).cast("int"))

@@ -335,7 +335,8 @@ SELECT *, round(covered_km2 / sum(covered_km2) OVER (PARTITION BY layer) * 100,
 n AS (SELECT c.layer, c."row", c.col, c.v, e.v AS ev FROM cells c, m, o, cells e WHERE e."row" = greatest(0, least(mr, c."row" + dr)) AND e.col = greatest(0, least(mc, c.col + dc)))
 SELECT layer, "row", col, CASE WHEN any_value(v) IS NOT NULL THEN round(sqrt(sum((ev - v) * (ev - v))), 6) END AS tri FROM n GROUP BY ALL""",
     "landform": f"""WITH p AS ({ORACLE['position']}), s AS ({ORACLE['surfaces']}), d AS (SELECT layer, stddev_pop(tpi) AS sd FROM p GROUP BY 1)
-SELECT p.layer, p."row", p.col, CAST(CASE WHEN tpi <= -sd THEN 0 WHEN tpi <= -sd / 2 THEN 1 WHEN tpi >= sd THEN 5 WHEN tpi >= sd / 2 THEN 4 WHEN slope <= 1 THEN 2 WHEN tpi IS NOT NULL THEN 3 END AS INT) AS landform
+SELECT p.layer, p."row", p.col, CAST(CASE WHEN tpi <= -sd THEN 0 WHEN tpi <= -sd / 2 THEN 1 WHEN tpi >= sd THEN 5 WHEN tpi >= sd / 2 THEN 4 WHEN slope <= 1 THEN 2 WHEN slope > 1 THEN 3 END AS INT) AS landform,
+  ['valley', 'lower slope', 'flat', 'mid slope', 'upper slope', 'ridge'][landform + 1] AS name
 FROM p JOIN s USING (layer, "row", col) JOIN d ON d.layer = p.layer""",
     "spi": f"""WITH d AS (SELECT l_returnflag AS series, CAST(l_shipdate AS DATE) AS t, CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE) AS value FROM lineitem GROUP BY ALL),
 f AS (SELECT series, t, CAST(sum(CAST(value AS DECIMAL(18,4))) OVER w AS DOUBLE) AS total, count(*) OVER w AS n FROM d WINDOW w AS (PARTITION BY series ORDER BY t ROWS 29 PRECEDING)),

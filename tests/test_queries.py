@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from freshet.plans.queries import ORACLE, QUERIES
+from freshet.plans.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.01"
 
