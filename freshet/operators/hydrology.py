@@ -114,3 +114,40 @@ def magnitude(basins: DataFrame, factor: float = 10.0) -> DataFrame:
     ratio = F.try_divide("area_km2", "up_area_km2")
     verdict = F.when(F.col("up_area_km2").isNull(), "no-reference").when(F.col("area_km2") <= 0, "empty").when(ratio < 1 / factor, "far-too-small").when(ratio > factor, "far-too-large").otherwise("same-order")
     return basins.select("id", ratio.alias("ratio"), verdict.alias("verdict"))
+
+
+# The eight sectors of the compass, from north by east.
+SECTORS = ("N", "NE", "E", "SE", "S", "SW", "W", "NW")
+
+
+def sectors(cells: DataFrame, covered: Column) -> DataFrame:
+    """By sector that the ground faces (layer, y, value, aspect): area, covered area, its share of all that is covered and of the sector."""
+    from freshet.sources.grids import cell_km2
+
+    area = cell_km2(F.col("y"))
+    number = F.pmod(F.floor((F.col("aspect") + 22.5) / 45).cast("int"), F.lit(8))
+    known = cells.where("aspect is not null and value is not null").select("layer", F.get(F.array(*[F.lit(s) for s in SECTORS]), number).alias("sector"), area.alias("area"), F.when(covered, area).otherwise(F.lit(0)).alias("hit"))
+    by = known.groupBy("layer", "sector").agg(F.sum("area").cast("double").alias("km2"), F.sum("hit").cast("double").alias("covered_km2"))
+    whole = F.sum("covered_km2").over(Window.partitionBy("layer"))  # eight rows
+    return by.select("*", F.round(F.try_divide(F.col("covered_km2"), whole) * 100, 6).alias("pct_of_cover"), F.round(F.col("covered_km2") / F.col("km2") * 100, 6).alias("pct_of_sector"))
+
+
+def terrain_stats(cells: DataFrame) -> DataFrame:
+    """By layer of (layer, y, value, slope): area, least, most and mean elevation, relief, mean slope."""
+    from freshet.sources.grids import cell_km2
+
+    v = F.col("value")
+    by = cells.groupBy("layer").agg(
+        F.sum(F.when(v.isNotNull(), cell_km2(F.col("y")))).cast("double").alias("area_km2"), F.min(v).alias("least"), F.max(v).alias("most"),
+        (F.sum(v.cast("decimal(18,4)")).cast("double") / F.count(v)).alias("mean"), F.round(F.avg("slope"), 6).alias("mean_slope"),
+    )
+    return by.select("layer", "area_km2", "least", "most", "mean", F.round(F.col("most") - F.col("least"), 6).alias("relief"), "mean_slope")
+
+
+def watersheds(lakes: DataFrame, basin_km2: Column, n: int = 25) -> DataFrame:
+    """By basin of (id, type, volume, watershed, basin): reservoirs, largest and summed watershed, whether their sum exceeds the basin, ids of the n largest by volume."""
+    kept = lakes.where(F.col("type").isin(2, 3))
+    by = kept.groupBy("basin").agg(F.count("*").alias("reservoirs"), F.max("watershed").alias("largest_km2"), F.sum(F.col("watershed").cast("decimal(28,4)")).cast("double").alias("summed_km2"))
+    place = F.row_number().over(Window.partitionBy("basin").orderBy(F.col("volume").desc(), "id"))
+    top = kept.withColumn("place", place).where(F.col("place") <= n).groupBy("basin").agg(F.sort_array(F.collect_list(F.struct("place", "id"))).alias("t"))
+    return by.join(top, "basin").select(*by.columns, (F.col("summed_km2") > basin_km2).alias("exceeds"), F.array_join(F.transform("t", lambda x: x["id"].cast("string")), ",").alias("top"))
