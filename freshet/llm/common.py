@@ -1,4 +1,4 @@
-"""What the operators share: checkpoints, text as byte arrays, shingles, groups in blocks, components.
+"""What the operators share: written tables, text as byte arrays, shingles, groups in blocks.
 
 Text is handled as UTF-8 bytes in NumPy arrays, a few MB at a time, so memory does not follow the
 length of a partition. A null text counts as empty everywhere.
@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.operators.lineage import checkpoint, checkpoint_folder, release
+from freshet.operators.network import components as connected_components
 
-__all__ = ["checkpoint", "release"]
+__all__ = ["checkpoint", "connected_components", "release"]
 
 SLICE_BYTES = 4 << 20
 _U = np.uint64
@@ -216,33 +217,6 @@ def pa_schema(spark, ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-# ---------------------------------------------------------------- components
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node reachable by undirected edges; nodes without edges are absent.
-
-    Alternating large-star and small-star rounds (Kiveris et al., 2014); a round is a few grouped
-    minima and equi-joins, so hubs are combined map-side and split by AQE, and nothing is collected.
-    Stars about their smallest node need no round.
-    """
-    e = edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where("u <> v").distinct()
-    e = checkpoint(e)
-    while True:
-        ends = e.select(F.col("v").alias("x"), F.lit(1).alias("up")).union(e.select("u", F.lit(0)))
-        open_ = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.count("*").alias("n")).where("ups > 1 or (ups = 1 and n > 1)")
-        if open_.isEmpty():
-            return e.select(F.col("v").alias("node"), F.col("u").alias("component")).union(e.select("u", "u").distinct())
-        both = e.select(F.col("v").alias("x"), F.col("u").alias("y")).union(e.select("u", "v"))
-        low = both.groupBy("x").agg(F.min(F.least("x", "y")).alias("m"))
-        large = both.join(low, "x").where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u"))
-        # a node that is its neighbours' minimum keeps its links through them
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).union(least.select("v", "m"))
-        e = checkpoint(small.where("u <> v").distinct())
-        release(e)
-
-
 # ---------------------------------------------------------------- all pairs of a group, in blocks
 
 

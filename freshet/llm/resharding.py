@@ -241,5 +241,5 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 def by_source(source: str = "source", old_shards: int = 32) -> F.Column:
-    """The old layout of the query: a shard for each hash of the source."""
+    """The old layout of the query: a shard for each hash of the source; a null source is the empty one."""
     return F.pmod(F.crc32(F.coalesce(F.col(source), F.lit("")).cast("binary")), F.lit(old_shards))
