@@ -55,7 +55,7 @@ def outlet_check(basins: DataFrame, reaches: DataFrame, search_km: float = SEARC
     b = b.withColumn("reason", reason)
     suggested = F.when(F.col("reason").isin("confluence-ambiguous", "under-captured"), near_up).when(F.col("reason") == "over-captured", largest)
     agrees = F.col("reason").isin("no-reach-large", "no-reach", "consistent")
-    return b.select("id", agrees.alias("agrees"), "reason", F.round("ratio", 6).alias("ratio"), F.round("nearest_ratio", 6).alias("nearest_ratio"), suggested.alias("suggested_km2"))
+    return b.select("id", agrees.alias("agrees"), "reason", "ratio", "nearest_ratio", suggested.alias("suggested_km2"))
 
 
 def outlet_unit(near: DataFrame, snap_km: float = 20.0, river_km: float = 1.0, ratio: float = 10.0, advisory_km: float = 20.0) -> DataFrame:

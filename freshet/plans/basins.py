@@ -265,7 +265,7 @@ b AS (SELECT s_suppkey AS id, abs(s_acctbal) / 8 + 1 AS a, n.* EXCLUDE (id) FROM
 q AS (SELECT *, CASE WHEN largest IS NULL AND a BETWEEN 100 AND 1000 THEN 'orphan-outlet' WHEN largest IS NULL AND a > 1000 THEN 'no-reach-large' WHEN largest IS NULL THEN 'no-reach'
   WHEN near_km <= 0.1 AND near_up >= 10 AND own > 2 AND abs(ratio - 1) <= 0.25 AND largest > near_up * 2 THEN 'confluence-ambiguous' WHEN near_km <= 0.1 AND near_up >= 10 AND own < 0.5 THEN 'under-captured'
   WHEN ratio <= 2 THEN 'consistent' ELSE 'over-captured' END AS reason FROM r)
-SELECT id, reason IN ('no-reach-large', 'no-reach', 'consistent') AS agrees, reason, round(ratio, 6) AS ratio, round(own, 6) AS nearest_ratio,
+SELECT id, reason IN ('no-reach-large', 'no-reach', 'consistent') AS agrees, reason, ratio, own AS nearest_ratio,
   CASE WHEN reason IN ('confluence-ambiguous', 'under-captured') THEN near_up WHEN reason = 'over-captured' THEN largest END AS suggested_km2 FROM q""",
     "outlet_unit": f"""WITH {_UNITS}, i AS (SELECT outlet, min(unit) AS first FROM near WHERE inside GROUP BY 1), o AS (SELECT outlet, unit AS first FROM near WHERE km <= 5 QUALIFY row_number() OVER (PARTITION BY outlet ORDER BY km, unit) = 1),
 f AS (SELECT o.outlet, coalesce(i.first, o.first) AS first, i.first IS NULL AS outside FROM o LEFT JOIN i ON i.outlet = o.outlet), g AS (SELECT f.*, n.up_area AS here FROM f JOIN near n ON n.outlet = f.outlet AND n.unit = f.first),
