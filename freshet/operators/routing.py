@@ -1,8 +1,10 @@
 """Flow over a raster: depressions filled, steepest descent, upstream areas, height above drainage.
 
-Filling depends on a global order of cells, which no window or join expresses, so each layer (a basin)
-is one group of an Arrow kernel: priority-flood (Barnes et al., 2014) with ties broken by cell. What
-follows the routing works on the tree of cells by joins.
+Filling depends on a global order of cells, which no window or join expresses. `fill` floods each tile
+by itself, finds how the borders of tiles spill into each other, and floods again from the levels of
+the borders (Barnes, 2016), so only borders of a layer meet in one task. `route` needs the order of the
+whole flood for its directions on flats: each layer (a basin) is one group of a priority-flood (Barnes
+et al., 2014) with ties broken by cell. What follows the routing works on the tree of cells by joins.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from freshet.operators.lineage import checkpoint
 from freshet.operators.network import path_sums
 
 MOST_CELLS = 40_000_000
@@ -61,6 +64,141 @@ def flood(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return filled, down, area
 
 
+def _rise(z: np.ndarray, start: list[tuple[float, int, int]]) -> tuple[np.ndarray, np.ndarray, dict[tuple[int, int], float]]:
+    """Levels and labels of a flood from start cells (level, cell, label), and the least level at which two labels meet.
+
+    NaN is nodata; cells that no start reaches keep a level of infinity and label -1.
+    """
+    rows, cols = z.shape
+    flat = z.ravel()
+    level, label = np.full(z.size, np.inf), np.full(z.size, -1, np.int64)
+    meet: dict[tuple[int, int], float] = {}
+    queue = []
+    for h, cell, name in start:
+        level[cell], label[cell] = h, name
+        queue.append((h, cell))
+    heapq.heapify(queue)
+    while queue:
+        h, cell = heapq.heappop(queue)
+        r, c = divmod(cell, cols)
+        own = int(label[cell])
+        for dr, dc in _OFFSETS:
+            i, j = r + dr, c + dc
+            if not (0 <= i < rows and 0 <= j < cols):
+                continue
+            near = i * cols + j
+            other = int(label[near])
+            if other < 0:
+                if flat[near] == flat[near]:
+                    level[near], label[near] = max(flat[near], h), own
+                    heapq.heappush(queue, (level[near], near))
+            elif other != own:
+                pair, at = (min(own, other), max(own, other)), max(h, level[near])
+                if at < meet.get(pair, np.inf):
+                    meet[pair] = at
+    return level, label, meet
+
+
+def _grid(t: pd.DataFrame, tile: int) -> tuple[np.ndarray, int, int]:
+    """A tile's cells as an array, with the row and column of its corner."""
+    r0, c0 = int(t["row"].iloc[0]) // tile * tile, int(t["col"].iloc[0]) // tile * tile
+    z = np.full((tile, tile), np.nan)
+    z[t["row"].to_numpy() - r0, t["col"].to_numpy() - c0] = t["value"].to_numpy(np.float64, na_value=np.nan)
+    return z, r0, c0
+
+
+def _border(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of a tile's border that have a value, and inner cells beside nodata."""
+    known = np.isfinite(z)
+    edge = np.zeros(z.shape, bool)
+    edge[[0, -1], :] = edge[:, [0, -1]] = True
+    padded = np.pad(known, 1, constant_values=True)
+    whole = np.logical_and.reduce([padded[1 + r : 1 + r + z.shape[0], 1 + c : 1 + c + z.shape[1]] for r, c in _OFFSETS])
+    return np.flatnonzero(known & edge), np.flatnonzero(known & ~edge & ~whole)
+
+
+def fill(cells: DataFrame, tile: int = 512) -> DataFrame:
+    """layer, row, col, filled: the surface of (layer, row, col, value) with every depression filled to where it spills.
+
+    Water leaves over the edge of the grid and into nodata (null or missing cells); cells without a value
+    are absent. Tiles of tile by tile cells are flooded in parallel, twice; between, one task for a layer
+    finds the levels of the tiles' borders, 4 / tile of its cells.
+    """
+    kind = dict(cells.dtypes)["layer"]
+    known = cells.where("value is not null").select("layer", "row", "col", "value", F.floor(F.col("row") / tile).alias("tr"), F.floor(F.col("col") / tile).alias("tc"))
+
+    def spill(t: pd.DataFrame) -> pd.DataFrame:
+        z, r0, c0 = _grid(t, tile)
+        edge, leak = _border(z)
+        flat, layer = z.ravel(), t["layer"].iloc[0]
+        start = [(flat[x], int(x), int(x)) for x in edge] + [(flat[x], int(x), tile * tile) for x in leak]
+        _, _, meet = _rise(z, start)
+        place = lambda x: (r0 + x // tile, c0 + x % tile) if x < tile * tile else (None, None)
+        padded = np.pad(np.isfinite(z), 1)
+        around = sum(padded[1 + r : 1 + r + tile, 1 + c : 1 + c + tile].astype(int) for r, c in _OFFSETS).ravel()
+        out = [(layer, *place(int(x)), None, None, flat[x], int(around[x])) for x in edge]
+        out += [(layer, *place(a), *place(b), h, None) for (a, b), h in meet.items()]
+        frame = pd.DataFrame(out, columns=["layer", "row", "col", "row2", "col2", "level", "around"])
+        return frame.astype({c: "Int32" for c in ("row", "col", "row2", "col2", "around")})
+
+    schema = f"layer {kind}, row int, col int, row2 int, col2 int, level double, around int"
+    found = checkpoint(known.groupBy("layer", "tr", "tc").applyInPandas(spill, schema))
+    border = found.where("around is not null").select("layer", "row", "col", F.col("level").alias("z"), "around")
+    tile_of = lambda c: F.floor(F.col(c) / tile)
+    steps = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in _OFFSETS]))
+    near = border.select("layer", F.col("row").alias("row2"), F.col("col").alias("col2"), F.col("z").alias("z2"), steps.alias("o"))
+    near = near.select("layer", "row2", "col2", "z2", (F.col("row2") + F.col("o.r")).alias("row"), (F.col("col2") + F.col("o.c")).alias("col"))
+    across = border.join(near, ["layer", "row", "col"]).where((tile_of("row") != tile_of("row2")) | (tile_of("col") != tile_of("col2")))
+    beyond = across.groupBy("layer", "row", "col").agg(F.count("*").alias("n"))
+    rim = border.join(beyond, ["layer", "row", "col"], "left").where(F.col("around") + F.coalesce("n", F.lit(0)) < 8)
+    none = F.lit(None).cast("int")
+    graph = found.where("around is null").select("layer", "row", "col", "row2", "col2", "level")
+    graph = graph.union(across.select("layer", "row", "col", "row2", "col2", F.greatest("z", "z2"))).union(rim.select("layer", "row", "col", none, none, "z"))
+
+    def levels(t: pd.DataFrame) -> pd.DataFrame:
+        """The least level at which each border cell drains, by the path whose highest edge is lowest."""
+        a, b = (t[r].astype("Int64").fillna(-1).to_numpy() << 32 | t[c].astype("Int64").fillna(0).to_numpy() for r, c in (("row", "col"), ("row2", "col2")))
+        a, b = np.where(t["row"].isna(), -1, a), np.where(t["row2"].isna(), -1, b)
+        names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        a, b, w = at[: len(t)], at[len(t) :], t["level"].to_numpy()
+        heads, tails, weight = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])
+        by = np.argsort(heads, kind="stable")
+        tails, weight, begin = tails[by], weight[by], np.searchsorted(heads[by], np.arange(len(names) + 1))
+        level = np.full(len(names), np.inf)
+        queue = []
+        if len(names) and names[0] == -1:
+            level[0] = -np.inf
+            queue = [(-np.inf, 0)]
+        while queue:
+            h, v = heapq.heappop(queue)
+            if h > level[v]:
+                continue
+            for k in range(begin[v], begin[v + 1]):
+                new = max(h, weight[k])
+                if new < level[tails[k]]:
+                    level[tails[k]] = new
+                    heapq.heappush(queue, (new, int(tails[k])))
+        own = names >= 0
+        return pd.DataFrame({"layer": t["layer"].iloc[0], "row": (names[own] >> 32).astype("int32"), "col": (names[own] & 0xFFFFFFFF).astype("int32"), "level": level[own]})
+
+    solved = graph.groupBy("layer").applyInPandas(levels, f"layer {kind}, row int, col int, level double")
+    solved = solved.withColumns({"tr": tile_of("row"), "tc": tile_of("col")})
+
+    def raised(t: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(t):
+            return pd.DataFrame(columns=["layer", "row", "col", "filled"])
+        z, r0, c0 = _grid(t, tile)
+        flat = z.ravel()
+        _, leak = _border(z)
+        start = [(float(h), int(r - r0) * tile + int(c - c0), 0) for r, c, h in zip(b["row"], b["col"], b["level"], strict=True)]
+        level, _, _ = _rise(z, start + [(flat[x], int(x), 0) for x in leak])
+        at = np.flatnonzero(np.isfinite(flat))
+        return pd.DataFrame({"layer": t["layer"].iloc[0], "row": r0 + at // tile, "col": c0 + at % tile, "filled": level[at]})
+
+    both = known.groupBy("layer", "tr", "tc").cogroup(solved.groupBy("layer", "tr", "tc"))
+    return both.applyInPandas(raised, f"layer {kind}, row int, col int, filled double")
+
+
 def route(cells: DataFrame) -> DataFrame:
     """layer, id, row, col, filled, next (null: outlet), area (cells drained) of every cell that has a value.
 

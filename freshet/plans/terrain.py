@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from freshet.operators import focal, landscape, network
-from freshet.plans.queries import _CELLS, _TREE, _cells, _tree
+from freshet.operators import focal, landscape, network, routing
+from freshet.plans.queries import _CELLS, _TREE, _cells, _relief, _tree
 from freshet.plans.queries import ORACLE as BASE
 from freshet.sources.grids import read
 
@@ -96,11 +96,15 @@ def knickpoints(spark, sf_dir):
     return landscape.knickpoints(parts.select(F.col("p_brand").alias("trunk"), F.col("p_partkey").cast("double").alias("chi"), z.alias("z")))
 
 
+def depression_fill(spark, sf_dir):
+    return routing.fill(_relief(spark, sf_dir), 32)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         curvature, wetness, level_surface, sub_basins, flow_accumulation, arc_hydro, unit_setting, largest_units, steepness, concavity,
-        steepness_summary, trunk, initiation, density_curve, snap_to_stream, link_lengths, knickpoints,
+        steepness_summary, trunk, initiation, density_curve, snap_to_stream, link_lengths, knickpoints, depression_fill,
     )
 }
 
@@ -162,4 +166,11 @@ SELECT outlet, "row", col, CAST(size AS DOUBLE) AS up_km2 FROM o JOIN cells ON "
 WHERE "row" BETWEEN 1 AND 38 AND col BETWEEN 1 AND 48 AND size % 6 <> 0 QUALIFY row_number() OVER (PARTITION BY outlet ORDER BY size DESC, "row", col) = 1 AND size >= 30""",
     "link_lengths": f"""WITH {_CELLS}, n AS (SELECT key AS id, CASE WHEN key >= 51 THEN key - 50 - size % 2 END AS next, "row", col FROM cells)
 SELECT a.id, a.next, coalesce(round(sqrt(pow((b."row" - a."row") * 1105.74e0, 2) + pow((b.col - a.col) * 787e0, 2)), 6), 0) AS step_m FROM n a LEFT JOIN n b ON a.next = b.id""",
+    "depression_fill": """WITH RECURSIVE c AS (SELECT CAST(o_orderkey // 100 AS INT) AS r, CAST(o_orderkey % 100 AS INT) AS k, o_totalprice AS z FROM orders WHERE o_totalprice IS NOT NULL),
+nb AS (SELECT a.r AS ar, a.k AS ak, b.r AS br, b.k AS bk, b.z AS zb FROM c a, (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)) o(dr, dk), c b WHERE b.r = a.r + dr AND b.k = a.k + dk),
+rim AS (SELECT r, k, z FROM c LEFT JOIN (SELECT ar, ak, count(*) AS n FROM nb GROUP BY ALL) ON ar = r AND ak = k WHERE coalesce(n, 0) < 8),
+lev(r, k, l) USING KEY (r, k) AS (SELECT r, k, z FROM rim UNION
+  SELECT nb.br, nb.bk, min(greatest(nb.zb, lev.l)) FROM lev JOIN nb ON nb.ar = lev.r AND nb.ak = lev.k LEFT JOIN recurring.lev now ON now.r = nb.br AND now.k = nb.bk
+  WHERE now.l IS NULL OR greatest(nb.zb, lev.l) < now.l GROUP BY nb.br, nb.bk)
+SELECT 0 AS layer, r AS "row", k AS col, l AS filled FROM lev""",
 }

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from freshet.operators.network import main_stem, path_sums, routing_check
-from freshet.operators.routing import flood, height_above_drainage, route
+from freshet.operators.routing import fill, flood, height_above_drainage, route
 from freshet.streaming.totals import daily_totals
 
 EVENTS = "/root/testdata/sf0.01/events.parquet"
@@ -40,6 +40,25 @@ def test_flood_fills_to_the_spill_level_and_drains_all():
             assert steps <= len(known)
 
 
+def test_tiles_fill_as_the_whole(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for layer, shape in (("a", (23, 31)), ("b", (9, 9)), ("c", (1, 5))):
+        z = rng.integers(0, 12, shape).astype(float)
+        z[rng.random(shape) < 0.05] = np.nan
+        rows += [(layer, r, c, None if np.isnan(z[r, c]) else float(z[r, c])) for r in range(shape[0]) for c in range(shape[1])]
+    cells = spark.createDataFrame(rows, "layer string, row int, col int, value double")
+    found = {(r.layer, r.row, r.col): r.filled for r in fill(cells, 7).collect()}
+    for layer, shape in (("a", (23, 31)), ("b", (9, 9)), ("c", (1, 5))):
+        z = np.full(shape, np.nan)
+        for n, r, c, v in rows:
+            if n == layer and v is not None:
+                z[r, c] = v
+        wanted = _spill_levels(z)
+        assert all(found.get((layer, r, c)) == (None if np.isnan(wanted[r, c]) else wanted[r, c]) for r in range(shape[0]) for c in range(shape[1]))
+    assert fill(cells.limit(0), 7).count() == 0
+
+
 def test_route_and_hand_on_a_valley(spark):
     cells = spark.range(20 * 21).select(
         F.lit("a").alias("layer"), F.floor(F.col("id") / 21).cast("int").alias("row"), (F.col("id") % 21).cast("int").alias("col")
