@@ -100,23 +100,30 @@ def _hull(points: np.ndarray) -> np.ndarray:
     return np.array(chain(p) + chain(p[::-1]))
 
 
-def basin_length(points: DataFrame) -> DataFrame:
-    """basin and length: the largest distance between two points (basin, x, y) of a basin.
+def hull_corners(points: DataFrame) -> DataFrame:
+    """basin, seq, x, y: corners of the convex hull of each basin's points (basin, x, y), counterclockwise.
 
-    Only corners of the hull can be farthest apart: each batch sends those of its own points, then each
-    basin is left with the few of its hull, which are compared with each other.
+    Each batch sends the corners of its own points; a basin's task sees no more than those.
     """
     kind = dict(points.dtypes)["basin"]
-    schema = f"basin {kind}, x double, y double"
 
     def corners(batches):
         for t in batches:
             for basin, g in t.dropna().groupby("basin", sort=False):
                 h = _hull(g[["x", "y"]].to_numpy(float))
-                yield pd.DataFrame({"basin": basin, "x": h[:, 0], "y": h[:, 1]})
+                yield pd.DataFrame({"basin": basin, "seq": range(len(h)), "x": h[:, 0], "y": h[:, 1]})
 
+    schema = f"basin {kind}, seq int, x double, y double"
     few = points.select("basin", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).mapInPandas(corners, schema)
-    hull = few.groupBy("basin").applyInPandas(lambda t: next(iter(corners([t])), t.head(0)), schema)
+    return few.groupBy("basin").applyInPandas(lambda t: next(iter(corners([t])), t.head(0)), schema)
+
+
+def basin_length(points: DataFrame) -> DataFrame:
+    """basin and length: the largest distance between two points (basin, x, y) of a basin.
+
+    Only corners of the hull can be farthest apart, so only they are compared with each other.
+    """
+    hull = hull_corners(points)
     other = hull.select(F.col("basin").alias("_b"), F.col("x").alias("_x"), F.col("y").alias("_y"))
     far = F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2))
     return hull.join(other, F.col("basin") == F.col("_b")).groupBy("basin").agg(F.round(F.max(far), 6).alias("length"))

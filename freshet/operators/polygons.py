@@ -127,3 +127,17 @@ def mask_outline(cells: DataFrame, inside: Column) -> DataFrame:
     shift = [(F.col(f"s.{n}") + (F.col("col") if n[0] == "x" else -F.col("row") - 1)).cast("double").alias(n) for n in ("x1", "y1", "x2", "y2")]
     own = each.select(F.col("layer").alias("poly"), F.lit(0).alias("ring"), *shift)
     return dissolve(own, on.select(F.col("layer").alias("poly"), F.col("layer").alias("grp")).distinct())
+
+
+def outline(rings: DataFrame, most: int = 1000) -> DataFrame:
+    """poly, ring, seq, x, y: polygons of more than `most` vertices as their convex hull, which holds them; others as they are.
+
+    Each batch sends the corners of its own points only, so no polygon meets whole in one task.
+    """
+    from freshet.operators.morphometry import hull_corners
+
+    size = rings.groupBy("poly").agg(F.count("*").alias("_n"))
+    both = rings.join(size, "poly")
+    hull = hull_corners(both.where(F.col("_n") > most).select(F.col("poly").alias("basin"), "x", "y"))
+    hull = hull.select(F.col("basin").alias("poly"), F.lit(0).alias("ring"), F.col("seq").cast(dict(rings.dtypes)["seq"]).alias("seq"), "x", "y")
+    return both.where(F.col("_n") <= most).select("poly", "ring", "seq", "x", "y").union(hull)

@@ -13,7 +13,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.operators.lineage import checkpoint
@@ -230,3 +230,22 @@ def height_above_drainage(routed: DataFrame, drains: Column) -> DataFrame:
     ways = path_sums(tree, {}, F.col("drain")).select("id", "root")
     first = tree.where("drain").select(F.col("id").alias("root"), F.col("filled").alias("bed"))
     return tree.join(ways, "id").join(first, "root", "left").select("row", "col", (F.col("filled") - F.col("bed")).alias("hand"))
+
+
+def burn(cells: DataFrame, paths: DataFrame, depth_m: float = 20.0, drop_m: float = 0.05) -> DataFrame:
+    """layer, row, col, value of (layer, row, col, value) with mapped lines cut in: paths (layer, line, seq, row, col), cells in order.
+
+    Every cell on a line is lowered by depth_m; then each line descends from its lower end by at least
+    drop_m a cell. Lines don't wait for each other: where they share a cell, the lowest holds. Cells off
+    all lines, and all cells if no line meets a value, stay as they are.
+    """
+    on = paths.select("layer", "line", "seq", "row", "col").join(cells.where("value is not null"), ["layer", "row", "col"])
+    on = on.withColumn("z", F.col("value") - depth_m)
+    whole = Window.partitionBy("layer", "line")
+    ends = on.select("layer", "line", "seq", "row", "col", "z", F.max_by("z", "seq").over(whole).alias("last"), F.min_by("z", "seq").over(whole).alias("first"))
+    ends = ends.withColumn("k", F.when(F.col("first") > F.col("last"), -F.col("seq")).otherwise(F.col("seq")))
+    down = Window.partitionBy("layer", "line").orderBy("k")  # a line's cells, sorted in one task
+    step = F.row_number().over(down) * drop_m
+    carved = ends.select("layer", "line", "row", "col", "k", step.alias("fall"), "z").withColumn("low", F.min(F.col("z") + F.col("fall")).over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    low = carved.groupBy("layer", "row", "col").agg(F.min(F.col("low") - F.col("fall")).alias("low"))
+    return cells.join(low, ["layer", "row", "col"], "left").select("layer", "row", "col", F.coalesce("low", "value").alias("value"))

@@ -100,11 +100,20 @@ def depression_fill(spark, sf_dir):
     return routing.fill(_relief(spark, sf_dir), 32)
 
 
+def stream_burning(spark, sf_dir):
+    k = F.col("s_suppkey")
+    at = F.explode(F.sequence(F.lit(0), F.lit(14)))
+    paths = read(spark, sf_dir, "supplier").select(F.lit(0).alias("layer"), k.alias("line"), at.alias("seq"), (k * 7 % 40).cast("int").alias("r"), (k * 11 % 50).cast("int").alias("c"))
+    paths = paths.select("layer", "line", "seq", (F.col("r") + F.floor(F.col("seq") / 3)).cast("int").alias("row"), (F.col("c") + F.col("seq")).alias("col"))
+    burnt = routing.burn(_cells(spark, sf_dir).select("layer", "row", "col", "value"), paths, 20.0, 0.25)
+    return burnt.select("layer", "row", "col", F.round("value", 6).alias("value"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         curvature, wetness, level_surface, sub_basins, flow_accumulation, arc_hydro, unit_setting, largest_units, steepness, concavity,
-        steepness_summary, trunk, initiation, density_curve, snap_to_stream, link_lengths, knickpoints, depression_fill,
+        steepness_summary, trunk, initiation, density_curve, snap_to_stream, link_lengths, knickpoints, depression_fill, stream_burning,
     )
 }
 
@@ -173,4 +182,9 @@ lev(r, k, l) USING KEY (r, k) AS (SELECT r, k, z FROM rim UNION
   SELECT nb.br, nb.bk, min(greatest(nb.zb, lev.l)) FROM lev JOIN nb ON nb.ar = lev.r AND nb.ak = lev.k LEFT JOIN recurring.lev now ON now.r = nb.br AND now.k = nb.bk
   WHERE now.l IS NULL OR greatest(nb.zb, lev.l) < now.l GROUP BY nb.br, nb.bk)
 SELECT 0 AS layer, r AS "row", k AS col, l AS filled FROM lev""",
+    "stream_burning": f"""WITH {_CELLS}, q AS (SELECT s_suppkey AS line, seq, CAST(s_suppkey * 7 % 40 + seq // 3 AS INT) AS r, CAST(s_suppkey * 11 % 50 + seq AS INT) AS k FROM supplier, (SELECT unnest(range(15)) AS seq)),
+o AS (SELECT q.*, v - 20 AS z FROM q JOIN cells ON "row" = r AND col = k WHERE v IS NOT NULL), e AS (SELECT line, arg_min(z, seq) > arg_max(z, seq) AS back FROM o GROUP BY 1),
+f AS (SELECT o.*, row_number() OVER (PARTITION BY o.line ORDER BY CASE WHEN back THEN -seq ELSE seq END) AS n FROM o JOIN e USING (line)),
+g AS (SELECT r, k, min(z + n * 0.25e0) OVER (PARTITION BY line ORDER BY n) - n * 0.25e0 AS low FROM f), m AS (SELECT r, k, min(low) AS low FROM g GROUP BY ALL)
+SELECT layer, "row", col, round(coalesce(low, v), 6) AS value FROM cells LEFT JOIN m ON r = "row" AND k = col""",
 }

@@ -86,3 +86,38 @@ def test_bands_and_regions(spark):
     regions = spark.createDataFrame([("eu", -25.0, 12.0, 70.0, 82.0, 1), ("af", -19.0, -35.0, 55.0, 38.0, 2)], "region string, west double, south double, east double, north double, rank int")
     points = spark.createDataFrame([(1, 20.0, 10.0), (2, 60.0, 10.0), (3, -60.0, 10.0)], "id int, lat double, lon double")
     assert {(r.id, r.region, r.place) for r in tiles.regions_of(points, regions).collect()} == {(1, "eu", 1), (1, "af", 2), (2, "eu", 1)}
+
+
+def test_basin_of_units(spark):
+    from freshet.basin import Basin
+
+    squares = [(k, 0, i, k % 3 + a, 40.0 + k // 3 + b) for k in range(6) for i, (a, b) in enumerate([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)])]
+    rings = spark.createDataFrame(squares, "poly long, ring int, seq int, x double, y double")
+    units = spark.createDataFrame([(0, None), (1, 0), (2, 1), (3, 0), (4, 3), (5, 2)], "id long, next long")
+    basin = Basin.from_point(units, rings, 1)
+    assert basin.provenance["units"] == 3 and basin.bounds() == (1.0, 40.0, 3.0, 42.0)
+    box = {k: Basin.from_rings(rings.where(F.col("poly") == k)).measures()["area_km2"] for k in (1, 2, 5)}
+    assert basin.measures()["area_km2"] == pytest.approx(sum(box.values()), rel=2e-3)
+    lon, lat = basin.centroid()
+    assert (lon, lat) == (pytest.approx(2 + 1 / 6), pytest.approx(40 + 5 / 6))
+    points = spark.createDataFrame([(1, 1.5, 40.5), (2, 1.5, 41.5), (3, 2.5, 41.5)], "id int, x double, y double")
+    assert {r.id for r in basin.contains(points).collect()} == {1, 3}
+    basin.record("terrain", product="cop30")
+    told = basin.summary(broken=lambda b: 1 / 0, units=lambda b: 3)
+    assert told["units"] == 3 and "ZeroDivisionError" in told["broken"]["error"] and basin.log[0]["product"] == "cop30"
+
+
+def test_outline_holds_its_polygon(spark):
+    ring = [(1, 0, k, math.cos(k / 50) * (10 + k % 3), math.sin(k / 50) * (10 + k % 3)) for k in range(314)] + [(2, 0, k, float(k), float(k * k)) for k in range(4)]
+    rings = spark.createDataFrame(ring, "poly int, ring int, seq int, x double, y double")
+    found = polygons.outline(rings, 100)
+    assert found.where("poly = 2").count() == 4 and found.where("poly = 1").count() < 200
+    big, small = (polygons.measures(polygons.edges(t.where("poly = 1"))).first().area for t in (found, rings))
+    assert big > small
+
+
+def test_command_line(capsys):
+    from freshet.__main__ import main
+
+    assert main(["list"]) == 0 and "zonal_class" in capsys.readouterr().out
+    assert main(["run", "no such query", "x"]) == 2
