@@ -57,7 +57,7 @@ def position(cells: DataFrame, window: int = 3) -> DataFrame:
     known = F.col("value").isNotNull()
     return rows.select(
         "layer", "row", "col",
-        F.when(known, F.round(F.col("value") - mean, 6)).alias("tpi"),
+        F.when(known, F.round(F.col("value") - mean, 6) + 0.0).alias("tpi"),
         F.when(known, F.round(F.max("hi").over(over) - F.min("lo").over(over), 6)).alias("roughness"),
     )
 

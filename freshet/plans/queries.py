@@ -282,7 +282,7 @@ SELECT layer, "row", col, round(degrees(s), 6) AS slope, round(a, 6) AS aspect,
     "position": f"""WITH {_CELLS}, near AS (SELECT c.layer, c."row", c.col, any_value(c.v) AS v, CAST(sum(CAST(o.v AS DECIMAL(18,4))) AS DOUBLE) / nullif(count(o.v), 0) AS mean,
   max(CASE WHEN abs(o."row" - c."row") <= 1 AND abs(o.col - c.col) <= 1 THEN o.v END) - min(CASE WHEN abs(o."row" - c."row") <= 1 AND abs(o.col - c.col) <= 1 THEN o.v END) AS span
   FROM cells c JOIN cells o ON o."row" BETWEEN c."row" - 2 AND c."row" + 2 AND o.col BETWEEN c.col - 2 AND c.col + 2 GROUP BY ALL)
-SELECT layer, "row", col, CASE WHEN v IS NOT NULL THEN round(v - mean, 6) END AS tpi, CASE WHEN v IS NOT NULL THEN round(span, 6) END AS roughness FROM near""",
+SELECT layer, "row", col, CASE WHEN v IS NOT NULL THEN round(v - mean, 6) + 0 END AS tpi, CASE WHEN v IS NOT NULL THEN round(span, 6) END AS roughness FROM near""",
     "annual_total": f"WITH {_DAILY} SELECT CAST(year(t) AS INT) AS year, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM d GROUP BY 1",
     "monthly_climatology": f"WITH {_DAILY} SELECT CAST(month(t) AS INT) AS month, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(value) AS mean FROM d GROUP BY 1",
     "rank_average": f"WITH {_DAILY} SELECT t, value, rank() OVER (PARTITION BY month(t) ORDER BY value) + (count(*) OVER (PARTITION BY month(t), value) - 1) / 2e0 AS rank FROM d",
