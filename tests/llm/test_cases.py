@@ -48,9 +48,8 @@ OPERATORS = {
 
 @pytest.mark.parametrize("name", OPERATORS)
 def test_operators(plain, clashing, labels, items, name):
-    one = Counter(map(str, OPERATORS[name](plain, labels, items).collect()))
-    assert one == Counter(map(str, OPERATORS[name](clashing, labels, items).collect()))
     rows = OPERATORS[name](plain, labels, items).collect()
+    assert Counter(map(str, rows)) == Counter(map(str, OPERATORS[name](clashing, labels, items).collect()))
     assert len(rows) == (2 if name == "op5" else len(TEXTS))
     by = {(r["doc_id"], i): r for i, r in enumerate(rows)}
     got = lambda i: [r for (k, _), r in by.items() if k == i]

@@ -37,6 +37,8 @@ def _groups(nodes, edges):
 
 
 def test_ngram_join(spark, texts):
+    from freshet.llm.ngram_join import drop_near_duplicates
+
     def runs(t):
         w = re.split("[\t\n\x0b\x0c\r ]+", t.strip("\t\n\x0b\x0c\r "))
         return frozenset() if w == [""] else frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
@@ -51,6 +53,8 @@ def test_ngram_join(spark, texts):
     group = _groups(ids, links)
     found = _by_id(Q.op1_ngram_join(spark, SF))
     assert {i: (count[i], group[i]) for i in ids} == {i: (r["n_links"], r["group_id"]) for i, r in found.items()}
+    kept = drop_near_duplicates(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(group.values()))
 
 
 def test_suffix_dedup(spark, texts):
@@ -100,11 +104,15 @@ def test_mixing(spark, texts):
 
 
 def test_decontamination(spark, texts):
+    from freshet.llm.decontaminate import decontaminate
+
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     fold = lambda t: " ".join(re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)))
     whole = {(i, k) for i, t in texts.items() for k, x in items.items() if f" {fold(x)} " in f" {fold(t)} "}
     found = {(r["doc_id"], r["item_id"]) for r in Q.op5_decontamination(spark, SF).collect()}
     assert whole and whole <= found
+    kept = decontaminate(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet"))
+    assert {r["doc_id"] for r in kept.collect()} == set(texts) - {i for i, _ in found}
 
 
 def test_secrets(spark, texts):
@@ -306,32 +314,15 @@ def test_wand_finds_what_all_scores_find(spark):
         for k in at:
             items_, impacts = index.lists[k][:2]
             scores[items_] += impacts
+        sums = index.step_bounds(np.zeros(len(at), np.int64), at, 1)[0]
         for least in (0.05, 0.15, 0.5):
-            assert [k for k, _ in sorted(index.search(at.tolist(), least))] == np.flatnonzero(scores >= least).tolist()
-
-
-ODD = [(1, None, None, "en", 0), (2, "", "s", None, 0), (None, "word " * 3000, "s", "en", 5), (3, "same text here", None, "en", 1), (3, "same text here", None, "en", 1)]
-
+            where = np.flatnonzero(sums >= least).tolist()
+            assert set(np.flatnonzero(scores >= least) // D.BLOCK) <= set(where)
+            for blocks in (where, list(range(index.blocks))):
+                assert [k for k, _ in sorted(index.search(at.tolist(), least, blocks))] == np.flatnonzero(scores >= least).tolist()
 
-@pytest.mark.parametrize("rows", [ODD, []], ids=["odd", "empty"])
-def test_odd_rows(spark, rows):
-    from freshet.llm import decontaminate, mixing, ngram_join, pii, quality, resharding, secret_scan, sentence_spans, suffix_dedup
 
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, id long")
-    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    items = spark.createDataFrame([(1, None), (2, "")], "item_id long, text string")
-    assert ngram_join.ngram_join(docs).count() == len(rows)
-    assert suffix_dedup.remove_repeats(docs).count() == len(rows)
-    assert resharding.reshard(docs, resharding.by_source()).count() == len(rows)
-    assert mixing.mix_to_targets(docs, labels, mixing.label_domain(), mixing.TARGETS).count() == len(rows)
-    assert decontaminate.contaminated(docs, items).count() == 0
-    assert secret_scan.secret_scan(docs).count() == len(rows)
-    assert sentence_spans.remove_repeated_spans(docs).count() == len(rows)
-    assert quality.quality_scores(docs, labels).count() == len(rows)
-    assert pii.find_personal_data(docs).count() == len(rows)
-
-
-def test_pipeline(spark):
+def test_pipeline(spark, texts):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -339,7 +330,14 @@ def test_pipeline(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
         assert docs.columns == columns, name
-    assert corpus_pipeline.run(spark, SF).count() > 0
+    rows = corpus_pipeline.run(spark, SF).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r["shard"]].append(r["slot"])
+    assert rows and set(rows[0].asDict()) == {*columns, "shard", "slot"} and {r["doc_id"] for r in rows} <= set(texts)
+    assert all(r["text"] == (texts[r["doc_id"]] or None) or r["text"] == texts[r["doc_id"]] for r in rows)
+    assert set(by) == set(range(40)) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
 
 
 def test_maximal_repeats(spark):
