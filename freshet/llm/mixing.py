@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.llm import common as C
+from freshet.llm.spans import let
 
 SAMPLE_ROWS = 20_000
 #: Most marker words of each domain.
@@ -29,15 +30,20 @@ def _tokens(text: Column) -> Column:
 
 
 def _evidence(text: Column) -> Column:
-    """Words, shapes of words (capitals, other letters and digits, signs), and how varied the words are, in tenths.
+    """Words, shapes of words (letters and digits as one, signs as they are), and how varied the words are, in tenths.
 
     Shapes stand apart by a blank in front. Which of all this says anything is learnt.
     """
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
-    shape = F.regexp_replace(F.regexp_replace(text, r"\p{Lu}+", "A"), r"[\p{L}\p{Nd}&&[^A]]+", "a")
-    shapes = F.transform(F.array_distinct(F.split(shape, r"\s+")), lambda w: F.concat(F.lit(" "), w))
-    varied = F.concat(F.lit(" varied "), F.floor(F.try_divide(F.size(F.array_distinct(words)) * 10, F.size(words))).cast("string"))
-    return F.concat(F.array_compact(F.array(varied)), shapes, words)
+    words = F.split(F.lower(text), r"[^\p{L}\p{Nd}]++")
+    shapes = F.array_distinct(F.split(F.regexp_replace(text, r"[\p{L}\p{Nd}]++", "a"), r"\s++"))
+
+    def gathered(x: Column) -> Column:
+        all_, own = x["all"], x["own"]
+        varied = F.concat(F.lit(" varied "), F.floor(F.size(own) * 10 / F.size(all_)).cast("string"))
+        return F.concat(F.array(varied), F.transform(x["shapes"], lambda w: F.concat(F.lit(" "), w)), F.filter(own, lambda w: w != ""))
+
+    # bound to names, so that nothing is computed twice
+    return let(words, lambda w: let(F.struct(w.alias("all"), F.array_distinct(w).alias("own"), shapes.alias("shapes")), gathered))
 
 
 def learn_domains(docs: DataFrame, labels: DataFrame, domain: Column, names: Sequence[str], id_col: str, text_col: str, sample_rows: int, markers: int) -> tuple[list[float], dict[str, list[float]]]:
