@@ -223,7 +223,7 @@ def rewrite_shards(assigned: DataFrame, path: str) -> list[int]:
         return []
     keep = [f"row.`{c}`" for c in assigned.schema["row"].dataType.names if c.lower() not in ("shard", "slot")]
     rows = assigned.where(F.col("shard").isin(sorted(affected))).select(*keep, "shard", "slot")
-    rows = rows.repartition("shard", (F.col("slot") / 1_000_000).cast("long")).sortWithinPartitions("shard", "slot")
+    rows = rows.repartition("shard", (F.col("slot") / 100_000).cast("long")).sortWithinPartitions("shard", "slot")
     rows.write.partitionBy("shard").parquet(f"{path}/files/version={version}")
     layout = {k: v for k, v in layout.items() if k not in affected} | dict.fromkeys(affected & there, version)
     table = spark.createDataFrame(sorted(layout.items()), "shard int, held int")
