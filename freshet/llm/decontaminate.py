@@ -6,7 +6,8 @@ blocks with their largest impact. WAND (Broder et al., 2003; Ding and Suel, 2011
 each posting list of the passage's terms: the first item that the largest impacts could lift to the
 threshold is the pivot, and it is scored only if its blocks' largest impacts still reach the threshold,
 else the cursors skip past the nearest block. A passage whose terms' largest impacts don't reach the
-threshold has no pivot at all; that first test is made for all passages of a slice at once.
+threshold has no pivot at all; that test, and the one of the blocks that its terms are in, is made for all
+passages of a slice at once, so that cursors move only in blocks that may hold an item.
 Everything at or above the threshold is verified: the word runs of the item's question and answer must
 occur in the passage.
 """
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 from freshet.llm import common as C
 
 #: Bytes of text of the items of one index; a larger benchmark is searched in several passes over the documents.
-INDEX_BYTES = 32 << 20
-BLOCK = 32
+INDEX_BYTES = 8 << 20
+#: Items of a block, and most sums of (step, block) held at once.
+BLOCK, SUMS = 4, 4 << 20
 K1, B = 1.2, 0.75
 
 _FOLD = np.arange(256, dtype=np.int64)
@@ -98,56 +100,70 @@ class Index:
         own = np.bincount(item, impact, minlength=len(items))
         by = np.lexsort((item, code))
         self.item, self.impact = item[by], (impact / own[item])[by]
-        begin = np.searchsorted(code[by], np.arange(len(self.terms) + 1))
+        begin = self.begin = np.searchsorted(code[by], np.arange(len(self.terms) + 1))
         self.most = np.maximum.reduceat(self.impact, begin[:-1]) if len(self.terms) else np.zeros(0)
-        # for each term: items, impacts, and the last item and largest impact of each block
-        self.lists = []
-        for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-            starts = np.arange(lo, hi, BLOCK)
-            ends = np.minimum(starts + BLOCK, hi)
-            self.lists.append((self.item[lo:hi].tolist(), self.impact[lo:hi].tolist(), self.item[ends - 1].tolist(), np.maximum.reduceat(self.impact[lo:hi], starts - lo).tolist()))
-
-    def search(self, terms: list[int], least: float) -> list[tuple[int, float]]:
-        """(item, score) of all items that score at least `least` for the terms, by block-max WAND."""
-        cursors = [[0, self.lists[t], float(self.most[t])] for t in terms]  # place, list, largest impact
+        # the blocks of items that each term is in, with its largest impact there
+        block = self.item // BLOCK
+        new = np.append(True, block[1:] != block[:-1]) if len(block) else np.zeros(0, bool)
+        new[begin[:-1]] = True
+        at = np.flatnonzero(new)
+        self.block, self.block_most = block[at], np.maximum.reduceat(self.impact, at) if len(at) else np.zeros(0)
+        self.block_begin = np.searchsorted(at, begin)
+        self.blocks = -(-len(items) // BLOCK)
+        cut = lambda x, edges: [x[lo:hi].tolist() for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        self.lists = list(zip(cut(self.item, begin), cut(self.impact, begin), cut(self.block, self.block_begin), cut(self.block_most, self.block_begin), strict=True))
+
+    def step_bounds(self, step: np.ndarray, term: np.ndarray, steps: int) -> np.ndarray:
+        """(steps, blocks): the most that an item of the block can score for the terms of a step, by walking the terms' lists of blocks."""
+        n = self.block_begin[term + 1] - self.block_begin[term]
+        post = np.repeat(self.block_begin[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        key = np.repeat(step, n) * np.int64(self.blocks) + self.block[post]
+        return np.bincount(key, self.block_most[post], steps * self.blocks).reshape(steps, self.blocks)
+
+    def search(self, terms: list[int], least: float, where: list[int]) -> list[tuple[int, float]]:
+        """(item, score) of all items in the blocks `where` that score at least `least` for the terms, by block-max WAND."""
+        cursors = [[0, *self.lists[t], float(self.most[t])] for t in terms]  # place, items, impacts, blocks, their largest impacts, largest impact
         out = []
         while True:
-            cursors = [c for c in cursors if c[0] < len(c[1][0])]
-            cursors.sort(key=lambda c: c[1][0][c[0]])
+            cursors = [c for c in cursors if c[0] < len(c[1])]
+            cursors.sort(key=lambda c: c[1][c[0]])
             bound, pivot = 0.0, -1
             for k, c in enumerate(cursors):
-                bound += c[2]
+                bound += c[5]
                 if bound >= least:
                     pivot = k
                     break
             if pivot < 0:
                 return out
-            item = cursors[pivot][1][0][cursors[pivot][0]]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][1][0][cursors[pivot + 1][0]] == item:
-                pivot += 1
-            # the blocks that would hold the pivot item
-            near, bound = None, 0.0
-            for c in cursors[: pivot + 1]:
-                b = bisect_left(c[1][2], item)
-                if b < len(c[1][2]):
-                    bound += c[1][3][b]
-                    near = c[1][2][b] if near is None else min(near, c[1][2][b])
-            if bound >= least:
-                score = 0.0
+            item = cursors[pivot][1][cursors[pivot][0]]
+            j = bisect_left(where, item // BLOCK)
+            if j == len(where):
+                return out
+            skip = where[j] * BLOCK
+            if skip <= item:
+                while pivot + 1 < len(cursors) and cursors[pivot + 1][1][cursors[pivot + 1][0]] == item:
+                    pivot += 1
+                bound = 0.0
                 for c in cursors[: pivot + 1]:
-                    c[0] = bisect_left(c[1][0], item, c[0])
-                    if c[0] < len(c[1][0]) and c[1][0][c[0]] == item:
-                        score += c[1][1][c[0]]
-                        c[0] += 1
-                if score >= least:
-                    out.append((item, round(score, 9)))
-            else:
-                # no item up to the end of the nearest block, or before the next cursor's item, can reach the threshold
-                skip = near + 1
+                    b = bisect_left(c[3], where[j])
+                    if b < len(c[3]) and c[3][b] == where[j]:
+                        bound += c[4][b]
+                if bound >= least:
+                    score = 0.0
+                    for c in cursors[: pivot + 1]:
+                        c[0] = bisect_left(c[1], item, c[0])
+                        if c[0] < len(c[1]) and c[1][c[0]] == item:
+                            score += c[2][c[0]]
+                            c[0] += 1
+                    if score >= least:
+                        out.append((item, round(score, 9)))
+                    continue
+                # no item up to the end of the block, or before the next cursor's item, can reach the threshold
+                skip = (where[j] + 1) * BLOCK
                 if pivot + 1 < len(cursors):
-                    skip = min(skip, cursors[pivot + 1][1][0][cursors[pivot + 1][0]])
-                for c in cursors[: pivot + 1]:
-                    c[0] = bisect_left(c[1][0], max(skip, item + 1), c[0])
+                    skip = min(skip, cursors[pivot + 1][1][cursors[pivot + 1][0]])
+            for c in cursors[: pivot + 1]:
+                c[0] = bisect_left(c[1], skip, c[0])
 
 
 def _search(held, n: int, least: float, overlap: float, kind: pa.DataType):
@@ -176,12 +192,29 @@ def _search(held, n: int, least: float, overlap: float, kind: pa.DataType):
             bound[:-1] += np.where(last[:-1], 0, bound[1:])
             step_doc = np.repeat(np.arange(len(count)), steps)
             rows: dict[tuple[int, int], tuple] = {}
-            for p in np.flatnonzero(bound >= least - 1e-9):
+            # terms that a step shares with the next one count once in the passage of both
+            shared = ~last[step_of] & np.isin(key + len(index.terms), key, assume_unique=True)
+            hits: list[tuple[int, list[int]]] = []
+            width = max(2, SUMS // max(1, index.blocks))
+            for lo in range(0, int(step0[-1]), width - 1):  # the last step of a part is the first of the next
+                hi = min(lo + width, int(step0[-1]))
+                if not (bound[lo:hi] >= least - 1e-9).any():
+                    continue
+                i, j = bounds[lo], bounds[hi]
+                sums = index.step_bounds(step_of[i:j] - lo, term[i:j], hi - lo)
+                sums[:-1] += np.where(last[lo : hi - 1, None], 0, sums[1:])
+                sums -= index.step_bounds(step_of[i:j][shared[i:j]] - lo, term[i:j][shared[i:j]], hi - lo)
+                if hi < step0[-1]:
+                    sums = sums[:-1]
+                p, block = np.nonzero(sums >= least - 1e-9)
+                cuts = np.flatnonzero(np.append(True, p[1:] != p[:-1])) if len(p) else []
+                hits += [(lo + int(p[k]), x.tolist()) for k, x in zip(cuts, np.split(block, cuts[1:]) if len(p) else [], strict=True)]
+            for p, where in hits:
                 t = term[bounds[p] : bounds[p + 1]]
                 if not last[p]:
                     t = np.union1d(t, term[bounds[p + 1] : bounds[p + 2]])
                 i = int(step_doc[p])
-                for k, score in index.search(t.tolist(), least - 1e-9):
+                for k, score in index.search(t.tolist(), least - 1e-9, where):
                     lo = first[i] + (p - step0[i]) * size
                     passage = h[lo : min(lo + 2 * size, first[i + 1])]
                     q, a = _share(index.question[k], passage), _share(index.answer[k], passage)
