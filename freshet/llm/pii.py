@@ -78,6 +78,23 @@ def _two(w2: Column, w1: Column) -> Column:
     return F.concat(F.lit("2 "), w2, F.lit(" "), w1)
 
 
+def _spread(graph: DataFrame, total: DataFrame, known: DataFrame, support: int, trust: float) -> tuple[DataFrame, DataFrame]:
+    """Trusted patterns (pattern, kind, share) and known instances (inst, kind) once no round finds any more.
+
+    graph: pattern, inst; total: pattern and how many instances it has in all; known: the seeds.
+    """
+    while True:
+        hits = graph.join(known, "inst").groupBy("pattern", "kind").agg(F.count("*").alias("hits"))
+        score = hits.where(F.col("hits") >= support).join(total, "pattern").withColumn("share", F.col("hits") / F.col("all"))
+        trusted = C.checkpoint(score.where(F.col("share") >= trust).select("pattern", "kind", "share"))
+        fresh = graph.join(trusted, "pattern").join(known.select("inst"), "inst", "left_anti")
+        belief = fresh.groupBy("inst", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("share"), F.lit(1e-9)))))).alias("belief"))
+        best = C.checkpoint(belief.where(F.col("belief") >= trust).groupBy("inst").agg(F.max_by("kind", F.struct("belief", "kind")).alias("kind")))
+        if best.isEmpty():
+            return trusted, known
+        known = C.checkpoint(known.union(best))
+
+
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, trust: float = 0.6) -> DataFrame:
     """One row per document: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
 
@@ -110,33 +127,31 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     many = graph.groupBy("pattern").agg(F.count("*").alias("all")).where(F.col("all") >= support)
     many = C.checkpoint(many)
     graph = C.checkpoint(graph.join(many.select("pattern"), "pattern"))
-    # plain words count against a pattern too; a pattern with a shape has a digit in it and meets none
-    w = F.split(F.btrim(F.lower(text), F.lit(" \t\n\r\f\x0b")), r"\s+")
-    plain = source.select(w.alias("w")).where(F.size("w") > 2).withColumn("n", F.size("w") - 2)
-    plain = plain.select(F.explode(F.arrays_zip(F.slice("w", 1, F.col("n")).alias("w2"), F.slice("w", 2, F.col("n")).alias("w1"), F.slice("w", 3, F.col("n")).alias("t"))).alias("x"))
-    plain = plain.select(_two(F.col("x.w2"), F.col("x.w1")).alias("pattern"), F.col("x.t").alias("inst"))
-    two = many.where(F.col("pattern").startswith("2 ")).select("pattern")
-    few = two.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS
-    words = plain.join(F.broadcast(two) if few else two, "pattern").distinct().groupBy("pattern").agg(F.count_if(~F.rlike("inst", F.lit("[0-9@]"))).alias("words"))
-    total = C.checkpoint(many.join(words, "pattern", "left").select("pattern", (F.col("all") + F.coalesce("words", F.lit(0))).alias("all")))
-
     known = rows.where(F.size("base") > 0).select(F.explode("base").alias("b")).groupBy(F.col("b.t").alias("inst")).agg(F.min("b.kind").alias("kind"))
     known = C.checkpoint(known)
-    while True:
-        hits = graph.join(known, "inst").groupBy("pattern", "kind").agg(F.count("*").alias("hits"))
-        score = hits.where(F.col("hits") >= support).join(total, "pattern").withColumn("share", F.col("hits") / F.col("all"))
-        trusted = C.checkpoint(score.where(F.col("share") >= trust).select("pattern", "kind", "share"))
-        fresh = graph.join(trusted, "pattern").join(known.select("inst"), "inst", "left_anti")
-        belief = fresh.groupBy("inst", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("share"), F.lit(1e-9)))))).alias("belief"))
-        best = C.checkpoint(belief.where(F.col("belief") >= trust).groupBy("inst").agg(F.max_by("kind", F.struct("belief", "kind")).alias("kind")))
-        if best.isEmpty():
-            break
-        known = C.checkpoint(known.union(best))
+    # Plain words count against a pattern too, so trust without them, and with all kinds as one, is the most
+    # that a pattern can earn: only patterns that are trusted so need their words counted, and of these only
+    # those that have an instance outside the base spans, as the others can find nothing. A pattern with a
+    # shape has a digit in it and meets no plain word.
+    starts = rows.where(F.size("base") > 0).select("row", F.explode("base").alias("b")).select("row", F.col("b.s").alias("s")).distinct()
+    open_ = found.join(starts, ["row", "s"], "left_anti").select("pattern").distinct()
+    hopeful, _ = _spread(graph, many, known.select("inst", F.lit("any").alias("kind")), support, trust)
+    two = C.checkpoint(hopeful.where(F.col("pattern").startswith("2 ")).select("pattern").distinct().join(open_, "pattern", "left_semi"))
+    total = many
+    few = two.limit(BROADCAST_PATTERNS + 1).count()
+    if few:
+        w = F.split(F.btrim(F.lower(text), F.lit(" \t\n\r\f\x0b")), r"\s+")
+        plain = source.select(w.alias("w")).where(F.size("w") > 2).withColumn("n", F.size("w") - 2)
+        plain = plain.select(F.explode(F.arrays_zip(F.slice("w", 1, F.col("n")).alias("w2"), F.slice("w", 2, F.col("n")).alias("w1"), F.slice("w", 3, F.col("n")).alias("t"))).alias("x"))
+        plain = plain.select(_two(F.col("x.w2"), F.col("x.w1")).alias("pattern"), F.col("x.t").alias("inst"))
+        words = plain.join(F.broadcast(two) if few <= BROADCAST_PATTERNS else two, "pattern").distinct()
+        words = words.groupBy("pattern").agg(F.count_if(~F.rlike("inst", F.lit("[0-9@]"))).alias("words"))
+        total = C.checkpoint(many.join(words, "pattern", "left").select("pattern", (F.col("all") + F.coalesce("words", F.lit(0))).alias("all")))
+    trusted, known = _spread(graph, total, known, support, trust)
     place = found.join(trusted.select("pattern", "kind"), "pattern").join(known, ["inst", "kind"])
     place = place.groupBy("row", "s", "e").agg(F.min("kind").alias("kind"))
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
-    starts = rows.where(F.size("base") > 0).select("row", F.explode("base").alias("b")).select("row", F.col("b.s").alias("s"))
-    place = place.join(starts.distinct(), ["row", "s"], "left_anti")  # most of them are the seeds themselves
+    place = place.join(starts, ["row", "s"], "left_anti")  # most of them are the seeds themselves
     added = place.groupBy("row").agg(F.collect_list(F.struct("s", rank.alias("r"), "e", "kind")).alias("added"))
     out = rows.drop("tokens").join(added, "row", "left")
     out = out.withColumn("base", F.transform("base", lambda b: F.struct(b["s"].alias("s"), b["r"].alias("r"), b["e"].alias("e"), b["kind"].alias("kind"))))
