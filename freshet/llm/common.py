@@ -137,6 +137,20 @@ def words(data: np.ndarray, offs: np.ndarray, gap: np.ndarray = SPACES, fold: np
     return starts, ends, mix((total[ends] - total[starts]) * down[starts]), np.searchsorted(starts, offs)
 
 
+def word_heads(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: tuple[int, ...], fold: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each size the numbers of the words that are longer, in bytes, and hashes of their first bytes."""
+    value = _byte_values() if fold is None else _byte_values()[fold]
+    up, down = _power(len(data))
+    total = np.zeros(len(data) + 1, _U)
+    np.cumsum(value[data] * up[: len(data)], out=total[1:])
+    out = []
+    for k in sizes:
+        longer = np.flatnonzero(ends - starts > k)
+        at = starts[longer]
+        out.append((longer, mix((total[at + k] - total[at]) * down[at] * _U(2 * k + 1))))
+    return out
+
+
 _STEP = _U(0xD6E8FEB86659FD93)
 
 

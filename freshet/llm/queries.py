@@ -69,11 +69,17 @@ def op10_personal_data(spark, sf_dir):
     return find_personal_data(_read(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark, sf_dir):
+    from freshet.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op13_merkle_manifest(spark, sf_dir):
     from freshet.llm.merkle import merkle_manifest
 
     return merkle_manifest(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op3_resharding, op4_mixing, op5_decontamination, op6_secret_scan, op7_embedding_dedup, op8_sentence_spans, op9_quality, op10_personal_data, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op3_resharding, op4_mixing, op5_decontamination, op6_secret_scan, op7_embedding_dedup, op8_sentence_spans, op9_quality, op10_personal_data, op11_toxicity, op13_merkle_manifest)}
 ORACLE: dict[str, str] = {}
