@@ -75,11 +75,21 @@ def op11_toxicity(spark, sf_dir):
     return toxicity_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op12_hard_negatives(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from freshet.llm.hard_negatives import hard_negatives
+
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def op13_merkle_manifest(spark, sf_dir):
     from freshet.llm.merkle import merkle_manifest
 
     return merkle_manifest(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op3_resharding, op4_mixing, op5_decontamination, op6_secret_scan, op7_embedding_dedup, op8_sentence_spans, op9_quality, op10_personal_data, op11_toxicity, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op3_resharding, op4_mixing, op5_decontamination, op6_secret_scan, op7_embedding_dedup, op8_sentence_spans, op9_quality, op10_personal_data, op11_toxicity, op12_hard_negatives, op13_merkle_manifest)}
 ORACLE: dict[str, str] = {}
