@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from freshet.llm import common as C
 from freshet.llm.quality import held_out
 
-SAMPLE_ROWS = 10_000
-SHARD_ROWS = 2_500
+SAMPLE_ROWS = 8_000
+SHARD_ROWS = 2_000
 LEAST_ROWS = 4
 ROUNDS = 5
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.0
@@ -166,9 +166,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(4)], known_grams(vocabulary, b.column(4))], ["shard", "place", "key", "y", "own"])
 
     keyed = sample.table.select(F.pmod(F.xxhash64("id", "m"), F.lit(shards)).cast("int").alias("shard"), "place", F.concat_ws(" ", "id", "m").alias("key"), "y", "text")
-    dealt = C.Written(keyed.mapInArrow(placed, "shard int, place long, key string, y int, own array<int>"))
+    dealt = keyed.mapInArrow(placed, "shard int, place long, key string, y int, own array<int>")
+    # dealt and sorted once: every round reads the rows in the order in which they were checkpointed
+    order = C.checkpoint(dealt.repartition(shards, "shard").sortWithinPartitions("shard", "place", "key", "y").select("shard", "y", "own"))
     sample.drop()
-    order = dealt.table.repartition(shards, "shard").sortWithinPartitions("shard", "place", "key", "y").select("shard", "y", "own")
     z, n = np.zeros(len(vocabulary) + 1), np.zeros(len(vocabulary) + 1)
     for _ in range(ROUNDS):
         # a state for each shard: at most sample_rows / SHARD_ROWS of them
@@ -181,7 +182,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
             hits[at] += 1
         met = hits > 0
         z[met], n[met] = total[0, met] / hits[met], total[1, met] / hits[met]
-    dealt.drop()
     w = weights(z[:-1], n[:-1])
     return vocabulary[w != 0], w[w != 0], float(weights(z[-1:], n[-1:], True)[0])
 
