@@ -170,8 +170,8 @@ def _visit(dtype: str, width: int, same: bool, k: int):
             for start, end in zip(edges, edges[1:], strict=False):
                 if kind[start] == 0:
                     one = batch.slice(start, 1)
-                    lists = [np.asarray(one.column(i).values.fill_null(_FAR)) for i in range(8, 12)]
-                    null = np.asarray(one.column(9).values.is_null())
+                    held = [one.column(i)[0].values for i in range(8, 12)]
+                    lists, null = [np.asarray(x.fill_null(_FAR)) for x in held], np.asarray(held[1].is_null())
                     block = (*lists, null, np.frombuffer(one.column(6)[0].as_py(), dtype).reshape(-1, width))
                     continue
                 row, ids, labels, dims, null, m = block
