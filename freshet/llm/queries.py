@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from freshet.llm import sql
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -92,4 +94,4 @@ def op13_merkle_manifest(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op3_resharding, op4_mixing, op5_decontamination, op6_secret_scan, op7_embedding_dedup, op8_sentence_spans, op9_quality, op10_personal_data, op11_toxicity, op12_hard_negatives, op13_merkle_manifest)}
-ORACLE: dict[str, str] = {}
+ORACLE = sql.ORACLE

@@ -210,7 +210,8 @@ def toxicity_scores(
             hit = known[np.minimum(place, len(known) - 1)] == h if len(known) else near[:0]
             at, place = _sets(at[hit], place[hit])
             total = intercept + np.bincount(at, w[place], count) if len(at) else np.full(count, intercept)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(total, -700, 700))))], ["id", "score"])
+            with np.errstate(over="ignore"):  # far below 0 the score is 0
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-total)))], ["id", "score"])
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, f"id {kind}, score double")
     return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
