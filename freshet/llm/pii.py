@@ -26,8 +26,8 @@ KINDS = ("email", "ip", "card", "phone")
 UNIT = r"(?<!\S)(?:[+(]?[0-9](?:[().-]*+\x20?[().-]*+[0-9])++(?![^\s.,;:!?)])|[^\s0-9@]*+[0-9@]\S*+)"
 #: Signs around a unit that are not part of it.
 LEAD, TAIL = "\"'`[{<", "\"'`)]}>.,;:!?"
-#: Patterns sent to every executor at most; more of them are joined by a shuffle.
-BROADCAST_PATTERNS = 100_000
+#: One word in so many is counted first; most patterns are out of reach after that.
+FIRST_WORDS = 16
 
 
 def _digits(t: Column) -> Column:
@@ -70,7 +70,7 @@ def _units(text: Column) -> Column:
 
         return F.filter(F.transform(u, one), lambda x: x["t"] != "")
 
-    return let(matches(text, UNIT, F.rlike(text, F.lit("[0-9@]")), left=60), placed)
+    return let(matches(text, UNIT, F.rlike(text, F.lit("[0-9@]")), left=True), placed)
 
 
 def _two(w2: Column, w1: Column) -> Column:
@@ -102,8 +102,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     that found them and never overlap a base span. A pattern is trusted for a kind when at least
     `support` different known instances of it and a share of at least `trust` of all its instances,
     plain words included, are of that kind; what can become known is a unit with a digit or an @. Null
-    and empty texts have no spans; equal texts count once in all scores and have equal spans; rows
-    without an id, of one id or equal in all are rows of their own.
+    and empty texts have no spans, and long ones are read whole; equal texts count once in all scores
+    and have equal spans; where two kinds tie for a unit the first by name is taken; rows without an id,
+    of one id or equal in all are rows of their own. Other columns are not read; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -136,17 +137,26 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     starts = rows.where(F.size("base") > 0).select("row", F.explode("base").alias("b")).select("row", F.col("b.s").alias("s")).distinct()
     open_ = found.join(starts, ["row", "s"], "left_anti").select("pattern").distinct()
     hopeful, _ = _spread(graph, many, known.select("inst", F.lit("any").alias("kind")), support, trust)
-    two = C.checkpoint(hopeful.where(F.col("pattern").startswith("2 ")).select("pattern").distinct().join(open_, "pattern", "left_semi"))
-    total = many
-    few = two.limit(BROADCAST_PATTERNS + 1).count()
-    if few:
+    two = C.Written(hopeful.where(F.col("pattern").startswith("2 ")).groupBy("pattern").agg(F.max("share").alias("share")).join(open_, "pattern", "left_semi"))
+
+    def counted(patterns: DataFrame, part: Column) -> DataFrame:
+        """How many different plain words follow each pattern, of those in `part`."""
         w = F.split(F.btrim(F.lower(text), F.lit(" \t\n\r\f\x0b")), r"\s+")
         plain = source.select(w.alias("w")).where(F.size("w") > 2).withColumn("n", F.size("w") - 2)
         plain = plain.select(F.explode(F.arrays_zip(F.slice("w", 1, F.col("n")).alias("w2"), F.slice("w", 2, F.col("n")).alias("w1"), F.slice("w", 3, F.col("n")).alias("t"))).alias("x"))
-        plain = plain.select(_two(F.col("x.w2"), F.col("x.w1")).alias("pattern"), F.col("x.t").alias("inst"))
-        words = plain.join(F.broadcast(two) if few <= BROADCAST_PATTERNS else two, "pattern").distinct()
-        words = words.groupBy("pattern").agg(F.count_if(~F.rlike("inst", F.lit("[0-9@]"))).alias("words"))
+        plain = plain.select(_two(F.col("x.w2"), F.col("x.w1")).alias("pattern"), F.col("x.t").alias("inst")).where(part & ~F.rlike("inst", F.lit("[0-9@]")))
+        return plain.join(patterns.select("pattern"), "pattern").distinct().groupBy("pattern").agg(F.count("*").alias("words"))
+
+    total = many
+    if not two.table.isEmpty():
+        # A part of the words is enough to rule most patterns out, as their words only grow; the others are counted whole.
+        first = counted(two.table, F.pmod(F.xxhash64("inst"), F.lit(FIRST_WORDS)) == 0)
+        reach = F.col("share") * F.col("all") - trust * (F.col("all") + F.coalesce("words", F.lit(0))) < -1e-6
+        first = C.Written(two.table.join(many, "pattern").join(first, "pattern", "left").select("pattern", "words", reach.alias("out")))
+        words = counted(first.table.where("not out"), F.lit(True)).union(first.table.where("out").select("pattern", "words"))
         total = C.checkpoint(many.join(words, "pattern", "left").select("pattern", (F.col("all") + F.coalesce("words", F.lit(0))).alias("all")))
+        first.drop()
+    two.drop()
     trusted, known = _spread(graph, total, known, support, trust)
     place = found.join(trusted.select("pattern", "kind"), "pattern").join(known, ["inst", "kind"])
     place = place.groupBy("row", "s", "e").agg(F.min("kind").alias("kind"))

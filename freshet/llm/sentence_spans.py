@@ -120,15 +120,16 @@ def _cut(run: int, least_words: int):
     return work
 
 
-def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, least_words: int = 25, long_words: int = 50) -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, least_words: int = 0, long_words: int = 50) -> DataFrame:
     """One row per document: id, n_sentences, n_removed, n_bytes, n_removed_bytes, kept_sha256, kept (the text that stays).
 
     A span is any run of `run` consecutive sentences (so any longer one is covered by spans), or a
     single sentence of more than long_words words. Sentences covered by a span that occurs earlier are
-    removed where such sentences, in a row, have least_words words or more (0: always). "Earlier" is by
+    removed, whatever their length; with least_words, only where such sentences, in a row, have as many
+    words. Texts are read whole, however long, and other columns are not read. "Earlier" is by
     id, then by the text's hash (for ids that occur twice), then by place, so later repeats inside a
     document go too. Rows without an id come last. Equal rows share one fate: a repeated row (same id
-    and text) keeps what its twin keeps. Null and empty texts have no sentences.
+    and text) keeps what its twin keeps. Null and empty texts have no sentences; an empty table gives no rows.
     """
     kind = dict(docs.dtypes)[id_col]
     text = F.col("text")

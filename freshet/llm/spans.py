@@ -45,10 +45,14 @@ def running(lengths: Column) -> Column:
     return let(lengths, lambda v: F.when(F.size(v) <= GROUP, _sums(v, F.lit(0))).otherwise(groups(v)))
 
 
-def matches(text: Column, pattern: str, guard: Column | None = None, left: int = 0) -> Column:
+#: The last two words of a text, or its only one, with what blank space follows.
+_LAST_TWO = r"(?<!\S)(?:\S++\s++)?\S++\s*+$"
+
+
+def matches(text: Column, pattern: str, guard: Column | None = None, left: bool = False) -> Column:
     """array<struct<s, e, t>>: start, end (exclusive) and text of each match, in order; with left, also l.
 
-    l: up to `left` code points of what lies between the match and the one before it.
+    l: the last two whole words of what lies between the match and the one before it, fewer if there are.
     """
 
     def placed(x: Column) -> Column:
@@ -57,7 +61,7 @@ def matches(text: Column, pattern: str, guard: Column | None = None, left: int =
         spans = F.zip_with(ends, m, lambda e, t: F.struct((e - F.length(t)).alias("s"), e.alias("e"), t.alias("t")))
         if not left:
             return spans
-        return F.zip_with(spans, gaps, lambda x, g: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), F.right(g, F.lit(left)).alias("l")))
+        return F.zip_with(spans, gaps, lambda x, g: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), F.regexp_extract(g, _LAST_TWO, 0).alias("l")))
 
     both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gaps"))
     test = F.rlike(text, F.lit(pattern)) if guard is None else guard & F.rlike(text, F.lit(pattern))

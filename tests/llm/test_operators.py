@@ -166,7 +166,8 @@ def test_sentence_spans_of_any_length(spark):
     assert found == {1: short + "First end.", 2: "Second start. ", 3: long, 4: "Own words. And an end."}
 
 
-def test_sentence_spans_brute_force(spark):
+@pytest.mark.parametrize("least", [0, 25])
+def test_sentence_spans_brute_force(spark, least):
     import itertools
     import random
 
@@ -188,10 +189,25 @@ def test_sentence_spans_brute_force(spark):
         out = []
         for g, part in itertools.groupby(zip(gone, t, strict=True), key=lambda x: x[0]):
             part = "".join(x for _, x in part)
-            out += [] if g and len(part.split()) >= 25 else [part]
+            out += [] if g and len(part.split()) >= least else [part]
         kept[i] = "".join(out)
     docs = spark.createDataFrame([(i, "".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    assert kept == {r["doc_id"]: r["kept"] for r in remove_repeated_spans(docs).collect()}
+    assert kept == {r["doc_id"]: r["kept"] for r in remove_repeated_spans(docs, least_words=least).collect()}
+
+
+def test_quality_sums_over_all_pairs(monkeypatch):
+    import numpy as np
+
+    from freshet.llm import quality
+
+    rng = np.random.default_rng(8)
+    good, poor, w = rng.standard_normal((23, 4)) + 0.7, rng.standard_normal((17, 4)), rng.standard_normal(4)
+    d = (good[:, None] - poor[None]).reshape(-1, 4)
+    p = 1 / (1 + np.exp(d @ w))
+    monkeypatch.setattr(quality, "PAIR_BLOCK", 60)
+    grad, hess = quality.pair_sums(good, poor, w)
+    np.testing.assert_allclose(grad, -(d * p[:, None]).mean(0), rtol=1e-9)
+    np.testing.assert_allclose(hess, (d * (p * (1 - p))[:, None]).T @ d / len(d), rtol=1e-9)
 
 
 def test_quality(spark):
@@ -440,3 +456,15 @@ def test_linked_secrets(spark):
         keep = sorted(p[:4] for p in parts if p[1] < 3 or any(abs(p[0] - q[0]) <= S.SCOPE and (p[4] == "secret") != (q[4] == "secret") for q in parts))
         assert found[i] == ",".join(f"{k}:{s}:{e}" for s, _, e, k in keep), i
     assert found[60] == found[5]
+
+
+def test_context_is_the_last_two_whole_words(spark):
+    from pyspark.sql import functions as F
+
+    from freshet.llm.pii import _units
+
+    long = "w" * 70
+    texts = [f"9a mail {long} 8b", f"one {long} {long} 8b", "x\ty\n8b", "8b", "only 8b", f"{long}/{long} 8b"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = [r["w"][-2:] for r in docs.select(F.element_at(_units(F.col("text")), -1)["w"].alias("w")).collect()]
+    assert found == [["mail", long], [long, long], ["x", "y"], [], ["only"], [f"{long}/{long}"]]
