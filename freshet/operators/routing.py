@@ -1,10 +1,8 @@
-"""Flow over a raster: depressions filled, steepest descent, upstream areas, height above drainage.
+"""Surfaces made ready for routing: depressions filled, mapped lines cut in.
 
 Filling depends on a global order of cells, which no window or join expresses. `fill` floods each tile
 by itself, finds how the borders of tiles spill into each other, and floods again from the levels of
-the borders (Barnes, 2016), so only borders of a layer meet in one task. `route` needs the order of the
-whole flood for its directions on flats: each layer (a basin) is one group of a priority-flood (Barnes
-et al., 2014) with ties broken by cell. What follows the routing works on the tree of cells by joins.
+the borders (Barnes, 2016), so only borders of a layer meet in one task. What follows is in flow.py.
 """
 
 from __future__ import annotations
@@ -13,57 +11,14 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.operators.lineage import checkpoint
-from freshet.operators.network import path_sums
 
-MOST_CELLS = 40_000_000
 _OFFSETS = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
 
 
-def flood(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Filled surface, downstream cell (-1: outlet or nodata) and cells drained, itself included (0: nodata).
-
-    Water leaves over the edge of the grid and into nodata. A cell drains to its steepest lower filled
-    neighbour, and on flats to the cell it was flooded from.
-    """
-    rows, cols = z.shape
-    known = np.isfinite(z)
-    filled, seen = z.copy(), ~known
-    down = np.full(z.size, -1, np.int64)
-    padded = np.pad(known, 1)
-    rim = known & ~np.logical_and.reduce([padded[1 + r : 1 + r + rows, 1 + c : 1 + c + cols] for r, c in _OFFSETS])
-    queue = [(z[r, c], r * cols + c) for r, c in zip(*np.nonzero(rim), strict=True)]
-    heapq.heapify(queue)
-    seen |= rim
-    order = []
-    while queue:
-        level, cell = heapq.heappop(queue)
-        order.append(cell)
-        r, c = divmod(cell, cols)
-        steepest = 0.0
-        for dr, dc in _OFFSETS:
-            i, j = r + dr, c + dc
-            if 0 <= i < rows and 0 <= j < cols and known[i, j]:
-                if not seen[i, j]:
-                    seen[i, j] = True
-                    filled[i, j] = max(z[i, j], level)
-                    down[i * cols + j] = cell
-                    heapq.heappush(queue, (filled[i, j], i * cols + j))
-                elif filled[i, j] < level:
-                    # lower cells have left the queue before this one, so their surface is final
-                    drop = (level - filled[i, j]) / (1.0 if 0 in (dr, dc) else 2**0.5)
-                    if drop > steepest:
-                        steepest, down[cell] = drop, i * cols + j
-    area = known.ravel().astype(np.int64)
-    for cell in reversed(order):
-        if down[cell] >= 0:
-            area[down[cell]] += area[cell]
-    return filled, down, area
-
-
 def _rise(z: np.ndarray, start: list[tuple[float, int, int]]) -> tuple[np.ndarray, np.ndarray, dict[tuple[int, int], float]]:
     """Levels and labels of a flood from start cells (level, cell, label), and the least level at which two labels meet.
 
@@ -199,39 +154,6 @@ def fill(cells: DataFrame, tile: int = 512) -> DataFrame:
     return both.applyInPandas(raised, f"layer {kind}, row int, col int, filled double")
 
 
-def route(cells: DataFrame) -> DataFrame:
-    """layer, id, row, col, filled, next (null: outlet), area (cells drained) of every cell that has a value.
-
-    A layer is routed in one task and may have at most MOST_CELLS cells; larger ones are refused.
-    """
-
-    def kernel(t: pd.DataFrame) -> pd.DataFrame:
-        if not len(t):
-            return pd.DataFrame(columns=["layer", "id", "row", "col", "filled", "next", "area"])
-        r, c = t["row"].to_numpy() - t["row"].min(), t["col"].to_numpy() - t["col"].min()
-        rows, cols = int(r.max()) + 1, int(c.max()) + 1
-        if rows * cols > MOST_CELLS:
-            raise ValueError(f"a layer of {rows} by {cols} cells")
-        z = np.full((rows, cols), np.nan)
-        z[r, c] = t["value"].to_numpy(np.float64, na_value=np.nan)
-        filled, down, area = flood(z)
-        at = np.flatnonzero(np.isfinite(z))
-        below = pd.array(down[at], dtype="Int64")
-        below[down[at] < 0] = pd.NA
-        return pd.DataFrame({"layer": t["layer"].iloc[0], "id": at, "row": at // cols + t["row"].min(), "col": at % cols + t["col"].min(), "filled": filled.ravel()[at], "next": below, "area": area[at]})
-
-    kind = dict(cells.dtypes)["layer"]
-    return cells.select("layer", "row", "col", "value").groupBy("layer").applyInPandas(kernel, f"layer {kind}, id long, row int, col int, filled double, next long, area long")
-
-
-def height_above_drainage(routed: DataFrame, drains: Column) -> DataFrame:
-    """row, col and hand: filled surface less that of the first cell downstream that drains; null without one. One layer."""
-    tree = routed.select("id", "next", "row", "col", "filled", drains.alias("drain"))
-    ways = path_sums(tree, {}, F.col("drain")).select("id", "root")
-    first = tree.where("drain").select(F.col("id").alias("root"), F.col("filled").alias("bed"))
-    return tree.join(ways, "id").join(first, "root", "left").select("row", "col", (F.col("filled") - F.col("bed")).alias("hand"))
-
-
 def burn(cells: DataFrame, paths: DataFrame, depth_m: float = 20.0, drop_m: float = 0.05) -> DataFrame:
     """layer, row, col, value of (layer, row, col, value) with mapped lines cut in: paths (layer, line, seq, row, col), cells in order.
 

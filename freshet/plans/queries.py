@@ -223,14 +223,6 @@ def _relief(spark, sf_dir):
     return dense_grid(read(spark, sf_dir, "orders"), "o_orderkey", F.col("o_totalprice"), 100)
 
 
-def flow_routing(spark, sf_dir):
-    return routing.route(_relief(spark, sf_dir))
-
-
-def height_above_drainage(spark, sf_dir):
-    return routing.height_above_drainage(routing.route(_relief(spark, sf_dir)), F.col("area") >= 100)
-
-
 def daily_events(spark, sf_dir):
     return totals.daily_totals(read(spark, sf_dir, "events"))
 
@@ -242,7 +234,7 @@ QUERIES = {
         rank_average, mann_kendall, upstream_closure, hydro_table, streams_per_order, regulation_dor, runoff_retention,
         zonal_mean, hypsometry, slope_histogram, snow_bands, tri, landform, spi, water_balance, product_agreement, composite_median,
         routing_check, path_sums, main_stem, tributaries, order_table, long_profile, texture, curve_number, concentration_time,
-        validation_envelope, magnitude_check, outlet_nearest, flow_routing, height_above_drainage, daily_events,
+        validation_envelope, magnitude_check, outlet_nearest, daily_events,
     )
 }
 

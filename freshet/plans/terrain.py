@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from freshet.operators import focal, landscape, network, routing
+from freshet.operators import flow, focal, landscape, network, routing
 from freshet.plans.queries import _CELLS, _TREE, _cells, _relief, _tree
 from freshet.plans.queries import ORACLE as BASE
 from freshet.sources.grids import read
@@ -100,6 +100,33 @@ def depression_fill(spark, sf_dir):
     return routing.fill(_relief(spark, sf_dir), 32)
 
 
+def _routed(spark, sf_dir):
+    return flow.route(routing.fill(_relief(spark, sf_dir), 32), 32)
+
+
+def flow_routing(spark, sf_dir):
+    return flow.cells(_routed(spark, sf_dir), 32)
+
+
+def height_above_drainage(spark, sf_dir):
+    return flow.height_above_drainage(_routed(spark, sf_dir), 100, 32)
+
+
+def stream_mask(spark, sf_dir):
+    return flow.streams(_routed(spark, sf_dir), 40.0, 32, lambda row: 0.5 + row % 8 / 8)
+
+
+def pour_point_basins(spark, sf_dir):
+    """Cells and drained cells of the basin of each outlet: the channel cells with the most above them in each square of the grid."""
+    tiles = _routed(spark, sf_dir)
+    square = [F.floor(F.col(c) / 25) for c in ("row", "col")]
+    cells = flow.cells(tiles, 32)
+    best = cells.where("area >= 30").groupBy("layer", *square).agg(F.max(F.struct("area", (-F.col("row")).alias("r"), (-F.col("col")).alias("c"))).alias("b"))
+    outlets = best.select("layer", (-F.col("b.r")).alias("row"), (-F.col("b.c")).alias("col")).withColumn("outlet", F.col("row") * 100 + F.col("col"))
+    own = flow.basins(tiles, outlets, 32).groupBy("layer", "outlet").agg(F.count("*").alias("own_cells"))
+    return own.join(outlets, ["layer", "outlet"]).join(cells.select("layer", "row", "col", "area"), ["layer", "row", "col"]).select("layer", "outlet", "own_cells", "area")
+
+
 def stream_burning(spark, sf_dir):
     k = F.col("s_suppkey")
     at = F.explode(F.sequence(F.lit(0), F.lit(14)))
@@ -113,7 +140,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         curvature, wetness, level_surface, sub_basins, flow_accumulation, arc_hydro, unit_setting, largest_units, steepness, concavity,
-        steepness_summary, trunk, initiation, density_curve, snap_to_stream, link_lengths, knickpoints, depression_fill, stream_burning,
+        steepness_summary, trunk, initiation, density_curve, snap_to_stream, link_lengths, knickpoints, depression_fill, stream_burning, flow_routing, height_above_drainage, stream_mask, pour_point_basins,
     )
 }
 
@@ -137,6 +164,32 @@ st AS (SELECT c.id, c.area_m2, CASE WHEN c.area_m2 >= 1e6 THEN round(w.chi, 6) E
   CASE WHEN c.area_m2 >= 1e6 THEN round(greatest(c.z - d.z, 0) / c.step_m, 9) END AS slope,
   CASE WHEN c.area_m2 >= 1e6 THEN round(greatest(c.z - d.z, 0) / c.step_m * pow(c.area_m2, 0.45e0), 6) END AS ksn FROM ch c JOIN w USING (id) LEFT JOIN ch d ON c.next = d.id)"""
 
+_FILLED = """c AS (SELECT CAST(o_orderkey // 100 AS INT) AS r, CAST(o_orderkey % 100 AS INT) AS k, o_totalprice AS z FROM orders WHERE o_totalprice IS NOT NULL),
+nb AS MATERIALIZED (SELECT a.r AS ar, a.k AS ak, b.r AS br, b.k AS bk, b.z AS zb FROM c a, (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)) o(dr, dk), c b WHERE b.r = a.r + dr AND b.k = a.k + dk),
+rim AS (SELECT r, k, z FROM c LEFT JOIN (SELECT ar, ak, count(*) AS n FROM nb GROUP BY ALL) ON ar = r AND ak = k WHERE coalesce(n, 0) < 8),
+lev(r, k, l) USING KEY (r, k) AS (SELECT r, k, z FROM rim UNION
+  SELECT nb.br, nb.bk, min(greatest(nb.zb, lev.l)) FROM lev JOIN nb ON nb.ar = lev.r AND nb.ak = lev.k LEFT JOIN recurring.lev now ON now.r = nb.br AND now.k = nb.bk
+  WHERE now.l IS NULL OR greatest(nb.zb, lev.l) < now.l GROUP BY nb.br, nb.bk)"""
+
+
+def _spread(name: str, start: str) -> str:
+    """Steps over cells of one level from those of `start`."""
+    return f"""{name}(r, k, d) USING KEY (r, k) AS (SELECT r, k, 0 FROM ({start}) UNION
+  SELECT n.br, n.bk, min({name}.d) + 1 FROM {name} JOIN n ON n.ar = {name}.r AND n.ak = {name}.k AND n.la = n.lb LEFT JOIN recurring.{name} now ON now.r = n.br AND now.k = n.bk
+  WHERE now.d IS NULL OR {name}.d + 1 < now.d GROUP BY n.br, n.bk)"""
+
+
+_ROUTED = f"""{_FILLED},
+n AS MATERIALIZED (SELECT ar, ak, br, bk, x.l AS la, y.l AS lb, (x.l - y.l) / CASE WHEN ar = br OR ak = bk THEN 1e0 ELSE sqrt(2e0) END AS fall, (br - ar) * 3 + bk - ak AS o
+  FROM nb JOIN lev x ON x.r = ar AND x.k = ak JOIN lev y ON y.r = br AND y.k = bk),
+steep AS MATERIALIZED (SELECT ar AS r, ak AS k, br, bk FROM n WHERE fall > 0 QUALIFY row_number() OVER (PARTITION BY ar, ak ORDER BY fall DESC, o) = 1),
+{_spread("low", "SELECT r, k FROM steep UNION SELECT r, k FROM rim")}, {_spread("high", "SELECT DISTINCT ar AS r, ak AS k FROM n WHERE lb > la")},
+flat AS (SELECT ar AS r, ak AS k, br, bk FROM n JOIN low a ON a.r = ar AND a.k = ak AND a.d > 0 JOIN low b ON b.r = br AND b.k = bk LEFT JOIN high h ON h.r = br AND h.k = bk
+  WHERE la = lb QUALIFY row_number() OVER (PARTITION BY ar, ak ORDER BY 2 * b.d - coalesce(h.d, 0), o) = 1),
+down AS MATERIALIZED (SELECT * FROM steep UNION ALL SELECT * FROM flat),
+walk AS (SELECT r, k, r AS r1, k AS k1, 0 AS s FROM lev UNION ALL SELECT w.r, w.k, d.br, d.bk, s + 1 FROM walk w JOIN down d ON d.r = w.r1 AND d.k = w.k1),
+area AS (SELECT r1 AS r, k1 AS k, count(*) AS n FROM walk GROUP BY ALL)"""
+
 ORACLE = {
     "curvature": f'WITH {_GRAD}, g2 AS ({_second("g1", ("gx", "gy"))}) SELECT layer, "row", col, round(gx + gy, 9) + 0 AS laplacian FROM g2',
     "wetness": f"""WITH {_GRAD} SELECT g1.layer, g1."row", g1.col, CASE WHEN gx IS NOT NULL AND gy IS NOT NULL THEN
@@ -175,13 +228,15 @@ SELECT outlet, "row", col, CAST(size AS DOUBLE) AS up_km2 FROM o JOIN cells ON "
 WHERE "row" BETWEEN 1 AND 38 AND col BETWEEN 1 AND 48 AND size % 6 <> 0 QUALIFY row_number() OVER (PARTITION BY outlet ORDER BY size DESC, "row", col) = 1 AND size >= 30""",
     "link_lengths": f"""WITH {_CELLS}, n AS (SELECT key AS id, CASE WHEN key >= 51 THEN key - 50 - size % 2 END AS next, "row", col FROM cells)
 SELECT a.id, a.next, coalesce(round(sqrt(pow((b."row" - a."row") * 1105.74e0, 2) + pow((b.col - a.col) * 787e0, 2)), 6), 0) AS step_m FROM n a LEFT JOIN n b ON a.next = b.id""",
-    "depression_fill": """WITH RECURSIVE c AS (SELECT CAST(o_orderkey // 100 AS INT) AS r, CAST(o_orderkey % 100 AS INT) AS k, o_totalprice AS z FROM orders WHERE o_totalprice IS NOT NULL),
-nb AS (SELECT a.r AS ar, a.k AS ak, b.r AS br, b.k AS bk, b.z AS zb FROM c a, (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)) o(dr, dk), c b WHERE b.r = a.r + dr AND b.k = a.k + dk),
-rim AS (SELECT r, k, z FROM c LEFT JOIN (SELECT ar, ak, count(*) AS n FROM nb GROUP BY ALL) ON ar = r AND ak = k WHERE coalesce(n, 0) < 8),
-lev(r, k, l) USING KEY (r, k) AS (SELECT r, k, z FROM rim UNION
-  SELECT nb.br, nb.bk, min(greatest(nb.zb, lev.l)) FROM lev JOIN nb ON nb.ar = lev.r AND nb.ak = lev.k LEFT JOIN recurring.lev now ON now.r = nb.br AND now.k = nb.bk
-  WHERE now.l IS NULL OR greatest(nb.zb, lev.l) < now.l GROUP BY nb.br, nb.bk)
-SELECT 0 AS layer, r AS "row", k AS col, l AS filled FROM lev""",
+    "depression_fill": f'WITH RECURSIVE {_FILLED} SELECT 0 AS layer, r AS "row", k AS col, l AS filled FROM lev',
+    "flow_routing": f"""WITH RECURSIVE {_ROUTED}
+SELECT 0 AS layer, lev.r AS "row", lev.k AS col, l AS filled, br AS next_row, bk AS next_col, n AS area FROM lev JOIN area ON area.r = lev.r AND area.k = lev.k LEFT JOIN down ON down.r = lev.r AND down.k = lev.k""",
+    "height_above_drainage": f"""WITH RECURSIVE {_ROUTED}, bed AS (SELECT w.r, w.k, arg_min(l, s) AS z FROM walk w JOIN area a ON a.r = r1 AND a.k = k1 AND n >= 100 JOIN lev ON lev.r = r1 AND lev.k = k1 GROUP BY ALL)
+SELECT 0 AS layer, lev.r AS "row", lev.k AS col, l - z AS hand FROM lev LEFT JOIN bed ON bed.r = lev.r AND bed.k = lev.k""",
+    "stream_mask": f'WITH RECURSIVE {_ROUTED} SELECT 0 AS layer, r AS "row", k AS col FROM area WHERE n * (0.5e0 + r % 8 / 8e0) >= 40',
+    "pour_point_basins": f"""WITH RECURSIVE {_ROUTED}, o AS (SELECT CAST(r * 100 + k AS BIGINT) AS outlet, r, k, n FROM area WHERE n >= 30 QUALIFY row_number() OVER (PARTITION BY r // 25, k // 25 ORDER BY n DESC, r, k) = 1),
+own AS (SELECT w.r, w.k, arg_min(outlet, s) AS outlet FROM walk w JOIN o ON o.r = r1 AND o.k = k1 GROUP BY ALL)
+SELECT 0 AS layer, own.outlet, count(*) AS own_cells, any_value(n) AS area FROM own JOIN o USING (outlet) GROUP BY ALL""",
     "stream_burning": f"""WITH {_CELLS}, q AS (SELECT s_suppkey AS line, seq, CAST(s_suppkey * 7 % 40 + seq // 3 AS INT) AS r, CAST(s_suppkey * 11 % 50 + seq AS INT) AS k FROM supplier, (SELECT unnest(range(15)) AS seq)),
 o AS (SELECT q.*, v - 20 AS z FROM q JOIN cells ON "row" = r AND col = k WHERE v IS NOT NULL), e AS (SELECT line, arg_min(z, seq) > arg_max(z, seq) AS back FROM o GROUP BY 1),
 f AS (SELECT o.*, row_number() OVER (PARTITION BY o.line ORDER BY CASE WHEN back THEN -seq ELSE seq END) AS n FROM o JOIN e USING (line)),

@@ -3,8 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from freshet.operators import flow
 from freshet.operators.network import main_stem, path_sums, routing_check
-from freshet.operators.routing import fill, flood, height_above_drainage, route
+from freshet.operators.routing import fill
 from freshet.streaming.totals import daily_totals
 
 EVENTS = "/root/testdata/sf0.01/events.parquet"
@@ -23,23 +24,6 @@ def _spill_levels(z):
         level[1:-1, 1:-1] = new
 
 
-def test_flood_fills_to_the_spill_level_and_drains_all():
-    rng = np.random.default_rng(3)
-    z = rng.integers(0, 12, (25, 31)).astype(float)
-    z[4:7, 10:12] = np.nan
-    filled, down, area = flood(z)
-    np.testing.assert_array_equal(filled, _spill_levels(z))
-    known = np.flatnonzero(np.isfinite(z))
-    assert area[known][down[known] < 0].sum() == len(known)
-    flat = filled.ravel()
-    for cell in known:
-        steps = 0
-        while down[cell] >= 0:
-            assert flat[down[cell]] <= flat[cell]
-            cell, steps = down[cell], steps + 1
-            assert steps <= len(known)
-
-
 def test_tiles_fill_as_the_whole(spark):
     rng = np.random.default_rng(9)
     rows = []
@@ -59,14 +43,75 @@ def test_tiles_fill_as_the_whole(spark):
     assert fill(cells.limit(0), 7).count() == 0
 
 
-def test_route_and_hand_on_a_valley(spark):
-    cells = spark.range(20 * 21).select(
-        F.lit("a").alias("layer"), F.floor(F.col("id") / 21).cast("int").alias("row"), (F.col("id") % 21).cast("int").alias("col")
-    ).withColumn("value", F.abs(F.col("col") - 10) * 5.0 - F.col("row") + 100.0)
-    routed = route(cells).cache()
-    assert routed.where("next is null").agg(F.sum("area")).first()[0] == 420
-    hand = {(r.row, r.col): r.hand for r in height_above_drainage(routed, F.col("area") >= 15).collect()}
-    assert len(hand) == 420 and hand[19, 10] == 0 and all(h is None or h >= 0 for h in hand.values())
+def _plain(cells):
+    """Cell drained to and cells drained of {(row, col): filled}, a cell at a time."""
+    near = lambda p: [(p[0] + a, p[1] + b) for a, b in flow.OFFSETS]
+    down, low, high = {}, {}, {}
+    for p, z in cells.items():
+        falls = [((z - cells[q]) / (1.0 if 0 in o else 2**0.5), -k) for k, (o, q) in enumerate(zip(flow.OFFSETS, near(p), strict=True)) if q in cells and cells[q] < z]
+        down[p] = near(p)[-max(falls)[1]] if falls else None
+        if falls or any(q not in cells for q in near(p)):
+            low[p] = 0
+        if any(cells.get(q, z) > z for q in near(p)):
+            high[p] = 0
+    for steps in (low, high):
+        front = list(steps)
+        for p in front:
+            for q in near(p):
+                if cells.get(q) == cells[p] and q not in steps:
+                    steps[q] = steps[p] + 1
+                    front.append(q)
+    for p, z in cells.items():
+        if low[p]:
+            down[p] = min((q for q in near(p) if cells.get(q) == z), key=lambda q: (2 * low[q] - high.get(q, 0), near(p).index(q)))
+    area = dict.fromkeys(cells, 0)
+    for p in cells:
+        while p is not None:
+            area[p] += 1
+            p = down[p]
+    return down, area
+
+
+def test_tiles_route_as_the_whole(spark):
+    """Flats within and across tiles, nodata, grids smaller than a tile."""
+    rng = np.random.default_rng(9)
+    grids = {}
+    for layer, shape, top in (("a", (23, 31), 6), ("b", (9, 9), 3), ("c", (1, 5), 4), ("d", (40, 40), 2)):
+        z = rng.integers(0, top, shape).astype(float)
+        z[rng.random(shape) < 0.03] = np.nan
+        grids[layer] = z
+    grids["d"][5:35, 5:35] = 0.0  # a lake over many tiles
+    rows = [(n, r, c, None if np.isnan(v) else float(v)) for n, z in grids.items() for (r, c), v in np.ndenumerate(z)]
+    filled = fill(spark.createDataFrame(rows, "layer string, row int, col int, value double"), 7).cache()
+    tiles = flow.route(filled, 7)
+    found = {(r.layer, r.row, r.col): r for r in flow.cells(tiles, 7).collect()}
+    hand = {(r.layer, r.row, r.col): r.hand for r in flow.height_above_drainage(tiles, 12, 7).collect()}
+    outlets = [(1, "a", 11, 15), (2, "d", 5, 20), (3, "a", 5, 5), (4, "a", 999, 999), (9, "a", 11, 15)]
+    basin = {(r.layer, r.row, r.col): r.outlet for r in flow.basins(tiles, spark.createDataFrame(outlets, "outlet long, layer string, row int, col int"), 7).collect()}
+    channel = {tuple(r) for r in flow.streams(tiles, 6.0, 7, lambda row: 0.5 + row % 2).collect()}
+    at = {o[1:]: o[0] for o in reversed(outlets)}
+    everything = {(r.layer, r.row, r.col): r.filled for r in filled.collect()}
+    assert set(found) == set(everything) == set(hand)
+    for layer in grids:
+        cells = {(r, c): z for (n, r, c), z in everything.items() if n == layer}
+        down, area = _plain(cells)
+        for p, z in cells.items():
+            r = found[layer, *p]
+            assert ((r.next_row, r.next_col), r.area, r.filled) == (down[p] or (None, None), area[p], z)
+            q = p
+            while q is not None and area[q] < 12:
+                q = down[q]
+            assert hand[layer, *p] == (None if q is None else z - cells[q])
+            q = p
+            while q is not None and (layer, *q) not in at:
+                q = down[q]
+            assert basin.get((layer, *p)) == (None if q is None else at[layer, *q])
+            assert ((layer, *p) in channel) == (area[p] * (0.5 + p[0] % 2) >= 6)
+
+
+def test_routing_of_no_cells(spark):
+    tiles = flow.route(fill(spark.createDataFrame([], "layer int, row int, col int, value double"), 7), 7)
+    assert flow.cells(tiles, 7).count() == flow.height_above_drainage(tiles, 3, 7).count() == 0
 
 
 def test_cycles_chains_and_dangling(spark):
