@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.operators.lineage import checkpoint
+from freshet.operators.lineage import written
 from freshet.operators.network import accumulate, path_sums
 
 OFFSETS = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
@@ -183,19 +183,19 @@ def directions(filled: DataFrame, tile: int = 512) -> DataFrame:
     tile and its frame; a flat that lies over many tiles takes as many rounds as its ways cross tiles, and
     a round only computes tiles beside which something got shorter.
     """
-    windows = checkpoint(_windows(filled, tile))
+    windows = written(_windows(filled, tile))
     kind = dict(filled.dtypes)["layer"]
     schema = f"layer {kind}, row int, col int, low int, high int"
     cell = ["layer", "row", "col"]
-    known = checkpoint(_framed(windows, None, tile).mapInArrow(_borders(tile), schema))
+    known = written(_framed(windows, None, tile).mapInArrow(_borders(tile), schema))
     changed = known
     while not changed.isEmpty():
         beside = _framed(windows, changed, tile).where("frame is not null").select(*_AT)
         fresh = _framed(windows.join(beside, _AT, "left_semi"), known, tile).mapInArrow(_borders(tile), schema)
         least = fresh.groupBy(*cell).agg(F.min("low").alias("_low"), F.min("high").alias("_high"))
-        both = checkpoint(known.join(least, cell, "left").select(*cell, F.least("low", "_low").alias("low"), F.least("high", "_high").alias("high"), ((F.col("_low") < F.col("low")) | (F.col("_high") < F.col("high"))).alias("_new")))
+        both = written(known.join(least, cell, "left").select(*cell, F.least("low", "_low").alias("low"), F.least("high", "_high").alias("high"), ((F.col("_low") < F.col("low")) | (F.col("_high") < F.col("high"))).alias("_new")))
         known, changed = both.drop("_new"), both.where("_new").drop("_new")
-    return checkpoint(_framed(windows, known, tile).mapInArrow(_directed(tile), f"layer {kind}, tr int, tc int, z binary, code binary, rank binary"))
+    return written(_framed(windows, known, tile).mapInArrow(_directed(tile), f"layer {kind}, tr int, tc int, z binary, code binary, rank binary"))
 
 
 class _Tile:
@@ -296,7 +296,7 @@ def upstream(tiles: DataFrame, tile: int = 512) -> DataFrame:
     """The packed tiles with area: how many cells drain through each cell, itself included."""
     kind = dict(tiles.dtypes)["layer"]
     ones = lambda t, row: t.known.astype(np.int64)
-    tree = checkpoint(_tree(tiles.mapInArrow(_links(tile, ones, None), _LINK.format(kind))))
+    tree = written(_tree(tiles.mapInArrow(_links(tile, ones, None), _LINK.format(kind))))
     totals = accumulate(tree.select("id", "next", "value"), F.col("value"))
     entry = tree.select("id", "at").join(totals, "id").groupBy("at").agg(F.sum("total").alias("n")).select("at.*", "n")
     held = tiles.join(_by_tile(entry, tile, "inflow", "n"), _AT, "left")
@@ -312,7 +312,7 @@ def upstream(tiles: DataFrame, tile: int = 512) -> DataFrame:
                 one = b.schema.field("layer").type
                 yield pa.RecordBatch.from_arrays([pa.array([row["layer"]], one), *[pa.array([row[c]], pa.int32()) for c in ("tr", "tc")], *[pa.array([x], pa.binary()) for x in (row["z"], row["code"], row["rank"], area.tobytes())]], [*_AT, "z", "code", "rank", "area"])
 
-    return checkpoint(held.mapInArrow(count, f"layer {kind}, tr int, tc int, z binary, code binary, rank binary, area binary"))
+    return written(held.mapInArrow(count, f"layer {kind}, tr int, tc int, z binary, code binary, rank binary, area binary"))
 
 
 def route(filled: DataFrame, tile: int = 512) -> DataFrame:
@@ -342,7 +342,7 @@ def cells(tiles: DataFrame, tile: int = 512) -> DataFrame:
 def _labelled(tiles: DataFrame, tile: int, stop: Callable) -> DataFrame:
     """layer, row, col, end: the label of the first cell on the way of each cell that stops, itself included; null without one."""
     kind = dict(tiles.dtypes)["layer"]
-    tree = checkpoint(_tree(tiles.mapInArrow(_links(tile, None, stop), _LINK.format(kind))))
+    tree = written(_tree(tiles.mapInArrow(_links(tile, None, stop), _LINK.format(kind))))
     ways = path_sums(tree.select("id", F.when(F.col("label").isNull(), F.col("next")).alias("next")), {}).select("id", F.col("root").alias("_root"))
     ends = ways.join(tree.select(F.col("id").alias("_root"), "label"), "_root").where("label is not null").select("id.*", "label")
     held = tiles.join(_by_tile(ends, tile, "far", "label"), _AT, "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +32,31 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Written:
+    """A table written once as Parquet in the checkpoint folder, which all executors share.
+
+    For loops: a checkpoint keeps the size that Spark had guessed for its plan, and guesses of joins of
+    joins grow until planning stands still, while a table has the size of its files. drop() deletes them;
+    until then anything computed from the table can be computed again.
+    """
+
+    def __init__(self, df: DataFrame):
+        sc = df.sparkSession.sparkContext
+        self.path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.table = df.sparkSession.read.schema(df.schema).parquet(self.path)
+        self._at = sc._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._conf = sc._jsc.hadoopConfiguration()
+
+    def drop(self) -> None:
+        self._at.getFileSystem(self._conf).delete(self._at, True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written once."""
+    return Written(df).table
+
+
 def release(df: DataFrame) -> None:
     """Asks the driver for a garbage collection, so that Spark's cleaner drops shuffles and checkpoints no longer in use.
 

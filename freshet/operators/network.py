@@ -33,18 +33,19 @@ def accumulate(tree: DataFrame, value: Column) -> DataFrame:
     Pointers and sums double their reach together, so a chain of n units takes log2(n) rounds. A round
     sums by the unit that a pointer meets, combined map-side.
     """
-    from freshet.operators.lineage import checkpoint, release
+    from freshet.operators.lineage import Written
 
     ids = tree.select(F.col("id").alias("_known"))
-    state = tree.join(ids, F.col("next") == F.col("_known"), "left").select("id", F.col("_known").alias("to"), value.cast("decimal(28,6)").alias("total"))
-    state = checkpoint(state)
+    held = Written(tree.join(ids, F.col("next") == F.col("_known"), "left").select("id", F.col("_known").alias("to"), value.cast("decimal(28,6)").alias("total")))
+    state = held.table
     reach, units = 1, state.count()
     while reach <= units and not state.where("to is not null").isEmpty():
         gain = state.where("to is not null").groupBy(F.col("to").alias("_at")).agg(F.sum("total").cast("decimal(28,6)").alias("_gain"))
         ahead = state.where("to is not null").select(F.col("id").alias("_id"), F.col("to").alias("_to"))
         grown = state.join(gain, F.col("id") == F.col("_at"), "left").join(ahead, F.col("to") == F.col("_id"), "left")
-        state = checkpoint(grown.select("id", F.col("_to").alias("to"), (F.col("total") + F.coalesce("_gain", F.lit(0))).cast("decimal(28,6)").alias("total")))
-        release(state)
+        next_ = Written(grown.select("id", F.col("_to").alias("to"), (F.col("total") + F.coalesce("_gain", F.lit(0))).cast("decimal(28,6)").alias("total")))
+        held.drop()
+        held, state = next_, next_.table
         reach *= 2
     return state.select("id", F.when(F.col("to").isNull(), F.col("total").cast("double")).alias("total"))
 
@@ -56,11 +57,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     minima and equi-joins, so hubs are combined map-side and split by AQE, and nothing is collected.
     Stars about their smallest node need no round.
     """
-    from freshet.operators.lineage import checkpoint, release
+    from freshet.operators.lineage import Written, release
 
     e = edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where("u <> v").distinct()
-    e = checkpoint(e)
+    held = Written(e)
     while True:
+        e = held.table
         ends = e.select(F.col("v").alias("x"), F.lit(1).alias("up")).union(e.select("u", F.lit(0)))
         open_ = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.count("*").alias("n")).where("ups > 1 or (ups = 1 and n > 1)")
         if open_.isEmpty():
@@ -71,7 +73,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # a node that is its neighbours' minimum keeps its links through them
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).union(least.select("v", "m"))
-        e = checkpoint(small.where("u <> v").distinct())
+        next_ = Written(small.where("u <> v").distinct())
+        held.drop()
+        held = next_
         release(e)
 
 
@@ -96,7 +100,7 @@ def path_sums(tree: DataFrame, weights: dict[str, Column], stops: Column | None
     so a chain of n units takes log2(n) joins, and units that have arrived join no more, which keeps a
     root from becoming a hot key. A way that never arrives (a cycle) has a null root and null sums.
     """
-    from freshet.operators.lineage import checkpoint
+    from freshet.operators.lineage import Written
 
     ids = tree.select(F.col("id").alias("_known"))
     end = F.col("_known").isNull() if stops is None else F.col("_known").isNull() | F.coalesce(stops, F.lit(False))
@@ -104,13 +108,16 @@ def path_sums(tree: DataFrame, weights: dict[str, Column], stops: Column | None
     names = ["steps", *weights]
     each = {"steps": F.lit(1), **weights}
     start = start.select("id", F.when(F.col("_end"), F.col("id")).otherwise(F.col("next")).alias("to"), F.col("_end").alias("done"), *[F.when(F.col("_end"), 0).otherwise(w).alias(n) for n, w in each.items()])
-    state = checkpoint(start.select("id", "to", "done", *[F.col(n).cast("long" if n == "steps" else "double").alias(n) for n in names]))
+    held = Written(start.select("id", "to", "done", *[F.col(n).cast("long" if n == "steps" else "double").alias(n) for n in names]))
+    state = held.table
     reach, units = 1, state.count()
     while reach <= units and not state.where("not done").isEmpty():
         ahead = state.select(F.col("id").alias("_at"), F.col("to").alias("_to"), F.col("done").alias("_done"), *[F.col(n).alias(f"_{n}") for n in names])
         moved = state.where("not done").join(ahead, F.col("to") == F.col("_at"))
         moved = moved.select("id", F.col("_to").alias("to"), F.col("_done").alias("done"), *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in names])
-        state = checkpoint(state.where("done").union(moved))
+        next_ = Written(state.where("done").union(moved))
+        held.drop()
+        held, state = next_, next_.table
         reach *= 2
     return state.select("id", F.when(F.col("done"), F.col("to")).alias("root"), *[F.when(F.col("done"), F.col(n)).alias(n) for n in names])
 
