@@ -7,7 +7,6 @@ length of a partition. A null text counts as empty everywhere.
 from __future__ import annotations
 
 import functools
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,33 +15,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.operators.lineage import checkpoint, checkpoint_folder, release
+from freshet.operators.lineage import Written, checkpoint, checkpoint_folder, release
 from freshet.operators.network import components as connected_components
 
-__all__ = ["checkpoint", "connected_components", "release"]
+__all__ = ["Written", "checkpoint", "checkpoint_folder", "connected_components", "release"]
 
 SLICE_BYTES = 4 << 20
 _U = np.uint64
 
 
-class Written:
-    """A table written once as Parquet in the checkpoint folder, which all executors share; it takes less room than a checkpoint.
-
-    drop() deletes its files; until then anything computed from it can be computed again.
-    """
-
-    def __init__(self, df: DataFrame):
-        sc = df.sparkSession.sparkContext
-        self.path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.table = df.sparkSession.read.schema(df.schema).parquet(self.path)
-        self._at = sc._jvm.org.apache.hadoop.fs.Path(self.path)
-        self._conf = sc._jsc.hadoopConfiguration()
-
-    def drop(self) -> None:
-        self._at.getFileSystem(self._conf).delete(self._at, True)
-
-
 def text_key(text) -> F.Column:
     """128 bits that stand for a whole text."""
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
