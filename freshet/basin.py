@@ -8,7 +8,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.operators import network, polygons
+from freshet.operators import flow, network, polygons, rings
 from freshet.sources import ledger
 
 
@@ -21,29 +21,67 @@ class Basin:
     log: list[dict] = field(default_factory=list)
 
     @classmethod
-    def from_rings(cls, rings: DataFrame, **provenance) -> Basin:
-        return cls(rings.select("ring", "seq", "x", "y"), provenance)
+    def from_rings(cls, table: DataFrame, **provenance) -> Basin:
+        return cls(table.select("ring", "seq", "x", "y"), provenance)
 
     @classmethod
     def from_file(cls, spark: SparkSession, path: str) -> Basin:
-        """The polygons of a file of GeoJSON features, one for each line, as one basin."""
+        """The polygons of a file of GeoJSON (features, collections or geometries, one for each line) as one basin."""
         lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("poly"), F.col("value").alias("feature"))
-        rings = ledger.read_features(lines)
-        return cls(rings.select(F.concat_ws(".", "poly", "ring").alias("ring"), "seq", "x", "y"), {"file": path})
+        found = ledger.read_features(lines)
+        return cls(found.select(F.concat_ws(".", "poly", "ring").alias("ring"), "seq", "x", "y"), {"file": path})
 
     @classmethod
-    def from_point(cls, units: DataFrame, unit_rings: DataFrame, outlet: int) -> Basin:
-        """The union of all units (id, next) that drain to the outlet unit, of their polygons (poly, ring, seq, x, y)."""
+    def from_geometry(cls, spark: SparkSession, geojson: str, **provenance) -> Basin:
+        """A polygon or multipolygon given as GeoJSON text."""
+        found = ledger.read_features(spark.createDataFrame([(0, geojson)], "poly int, feature string"))
+        return cls(found.select("ring", "seq", "x", "y"), provenance)
+
+    @classmethod
+    def from_edges(cls, edges: DataFrame, **provenance) -> Basin:
+        """The polygon that directed edges (x1, y1, x2, y2) bound, the inside on their left."""
+        found = rings.assemble(edges.select(F.lit(0).alias("poly"), "x1", "y1", "x2", "y2"))
+        return cls(found.select("ring", "seq", "x", "y", "shell"), provenance)
+
+    @classmethod
+    def from_point(cls, units: DataFrame, unit_rings: DataFrame, outlet: int | tuple[float, float], within: float = 1e-5, cell: float = 0.5) -> Basin:
+        """The union of all units (id, next) that drain to the outlet, of their polygons (poly, ring, seq, x, y).
+
+        outlet: the id of a unit, or longitude and latitude of a point, whose unit it is then.
+        """
         spark = units.sparkSession
-        up = network.upstream(units, spark.createDataFrame([(outlet,)], "id long"))
         own = polygons.edges(unit_rings)
-        union = polygons.dissolve(own, up.select(F.col("id").alias("poly"), F.lit(0).alias("grp")))
-        basin = cls(union, {"outlet": outlet, "units": up.count(), "backend": "units"})
-        basin.edges = union
-        return basin
+        made = {"backend": "units"}
+        if isinstance(outlet, tuple):
+            point = spark.createDataFrame([(0, float(outlet[0]), float(outlet[1]))], "id int, x double, y double")
+            hit = polygons.points_in(point, own, cell).agg(F.min("poly").alias("poly")).first()
+            if hit["poly"] is None:
+                raise ValueError(f"no unit holds the point {outlet}")
+            made["point"], outlet = list(outlet), hit["poly"]
+        up = network.upstream(units, spark.createDataFrame([(outlet,)], "id long"))
+        union = rings.union(own, up.select(F.col("id").alias("poly"), F.lit(0).alias("grp")), within, overlaps=False)
+        return cls.from_edges(union, outlet=outlet, units=up.count(), **made)
+
+    @classmethod
+    def from_surface(cls, tiles: DataFrame, outlet: tuple[int, int], west: float, north: float, step: float, tile: int = 512, layer: object = 0) -> Basin:
+        """The cells of a routed surface (flow.route) that drain to a cell (row, col), as a polygon on the grid of the surface."""
+        spark = tiles.sparkSession
+        kind = dict(tiles.dtypes)["layer"]
+        at = spark.createDataFrame([(1, *outlet)], "outlet long, row int, col int").withColumn("layer", F.lit(layer).cast(kind))
+        mask = flow.basins(tiles, at, tile)
+        edges = polygons.mask_outline(mask, F.lit(True))
+        x, y = (lambda c: F.lit(west) + F.col(c) * step), (lambda c: F.lit(north) + F.col(c) * step)
+        edges = edges.select(x("x1").alias("x1"), y("y1").alias("y1"), x("x2").alias("x2"), y("y2").alias("y2"))
+        return cls.from_edges(edges, outlet=list(outlet), backend="surface")
 
     def __post_init__(self) -> None:
-        self.edges = polygons.edges(self.rings.withColumn("poly", F.lit(0))) if "seq" in self.rings.columns else self.rings
+        self.edges = polygons.edges(self.rings.withColumn("poly", F.lit(0)).select("poly", "ring", "seq", "x", "y"))
+
+    def feature(self, **properties) -> str:
+        """The basin as one GeoJSON feature, with its measures among the properties."""
+        known = {**self.measures(), **properties}
+        one = self.rings.sparkSession.createDataFrame([(0, *known.values())], ["poly", *known])
+        return ledger.features(self.rings.withColumn("poly", F.lit(0)), one).first()["feature"]
 
     def bounds(self) -> tuple[float, float, float, float]:
         r = self.edges.agg(F.min("x1"), F.min("y1"), F.max("x1"), F.max("y1")).first()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,17 +40,32 @@ def rank_average(series: DataFrame) -> DataFrame:
     return series.select("t", "value", (F.rank().over(Window.partitionBy(month).orderBy("value")) + (F.count("*").over(same) - 1) / 2).alias("rank"))
 
 
-def spi(series: DataFrame, scale: int = 3, least: int = 10) -> DataFrame:
-    """series, t, total, spi of rows (series, t, value), one row for each step of t.
+# Degrees of drought, by the least index of each.
+SPI_LABELS = [(2.0, "extremely wet"), (1.5, "very wet"), (1.0, "moderately wet"), (-1.0, "near normal"), (-1.5, "moderately dry"), (-2.0, "severely dry")]
 
-    total runs over `scale` steps and only full windows count; each is ranked among the totals of its
+
+def spi_label(value: Column) -> Column:
+    """Words for a drought index; null where it is null."""
+    out = F.lit("extremely dry")
+    for least, name in reversed(SPI_LABELS):
+        out = F.when(value >= least if least > -1 else value > least, name).otherwise(out)
+    return F.when(value.isNotNull(), out)
+
+
+def spi(series: DataFrame, scale: int = 3, least: int = 10, step: str = "month") -> DataFrame:
+    """series, t, total, spi of rows (series, t, value), at most one row for each step of t (month or day).
+
+    total runs over `scale` steps of the calendar, and only windows without a null or a missing step count; each is ranked among the totals of its
     series and calendar month (ties averaged, Weibull positions). Fewer than `least` of them give null.
     """
     from freshet.functions.scalar import normal_quantile
 
     run = Window.partitionBy("series").orderBy("t").rowsBetween(1 - scale, 0)
     total = F.sum(F.col("value").cast("decimal(18,4)")).over(run)
-    full = series.where("value is not null").select("series", "t", total.cast("double").alias("total"), F.count("*").over(run).alias("n")).where(F.col("n") == scale)
+    place = F.datediff("t", F.lit("1970-01-01")) if step == "day" else F.year("t") * 12 + F.month("t")
+    first = F.min(place).over(run)
+    full = series.select("series", "t", total.cast("double").alias("total"), F.count("value").over(run).alias("n"), (place - first).alias("span")).where((F.col("n") == scale) & (F.col("span") == scale - 1))
+    full = full.drop("n", "span")
     month = Window.partitionBy("series", F.month("t"))
     rank = F.rank().over(month.orderBy("total")) + (F.count("*").over(Window.partitionBy("series", F.month("t"), "total")) - 1) / 2
     ranked = full.select("series", "t", "total", rank.alias("rank"), F.count("*").over(month).alias("m"))

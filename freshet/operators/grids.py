@@ -28,11 +28,46 @@ def cell_of(x: Column, y: Column, west: float, north: float, step: float) -> tup
     return F.floor((F.lit(north) - y) / step).cast("int"), F.floor((x - F.lit(west)) / step).cast("int")
 
 
-def align(cells: DataFrame, west: float, north: float, step: float) -> DataFrame:
-    """layer, row, col, value on another grid, by nearest cell: each cell of (layer, x, y, value) goes where its centre lies; of several the first by y (from north) and x counts."""
-    row, col = cell_of(F.col("x"), F.col("y"), west, north, step)
-    first = F.min(F.when(F.col("value").isNotNull(), F.struct((-F.col("y")).alias("y"), "x", "value")))["value"]
-    return cells.groupBy("layer", row.alias("row"), col.alias("col")).agg(first.alias("value"))
+def _axis(cells: DataFrame, name: str, at: str, sign: int, origin: float, step: float, mean: bool) -> DataFrame:
+    """layer, to_<name>, <name>, w_<name>: which source rows or columns each of the target's takes, and with what weight.
+
+    The source is regular: its spacing follows from its first and last row or column, as many rows as layers.
+    """
+    pos = F.col(at) * sign  # grows with the number of the row or column
+    ends = cells.groupBy("layer").agg(F.min(name).alias("n0"), F.max(name).alias("n1"), F.min(pos).alias("p0"), F.max(pos).alias("p1"))
+    gap = F.when(F.col("n1") > F.col("n0"), (F.col("p1") - F.col("p0")) / (F.col("n1") - F.col("n0"))).otherwise(step)
+    ends = ends.withColumn("gap", gap)
+    # tiny shifts keep borders that agree but for rounding from counting as overlaps
+    low, high = F.col("p0") - F.col("gap") / 2, F.col("p1") + F.col("gap") / 2
+    to = F.explode(F.sequence(F.floor((low - origin) / step + 1e-9).cast("int"), F.ceil((high - origin) / step - 1e-9).cast("int") - 1)).alias("to")
+    each = ends.select("layer", "n0", "n1", "p0", "gap", to)
+    left = F.lit(origin) + F.col("to") * F.lit(step)
+    place = lambda p: (p - F.col("p0")) / F.col("gap") + F.col("n0")
+    if not mean:
+        near = each.select("layer", F.col("to").alias(f"to_{name}"), F.floor(place(left + step / 2) + 0.5).cast("int").alias(name), F.lit(1.0).alias(f"w_{name}"), "n0", "n1")
+        return near.where(F.col(name).between(F.col("n0"), F.col("n1"))).drop("n0", "n1")
+    first, last = F.floor(place(left) + 0.5 + 1e-9).cast("int"), F.ceil(place(left + step) - 0.5 - 1e-9).cast("int")
+    each = each.select("*", F.explode(F.sequence(F.greatest(first, "n0"), F.least(F.greatest(last, first), "n1"))).alias(name))
+    start = F.col("p0") + (F.col(name) - F.col("n0") - 0.5) * F.col("gap")
+    overlap = F.least(left + step, start + F.col("gap")) - F.greatest(left, start)
+    return each.select("layer", F.col("to").alias(f"to_{name}"), name, F.round(overlap, 9).alias(f"w_{name}")).where(F.col(f"w_{name}") > 0)
+
+
+def align(cells: DataFrame, west: float, north: float, step: float, mean: bool = False) -> DataFrame:
+    """layer, row, col, value on another grid of (layer, row, col, x, y, value): coarser, finer or shifted, without holes.
+
+    Each target cell whose centre lies in the source takes its nearest cell (of two as near the one to the
+    east or south), or with mean the average of all that it overlaps, by area, nulls left out. Sources of
+    rows and columns are found once for each axis and joined, so no cell is compared with another.
+    """
+    rows = _axis(cells, "row", "y", -1, -north, step, mean)
+    cols = _axis(cells, "col", "x", 1, west, step, mean)
+    met = cells.select("layer", "row", "col", "value").join(rows, ["layer", "row"]).join(cols, ["layer", "col"])
+    if not mean:
+        return met.select("layer", F.col("to_row").alias("row"), F.col("to_col").alias("col"), "value")
+    weight = F.when(F.col("value").isNotNull(), F.col("w_row") * F.col("w_col"))
+    by = met.groupBy("layer", F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(F.sum(weight * F.col("value")).alias("s"), F.sum(weight).alias("w"))
+    return by.select("layer", "row", "col", F.round(F.col("s") / F.col("w"), 6).alias("value"))
 
 
 def sample(points: DataFrame, cells: DataFrame, west: float, north: float, step: float) -> DataFrame:
@@ -52,7 +87,7 @@ def within_budget(cells: DataFrame, most: int, categorical: bool = False) -> Dat
     The factor is the least whole number that brings the layer within the budget, and 1 where it is.
     """
     size = cells.groupBy("layer").agg(F.ceil(F.sqrt(F.count("*") / most)).cast("int").alias("factor"))  # a row for each layer
-    both = cells.join(F.broadcast(size), "layer")
+    both = cells.join(size, "layer")
     r, c = (F.floor(F.col(x) / F.col("factor")).cast("int").alias(x) for x in ("row", "col"))
     mean = F.sum(F.col("value").cast("decimal(28,6)")).cast("double") / F.nullif(F.count("value"), F.lit(0))
     value = F.min(F.struct("row", "col", "value"))["value"] if categorical else mean

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,31 +73,43 @@ def trunk(cells: DataFrame, least_m2: float = 1.0e6) -> DataFrame:
 def knickpoints(profile: DataFrame, min_drop: float = 30.0, window: int = 9) -> DataFrame:
     """trunk, chi, elevation, step, sigma of (trunk, chi, z): steps that stand out of the profile, upstream of the outlet.
 
-    The gradient dz/dchi is scored by its distance from the median in units of the spread about it; a step
-    begins above 3 and ends below 1.5, and what follows within `window` points is passed over. That last
-    rule makes a point depend on the one found before, so a trunk (a single river) is one group.
+    Points without chi or z are passed over. The gradient dz/dchi is scored by its distance from the
+    trunk's median in units of the spread about it: a step begins where the score is above 3 and ends at
+    the first point from there with 1.5 or less, else at the last point. The first and last `window`
+    points begin none, and after a step (of whatever height) the next begins `window` points beyond its
+    end at the earliest; trunks of fewer than three windows have none.
     """
-
-    def find(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("chi", kind="stable")
-        chi, z, out = t["chi"].to_numpy(float), t["z"].to_numpy(float), []
-        if len(chi) >= window * 3:
-            g = np.gradient(z, chi)
-            middle = np.median(g)
-            score = (g - middle) / (1.4826 * (np.median(np.abs(g - middle)) or 1e-9))
-            i = window
-            while i < len(g) - window:
-                if score[i] <= 3:
-                    i += 1
-                    continue
-                j = i + int(np.argmax(np.append(score[i:-1] <= 1.5, True)))
-                if z[j] - z[i] >= min_drop:
-                    out.append((t["trunk"].iloc[0], chi[i], z[i], z[j] - z[i], score[i]))
-                i = j + window
-        return pd.DataFrame(out, columns=["trunk", "chi", "elevation", "step", "sigma"])
+    known = profile.where("chi is not null and z is not null and not isnan(chi) and not isnan(z)").select("trunk", F.col("chi").cast("double").alias("chi"), F.col("z").cast("double").alias("z"))
+    line = Window.partitionBy("trunk").orderBy("chi", "z")
+    near = [f(c).over(line).alias(n) for c in ("chi", "z") for f, n in ((F.lag, f"{c}_a"), (F.lead, f"{c}_b"))]
+    rows = known.select("*", *near, (F.row_number().over(line) - 1).alias("i"), F.count("*").over(Window.partitionBy("trunk")).alias("n")).where(F.col("n") >= 3 * window)
+    back, ahead = F.try_divide(F.col("z") - F.col("z_a"), F.col("chi") - F.col("chi_a")), F.try_divide(F.col("z_b") - F.col("z"), F.col("chi_b") - F.col("chi"))
+    # between two points the slopes on either side, each by the other's share of the way
+    share = (F.col("chi") - F.col("chi_a")) / (F.col("chi_b") - F.col("chi_a"))
+    rows = rows.withColumn("g", F.when(F.col("chi_a").isNull(), ahead).when(F.col("chi_b").isNull(), back).otherwise(back * (1 - share) + ahead * share))
+    middle = rows.groupBy("trunk").agg(F.percentile("g", F.lit(0.5)).alias("middle"))
+    rows = rows.join(middle, "trunk")
+    spread = rows.groupBy("trunk").agg(F.percentile(F.abs(F.col("g") - F.col("middle")), F.lit(0.5)).alias("spread"))
+    rows = rows.join(spread, "trunk")
+    rows = rows.withColumn("score", (F.col("g") - F.col("middle")) / (1.4826 * F.when(F.col("spread") > 0, F.col("spread")).otherwise(1e-9)))
+    later = line.rowsBetween(0, Window.unboundedFollowing)
+    calm = F.when(F.col("score") <= 1.5, F.struct("i", "z"))
+    ends = rows.withColumn("end", F.coalesce(F.first(calm, True).over(later), F.last(F.struct("i", "z")).over(later)))
+    starts = ends.where((F.col("score") > 3) & F.col("i").between(window, F.col("n") - window - 1))
+    starts = starts.select("trunk", "i", F.col("end.i").alias("j"), "chi", F.col("z").alias("elevation"), (F.col("end.z") - F.col("z")).alias("step"), F.col("score").alias("sigma"))
+
+    def apart(t: pd.DataFrame) -> pd.DataFrame:
+        """Of the points where a step could begin, those that come after the one before has ended."""
+        t, free, keep = t.sort_values("i"), -1, []
+        for k, (i, j) in enumerate(zip(t["i"], t["j"], strict=True)):
+            if i >= free:
+                keep.append(k)
+                free = j + window
+        return t.iloc[keep]
 
     kind = dict(profile.dtypes)["trunk"]
-    return profile.select("trunk", "chi", "z").groupBy("trunk").applyInPandas(find, f"trunk {kind}, chi double, elevation double, step double, sigma double")
+    found = starts.groupBy("trunk").applyInPandas(apart, f"trunk {kind}, i int, j int, chi double, elevation double, step double, sigma double")
+    return found.where(F.col("step") >= min_drop).select("trunk", "chi", "elevation", F.round("step", 6).alias("step"), F.round("sigma", 6).alias("sigma"))
 
 
 def steepness_summary(channels: DataFrame) -> DataFrame:
@@ -123,7 +134,7 @@ def initiation(slopes: DataFrame) -> DataFrame:
 def density_curve(cells: DataFrame, chosen_km2: float, factors: tuple[float, ...] = (0.1, 0.2, 0.5, 1.0, 2.0, 5.0, 10.0)) -> DataFrame:
     """Channel cells, length and drainage density of (drained_km2, step_m, area_km2) for thresholds about the chosen one.
 
-    range_factor is the largest density over the least above 0; chosen marks the nearest threshold.
+    range_factor is the largest density over the least above 0; chosen marks the nearest threshold, the lower of two as near.
     """
     marks = F.array(*[F.lit(round(chosen_km2 * f, 9)) for f in factors])
     whole = cells.agg(F.sum(F.col("area_km2").cast("decimal(28,9)")).cast("double").alias("basin_km2"))
@@ -136,7 +147,7 @@ def density_curve(cells: DataFrame, chosen_km2: float, factors: tuple[float, ...
     some = F.when(F.col("density") > 0, F.col("density"))
     return by.select(
         "threshold_km2", "channel_cells", F.round("length_km", 6).alias("length_km"), F.round("density", 6).alias("density"),
-        (F.col("threshold_km2") == F.lit(chosen_km2)).alias("chosen"), F.round(F.coalesce(F.max(some).over(span) / F.min(some).over(span), F.lit(1.0)), 6).alias("range_factor"),
+        (F.col("threshold_km2") == F.min_by("threshold_km2", F.struct(F.abs(F.col("threshold_km2") - chosen_km2), "threshold_km2")).over(span)).alias("chosen"), F.round(F.coalesce(F.max(some).over(span) / F.min(some).over(span), F.lit(1.0)), 6).alias("range_factor"),
     )
 
 

@@ -82,13 +82,13 @@ def clip(cells: DataFrame, edge_table: DataFrame, poly: object, cell: float) ->
     """cells (layer, row, col, x, y, value) whose centre lies in the polygon, and the smallest grid about them: others are nodata."""
     inside = points_in(cells.select(F.struct("layer", "row", "col").alias("id"), "x", "y"), edge_table.where(F.col("poly") == F.lit(poly)), cell).select("id.*")
     frame = inside.groupBy("layer").agg(*[f(c).alias(f"{n}_{c}") for c in ("row", "col") for n, f in (("lo", F.min), ("hi", F.max))])
-    kept = cells.join(F.broadcast(frame), "layer").where(F.col("row").between(F.col("lo_row"), F.col("hi_row")) & F.col("col").between(F.col("lo_col"), F.col("hi_col")))  # a row for each layer
+    kept = cells.join(frame, "layer").where(F.col("row").between(F.col("lo_row"), F.col("hi_row")) & F.col("col").between(F.col("lo_col"), F.col("hi_col")))
     marked = kept.join(inside.withColumn("_in", F.lit(True)), ["layer", "row", "col"], "left")
     return marked.select("layer", "row", "col", F.when(F.col("_in"), F.col("value")).alias("value"))
 
 
 def lines_meet(lines: DataFrame, edge_table: DataFrame, cell: float) -> DataFrame:
-    """id and poly of each line segment (id, x1, y1, x2, y2) that crosses an edge of a polygon or lies in it.
+    """id and poly of each line segment (id, x1, y1, x2, y2) that meets a polygon: crosses or touches an edge, or lies in it.
 
     Boxes of both are dealt to cells, so only neighbours are tested.
     """
@@ -98,8 +98,10 @@ def lines_meet(lines: DataFrame, edge_table: DataFrame, cell: float) -> DataFram
     )
     near = box(a, "ax1", "ay1", "ax2", "ay2").join(box(edge_table, "x1", "y1", "x2", "y2"), ["cx", "cy"])
     side = lambda px, py, qx, qy, rx, ry: F.signum((F.col(qx) - F.col(px)) * (F.col(ry) - F.col(py)) - (F.col(qy) - F.col(py)) * (F.col(rx) - F.col(px)))
-    cut = (side("ax1", "ay1", "ax2", "ay2", "x1", "y1") * side("ax1", "ay1", "ax2", "ay2", "x2", "y2") < 0) & (side("x1", "y1", "x2", "y2", "ax1", "ay1") * side("x1", "y1", "x2", "y2", "ax2", "ay2") < 0)
-    crossing = near.where(cut).select("id", "poly")
+    cut = (side("ax1", "ay1", "ax2", "ay2", "x1", "y1") * side("ax1", "ay1", "ax2", "ay2", "x2", "y2") <= 0) & (side("x1", "y1", "x2", "y2", "ax1", "ay1") * side("x1", "y1", "x2", "y2", "ax2", "ay2") <= 0)
+    # segments of one straight line meet where their boxes do
+    box_meets = [F.greatest(F.least(f"a{c}1", f"a{c}2"), F.least(f"{c}1", f"{c}2")) <= F.least(F.greatest(f"a{c}1", f"a{c}2"), F.greatest(f"{c}1", f"{c}2")) for c in "xy"]
+    crossing = near.where(cut & box_meets[0] & box_meets[1]).select("id", "poly")
     starts = points_in(lines.select("id", F.col("x1").alias("x"), F.col("y1").alias("y")), edge_table, cell)
     return crossing.union(starts).distinct()
 

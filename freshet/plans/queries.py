@@ -142,7 +142,8 @@ def landform(spark, sf_dir):
 
 
 def spi(spark, sf_dir):
-    return climate.spi(_series(spark, sf_dir), 30)
+    found = climate.spi(_series(spark, sf_dir), 30, step="day")
+    return found.withColumn("label", climate.spi_label(F.col("spi")))
 
 
 def water_balance(spark, sf_dir):
@@ -331,9 +332,10 @@ SELECT p.layer, p."row", p.col, CAST(CASE WHEN tpi <= -sd THEN 0 WHEN tpi <= -sd
   ['valley', 'lower slope', 'flat', 'mid slope', 'upper slope', 'ridge'][landform + 1] AS name
 FROM p JOIN s USING (layer, "row", col) JOIN d ON d.layer = p.layer""",
     "spi": f"""WITH d AS (SELECT l_returnflag AS series, CAST(l_shipdate AS DATE) AS t, CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE) AS value FROM lineitem GROUP BY ALL),
-f AS (SELECT series, t, CAST(sum(CAST(value AS DECIMAL(18,4))) OVER w AS DOUBLE) AS total, count(*) OVER w AS n FROM d WINDOW w AS (PARTITION BY series ORDER BY t ROWS 29 PRECEDING)),
-r AS (SELECT series, t, total, (rank() OVER (PARTITION BY series, month(t) ORDER BY total) + (count(*) OVER (PARTITION BY series, month(t), total) - 1) / 2e0) / (count(*) OVER (PARTITION BY series, month(t)) + 1) AS p, count(*) OVER (PARTITION BY series, month(t)) AS m FROM f WHERE n = 30)
-SELECT series, t, total, CASE WHEN m >= 10 THEN round({_NORMAL}, 6) END AS spi FROM r""",
+f AS (SELECT series, t, CAST(sum(CAST(value AS DECIMAL(18,4))) OVER w AS DOUBLE) AS total, count(value) OVER w AS n, t - min(t) OVER w AS span FROM d WINDOW w AS (PARTITION BY series ORDER BY t ROWS 29 PRECEDING)),
+r AS (SELECT series, t, total, (rank() OVER (PARTITION BY series, month(t) ORDER BY total) + (count(*) OVER (PARTITION BY series, month(t), total) - 1) / 2e0) / (count(*) OVER (PARTITION BY series, month(t)) + 1) AS p, count(*) OVER (PARTITION BY series, month(t)) AS m FROM f WHERE n = 30 AND span = 29),
+s AS (SELECT series, t, total, CASE WHEN m >= 10 THEN round({_NORMAL}, 6) END AS spi FROM r)
+SELECT *, CASE WHEN spi IS NULL THEN NULL WHEN spi >= 2 THEN 'extremely wet' WHEN spi >= 1.5 THEN 'very wet' WHEN spi >= 1 THEN 'moderately wet' WHEN spi > -1 THEN 'near normal' WHEN spi > -1.5 THEN 'moderately dry' WHEN spi > -2 THEN 'severely dry' ELSE 'extremely dry' END AS label FROM s""",
     "water_balance": """WITH y AS (SELECT CAST(year(l_shipdate) AS INT) AS year, CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE) AS ppt, CAST(sum(CAST(l_quantity * l_discount AS DECIMAL(18,4))) AS DOUBLE) AS aet,
   CAST(sum(CAST(l_quantity * 2 AS DECIMAL(18,4))) AS DOUBLE) AS pet, CAST(sum(CAST(l_quantity * l_tax AS DECIMAL(18,4))) AS DOUBLE) AS q FROM lineitem GROUP BY 1)
 SELECT *, ppt - aet - q AS residual, q / nullif(ppt, 0) AS runoff_coefficient, ppt / nullif(pet, 0) AS aridity FROM y""",

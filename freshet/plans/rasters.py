@@ -22,13 +22,21 @@ def degree_box(spark, sf_dir):
 
 
 def _at(spark, sf_dir):
-    return _cells(spark, sf_dir).select("layer", (F.col("col") * 0.3 + 0.11).alias("x"), (20 - F.col("row") * 0.4).alias("y"), "value")
+    return _cells(spark, sf_dir).select("layer", "row", "col", (F.col("col") * 0.3 + 0.11).alias("x"), (20 - F.col("row") * 0.4).alias("y"), "value")
 
 
 def align(spark, sf_dir):
     return grids.align(_at(spark, sf_dir), 0.0, 21.0, 0.7)
 
 
+def align_finer(spark, sf_dir):
+    return grids.align(_at(spark, sf_dir), 0.05, 20.9, 0.13)
+
+
+def align_mean(spark, sf_dir):
+    return grids.align(_at(spark, sf_dir), 0.0, 21.0, 0.7, mean=True)
+
+
 def sample(spark, sf_dir):
     k = F.col("s_suppkey")
     points = read(spark, sf_dir, "supplier").select(k.alias("id"), (k * 7 % 61 * 1.0).alias("x"), (k * 5 % 53 * -1.0).alias("y"))
@@ -103,7 +111,7 @@ def elevation_histogram(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        valid_points, degree_box, align, sample, stride, within_budget, within_budget_classes, composite_last, composite_mean, compare_products, depth_medians, ice_summary, largest_shares, quality_report,
+        valid_points, degree_box, align, align_finer, align_mean, sample, stride, within_budget, within_budget_classes, composite_last, composite_mean, compare_products, depth_medians, ice_summary, largest_shares, quality_report,
         compare_basins, aspect_rose, elevation_histogram,
     )
 }
@@ -115,13 +123,25 @@ def _surfaces() -> str:
     return ORACLE["surfaces"]
 
 
+def _nearest(west: float, north: float, step: float) -> str:
+    """The target cells whose centre lies in the source, each with the source cell that holds it."""
+    return f"""WITH {_CELLS}, m AS (SELECT max("row") AS rows, max(col) AS cols FROM cells),
+tx AS (SELECT k, CAST(floor(({west}e0 + (k + 0.5e0) * {step}e0 - 0.11e0) / 0.3e0 + 0.5e0) AS INT) AS c FROM (SELECT unnest(range(-5, 300)) AS k)),
+ty AS (SELECT k, CAST(floor((-{north}e0 + (k + 0.5e0) * {step}e0 + 20e0) / 0.4e0 + 0.5e0) AS INT) AS r FROM (SELECT unnest(range(-20, 4000)) AS k))
+SELECT layer, CAST(ty.k AS INT) AS "row", CAST(tx.k AS INT) AS col, v AS value FROM cells JOIN tx ON c = col JOIN ty ON r = "row" """
+
+
 ORACLE = {
     "valid_points": """SELECT s_suppkey AS id, s_suppkey * 4e0 - 200 AS lon, CASE WHEN s_suppkey % 11 = 0 OR s_suppkey % 13 = 0 THEN 'not a number' WHEN s_suppkey * 1.5 - 60 NOT BETWEEN -90 AND 90 THEN 'latitude'
   WHEN s_suppkey * 4e0 - 200 NOT BETWEEN -180 AND 180 THEN 'longitude' END AS problem FROM supplier""",
     "degree_box": """WITH p AS (SELECT s_suppkey AS id, s_suppkey * 1.5e0 - 60 AS lat, s_suppkey * 3e0 AS lon, s_nationkey / 110.574e0 AS dy, s_nationkey / greatest(111.32e0 * cos(radians(s_suppkey * 1.5e0 - 60)), 1e-6) AS dx FROM supplier)
 SELECT id, round(lon - dx, 6) AS west, round(lat - dy, 6) AS south, round(lon + dx, 6) AS east, round(lat + dy, 6) AS north FROM p""",
-    "align": f"""WITH {_CELLS}, p AS (SELECT layer, col * 0.3e0 + 0.11e0 AS x, 20 - "row" * 0.4e0 AS y, v FROM cells), g AS (SELECT layer, CAST(floor((21e0 - y) / 0.7e0) AS INT) AS "row", CAST(floor((x - 0e0) / 0.7e0) AS INT) AS col, x, y, v FROM p)
-SELECT layer, "row", col, first(v ORDER BY y DESC, x) FILTER (v IS NOT NULL) AS value FROM g GROUP BY ALL""",
+    "align": _nearest(0.0, 21.0, 0.7),
+    "align_finer": _nearest(0.05, 20.9, 0.13),
+    "align_mean": f"""WITH {_CELLS}, p AS (SELECT col * 0.3e0 - 0.04e0 AS x0, col * 0.3e0 + 0.26e0 AS x1, -20 + "row" * 0.4e0 - 0.2e0 AS y0, -20 + "row" * 0.4e0 + 0.2e0 AS y1, v FROM cells),
+tx AS (SELECT k, k * 0.7e0 AS a FROM (SELECT unnest(range(-2, 60)) AS k)), ty AS (SELECT k, -21 + k * 0.7e0 AS b FROM (SELECT unnest(range(-2, 600)) AS k)),
+o AS (SELECT ty.k AS "row", tx.k AS col, v, round(least(a + 0.7e0, x1) - greatest(a, x0), 9) AS wx, round(least(b + 0.7e0, y1) - greatest(b, y0), 9) AS wy FROM p JOIN tx ON a < x1 AND a + 0.7e0 > x0 JOIN ty ON b < y1 AND b + 0.7e0 > y0)
+SELECT 0 AS layer, CAST("row" AS INT) AS "row", CAST(col AS INT) AS col, round(sum(CASE WHEN v IS NOT NULL THEN wx * wy * v END) / sum(CASE WHEN v IS NOT NULL THEN wx * wy END), 6) AS value FROM o WHERE wx > 0 AND wy > 0 GROUP BY ALL""",
     "sample": f"""WITH {_CELLS}, p AS (SELECT s_suppkey AS id, CAST(floor((0.5e0 + s_suppkey * 5 % 53) / 1e0) AS INT) AS r, CAST(floor(s_suppkey * 7 % 61 + 0.5e0) AS INT) AS c FROM supplier)
 SELECT id, v AS value FROM p LEFT JOIN cells ON "row" = r AND col = c""",
     "stride": f'WITH {_CELLS} SELECT "row", col, v AS value FROM cells WHERE "row" % 4 = 0 AND col % 4 = 0',

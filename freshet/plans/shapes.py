@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from freshet.operators import morphometry, polygons
+from freshet.operators import morphometry, polygons, rings
 from freshet.plans.queries import _CELLS, _cells
+from freshet.sources import ledger
 from freshet.sources.grids import read
 
 
@@ -97,9 +98,39 @@ def mask_outline(spark, sf_dir):
     return polygons.mask_outline(_cells(spark, sf_dir), F.col("size") % 3 == 0)
 
 
+def _ring_areas(made):
+    """poly, shells, holes and area of rings."""
+    cross = F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")
+    each = rings.edges(made).groupBy("poly", "ring").agg((F.sum(cross) / 2).alias("area"))
+    return each.groupBy("poly").agg(F.count_if(F.col("area") > 0).alias("shells"), F.count_if(F.col("area") < 0).alias("holes"), F.round(F.sum("area"), 6).alias("area"))
+
+
+def mask_rings(spark, sf_dir):
+    """Shells and area of the rings about a mask: as many shells as pieces that hang together by sides of cells."""
+    return _ring_areas(rings.assemble(polygons.mask_outline(_cells(spark, sf_dir), F.col("size") % 3 != 0))).drop("holes")
+
+
+def _bricks(spark, sf_dir):
+    """A wall of bricks, one for each supplier, every other course shifted by half a brick and a millionth off."""
+    k = F.col("s_suppkey")
+    course, at = F.floor(k / 10), k % 10
+    corner = F.posexplode(F.array(*[F.struct(F.lit(a).alias("sx"), F.lit(b).alias("sy")) for a, b in ((0.0, 0.0), (2.0, 0.0), (2.0, 1.0), (0.0, 1.0))]))
+    v = read(spark, sf_dir, "supplier").select(k.alias("poly"), course.alias("course"), at.alias("at"), corner.alias("seq", "c"))
+    return v.select("poly", F.lit(0).alias("ring"), "seq", (F.col("at") * 2 + F.col("course") % 2 + F.col("at") % 3 * 1e-6 + F.col("c.sx")).alias("x"), (F.col("course") + F.col("c.sy")).alias("y"))
+
+
+def union_features(spark, sf_dir):
+    """Bricks of each nation to a union, to rings, to GeoJSON and back: parts, holes and area."""
+    group = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("poly"), (F.col("s_suppkey") % 7 % 2).alias("grp"))
+    made = rings.assemble(rings.union(polygons.edges(_bricks(spark, sf_dir)), group))
+    text = ledger.features(made, group.select(F.col("grp").alias("poly")).distinct().withColumn("name", F.concat(F.lit("g"), "poly")))
+    found = _ring_areas(ledger.read_features(text))
+    return found.select("poly", F.round("area", 3).alias("area"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (morphometry_linear, morphometry_areal, morphometry_relief, morphometry_warnings, basin_length, point_in_polygon, polygon_measures, lines_meet, dissolve, clip_raster, mask_outline)
+    for f in (morphometry_linear, morphometry_areal, morphometry_relief, morphometry_warnings, basin_length, point_in_polygon, polygon_measures, lines_meet, dissolve, clip_raster, mask_outline, mask_rings, union_features)
 }
 
 _ORDERS = """o AS (SELECT p_brand AS basin, CAST(CASE WHEN p_size < 30 THEN 1 WHEN p_size < 42 THEN 2 ELSE 3 END AS INT) AS "order", count(*) AS streams, CAST(sum(CAST(floor(p_retailprice) AS DECIMAL(28,6))) AS DOUBLE) AS length
@@ -157,7 +188,8 @@ m AS (SELECT a.poly, abs(sum(a.x * b.y - b.x * a.y)) / 2 AS area, sum(sqrt(pow(b
 SELECT poly, round(area / 1e6, 3) AS area_km2, round(perimeter / 1e3, 3) AS perimeter_km, round(area / box, 6) AS box_efficiency FROM m""",
     "lines_meet": f"""WITH {_VERTICES}, l AS (SELECT s_suppkey AS id, s_suppkey * 17 % 503 / 10e0 AS a1, s_suppkey * 29 % 499 / 10e0 AS b1, s_suppkey * 17 % 503 / 10e0 + s_suppkey % 7 - 2.5e0 AS a2, s_suppkey * 29 % 499 / 10e0 + s_suppkey % 5 - 1.3e0 AS b2 FROM supplier),
 s AS (SELECT id, a1 AS x, b1 AS y FROM l)
-SELECT id, poly FROM l, e WHERE {_side(('a1', 'b1'), ('a2', 'b2'), ('x1', 'y1'))} * {_side(('a1', 'b1'), ('a2', 'b2'), ('x2', 'y2'))} < 0 AND {_side(('x1', 'y1'), ('x2', 'y2'), ('a1', 'b1'))} * {_side(('x1', 'y1'), ('x2', 'y2'), ('a2', 'b2'))} < 0
+SELECT id, poly FROM l, e WHERE {_side(('a1', 'b1'), ('a2', 'b2'), ('x1', 'y1'))} * {_side(('a1', 'b1'), ('a2', 'b2'), ('x2', 'y2'))} <= 0 AND {_side(('x1', 'y1'), ('x2', 'y2'), ('a1', 'b1'))} * {_side(('x1', 'y1'), ('x2', 'y2'), ('a2', 'b2'))} <= 0
+  AND greatest(least(a1, a2), least(x1, x2)) <= least(greatest(a1, a2), greatest(x1, x2)) AND greatest(least(b1, b2), least(y1, y2)) <= least(greatest(b1, b2), greatest(y1, y2))
 UNION (SELECT id, poly FROM s, e WHERE {_HIT} GROUP BY ALL HAVING count(*) % 2 = 1)""",
     "dissolve": """WITH q AS (SELECT n_regionkey AS poly, n_nationkey % 5 * 10e0 AS x, floor(n_nationkey / 5) * 10e0 AS y FROM nation),
 s AS (SELECT poly, x + a AS x1, y + b AS y1, x + c AS x2, y + d AS y2 FROM q, (VALUES (0, 0, 10, 0), (10, 0, 10, 10), (10, 10, 0, 10), (0, 10, 0, 0)) t(a, b, c, d))
@@ -165,6 +197,11 @@ SELECT poly, 0 AS ring, x1, y1, x2, y2 FROM s a WHERE NOT EXISTS (SELECT 1 FROM
     "clip_raster": f"""WITH {_CELLS}, {_VERTICES}, i AS (SELECT "row", col FROM (SELECT "row", col, CAST(col AS DOUBLE) AS x, CAST("row" AS DOUBLE) AS y FROM cells), e WHERE poly = 12 AND {_HIT} GROUP BY ALL HAVING count(*) % 2 = 1),
 f AS (SELECT min("row") AS r0, max("row") AS r1, min(col) AS c0, max(col) AS c1 FROM i)
 SELECT layer, c."row", c.col, CASE WHEN i.col IS NOT NULL THEN v END AS value FROM cells c JOIN f ON c."row" BETWEEN r0 AND r1 AND c.col BETWEEN c0 AND c1 LEFT JOIN i ON i."row" = c."row" AND i.col = c.col""",
+    "mask_rings": f"""WITH RECURSIVE {_CELLS}, a AS (SELECT "row" AS r, col AS k FROM cells WHERE size % 3 <> 0),
+l(r, k, c) USING KEY (r, k) AS (SELECT r, k, r * 100 + k FROM a UNION SELECT b.r, b.k, min(l.c) FROM l JOIN a b ON b.r BETWEEN l.r - 1 AND l.r + 1 AND b.k BETWEEN l.k - 1 AND l.k + 1 AND abs(b.r - l.r) + abs(b.k - l.k) = 1
+  JOIN recurring.l now ON now.r = b.r AND now.k = b.k WHERE l.c < now.c GROUP BY b.r, b.k)
+SELECT 0 AS poly, count(DISTINCT c) AS shells, CAST(count(*) AS DOUBLE) AS area FROM l""",
+    "union_features": "SELECT s_suppkey % 7 % 2 AS poly, CAST(count(*) * 2 AS DOUBLE) AS area FROM supplier GROUP BY 1",
     "mask_outline": f"""WITH {_CELLS}, s AS (SELECT layer AS poly, CAST(col + a AS DOUBLE) AS x1, CAST(b - "row" - 1 AS DOUBLE) AS y1, CAST(col + c AS DOUBLE) AS x2, CAST(d - "row" - 1 AS DOUBLE) AS y2
   FROM cells, (VALUES (0, 0, 1, 0), (1, 0, 1, 1), (1, 1, 0, 1), (0, 1, 0, 0)) t(a, b, c, d) WHERE size % 3 = 0)
 SELECT poly, 0 AS ring, x1, y1, x2, y2 FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE a.x1 = b.x2 AND a.y1 = b.y2 AND a.x2 = b.x1 AND a.y2 = b.y1)""",

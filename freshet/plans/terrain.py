@@ -92,7 +92,8 @@ def link_lengths(spark, sf_dir):
 
 def knickpoints(spark, sf_dir):
     parts = read(spark, sf_dir, "part")
-    z = F.col("p_partkey") * 0.05 + F.when(F.col("p_partkey") % 1000 > 500, 120.0).otherwise(0.0)
+    z = F.col("p_partkey") * 0.05 + F.col("p_partkey") * 37 % 11 * 0.25 + F.when(F.col("p_partkey") % 1000 > 500, 120.0).otherwise(0.0)
+    z = F.when(F.col("p_partkey") % 17 != 0, z)  # some heights are missing
     return landscape.knickpoints(parts.select(F.col("p_brand").alias("trunk"), F.col("p_partkey").cast("double").alias("chi"), z.alias("z")))
 
 
@@ -237,6 +238,16 @@ SELECT 0 AS layer, lev.r AS "row", lev.k AS col, l - z AS hand FROM lev LEFT JOI
     "pour_point_basins": f"""WITH RECURSIVE {_ROUTED}, o AS (SELECT CAST(r * 100 + k AS BIGINT) AS outlet, r, k, n FROM area WHERE n >= 30 QUALIFY row_number() OVER (PARTITION BY r // 25, k // 25 ORDER BY n DESC, r, k) = 1),
 own AS (SELECT w.r, w.k, arg_min(outlet, s) AS outlet FROM walk w JOIN o ON o.r = r1 AND o.k = k1 GROUP BY ALL)
 SELECT 0 AS layer, own.outlet, count(*) AS own_cells, any_value(n) AS area FROM own JOIN o USING (outlet) GROUP BY ALL""",
+    "knickpoints": """WITH RECURSIVE q AS (SELECT p_brand AS trunk, CAST(p_partkey AS DOUBLE) AS chi, CASE WHEN p_partkey % 17 <> 0 THEN p_partkey * 0.05e0 + p_partkey * 37 % 11 * 0.25e0 + CASE WHEN p_partkey % 1000 > 500 THEN 120e0 ELSE 0e0 END END AS z FROM part),
+p AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY trunk) AS n, lag(chi) OVER w AS ca, lead(chi) OVER w AS cb, lag(z) OVER w AS za, lead(z) OVER w AS zb FROM q WHERE z IS NOT NULL WINDOW w AS (PARTITION BY trunk ORDER BY chi, z)),
+g AS (SELECT *, CASE WHEN ca IS NULL THEN (zb - z) / (cb - chi) WHEN cb IS NULL THEN (z - za) / (chi - ca)
+  ELSE (z - za) / (chi - ca) * (cb - chi) / (cb - ca) + (zb - z) / (cb - chi) * (chi - ca) / (cb - ca) END AS g FROM p WHERE n >= 27),
+m AS (SELECT *, quantile_cont(g, 0.5) OVER (PARTITION BY trunk) AS mid FROM g), s AS (SELECT *, quantile_cont(abs(g - mid), 0.5) OVER (PARTITION BY trunk) AS dev FROM m),
+sc AS (SELECT *, (g - mid) / (1.4826e0 * CASE WHEN dev > 0 THEN dev ELSE 1e-9 END) AS score FROM s),
+e AS (SELECT *, coalesce(min(CASE WHEN score <= 1.5 THEN i END) OVER (PARTITION BY trunk ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), n - 1) AS j FROM sc),
+c AS (SELECT e.trunk, e.i, e.j, e.chi, e.z, f.z - e.z AS step, e.score FROM e JOIN e f ON f.trunk = e.trunk AND f.i = e.j WHERE e.score > 3 AND e.i BETWEEN 9 AND e.n - 10),
+k AS (SELECT trunk, min(i) AS i FROM c GROUP BY 1 UNION ALL SELECT k.trunk, min(d.i) FROM k JOIN c ON c.trunk = k.trunk AND c.i = k.i JOIN c d ON d.trunk = k.trunk AND d.i >= c.j + 9 GROUP BY 1)
+SELECT trunk, chi, z AS elevation, round(step, 6) AS step, round(score, 6) AS sigma FROM k JOIN c USING (trunk, i) WHERE step >= 30""",
     "stream_burning": f"""WITH {_CELLS}, q AS (SELECT s_suppkey AS line, seq, CAST(s_suppkey * 7 % 40 + seq // 3 AS INT) AS r, CAST(s_suppkey * 11 % 50 + seq AS INT) AS k FROM supplier, (SELECT unnest(range(15)) AS seq)),
 o AS (SELECT q.*, v - 20 AS z FROM q JOIN cells ON "row" = r AND col = k WHERE v IS NOT NULL), e AS (SELECT line, arg_min(z, seq) > arg_max(z, seq) AS back FROM o GROUP BY 1),
 f AS (SELECT o.*, row_number() OVER (PARTITION BY o.line ORDER BY CASE WHEN back THEN -seq ELSE seq END) AS n FROM o JOIN e USING (line)),

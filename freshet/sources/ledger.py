@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -65,20 +65,43 @@ def flat(rows: DataFrame, key: str) -> DataFrame:
 
 
 def features(rings: DataFrame, properties: DataFrame) -> DataFrame:
-    """poly and feature: GeoJSON of polygons (poly, ring, seq, x, y) with properties (poly, ...); a ring is closed by its first vertex."""
-    ring = rings.groupBy("poly", "ring").agg(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))).alias("v"))
+    """poly and feature: GeoJSON of polygons (poly, ring, seq, x, y) with properties (poly, ...); a ring is closed by its first vertex.
+
+    With a column shell (the ring that holds each hole, a shell's being itself) a polygon of several shells
+    is a MultiPolygon; without it the first ring is the shell of all.
+    """
+    shell = F.col("shell") if "shell" in rings.columns else F.min("ring").over(Window.partitionBy("poly"))
+    ring = rings.withColumn("shell", shell).groupBy("poly", "shell", "ring").agg(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))).alias("v"))
     points = F.transform(F.concat("v", F.slice("v", 1, 1)), lambda p: F.array(p["x"], p["y"]))
-    polygon = ring.groupBy("poly").agg(F.transform(F.sort_array(F.collect_list(F.struct("ring", points.alias("p")))), lambda r: r["p"]).alias("coordinates"))
-    geometry = F.struct(F.lit("Polygon").alias("type"), "coordinates")
+    # a shell comes before its holes
+    part = ring.groupBy("poly", "shell").agg(F.transform(F.sort_array(F.collect_list(F.struct((F.col("ring") != F.col("shell")).alias("hole"), "ring", points.alias("p")))), lambda r: r["p"]).alias("part"))
+    parts = part.groupBy("poly").agg(F.transform(F.sort_array(F.collect_list(F.struct("shell", "part"))), lambda x: x["part"]).alias("parts"))
     named = properties.select("poly", F.struct(*[c for c in properties.columns if c != "poly"]).alias("properties"))
-    return polygon.join(named, "poly").select("poly", F.to_json(F.struct(F.lit("Feature").alias("type"), "properties", geometry.alias("geometry"))).alias("feature"))
+
+    def feature(kind: str, coordinates: Column) -> Column:
+        return F.to_json(F.struct(F.lit("Feature").alias("type"), "properties", F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")).alias("geometry")))
+
+    one = F.size("parts") == 1
+    return parts.join(named, "poly").select("poly", F.when(one, feature("Polygon", F.get("parts", F.lit(0)))).otherwise(feature("MultiPolygon", F.col("parts"))).alias("feature"))
 
 
 def read_features(lines: DataFrame) -> DataFrame:
-    """poly, ring, seq, x, y of GeoJSON features (poly, feature), as features() writes them."""
-    kind = "struct<geometry: struct<type: string, coordinates: array<array<array<double>>>>>"
-    rings = lines.select("poly", F.posexplode(F.from_json("feature", kind)["geometry"]["coordinates"]).alias("ring", "p"))
-    points = rings.select("poly", "ring", F.posexplode(F.slice("p", 1, F.size("p") - 1)).alias("seq", "v"))
+    """poly, ring, seq, x, y of GeoJSON (poly, feature): a feature, a collection of them or a geometry in each row.
+
+    Polygons and multipolygons; rings are numbered through in the order of the text, and which are holes
+    tells their direction. Any other geometry is an error, null geometries have no rings.
+    """
+    kind = "struct<type: string, geometry: string, features: array<struct<geometry: string>>>"
+    read = lines.select("poly", "feature", F.from_json("feature", kind).alias("f"))
+    geometries = F.when(F.col("f.type") == "FeatureCollection", F.transform("f.features", lambda x: x["geometry"])).when(F.col("f.type") == "Feature", F.array("f.geometry")).otherwise(F.array("feature"))
+    each = read.select("poly", F.posexplode(geometries).alias("n", "g")).where("g is not null")
+    each = each.select("poly", "n", F.from_json("g", "struct<type: string, coordinates: string>").alias("g"))
+    rings, parts = "array<array<array<double>>>", "array<array<array<array<double>>>>"
+    of = F.when(F.col("g.type") == "Polygon", F.from_json("g.coordinates", rings)).when(F.col("g.type") == "MultiPolygon", F.flatten(F.from_json("g.coordinates", parts)))
+    of = of.otherwise(F.raise_error(F.concat(F.lit("no polygon: "), F.coalesce("g.type", F.lit("no type")))).cast(rings))
+    whole = each.groupBy("poly").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("n", of.alias("r")))), lambda x: x["r"])).alias("rings"))
+    out = whole.select("poly", F.posexplode("rings").alias("ring", "p"))
+    points = out.select("poly", "ring", F.posexplode(F.slice("p", 1, F.size("p") - 1)).alias("seq", "v"))
     return points.select("poly", "ring", "seq", F.col("v")[0].alias("x"), F.col("v")[1].alias("y"))
 
 

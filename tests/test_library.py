@@ -5,7 +5,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from freshet.operators import landscape, network, polygons
+from freshet.basin import Basin
+from freshet.operators import climate, flow, grids, landscape, network, polygons, rings, routing
 from freshet.operators.morphometry import basin_length
 from freshet.sources import ledger, tiles
 
@@ -16,6 +17,11 @@ def test_knickpoint_of_a_step(spark):
     assert [r.trunk for r in found] == ["step"] and found[0].step >= 40 and abs(found[0].chi - 199 * 25) <= 25
 
 
+def test_missing_heights_make_no_knickpoint(spark):
+    smooth = [("smooth", k * 25.0, 0.15 * k * 25 if k != 60 else None) for k in range(120)] + [("nan", k * 25.0, 0.15 * k * 25 if k != 60 else float("nan")) for k in range(120)]
+    assert landscape.knickpoints(spark.createDataFrame(smooth, "trunk string, chi double, z double")).count() == 0
+
+
 def test_concavity_of_a_power_law(spark):
     area = [10 ** (6.1 + 2.9 * k / 3999) for k in range(4000)]
     rows = spark.createDataFrame([(a, 0.3 * a**-0.47) for a in area], "area_m2 double, slope double")
@@ -59,6 +65,124 @@ def test_features_there_and_back(spark):
     assert sorted(map(tuple, ledger.read_features(made).collect())) == sorted(rows)
 
 
+def _net(made):
+    """Area of each shell with its holes taken away, and the corners of each ring, of rows of assemble()."""
+    by = {}
+    for r in made.collect():
+        by.setdefault((r.poly, r.ring, r.shell), []).append((r.seq, r.x, r.y))
+    area, corners = {}, {}
+    for (poly, ring, shell), v in by.items():
+        v = [p[1:] for p in sorted(v)]
+        corners[poly, ring] = v
+        area[poly, shell] = area.get((poly, shell), 0) + sum(a * d - c * b for (a, b), (c, d) in zip(v, v[1:] + v[:1], strict=True)) / 2
+    return area, corners
+
+
+def test_rings_of_masks(spark):
+    """A shell for each piece that hangs together by sides, simple rings, holes with the shell that holds them."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    masks = [(rng.random((9, 10)) < p).astype(int) for p in (0.4, 0.55, 0.7)] + [np.pad(np.pad(np.ones((1, 1), int), 1), 1, constant_values=1)]
+
+    def pieces(z):
+        left, out = set(zip(*np.nonzero(z), strict=True)), []
+        while left:
+            piece, front = set(), [left.pop()]
+            for r, c in front:
+                piece.add((r, c))
+                for q in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)):
+                    if q in left:
+                        left.remove(q)
+                        front.append(q)
+            out.append(piece)
+        return out
+
+    rows = [(k, int(r), int(c), int(v)) for k, z in enumerate(masks) for (r, c), v in np.ndenumerate(z)]
+    cells = spark.createDataFrame(rows, "layer int, row int, col int, inside int")
+    area, corners = _net(rings.assemble(polygons.mask_outline(cells, F.col("inside") == 1)))
+    assert all(len(set(v)) == len(v) for v in corners.values())
+    for k, z in enumerate(masks):
+        own = pieces(z)
+        assert sorted(a for (poly, _), a in area.items() if poly == k) == sorted(map(len, own))
+        holes = 0
+        for piece in own:
+            around = np.ones((z.shape[0] + 2, z.shape[1] + 2), int)
+            around[tuple(np.array(list(piece)).T + 1)] = 0
+            holes += len(pieces(around)) - 1
+        assert sum(1 for poly, _ in corners if poly == k) == len(own) + holes
+
+
+def test_union_of_edges_that_are_not_shared_whole(spark):
+    """Junctions in the middle of an edge, slivers, overlaps, one inside another, a hole that is filled."""
+    box = lambda p, x0, y0, x1, y1, ring=0, back=False: [(p, ring, k, float(x), float(y)) for k, (x, y) in enumerate(((x0, y0), (x1, y0), (x1, y1), (x0, y1))[:: -1 if back else 1])]
+    rows = box(1, 0, 0, 10, 10) + box(2, 10, 0, 20, 4) + box(3, 10 + 4e-6, 4, 20, 10) + box(4, 30, 0, 40, 10) + box(5, 35, 5, 45, 15) + box(6, 32, 2, 34, 4)
+    rows += box(7, 50, 0, 60, 10) + box(7, 52, 2, 58, 8, 1, True) + box(8, 52, 2, 58, 8) + box(9, 70, 0, 80, 10) + box(9, 72, 2, 78, 8, 1, True) + box(10, 73, 3, 75, 5)
+    edges = polygons.edges(spark.createDataFrame(rows, "poly int, ring int, seq int, x double, y double"))
+    group = spark.createDataFrame([(1, "t"), (2, "t"), (3, "t"), (4, "o"), (5, "o"), (6, "o"), (7, "f"), (8, "f"), (9, "i"), (10, "i")], "poly int, grp string")
+    area, corners = _net(rings.assemble(rings.union(edges, group)))
+    assert {k: round(v, 3) for k, v in area.items()} == {("t", 0): 200, ("o", 0): 175, ("f", 0): 100, ("i", 0): 64, ("i", 1): 4}
+    assert len(corners["t", 0]) == 4 and len(corners["o", 0]) == 8
+
+
+def test_basins_as_polygons(spark, tmp_path):
+    square = lambda p, x, y: [(p, 0, k, x + a, y + b) for k, (a, b) in enumerate(((0.0, 0.0), (0.1, 0.0), (0.1, 0.1), (0.0, 0.1)))]
+    units = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 9)], "id long, next long")
+    polys = spark.createDataFrame(square(1, 10.0, 50.0) + square(2, 10.1, 50.0) + square(3, 10.1, 50.1) + square(4, 10.0, 50.1), "poly long, ring int, seq int, x double, y double")
+    basin = Basin.from_point(units, polys, (10.05, 50.05))
+    assert basin.provenance == {"backend": "units", "point": [10.05, 50.05], "outlet": 1, "units": 3} and basin.rings.count() == 6
+    with pytest.raises(ValueError):
+        Basin.from_point(units, polys, (0.0, 0.0))
+    text = basin.feature(name="upper")
+    again = Basin.from_geometry(spark, text, source="text")
+    assert again.measures()["area_km2"] == pytest.approx(basin.measures()["area_km2"]) and '"name":"upper"' in text
+    multi = '{"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "MultiPolygon", "coordinates": [[[[0, 0], [2, 0], [2, 2], [0, 2], [0, 0]]], [[[5, 5], [6, 5], [6, 6], [5, 5]]]]}}, {"type": "Feature", "geometry": null}]}'
+    (tmp_path / "b.json").write_text(multi + "\n" + text + "\n")
+    assert Basin.from_file(spark, str(tmp_path / "b.json")).rings.count() == 4 + 3 + 6
+    with pytest.raises(Exception, match="no polygon: Point"):
+        Basin.from_geometry(spark, '{"type": "Point", "coordinates": [1, 2]}').rings.collect()
+    two = rings.assemble(polygons.edges(spark.createDataFrame(square(1, 0.0, 0.0) + [(1, 1, *r[2:]) for r in square(1, 1.0, 1.0)], "poly int, ring int, seq int, x double, y double")))
+    made = ledger.features(two, spark.createDataFrame([(1, "x")], "poly int, name string"))
+    assert '"MultiPolygon"' in made.first().feature and ledger.read_features(made).count() == 8
+    slope = spark.range(36).select(F.lit(0).alias("layer"), F.floor(F.col("id") / 6).cast("int").alias("row"), (F.col("id") % 6).cast("int").alias("col"), (F.abs(F.col("id") % 6 - 2) * 5.0 - F.floor(F.col("id") / 6) + 50).alias("value"))
+    tiles = flow.route(routing.fill(slope, 4), 4)
+    cells = {(r.row, r.col): r.area for r in flow.cells(tiles, 4).collect()}
+    valley = Basin.from_surface(tiles, (5, 2), 10.0, 50.0, 0.01, 4)
+    area = sum(r.x1 * r.y2 - r.x2 * r.y1 for r in valley.edges.collect()) / 2
+    assert area == pytest.approx(cells[5, 2] * 1e-4) and cells[5, 2] > 6
+
+
+def test_lines_that_touch(spark):
+    box = polygons.edges(spark.createDataFrame([(1, 0, k, float(x), float(y)) for k, (x, y) in enumerate(((0, 0), (4, 0), (4, 4), (0, 4)))], "poly int, ring int, seq int, x double, y double"))
+    lines = [(1, -1, -1, 2, 2), (2, -1, -1, 5, 5), (3, -2, 4, 2, 4), (4, -1, 2, 5, 2), (5, -1, 5, 5, 5), (6, 4, 4, 6, 6), (7, 1, 1, 2, 2), (8, 5, 0, 9, 0), (9, -3, 2, 0, 2)]
+    table = spark.createDataFrame([(i, *map(float, v)) for i, *v in lines], "id int, x1 double, y1 double, x2 double, y2 double")
+    assert {r.id for r in polygons.lines_meet(table, box, 3.0).collect()} == {1, 2, 3, 4, 6, 7, 9}
+
+
+def test_totals_span_no_gap(spark):
+    months = [("a", f"{2000 + k // 12}-{k % 12 + 1:02d}-01", None if k == 5 else float(k)) for k in range(36) if k != 20]
+    found = climate.spi(spark.createDataFrame(months, "series string, t string, value double").withColumn("t", F.to_date("t")), 3, 1)
+    got = {(r.t.year - 2000) * 12 + r.t.month - 1 for r in found.collect()}
+    assert got == {k for k in range(2, 36) if not {k, k - 1, k - 2} & {5, 20}}
+    label = spark.createDataFrame([(2.5,), (-2.0,), (-1.0,), (0.0,), (None,)], "v double").select(climate.spi_label(F.col("v"))).collect()
+    assert [r[0] for r in label] == ["extremely wet", "extremely dry", "moderately dry", "near normal", None]
+
+
+def test_grids_align_without_holes(spark):
+    source = spark.createDataFrame([(0, r, c, c * 1.0, -r * 1.0, float(3 * r + c)) for r in range(3) for c in range(3)], "layer int, row int, col int, x double, y double, value double")
+    half = {(r.row, r.col): r.value for r in grids.align(source, -0.5, 0.5, 0.5).collect()}
+    assert half == {(r, c): float(3 * (r // 2) + c // 2) for r in range(6) for c in range(6)}
+    mean = {(r.row, r.col): r.value for r in grids.align(source, -0.5, 0.5, 1.5, mean=True).collect()}
+    assert mean[0, 0] == pytest.approx((0 + 0.5 * 1 + 0.5 * 3 + 0.25 * 4) / 2.25) and len(mean) == 4
+    shifted = {(r.row, r.col): r.value for r in grids.align(source, 0.0, 0.0, 1.0, mean=True).collect()}
+    assert shifted[0, 0] == 2.0 and len(shifted) == 16
+
+
+def test_nearest_threshold_is_chosen(spark):
+    cells = spark.createDataFrame([(1.0, 30.0, 0.5), (3.0, 40.0, 0.5)], "drained_km2 double, step_m double, area_km2 double")
+    assert {r.threshold_km2: r.chosen for r in landscape.density_curve(cells, 1.0, (0.6, 2.0)).collect()} == {0.6: True, 2.0: False}
+
+
 def test_files_and_manifest(spark, tmp_path):
     good = spark.range(5).select(F.col("id").alias("t"), (F.col("id") * 2).alias("value"))
     bad = good.select(F.raise_error(F.lit("no such layer")).alias("x"))
