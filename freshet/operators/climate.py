@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +37,90 @@ def trend(series: DataFrame) -> DataFrame:
     return both.select("n", "s", var.alias("var"), F.round(F.expr("(s - sign(s))") / F.sqrt(var), 6).alias("z"), "sen")
 
 
+def _pair_signs(y: np.ndarray) -> int:
+    """Rising pairs less falling ones, by merging sorted runs that double their length."""
+    n, s, width = len(y), 0, 1
+    run = y.copy()
+    while width < n:
+        for lo in range(0, n - width, 2 * width):
+            left, right = run[lo : lo + width], run[lo + width : lo + 2 * width]
+            below, up_to = np.searchsorted(left, right, "left"), np.searchsorted(left, right, "right")
+            s += int(below.sum() - (len(left) - up_to).sum())
+            run[lo : lo + 2 * width] = np.sort(run[lo : lo + 2 * width], kind="stable")
+        width *= 2
+    return s
+
+
+def _median_slope(t: np.ndarray, y: np.ndarray, most: int = 1 << 20) -> float | None:
+    """Sen's slope: the median over all pairs of different t, without holding more than about `most` of them.
+
+    The pairs' slopes are counted into ranges, row by row, and the range that holds the median is
+    narrowed until what lies in it can be sorted.
+    """
+    rows = [slice(lo, lo + max(1, most // len(t))) for lo in range(0, len(t), max(1, most // len(t)))]
+
+    def slopes(part: slice) -> np.ndarray:
+        dt = t[None, :] - t[part, None]
+        use = dt > 0
+        return (y[None, :] - y[part, None])[use] / dt[use]
+
+    ends = [(x.min(), x.max(), len(x)) for x in map(slopes, rows) if len(x)]
+    if not ends:
+        return None
+    total = sum(e[2] for e in ends)
+    out = []
+    for k in sorted({(total - 1) // 2, total // 2}):
+        low, high, before = min(e[0] for e in ends), max(e[1] for e in ends), 0
+        while True:
+            held = sum(int(((x >= low) & (x <= high)).sum()) for x in map(slopes, rows))
+            marks = np.linspace(low, high, 257)[1:-1]
+            if held <= most or not ((marks > low) & (marks < high)).any():
+                inside = np.concatenate([x[(x >= low) & (x <= high)] for x in map(slopes, rows)]) if held <= most else np.array([low])
+                out.append(np.partition(inside, k - before)[k - before] if held <= most else low)
+                break
+            counts = np.zeros(257, np.int64)
+            for x in map(slopes, rows):
+                counts[:256] += np.bincount(np.searchsorted(marks, x[(x >= low) & (x <= high)], "left"), minlength=256)
+            at = int(np.searchsorted(np.cumsum(counts), k - before, "right"))
+            before += int(counts[:at].sum())
+            if at:
+                low = np.nextafter(marks[at - 1], np.inf)
+            if at < 255:
+                high = marks[at]
+    return float(np.mean(out))
+
+
+def trends(series: DataFrame) -> DataFrame:
+    """key, n, s, var, z, p, sen, direction for each key of (key, t, value): a trend for each cell of a stack, say.
+
+    Mann-Kendall with ties corrected for, its two-sided p, and Sen's slope for a step of t. Nulls are left
+    out, rows of one t are ordered by value and make no slope; fewer than ten values give no row. A
+    key is one group, in memory of its own length.
+    """
+    kind = dict(series.dtypes)["key"]
+
+    def one(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values(["t", "value"], kind="stable")
+        x, y = t["t"].to_numpy(np.float64), t["value"].to_numpy(np.float64)
+        n = len(y)
+        if n < 10:
+            return pd.DataFrame(columns=["key", "n", "s", "var", "z", "p", "sen"])
+        s = _pair_signs(y)
+        for m in np.flatnonzero(np.unique(x, return_counts=True)[1] > 1):  # no order among rows of one t
+            at = np.unique(x)[m]
+            s -= _pair_signs(y[x == at])
+        same = np.unique(y, return_counts=True)[1].astype(object)
+        var = float(n * (n - 1) * (2 * n + 5) - (same * (same - 1) * (2 * same + 5)).sum()) / 18
+        z = (s - np.sign(s)) / var**0.5 if var > 0 else 0.0
+        return pd.DataFrame({"key": [t["key"].iloc[0]], "n": [n], "s": [s], "var": [var], "z": [z], "p": [math.erfc(abs(z) / 2**0.5)], "sen": [_median_slope(x, y)]})
+
+    known = series.where("value is not null and not isnan(value)").select("key", F.col("t").cast("double").alias("t"), F.col("value").cast("double").alias("value"))
+    found = known.groupBy("key").applyInPandas(one, f"key {kind}, n long, s long, var double, z double, p double, sen double")
+    sen = F.round("sen", 6)
+    direction = F.when(sen > 0, "increasing").when(sen < 0, "decreasing").when(sen == 0, "flat")
+    return found.select("key", "n", "s", "var", F.round("z", 6).alias("z"), F.round("p", 6).alias("p"), sen.alias("sen"), direction.alias("direction"))
+
+
 def rank_average(series: DataFrame) -> DataFrame:
     """t, value and the rank of a value in its calendar month, ties averaged."""
     month = F.month("t")

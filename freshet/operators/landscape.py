@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from freshet.operators.network import main_stem, path_sums
+from freshet.operators.network import main_stem, main_upstream, path_sums, path_window
 
 # Reference concavity and reference area in m2.
 THETA, A0 = 0.45, 1.0e6
@@ -41,6 +41,32 @@ def steepness(cells: DataFrame, theta: float = THETA, a0: float = A0, least_m2:
     )
 
 
+def smoothed(cells: DataFrame, n: int) -> DataFrame:
+    """id and z_fit of (id, next, z, area_m2): the mean of z over a cell, the n below it and the n above it on the main stem.
+
+    Fewer where the way ends; a cell without z has none. Heights count to a millionth.
+    """
+    down = path_window(cells, F.col("z"), n).select("id", F.col("total").alias("_d"), F.col("count").alias("_dn"))
+    up = main_upstream(cells, F.col("area_m2")).join(cells.select("id", "z"), "id")
+    up = path_window(up, F.col("z"), n).select("id", F.col("total").alias("_u"), F.col("count").alias("_un"))
+    both = cells.select("id", "z").join(down, "id").join(up, "id")
+    return both.select("id", F.when(F.col("z").isNotNull(), (F.col("z").cast("decimal(20,6)") + F.col("_d") + F.col("_u")).cast("double") / (1 + F.col("_dn") + F.col("_un"))).alias("z_fit"))
+
+
+def steepness_fit(cells: DataFrame, n: int, theta: float = THETA, least_m2: float = 1.0e6) -> DataFrame:
+    """id, slope_fit and ksn_smoothed of (id, next, z, area_m2, step_m) after heights are averaged along the flow over n cells either way.
+
+    For the fit of concavity, which noise from cell to cell would bias; ksn itself is not smoothed, as
+    that would flatten steep reaches. n of 0 leaves the heights as they are. Null off the channels.
+    """
+    fit = cells.join(smoothed(cells, n), "id")
+    ahead = fit.select(F.col("id").alias("_id"), F.col("z_fit").alias("_z"))
+    ok = (F.col("step_m") > 0) & (F.col("area_m2") > 0) & (F.col("area_m2") >= least_m2)
+    slope = F.when(ok, F.greatest(F.col("z_fit") - F.col("_z"), F.lit(0.0)) / F.col("step_m"))
+    both = fit.join(ahead, F.col("next") == F.col("_id"), "left")
+    return both.select("id", "area_m2", F.round(slope, 9).alias("slope_fit"), F.round(slope * F.pow(F.col("area_m2"), F.lit(theta)), 6).alias("ksn_smoothed"))
+
+
 def concavity(channels: DataFrame, least_m2: float = 1.0e6, bins: int = 30, in_bin: int = 10, least_bins: int = 5, least_cells: int = 50) -> DataFrame:
     """One row: theta, ks, bins, cells, r2 of the fit of log median slope on log area by bins of equal width.
 

@@ -122,6 +122,43 @@ def path_sums(tree: DataFrame, weights: dict[str, Column], stops: Column | None
     return state.select("id", F.when(F.col("done"), F.col("to")).alias("root"), *[F.when(F.col("done"), F.col(n)).alias(n) for n in names])
 
 
+def path_window(tree: DataFrame, value: Column, n: int) -> DataFrame:
+    """id, total and count of a value over the next n units down from each unit, itself left out; fewer where the way ends.
+
+    Sums over 1, 2, 4, ... units are made of each other, and n of those it is the sum of, so n takes
+    2 log2(n) joins. Nulls don't count. Totals are decimals and don't depend on the order of rows.
+    """
+    from freshet.operators.lineage import Written
+
+    v = value.cast("decimal(20,6)")
+    ahead = tree.select(F.col("id").alias("_id"), F.coalesce(v, F.lit(0)).cast("decimal(28,6)").alias("s"), v.isNotNull().cast("int").alias("c"))
+    power = Written(tree.join(ahead, F.col("next") == F.col("_id")).select("id", F.col("_id").alias("to"), "s", "c"))
+    out = Written(tree.select("id", F.col("id").alias("at"), F.lit(0).cast("decimal(28,6)").alias("total"), F.lit(0).alias("count")))
+    left = n
+    while left:
+        step = power.table.select(F.col("id").alias("_id"), F.col("to").alias("_to"), F.col("s").alias("_s"), F.col("c").alias("_c"))
+        if left % 2:
+            met = out.table.join(step, F.col("at") == F.col("_id"), "left")
+            new = Written(met.select("id", F.col("_to").alias("at"), (F.col("total") + F.coalesce("_s", F.lit(0))).cast("decimal(28,6)").alias("total"), (F.col("count") + F.coalesce("_c", F.lit(0))).alias("count")))
+            out.drop()
+            out = new
+        left //= 2
+        if left:
+            # a way that ends before is summed up to its end
+            met = power.table.join(step, F.col("to") == F.col("_id"), "left")
+            new = Written(met.select("id", F.col("_to").alias("to"), (F.col("s") + F.coalesce("_s", F.lit(0))).cast("decimal(28,6)").alias("s"), (F.col("c") + F.coalesce("_c", F.lit(0))).alias("c")))
+            power.drop()
+            power = new
+    power.drop()
+    return out.table.select("id", "total", "count")
+
+
+def main_upstream(tree: DataFrame, area: Column) -> DataFrame:
+    """id and next, where next is the unit with the largest area of those that drain to id, ties to the larger id; null at a source."""
+    best = tree.where("next is not null").groupBy(F.col("next").alias("_below")).agg(F.max(F.struct(area.alias("a"), "id"))["id"].alias("_best"))
+    return tree.select("id").join(best, F.col("id") == F.col("_below"), "left").select("id", F.col("_best").alias("next"))
+
+
 def routing_check(tree: DataFrame) -> DataFrame:
     """One row: units, terminal_units, dangling_next, units_in_a_cycle (or on the way into one), single_outlet."""
     walked = path_sums(tree, {}).select("id", F.col("root").isNull().alias("lost"))

@@ -84,6 +84,12 @@ def trend_significance(spark, sf_dir):
     return series.significance(climate.trend(_monthly(spark, sf_dir)), 12.0)
 
 
+def cell_trends(spark, sf_dir):
+    """A trend for each cell of a stack: prices of a clerk's orders in the order of their keys."""
+    o = read(spark, sf_dir, "orders")
+    return climate.trends(o.select((F.col("o_orderkey") % 150).alias("key"), F.floor(F.col("o_orderkey") / 150).alias("t"), F.round(F.col("o_totalprice") / 1e4).alias("value")))
+
+
 def median_and_spread(spark, sf_dir):
     return series.median_and_spread(read(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice")
 
@@ -225,7 +231,7 @@ def reservoirs(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        outlet_check, outlet_unit, choose_backend, suitability, landcover_agreement, terrain_quality, envelope_axes, envelope_position, delineation_grade, rainfall_extremes, wet_season, trend_significance,
+        outlet_check, outlet_unit, choose_backend, suitability, landcover_agreement, terrain_quality, envelope_axes, envelope_position, delineation_grade, rainfall_extremes, wet_season, trend_significance, cell_trends,
         median_and_spread, linear_fit, mann_whitney, accuracy_by_size, as_of_reach, missing_months, river_measures, profile_shape, tile_names, mosaic, item_search, item_search_report, band_values, open_items,
         attributes, water_shares, indices, licence_report, ledger_state, ragged_union, flat_rows, snow_sectors, terrain_stats, reservoirs,
     )
@@ -296,6 +302,14 @@ SELECT id, CASE WHEN outside <> '' THEN 'outside' WHEN edge <> '' THEN 'edge' EL
     "rainfall_extremes": f"""WITH a AS ({BASE['annual_total']}) SELECT count(*) AS n, CAST(sum(CAST(total AS DECIMAL(28,4))) AS DOUBLE) / count(*) AS mean, min(total) AS least, (SELECT year FROM a ORDER BY total, year LIMIT 1) AS least_year,
   max(total) AS most, (SELECT year FROM a ORDER BY total DESC, year LIMIT 1) AS most_year FROM a""",
     "wet_season": f"WITH m AS ({BASE['monthly_climatology']}) SELECT (SELECT month FROM m ORDER BY mean DESC, month LIMIT 1) AS wettest_month, round(sum(mean) FILTER (month BETWEEN 6 AND 9) / sum(mean) * 100, 6) AS season_pct FROM m",
+    "cell_trends": """WITH v AS (SELECT o_orderkey % 150 AS key, o_orderkey // 150 AS t, round(o_totalprice / 1e4) AS y FROM orders),
+p AS (SELECT a.key, CAST(sum(sign(b.y - a.y)) AS BIGINT) AS s, round(quantile_cont((b.y - a.y) / (b.t - a.t), 0.5), 6) AS sen FROM v a JOIN v b ON a.key = b.key AND a.t < b.t GROUP BY 1),
+m AS (SELECT key, y, count(*) AS m FROM v GROUP BY ALL), n AS (SELECT key, CAST(sum(m) AS BIGINT) AS n, sum(m * (m - 1) * (2 * m + 5)) AS tied FROM m GROUP BY 1),
+q AS (SELECT key, n, s, (n * (n - 1) * (2 * n + 5) - tied) / 18e0 AS var, sen, abs(CASE WHEN var > 0 THEN (s - sign(s)) / sqrt(var) ELSE 0 END) AS z FROM p JOIN n USING (key) WHERE n >= 10),
+-- the normal integral as a power series
+i AS (SELECT key, CASE WHEN any_value(z) = 0 THEN 1 ELSE 1 - 2 * exp(-any_value(z) * any_value(z) / 2) / sqrt(2 * pi()) * sum(exp((2 * k + 1) * ln(z) - lgamma(2 * k + 3) + (k + 1) * ln(2e0) + lgamma(k + 2))) END AS p FROM (SELECT * FROM q WHERE z > 0), (SELECT unnest(range(150)) AS k) GROUP BY 1)
+SELECT key, n, s, var, round(CASE WHEN var > 0 THEN (s - sign(s)) / sqrt(var) ELSE 0 END, 6) AS z, sen, CASE WHEN sen > 0 THEN 'increasing' WHEN sen < 0 THEN 'decreasing' ELSE 'flat' END AS direction,
+  round(coalesce(p, 1), 6) AS p FROM q LEFT JOIN i USING (key)""",
     "trend_significance": f"""WITH k AS ({BASE['mann_kendall']}), q AS (SELECT *, round({series.two_sided_p_sql('z')}, 6) AS p FROM k), r AS (SELECT *, p < 0.05 AS significant FROM q)
 SELECT *, CASE WHEN NOT significant THEN 'none' WHEN s > 0 THEN 'increasing' ELSE 'decreasing' END AS direction, round(sen * 12, 6) AS slope FROM r""",
     "median_and_spread": """WITH q AS (SELECT o_orderpriority, count(*) AS n, quantile_cont(o_totalprice, [0.25, 0.5, 0.75]) AS q FROM orders WHERE o_totalprice IS NOT NULL GROUP BY 1),

@@ -57,6 +57,10 @@ def steepness(spark, sf_dir):
     return landscape.steepness(_channel(spark, sf_dir))
 
 
+def steepness_fit(spark, sf_dir):
+    return landscape.steepness_fit(_channel(spark, sf_dir), 5)
+
+
 def concavity(spark, sf_dir):
     parts = read(spark, sf_dir, "part").select((F.col("p_partkey") * 5e4 + 1e6).alias("area_m2"), (F.pow(F.col("p_partkey") * 5e4 + 1e6, F.lit(-0.45)) * (1 + F.col("p_size") / 50)).alias("slope"))
     return landscape.concavity(parts)
@@ -140,7 +144,7 @@ def stream_burning(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        curvature, wetness, level_surface, sub_basins, flow_accumulation, arc_hydro, unit_setting, largest_units, steepness, concavity,
+        curvature, wetness, level_surface, sub_basins, flow_accumulation, arc_hydro, unit_setting, largest_units, steepness, steepness_fit, concavity,
         steepness_summary, trunk, initiation, density_curve, snap_to_stream, link_lengths, knickpoints, depression_fill, stream_burning, flow_routing, height_above_drainage, stream_mask, pour_point_basins,
     )
 }
@@ -208,6 +212,12 @@ SELECT 0 AS layer, area_km2, round(mid, 6) AS elevation FROM b WHERE area_km2 >=
   abs(p_size + p_partkey % 3 * 0.4e0 - p_size) < 0.51 AS nothing_upstream FROM part""",
     "largest_units": f"WITH {_TREE}, r AS (SELECT id, area, CAST(row_number() OVER (ORDER BY area DESC, id) AS INT) AS place FROM tree) SELECT * FROM r WHERE place <= 25",
     "steepness": f"{_ORDERED} SELECT id, area_m2, chi, dist_out, slope, ksn FROM st",
+    "steepness_fit": f"""WITH RECURSIVE {_CHANNEL}, main AS (SELECT next AS id, arg_max(id, (area_m2, id)) AS up FROM ch WHERE next IS NOT NULL GROUP BY 1),
+d AS (SELECT id, next AS b, 1 AS k FROM ch WHERE next IS NOT NULL UNION ALL SELECT d.id, c.next, k + 1 FROM d JOIN ch c ON c.id = d.b WHERE k < 5 AND c.next IS NOT NULL),
+u AS (SELECT id, up AS b, 1 AS k FROM main UNION ALL SELECT u.id, m.up, k + 1 FROM u JOIN main m ON m.id = u.b WHERE k < 5),
+f AS (SELECT w.id, CAST(sum(CAST(z AS DECIMAL(28,6))) AS DOUBLE) / count(*) AS z FROM (SELECT id, b FROM d UNION ALL SELECT id, b FROM u UNION ALL SELECT id, id FROM ch) w JOIN ch c ON c.id = b GROUP BY 1),
+s AS (SELECT c.id, area_m2, CASE WHEN area_m2 >= 1e6 THEN greatest(f.z - g.z, 0) / step_m END AS slope FROM ch c JOIN f USING (id) LEFT JOIN f g ON g.id = c.next)
+SELECT id, area_m2, round(slope, 9) AS slope_fit, round(slope * pow(area_m2, 0.45e0), 6) AS ksn_smoothed FROM s""",
     "steepness_summary": f"""{_ORDERED}, k AS (SELECT *, CASE WHEN ksn > 0 THEN ksn END AS up FROM st WHERE ksn IS NOT NULL)
 SELECT count(*) AS channel_cells, round(quantile_cont(up, 0.5), 6) AS ksn_median, round(quantile_cont(up, 0.9), 6) AS ksn_p90, round(quantile_cont(up, 0.99), 6) AS ksn_p99,
   round(count(CASE WHEN ksn = 0 THEN 1 END) / CAST(count(*) AS DOUBLE), 6) AS zero_fraction, max(chi) AS chi_max FROM k""",

@@ -152,6 +152,31 @@ def test_basins_as_polygons(spark, tmp_path):
     assert area == pytest.approx(cells[5, 2] * 1e-4) and cells[5, 2] > 6
 
 
+def test_trends_of_many_series(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    rows = [(k, int(t), None if rng.random() < 0.1 else float(v)) for k in range(6) for t, v in zip(rng.integers(0, 60, 40), np.round(rng.standard_normal(40) * 2 + k), strict=True)] + [(9, t, 1.0) for t in range(9)] + [(8, t, 5.0) for t in range(12)]
+    found = {r.key: r for r in climate.trends(spark.createDataFrame(rows, "key int, t int, value double")).collect()}
+    assert set(found) == {0, 1, 2, 3, 4, 5, 8} and (found[8].s, found[8].z, found[8].p, found[8].direction) == (0, 0.0, 1.0, "flat")
+    for k in range(6):
+        own = [(t, v) for key, t, v in rows if key == k and v is not None]
+        pairs = [(b[1] - a[1], b[0] - a[0]) for a in own for b in own if a[0] < b[0]]
+        assert found[k].s == sum((d > 0) - (d < 0) for d, _ in pairs) and found[k].n == len(own)
+        assert found[k].sen == pytest.approx(float(np.median([d / w for d, w in pairs])), abs=1e-6)
+    t, y = np.sort(rng.random(700)), rng.standard_normal(700)
+    slopes = (y[None] - y[:, None])[np.triu_indices(700, 1)] / (t[None] - t[:, None])[np.triu_indices(700, 1)]
+    assert climate._median_slope(t, y, 5000) == pytest.approx(np.median(slopes), rel=1e-12)
+
+
+def test_means_along_a_river(spark):
+    tree = spark.createDataFrame([(k, k - 1 if k else None, float(k * k), 100.0 - k) for k in range(20)] + [(50, 10, 7.0, 1.0)], "id long, next long, z double, area_m2 double")
+    down = {r.id: (float(r.total), r["count"]) for r in network.path_window(tree, F.col("z"), 5).collect()}
+    assert down[19] == (sum(k * k for k in range(14, 19)), 5) and down[2] == (1.0, 2) and down[0] == (0.0, 0) and down[50] == (sum(k * k for k in range(6, 11)), 5)
+    fit = {r.id: r.z_fit for r in landscape.smoothed(tree, 3).collect()}
+    assert fit[10] == pytest.approx(sum(k * k for k in range(7, 14)) / 7) and fit[0] == pytest.approx(14 / 4) and fit[50] == pytest.approx((7 + 100 + 81 + 64) / 4)
+
+
 def test_lines_that_touch(spark):
     box = polygons.edges(spark.createDataFrame([(1, 0, k, float(x), float(y)) for k, (x, y) in enumerate(((0, 0), (4, 0), (4, 4), (0, 4)))], "poly int, ring int, seq int, x double, y double"))
     lines = [(1, -1, -1, 2, 2), (2, -1, -1, 5, 5), (3, -2, 4, 2, 4), (4, -1, 2, 5, 2), (5, -1, 5, 5, 5), (6, 4, 4, 6, 6), (7, 1, 1, 2, 2), (8, 5, 0, 9, 0), (9, -3, 2, 0, 2)]
