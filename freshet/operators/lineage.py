@@ -12,14 +12,18 @@ def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir.
 
     Where that is unset, a local master takes a temporary folder and a cluster a folder in the
-    warehouse, which all executors share.
+    warehouse; a warehouse on local disks isn't shared by executors and is refused.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and (sc.master == "local" or sc.master.startswith("local[")):
             shared = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(shared or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+        if not shared:
+            shared = spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+            if shared.startswith(("file:", "/")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared)
     return sc.getCheckpointDir()
 
 
