@@ -120,7 +120,7 @@ def river_measures(reaches: DataFrame) -> DataFrame:
 
 
 def profile_shape(profile: DataFrame) -> DataFrame:
-    """By river of (river, distance, z) in downstream order: steepest, gentlest and median fall, concavity, drop in the upper third, whether it falls all the way."""
+    """By river of (river, distance, z) in downstream order: steepest, gentlest and median fall, concavity, drop in the upper third (null with one point there), whether it falls all the way."""
     line = Window.partitionBy("river").orderBy("distance")
     whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     p = profile.where("z is not null").select(
@@ -134,10 +134,10 @@ def profile_shape(profile: DataFrame) -> DataFrame:
     part = F.when(F.col("x0").isNotNull(), ((F.col("z") - F.col("zb")) + (F.col("z0") - F.col("zb"))) / 2 * hs)
     upper = (F.col("distance") - F.col("xa")) * 3 <= F.col("xb") - F.col("xa")
     by = p.select("river", (-g).alias("fall"), drop.alias("drop"), part.alias("part"), (F.col("xb") - F.col("xa")).alias("span"), F.when(upper, F.struct("distance", "z")).alias("upper"), "za", (F.col("z") > F.col("z0")).alias("rises"))
-    by = by.groupBy("river", "drop", "span", "za").agg(F.count("*").alias("points"), F.max("fall").alias("hi"), F.min("fall").alias("lo"), F.percentile("fall", F.lit(0.5)).alias("mid"), F.sum("part").alias("under"), F.max("upper").alias("u"), F.count_if("rises").alias("rises"))
+    by = by.groupBy("river", "drop", "span", "za").agg(F.count("*").alias("points"), F.max("fall").alias("hi"), F.min("fall").alias("lo"), F.percentile("fall", F.lit(0.5)).alias("mid"), F.sum("part").alias("under"), F.max("upper").alias("u"), F.count("upper").alias("in_upper"), F.count_if("rises").alias("rises"))
     under = F.try_divide("under", F.col("drop") * F.col("span"))
     return by.select(
         "river", "points", F.round("hi", 6).alias("steepest"), F.round("lo", 6).alias("gentlest"), F.round("mid", 6).alias("median_fall"),
-        F.when(F.col("drop") > 0, F.round((0.5 - under) * 2, 6)).alias("concavity"), F.when(F.col("drop") > 0, F.round((F.col("za") - F.col("u.z")) / F.col("drop") * 100, 6)).alias("upper_third_pct"),
+        F.when(F.col("drop") > 0, F.round((0.5 - under) * 2, 6)).alias("concavity"), F.when((F.col("drop") > 0) & (F.col("in_upper") > 1), F.round((F.col("za") - F.col("u.z")) / F.col("drop") * 100, 6)).alias("upper_third_pct"),
         (F.col("rises") == 0).alias("falls"),
     )

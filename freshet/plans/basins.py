@@ -334,7 +334,7 @@ w AS (SELECT *, lag(z) OVER l AS z0, lag(x) OVER l AS x0, lead(z) OVER l AS z1,
 g AS (SELECT w.*, za, zb, xa, xb, -(CASE WHEN x0 IS NULL THEN (z1 - z) / (x1 - x) WHEN x1 IS NULL THEN (z - z0) / (x - x0) ELSE ((x - x0) * (x - x0) * z1 + ((x1 - x) * (x1 - x) - (x - x0) * (x - x0)) * z - (x1 - x) * (x1 - x) * z0) / ((x - x0) * (x1 - x) * (x1 - x + x - x0)) END) AS fall,
   CASE WHEN x0 IS NOT NULL THEN ((z - zb) + (z0 - zb)) / 2 * (x - x0) END AS part FROM w JOIN e USING (river))
 SELECT river, count(*) AS points, round(max(fall), 6) AS steepest, round(min(fall), 6) AS gentlest, round(quantile_cont(fall, 0.5), 6) AS median_fall, round((0.5 - sum(part) / (any_value(za - zb) * any_value(xb - xa))) * 2, 6) AS concavity,
-  round((any_value(za) - arg_max(z, x) FILTER ((x - xa) * 3 <= xb - xa)) / any_value(za - zb) * 100, 6) AS upper_third_pct, count(CASE WHEN z > z0 THEN 1 END) = 0 AS falls FROM g GROUP BY 1""",
+  CASE WHEN count(CASE WHEN (x - xa) * 3 <= xb - xa THEN 1 END) > 1 THEN round((any_value(za) - arg_max(z, x) FILTER ((x - xa) * 3 <= xb - xa)) / any_value(za - zb) * 100, 6) END AS upper_third_pct, count(CASE WHEN z > z0 THEN 1 END) = 0 AS falls FROM g GROUP BY 1""",
     "tile_names": """WITH b AS (SELECT s_suppkey AS id, s_suppkey * 3.7e0 - 180 AS w, s_suppkey % 60 * 1.5e0 - 45 AS s, s_suppkey * 3.7e0 - 178.4e0 AS e, s_suppkey % 60 * 1.5e0 - 44.2e0 AS n FROM supplier),
 r AS (SELECT id, CAST(unnest(generate_series(CAST(floor(s) AS BIGINT), CAST(floor(n) AS BIGINT))) AS INT) AS lat, w, e FROM b), t AS (SELECT id, lat, CAST(unnest(generate_series(CAST(floor(w) AS BIGINT), CAST(floor(e) AS BIGINT))) AS INT) AS lon FROM r),
 p AS (SELECT *, CASE WHEN (lat + lon) % 3 = 0 THEN 'cop30' WHEN (lat + lon) % 2 = 0 THEN 'nasadem' END AS product FROM t)

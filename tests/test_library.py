@@ -203,6 +203,14 @@ def test_grids_align_without_holes(spark):
     assert shifted[0, 0] == 2.0 and len(shifted) == 16
 
 
+def test_one_point_tells_nothing_of_the_upper_third(spark):
+    from freshet.operators.series import profile_shape
+
+    rows = [("one", 0.0, 10.0), ("one", 5.0, 4.0), ("one", 9.0, 0.0), ("two", 0.0, 10.0), ("two", 3.0, 4.0), ("two", 9.0, 0.0)]
+    found = {r.river: r.upper_third_pct for r in profile_shape(spark.createDataFrame(rows, "river string, distance double, z double")).collect()}
+    assert found == {"one": None, "two": 60.0}
+
+
 def test_nearest_threshold_is_chosen(spark):
     cells = spark.createDataFrame([(1.0, 30.0, 0.5), (3.0, 40.0, 0.5)], "drained_km2 double, step_m double, area_km2 double")
     assert {r.threshold_km2: r.chosen for r in landscape.density_curve(cells, 1.0, (0.6, 2.0)).collect()} == {0.6: True, 2.0: False}
