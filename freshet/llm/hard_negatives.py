@@ -220,10 +220,11 @@ def search(lists: Lists, queries: DataFrame, windows: DataFrame, k: int, same: b
         visits = C.Written(open_.mapInArrow(_choose(lists, first, last), f"q long, label long, dim int, payload binary, wins {win}, list int"))
         # a list that many queries visit is dealt in as many pieces as keep their number bounded
         pieces = visits.table.groupBy("list").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("pieces"))
-        blocks = lists.blocks.table.join(pieces, "list")
+        # a row for each list or block is sent out; never the visits, whose files are far smaller than their rows
+        blocks = lists.blocks.table.join(F.broadcast(pieces), "list")
         none = F.lit(None)
         held = blocks.select("block", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.lit(0).alias("kind"), none.cast("long").alias("q"), none.cast("long").alias("label"), none.cast("int").alias("dim"), "payload", none.cast(win).alias("wins"), "row", F.col("id").alias("ids"), F.col("label").alias("labels"), F.col("dim").alias("dims"))
-        asks = visits.table.join(blocks.select("list", "block", "pieces"), "list")
+        asks = visits.table.join(F.broadcast(blocks.select("list", "block", "pieces")), "list")
         asks = asks.select("block", F.pmod(F.xxhash64("q"), F.col("pieces")).cast("int").alias("piece"), F.lit(1).alias("kind"), "q", "label", "dim", "payload", "wins", *[none.cast("array<bigint>").alias(c) for c in ("row", "ids", "labels", "dims")])
         met = held.union(asks).repartition("block", "piece").sortWithinPartitions("block", "piece", "kind")
         found = met.mapInArrow(_visit(lists.dtype, lists.width, same, k), "q long, w long, row long, id long, score long")

@@ -183,6 +183,32 @@ def test_negatives_of_odd_rows(spark):
     assert _text(map(tuple, hard_negatives.hard_negatives(words, F.col("vec_id") % 100 == 0).collect())) == wanted
 
 
+def test_visits_are_never_broadcast(spark, monkeypatch):
+    """The files of visits are far smaller than their rows, as a query's vector stands in each of its visits."""
+    from freshet.llm import common
+
+    plans = []
+
+    class Seen(common.Written):
+        def __init__(self, df):
+            plans.append(df._jdf.queryExecution().executedPlan().toString().split("\n"))
+            super().__init__(df)
+
+    monkeypatch.setattr(common, "Written", Seen)
+    monkeypatch.setattr(hard_negatives, "LIST_ROWS", 20)
+    hard_negatives.hard_negatives(spark.read.parquet(f"{SMALL}/embeddings.parquet"), F.col("vec_id") % 100 == 0).count()
+    sent = 0
+    for lines in plans:
+        for i, line in enumerate(lines):
+            at = line.find("BroadcastExchange")
+            if at >= 0:
+                sent += 1
+                below = [x for x in lines[i + 1 :] if len(x) > at]
+                end = next((k for k, x in enumerate(lines[i + 1 :]) if len(x) - len(x.lstrip(" :+-")) <= at), len(below))
+                assert not any("wins#" in x and "list#" in x for x in lines[i + 1 : i + 1 + end])
+    assert sent
+
+
 def test_bounds_hold_and_large_products_are_exact():
     rng = np.random.default_rng(5)
     x, q = rng.integers(-300, 300, (400, 16)).astype(float), rng.integers(-300, 300, (30, 16)).astype(float)
