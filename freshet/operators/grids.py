@@ -128,10 +128,10 @@ def depth_medians(profiles: DataFrame) -> DataFrame:
     return by
 
 
-def ice_summary(cells: DataFrame, code: int = 70, trace_pct: float = 0.1, outlier_m: float = 500.0) -> DataFrame:
+def ice_summary(cells: DataFrame, code: int = 70, trace_pct: float = 0.1, outlier_m: float = 500.0, covered: tuple[float, float] | None = (-60.0, 82.75)) -> DataFrame:
     """One row a layer of (layer, lat, cover, value): area and share of ice, where it begins (first percentile), lowest, median and highest ice.
 
-    Outside the latitudes that the map covers (-60 to 82.75) all is null, not 0. trace: less than trace_pct of
+    Outside the latitudes that the map covers area and share are null, not 0; None for a map without such limits. trace: less than trace_pct of
     the area; outlier: the lowest ice lies more than outlier_m below where ice begins.
     """
     from freshet.sources.grids import cell_km2
@@ -141,9 +141,9 @@ def ice_summary(cells: DataFrame, code: int = 70, trace_pct: float = 0.1, outlie
     high = F.when(ice, F.col("value"))
     by = cells.where("cover is not null").groupBy("layer").agg(
         F.sum(area).cast("double").alias("km2"), F.coalesce(F.sum(F.when(ice, area)).cast("double"), F.lit(0.0)).alias("ice_km2"), F.percentile(high, F.array(F.lit(0.01), F.lit(0.5))).alias("q"),
-        F.min(high).alias("lowest"), F.max(high).alias("highest"), (F.min("lat") >= -60).alias("south"), (F.max("lat") <= 82.75).alias("north"),
+        F.min(high).alias("lowest"), F.max(high).alias("highest"), F.min("lat").alias("south"), F.max("lat").alias("north"),
     )
-    seen = F.col("south") & F.col("north")
+    seen = F.lit(True) if covered is None else (F.col("south") >= covered[0]) & (F.col("north") <= covered[1])
     pct = F.col("ice_km2") / F.col("km2") * 100
     return by.select(
         "layer", F.when(seen, F.col("ice_km2")).alias("ice_km2"), F.when(seen, F.round(pct, 6)).alias("ice_pct"), F.round(F.col("q")[0], 6).alias("floor"), "lowest", F.round(F.col("q")[1], 6).alias("median"), "highest",

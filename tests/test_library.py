@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from freshet.basin import Basin
 from freshet.operators import climate, flow, grids, landscape, network, polygons, rings, routing
 from freshet.operators.morphometry import basin_length
+from freshet.plans import rasters
 from freshet.sources import ledger, tiles
 
 
@@ -278,3 +279,16 @@ def test_command_line(capsys):
 
     assert main(["list"]) == 0 and "zonal_class" in capsys.readouterr().out
     assert main(["run", "no such query", "x"]) == 2
+
+
+def test_ice_of_a_grid_past_the_map(spark):
+    rows = [(0, float(lat), 70 if lat < 50 else 0, 100.0 + lat) for lat in (-70, 10, 60)]
+    cells = spark.createDataFrame(rows, "layer int, lat double, cover int, value double")
+    assert grids.ice_summary(cells).first()["ice_km2"] is None
+    whole = grids.ice_summary(cells, covered=None).first()
+    assert whole["ice_km2"] > 0 and 0 < whole["ice_pct"] < 100 and not whole["trace"]
+
+
+def test_ice_summary_of_a_long_table_is_not_null(spark, tmp_path):
+    spark.range(600_000).selectExpr("id AS p_partkey", "cast(id % 50 + 1 AS int) AS p_size", "900.0D + id % 90 AS p_retailprice", "'a' AS p_type").write.parquet(f"{tmp_path}/part.parquet")
+    assert rasters.ice_summary(spark, str(tmp_path)).first()["ice_km2"] is not None
