@@ -118,9 +118,10 @@ def knickpoints(profile: DataFrame, min_drop: float = 30.0, window: int = 9) ->
     spread = rows.groupBy("trunk").agg(F.percentile(F.abs(F.col("g") - F.col("middle")), F.lit(0.5)).alias("spread"))
     rows = rows.join(spread, "trunk")
     rows = rows.withColumn("score", (F.col("g") - F.col("middle")) / (1.4826 * F.when(F.col("spread") > 0, F.col("spread")).otherwise(1e-9)))
-    later = line.rowsBetween(0, Window.unboundedFollowing)
+    # read from the end, as a frame from each row to the end would be read anew for each row
+    later = Window.partitionBy("trunk").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
     calm = F.when(F.col("score") <= 1.5, F.struct("i", "z"))
-    ends = rows.withColumn("end", F.coalesce(F.first(calm, True).over(later), F.last(F.struct("i", "z")).over(later)))
+    ends = rows.withColumn("end", F.coalesce(F.last(calm, True).over(later), F.first(F.struct("i", "z")).over(later)))
     starts = ends.where((F.col("score") > 3) & F.col("i").between(window, F.col("n") - window - 1))
     starts = starts.select("trunk", "i", F.col("end.i").alias("j"), "chi", F.col("z").alias("elevation"), (F.col("end.z") - F.col("z")).alias("step"), F.col("score").alias("sigma"))
 

@@ -292,3 +292,18 @@ def test_ice_of_a_grid_past_the_map(spark):
 def test_ice_summary_of_a_long_table_is_not_null(spark, tmp_path):
     spark.range(600_000).selectExpr("id AS p_partkey", "cast(id % 50 + 1 AS int) AS p_size", "900.0D + id % 90 AS p_retailprice", "'a' AS p_type").write.parquet(f"{tmp_path}/part.parquet")
     assert rasters.ice_summary(spark, str(tmp_path)).first()["ice_km2"] is not None
+
+
+@pytest.mark.parametrize("name", ["knickpoints", "long_profile", "as_of_reach"])
+def test_no_frame_is_read_anew_for_each_row(spark, name):
+    """A frame from the row to the end of its group costs the square of the group."""
+    from freshet.plans.registry import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "specifiedwindowframe" in plan and "currentrow$(), unboundedfollowing$()" not in plan
+
+
+def test_values_before_the_first_known_one(spark):
+    points = spark.createDataFrame([("a", 0, 1, None), ("a", 1, 1, None), ("a", 2, 1, 7.0), ("a", 3, 1, None), ("a", 4, 1, 9.0), ("b", 0, 1, None)], "river string, seq int, length int, z double")
+    found = {(r["river"], r["seq"]): r["z"] for r in network.long_profile(points).collect()}
+    assert found == {("a", 0): 7.0, ("a", 1): 7.0, ("a", 2): 7.0, ("a", 3): 7.0, ("a", 4): 9.0, ("b", 0): None}
