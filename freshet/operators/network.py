@@ -206,9 +206,10 @@ def order_table(reaches: DataFrame) -> DataFrame:
 def long_profile(points: DataFrame) -> DataFrame:
     """(river, seq, length, z) in downstream order to distance before each point, z with gaps filled, and the falling bed."""
     down = Window.partitionBy("river").orderBy("seq")
-    before, after = down.rowsBetween(Window.unboundedPreceding, 0), down.rowsBetween(0, Window.unboundedFollowing)
+    before, whole = down.rowsBetween(Window.unboundedPreceding, 0), down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     distance = F.coalesce(F.sum(F.col("length").cast("decimal(18,4)")).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double")
-    filled = F.coalesce(F.last("z", True).over(before), F.first("z", True).over(after))
+    # only points before the first height lack one before them; a frame from each row to the end would be read anew for each row
+    filled = F.coalesce(F.last("z", True).over(before), F.first("z", True).over(whole))
     rows = points.select("river", "seq", distance.alias("distance"), filled.alias("z"))
     return rows.withColumn("bed", F.min("z").over(before))
 
