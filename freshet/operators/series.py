@@ -96,7 +96,9 @@ def as_of(rows: DataFrame, states: DataFrame, key: str, at: str, value: str) ->
         states.select(F.lit(None).cast(rows.select(F.struct("*").alias("row")).schema["row"].dataType).alias("row"), F.col(key).alias("k"), F.col(at).alias("t"), F.col(value).alias("v"), F.lit(0).alias("kind"))
     )
     line = Window.partitionBy("k").orderBy("t", "kind")
-    found = F.coalesce(F.last("v", True).over(line.rowsBetween(Window.unboundedPreceding, 0)), F.first("v", True).over(line.rowsBetween(0, Window.unboundedFollowing)))
+    # only rows before the first state lack one before them; a frame from each row to the end would be read anew for each row
+    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = F.coalesce(F.last("v", True).over(line.rowsBetween(Window.unboundedPreceding, 0)), F.first("v", True).over(whole))
     return both.withColumn("found", found).where("kind = 1").select("row.*", F.col("found").alias(value))
 
 
