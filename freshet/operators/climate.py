@@ -37,56 +37,77 @@ def trend(series: DataFrame) -> DataFrame:
     return both.select("n", "s", var.alias("var"), F.round(F.expr("(s - sign(s))") / F.sqrt(var), 6).alias("z"), "sen")
 
 
-def _pair_signs(y: np.ndarray) -> int:
-    """Rising pairs less falling ones, by merging sorted runs that double their length."""
-    n, s, width = len(y), 0, 1
-    run = y.copy()
-    while width < n:
-        for lo in range(0, n - width, 2 * width):
-            left, right = run[lo : lo + width], run[lo + width : lo + 2 * width]
-            below, up_to = np.searchsorted(left, right, "left"), np.searchsorted(left, right, "right")
-            s += int(below.sum() - (len(left) - up_to).sum())
-            run[lo : lo + 2 * width] = np.sort(run[lo : lo + 2 * width], kind="stable")
-        width *= 2
-    return s
+def _inversions(x: np.ndarray) -> int:
+    """Pairs of which the first is the larger: ranks are dealt by one bit after another from the highest, in order."""
+    n = len(x)
+    if n < 2:
+        return 0
+    order = np.argsort(x, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)  # equal values rise, so they make no pair
+    total, at = 0, np.arange(n)
+    for bit in range(int(n - 1).bit_length() - 1, -1, -1):
+        one = (rank >> bit) & 1
+        start = (rank >> (bit + 1)) << (bit + 1)  # ranks of a group fill the places from here on
+        before = np.cumsum(one) - one
+        ones = before - before[start]
+        total += int(ones[one == 0].sum())
+        place = np.where(one == 1, start + (1 << bit) + ones, at - ones)
+        moved = np.empty(n, np.int64)
+        moved[place] = rank
+        rank = moved
+    return total
+
+
+def _slopes_below(t: np.ndarray, y: np.ndarray, m: float) -> int:
+    """Pairs of different t whose slope is below m."""
+    by = np.lexsort((y, t))
+    return _inversions(y[by] - m * t[by])
 
 
 def _median_slope(t: np.ndarray, y: np.ndarray, most: int = 1 << 20) -> float | None:
-    """Sen's slope: the median over all pairs of different t, without holding more than about `most` of them.
+    """Sen's slope: the median over all pairs of different t, in memory of the length of the series.
 
-    The pairs' slopes are counted into ranges, row by row, and the range that holds the median is
-    narrowed until what lies in it can be sorted.
+    Up to `most` pairs are sorted. Of more, the pairs with a slope below a mark are those that y less
+    mark times t puts in reverse order, and are counted by sorting; the mark is halved in until the slopes
+    about the median agree to some twelve digits, and one of these pairs' slope is taken.
     """
-    rows = [slice(lo, lo + max(1, most // len(t))) for lo in range(0, len(t), max(1, most // len(t)))]
-
-    def slopes(part: slice) -> np.ndarray:
-        dt = t[None, :] - t[part, None]
-        use = dt > 0
-        return (y[None, :] - y[part, None])[use] / dt[use]
-
-    ends = [(x.min(), x.max(), len(x)) for x in map(slopes, rows) if len(x)]
-    if not ends:
+    by = np.lexsort((y, t))
+    t, y = t[by] - t.min(initial=np.inf) if len(t) else t, y[by]
+    n = len(t)
+    same = np.unique(t, return_counts=True)[1].astype(object)
+    total = n * (n - 1) // 2 - int((same * (same - 1) // 2).sum())
+    if not total:
         return None
-    total = sum(e[2] for e in ends)
-    out = []
+    if n * n <= most:
+        dt = t[None, :] - t[:, None]
+        use = dt > 0
+        return float(np.median((y[None, :] - y[:, None])[use] / dt[use]))
+    steps = np.diff(t)
+    far = float((y.max() - y.min()) / steps[steps > 0].min()) * 1.001
+    falling, rising = _slopes_below(t, y, 0.0), _slopes_below(t, -y, 0.0)
+    out, low, high, last = [], 0.0, 0.0, 0
     for k in sorted({(total - 1) // 2, total // 2}):
-        low, high, before = min(e[0] for e in ends), max(e[1] for e in ends), 0
-        while True:
-            held = sum(int(((x >= low) & (x <= high)).sum()) for x in map(slopes, rows))
-            marks = np.linspace(low, high, 257)[1:-1]
-            if held <= most or not ((marks > low) & (marks < high)).any():
-                inside = np.concatenate([x[(x >= low) & (x <= high)] for x in map(slopes, rows)]) if held <= most else np.array([low])
-                out.append(np.partition(inside, k - before)[k - before] if held <= most else low)
-                break
-            counts = np.zeros(257, np.int64)
-            for x in map(slopes, rows):
-                counts[:256] += np.bincount(np.searchsorted(marks, x[(x >= low) & (x <= high)], "left"), minlength=256)
-            at = int(np.searchsorted(np.cumsum(counts), k - before, "right"))
-            before += int(counts[:at].sum())
-            if at:
-                low = np.nextafter(marks[at - 1], np.inf)
-            if at < 255:
-                high = marks[at]
+        if out and k < last:
+            out.append(out[0])  # the bracket of the one before holds this one too
+            continue
+        if falling <= k < total - rising:
+            out.append(0.0)
+            continue
+        low, high, last = (-far, 0.0, falling) if k < falling else (0.0, far, total)
+        while high - low > 2.0**-44 * max(abs(low), abs(high)):
+            mid = (low + high) / 2
+            count = _slopes_below(t, y, mid)
+            if count > k:
+                high, last = mid, count
+            else:
+                low = mid
+        one = np.argsort(y - low * t, kind="stable")
+        other = np.empty(n, np.int64)
+        other[np.argsort(y - high * t, kind="stable")] = np.arange(n)
+        turned = np.flatnonzero((other[one[1:]] < other[one[:-1]]) & (t[one[1:]] != t[one[:-1]]))
+        i, j = (one[turned[0]], one[turned[0] + 1]) if len(turned) else (None, None)
+        out.append(float((y[j] - y[i]) / (t[j] - t[i])) if len(turned) else (low + high) / 2)
     return float(np.mean(out))
 
 
@@ -105,10 +126,7 @@ def trends(series: DataFrame) -> DataFrame:
         n = len(y)
         if n < 10:
             return pd.DataFrame(columns=["key", "n", "s", "var", "z", "p", "sen"])
-        s = _pair_signs(y)
-        for m in np.flatnonzero(np.unique(x, return_counts=True)[1] > 1):  # no order among rows of one t
-            at = np.unique(x)[m]
-            s -= _pair_signs(y[x == at])
+        s = _slopes_below(x, -y, 0.0) - _slopes_below(x, y, 0.0)  # no order among rows of one t
         same = np.unique(y, return_counts=True)[1].astype(object)
         var = float(n * (n - 1) * (2 * n + 5) - (same * (same - 1) * (2 * same + 5)).sum()) / 18
         z = (s - np.sign(s)) / var**0.5 if var > 0 else 0.0

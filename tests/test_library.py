@@ -307,3 +307,21 @@ def test_values_before_the_first_known_one(spark):
     points = spark.createDataFrame([("a", 0, 1, None), ("a", 1, 1, None), ("a", 2, 1, 7.0), ("a", 3, 1, None), ("a", 4, 1, 9.0), ("b", 0, 1, None)], "river string, seq int, length int, z double")
     found = {(r["river"], r["seq"]): r["z"] for r in network.long_profile(points).collect()}
     assert found == {("a", 0): 7.0, ("a", 1): 7.0, ("a", 2): 7.0, ("a", 3): 7.0, ("a", 4): 9.0, ("b", 0): None}
+
+
+def test_slopes_are_counted_without_pairs():
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    t, y = rng.integers(0, 40, 90).astype(float), rng.integers(0, 9, 90).astype(float)
+    dt, dy = t[None, :] - t[:, None], y[None, :] - y[:, None]
+    slopes = dy[dt > 0] / dt[dt > 0]
+    assert climate._slopes_below(t, y, 0.0) == (slopes < 0).sum() and climate._slopes_below(t, y, 0.123) == (slopes < 0.123).sum()
+    assert climate._median_slope(t, y, 0) == pytest.approx(np.median(slopes), rel=1e-12)
+    # 200 million pairs
+    t = np.arange(20_000.0)
+    began = time.time()
+    assert climate._median_slope(t, np.round(t * 0.25 + rng.standard_normal(20_000))) == pytest.approx(0.25, abs=1e-4)
+    assert time.time() - began < 20
