@@ -210,6 +210,26 @@ def test_quality_sums_over_all_pairs(monkeypatch):
     np.testing.assert_allclose(hess, (d * (p * (1 - p))[:, None]).T @ d / len(d), rtol=1e-9)
 
 
+def test_quality_learns_from_every_label(spark):
+    import numpy as np
+
+    from freshet.llm import quality
+
+    rng = np.random.default_rng(4)
+    y = (rng.random(26_000) < 0.9).astype(int)
+    x = rng.standard_normal((len(y), len(quality.NAMES))) + y[:, None] * np.linspace(-0.5, 0.5, len(quality.NAMES))
+    known = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int")
+    model = quality.learn(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>"), known)
+    use = np.array([zlib.crc32(str(i).encode()) % 5 != 0 for i in range(len(y))])
+    e = quality._expand(x[use], model["edges"], model["mean"], model["std"])
+    assert use.sum() > 20_000
+    np.testing.assert_allclose(model["mean"], x[use].mean(0), rtol=1e-9)
+    grad, _ = quality.pair_sums(e[y[use] == 1], e[y[use] == 0], model["w"])
+    assert np.abs(grad + 1e-3 * model["w"]).max() < 1e-6  # the least loss over all pairs
+    raw = e @ model["w"]
+    assert abs((raw < model["at"]).mean() - (y[use] == 0).mean()) < 1e-3 and abs(model["scale"] / raw.std() - 1) < 1e-6
+
+
 def test_quality(spark):
     found = _by_id(Q.op9_quality(spark, "/root/testdata/sf0.01"))
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality is not null").collect()
