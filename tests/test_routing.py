@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from freshet.operators import flow
+from freshet.operators import flow, routing
 from freshet.operators.network import main_stem, path_sums, routing_check
 from freshet.operators.routing import fill
 from freshet.streaming.totals import daily_totals
@@ -43,6 +43,24 @@ def test_tiles_fill_as_the_whole(spark):
     assert fill(cells.limit(0), 7).count() == 0
 
 
+def test_borders_meet_region_by_region(spark, monkeypatch):
+    """Four steps of regions up and down, lakes across them, islands of nodata."""
+    monkeypatch.setattr(routing, "_REGIONS", 2)
+    rng = np.random.default_rng(3)
+    z = rng.integers(0, 30, (61, 45)).astype(float)
+    z[10:50, 5:40] -= 40.0  # a basin over many regions, with a wall that leaks in one place
+    z[9:51, [4, 40]] = z[[9, 50], 4:41] = 90.0
+    z[30, 40] = 25.0
+    z[rng.random(z.shape) < 0.004] = np.nan
+    grids = {"a": z, "b": rng.integers(0, 9, (3, 130)).astype(float), "c": np.full((6, 6), np.nan)}
+    grids["c"][2:4, 2] = 1.0
+    cells = spark.createDataFrame([(n, r + 5, c + 3, None if np.isnan(v) else float(v)) for n, g in grids.items() for (r, c), v in np.ndenumerate(g)], "layer string, row int, col int, value double")
+    found = {(r.layer, r.row - 5, r.col - 3): r.filled for r in fill(cells, 4).collect()}
+    for n, g in grids.items():
+        wanted = _spill_levels(g)
+        assert all(found.get((n, r, c)) == (None if np.isnan(v) else v) for (r, c), v in np.ndenumerate(wanted))
+
+
 def _plain(cells):
     """Cell drained to and cells drained of {(row, col): filled}, a cell at a time."""
     near = lambda p: [(p[0] + a, p[1] + b) for a, b in flow.OFFSETS]
