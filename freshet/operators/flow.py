@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,14 +36,14 @@ def _windows(filled: DataFrame, tile: int) -> DataFrame:
     near = lambda c: F.array_distinct(F.array(*[F.floor((F.col(c) + d) / tile).cast("int") for d in (-1, 0, 1)]))
     each = filled.select("layer", "row", "col", "filled", F.explode(near("row")).alias("tr")).select("*", F.explode(near("col")).alias("tc"))
 
-    def pack(t: pd.DataFrame) -> pd.DataFrame:
-        tr, tc = int(t["tr"].iloc[0]), int(t["tc"].iloc[0])
+    def pack(t: pa.Table) -> pa.Table:
+        tr, tc = t["tr"][0].as_py(), t["tc"][0].as_py()
         z = np.full((tile + 2, tile + 2), np.nan)
-        z[t["row"].to_numpy() - tr * tile + 1, t["col"].to_numpy() - tc * tile + 1] = t["filled"].to_numpy(np.float64)
-        rows = [(t["layer"].iloc[0], tr, tc, z.tobytes())] if np.isfinite(z[1:-1, 1:-1]).any() else []
-        return pd.DataFrame(rows, columns=[*_AT, "z"])
+        z[t["row"].to_numpy() - tr * tile + 1, t["col"].to_numpy() - tc * tile + 1] = t["filled"].to_numpy()
+        out = pa.table({**{c: t[c].slice(0, 1) for c in _AT}, "z": pa.array([z.tobytes()], pa.binary())})
+        return out if np.isfinite(z[1:-1, 1:-1]).any() else out.slice(0, 0)
 
-    return each.groupBy(*_AT).applyInPandas(pack, f"layer {kind}, tr int, tc int, z binary")
+    return each.groupBy(*_AT).applyInArrow(pack, f"layer {kind}, tr int, tc int, z binary")
 
 
 def _steps(z: np.ndarray, start: np.ndarray) -> np.ndarray:

@@ -13,6 +13,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,11 +91,12 @@ def _spanning(a: np.ndarray, b: np.ndarray, w: np.ndarray, end: np.ndarray) -> t
     return np.array(kept, np.int64), joined
 
 
-def _grid(t: pd.DataFrame, tile: int) -> tuple[np.ndarray, int, int]:
+def _grid(t: pa.Table, tile: int) -> tuple[np.ndarray, int, int]:
     """A tile's cells as an array, with the row and column of its corner."""
-    r0, c0 = int(t["row"].iloc[0]) // tile * tile, int(t["col"].iloc[0]) // tile * tile
+    row, col = t["row"].to_numpy(), t["col"].to_numpy()
+    r0, c0 = int(row[0]) // tile * tile, int(col[0]) // tile * tile
     z = np.full((tile, tile), np.nan)
-    z[t["row"].to_numpy() - r0, t["col"].to_numpy() - c0] = t["value"].to_numpy(np.float64, na_value=np.nan)
+    z[row - r0, col - c0] = t["value"].to_numpy()
     return z, r0, c0
 
 
@@ -239,13 +242,12 @@ def fill(cells: DataFrame, tile: int = 512) -> DataFrame:
     borders are found by regions that grow from step to step, so the last task holds cells as the side of a layer, not its area.
     """
     kind = dict(cells.dtypes)["layer"]
-    known = cells.where("value is not null").select("layer", "row", "col", "value", F.floor(F.col("row") / tile).alias("tr"), F.floor(F.col("col") / tile).alias("tc"))
+    known = cells.where("value is not null").select("layer", "row", "col", F.col("value").cast("double").alias("value"), F.floor(F.col("row") / tile).alias("tr"), F.floor(F.col("col") / tile).alias("tc"))
 
-    def spill(t: pd.DataFrame) -> pd.DataFrame:
+    def spill(t: pa.Table) -> pa.Table:
         z, r0, c0 = _grid(t, tile)
         edge, leak = _border(z)
-        flat, layer = z.ravel(), t["layer"].iloc[0]
-        outside = tile * tile
+        flat, outside = z.ravel(), tile * tile
         level, label = _rise(z, [(flat[x], int(x), int(x)) for x in edge] + [(flat[x], int(x), outside) for x in leak])
         a, b, w = _meets(level, label)
         end = np.zeros(outside + 1, bool)
@@ -254,18 +256,18 @@ def fill(cells: DataFrame, tile: int = 512) -> DataFrame:
         a, b, w = np.minimum(a, b)[kept], np.maximum(a, b)[kept], w[kept]  # the outside comes second
         padded = np.pad(np.isfinite(z), 1)
         around = sum(padded[1 + r : 1 + r + tile, 1 + c : 1 + c + tile].astype(int) for r, c in _OFFSETS).ravel()
-        first, none = np.concatenate([edge, a]), np.full(len(edge), outside)
-        second = np.concatenate([none, b])
-        null = lambda x: pd.Series(x, dtype="Int32").where(second < outside)
-        return pd.DataFrame(
+        first, second = np.concatenate([edge, a]), np.concatenate([np.full(len(edge), outside), b])
+        none, inner = second == outside, np.arange(len(first)) >= len(edge)
+        whole = lambda x, mask=None: pa.array(x, pa.int32(), mask=mask)
+        return pa.table(
             {
-                "layer": layer, "row": r0 + first // tile, "col": c0 + first % tile, "row2": null(r0 + second // tile), "col2": null(c0 + second % tile), "level": np.concatenate([flat[edge], w]),
-                "around": pd.Series(np.concatenate([around[edge], np.zeros(len(a), int)]), dtype="Int32").where(np.arange(len(first)) < len(edge)),
+                "layer": pa.repeat(t["layer"][0], len(first)), "row": whole(r0 + first // tile), "col": whole(c0 + first % tile), "row2": whole(r0 + second // tile, none), "col2": whole(c0 + second % tile, none),
+                "level": np.concatenate([flat[edge], w]), "around": whole(np.concatenate([around[edge], np.zeros(len(a), int)]), inner),
             }
         )
 
     schema = f"layer {kind}, row int, col int, row2 int, col2 int, level double, around int"
-    found = written(known.groupBy("layer", "tr", "tc").applyInPandas(spill, schema))
+    found = written(known.groupBy("layer", "tr", "tc").applyInArrow(spill, schema))
     border = found.where("around is not null").select("layer", "row", "col", F.col("level").alias("z"), "around")
     tile_of = lambda c: F.floor(F.col(c) / tile)
     steps = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in _OFFSETS]))
@@ -293,19 +295,20 @@ def fill(cells: DataFrame, tile: int = 512) -> DataFrame:
     solved = _levels(written(pairs.union(inner)), rim, tile, kind)
     solved = solved.withColumns({"tr": tile_of("row"), "tc": tile_of("col")})
 
-    def raised(t: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(t):
-            return pd.DataFrame(columns=["layer", "row", "col", "filled"])
-        z, r0, c0 = _grid(t, tile)
+    def raised(t: pa.Table) -> pa.Table:
+        solved = t["level"].is_valid()
+        border = t.filter(solved)
+        z, r0, c0 = _grid(t.filter(pc.invert(solved)), tile)
         flat = z.ravel()
         _, leak = _border(z)
-        cell = (b["row"].to_numpy() - r0) * tile + b["col"].to_numpy() - c0
-        level, _ = _rise(z, [(h, x, 0) for h, x in zip(b["level"].tolist(), cell.tolist(), strict=True)] + [(flat[x], int(x), 0) for x in leak])
+        cell = (border["row"].to_numpy() - r0) * tile + border["col"].to_numpy() - c0
+        level, _ = _rise(z, [(h, x, 0) for h, x in zip(border["level"].to_pylist(), cell.tolist(), strict=True)] + [(flat[x], int(x), 0) for x in leak])
         at = np.flatnonzero(np.isfinite(flat))
-        return pd.DataFrame({"layer": t["layer"].iloc[0], "row": r0 + at // tile, "col": c0 + at % tile, "filled": level.ravel()[at]})
+        return pa.table({"layer": pa.repeat(t["layer"][0], len(at)), "row": pa.array(r0 + at // tile, pa.int32()), "col": pa.array(c0 + at % tile, pa.int32()), "filled": level.ravel()[at]})
 
-    both = known.groupBy("layer", "tr", "tc").cogroup(solved.groupBy("layer", "tr", "tc"))
-    return both.applyInPandas(raised, f"layer {kind}, row int, col int, filled double")
+    none = F.lit(None).cast("double")
+    both = known.withColumn("level", none).unionByName(solved.withColumn("value", none))
+    return both.groupBy("layer", "tr", "tc").applyInArrow(raised, f"layer {kind}, row int, col int, filled double")
 
 
 def burn(cells: DataFrame, paths: DataFrame, depth_m: float = 20.0, drop_m: float = 0.05) -> DataFrame:
