@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +26,9 @@ _AT = ["layer", "tr", "tc"]
 
 
 def _shifted(a: np.ndarray, k: int) -> np.ndarray:
-    """The k-th neighbours of the inner cells of a window."""
+    """The k-th neighbours of the inner cells of windows."""
     r, c = OFFSETS[k]
-    return a[1 + r : a.shape[0] - 1 + r, 1 + c : a.shape[1] - 1 + c]
+    return a[..., 1 + r : a.shape[-2] - 1 + r, 1 + c : a.shape[-1] - 1 + c]
 
 
 def _windows(filled: DataFrame, tile: int) -> DataFrame:
@@ -49,16 +50,14 @@ def _windows(filled: DataFrame, tile: int) -> DataFrame:
 def _steps(z: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Fewest steps over cells of one level from cells with a start value, those counted in; _FAR where there is no way.
 
-    The frame only starts, it is never entered.
+    The frame only starts, it is never entered, so windows (window, row, col) don't meet.
     """
-    wide = z.shape[1]
+    wide = z.shape[-1]
     flat, out = z.ravel(), start.ravel().copy()
     inner = np.zeros(z.shape, bool)
-    inner[1:-1, 1:-1] = True
+    inner[..., 1:-1, 1:-1] = True
     inner = inner.ravel()
     jumps = [r * wide + c for r, c in OFFSETS]
-    inside = np.zeros(z.shape, bool)
-    inside[1:-1, 1:-1] = True
     known = np.flatnonzero(out < _FAR)
     by = known[np.argsort(out[known], kind="stable")]
     values, edges = np.unique(out[by], return_index=True)
@@ -83,8 +82,8 @@ def _steps(z: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def _flats(z: np.ndarray, low0: np.ndarray, high0: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which inner cells drain at once, and for the window the steps to such cells and from cells beside higher ground."""
-    own = z[1:-1, 1:-1]
+    """Which inner cells drain at once, and for the windows the steps to such cells and from cells beside higher ground."""
+    own = z[..., 1:-1, 1:-1]
     with np.errstate(invalid="ignore"):
         near = [_shifted(z, k) for k in range(8)]
         lower = np.logical_or.reduce([n < own for n in near])
@@ -92,40 +91,42 @@ def _flats(z: np.ndarray, low0: np.ndarray, high0: np.ndarray) -> tuple[np.ndarr
         level = np.logical_or.reduce([n == own for n in near])
     rim = np.isfinite(own) & np.logical_or.reduce([np.isnan(n) for n in near])
     low, high = low0.copy(), high0.copy()
-    low[1:-1, 1:-1][lower | rim] = 0
-    high[1:-1, 1:-1][higher] = 0
-    low[1:-1, 1:-1][~level & (low[1:-1, 1:-1] > 0)] = _FAR
+    low[..., 1:-1, 1:-1][lower | rim] = 0
+    high[..., 1:-1, 1:-1][higher] = 0
+    low[..., 1:-1, 1:-1][~level & (low[..., 1:-1, 1:-1] > 0)] = _FAR
     return lower, _steps(z, low), _steps(z, high)
 
 
-def _read(row: dict, tile: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The window of a tile and what its frame knows of steps."""
-    z = np.frombuffer(row["z"]).reshape(tile + 2, tile + 2)
-    low, high = np.full((2, tile + 2, tile + 2), _FAR, np.int64)
-    for x in row["frame"] or ():
-        r, c = x["row"] - row["tr"] * tile + 1, x["col"] - row["tc"] * tile + 1
-        low[r, c], high[r, c] = x["low"], x["high"]
-    return z, low, high
+#: Cells of the windows that a task works on at once.
+_AT_ONCE = 1 << 18
+
+
+def _read(batches, tile: int):
+    """Batches of few tiles with their windows and what the frames know of steps, as arrays (window, row, col)."""
+    few = max(1, _AT_ONCE // (tile + 2) ** 2)
+    for batch in batches:
+        for b in (batch.slice(lo, few) for lo in range(0, batch.num_rows, few)):
+            z = np.stack([np.frombuffer(x.as_buffer()) for x in b["z"]]).reshape(-1, tile + 2, tile + 2)
+            low, high = np.full((2, *z.shape), _FAR, np.int64)
+            of, frame = pc.list_parent_indices(b["frame"]).to_numpy(), pc.list_flatten(b["frame"])
+            r, c = (pc.struct_field(frame, n).to_numpy() - b[t].to_numpy()[of] * tile + 1 for n, t in (("row", "tr"), ("col", "tc")))
+            for steps, n in ((low, "low"), (high, "high")):
+                steps[of, r, c] = pc.struct_field(frame, n).to_numpy()
+            yield b, z, low, high
 
 
 def _borders(tile: int):
     """Steps of the cells of a tile's border that have a neighbour of their level in another tile."""
 
     def work(batches):
-        for b in batches:
-            out = []
-            for row in b.to_pylist():
-                z, low, high = _read(row, tile)
-                _, low, high = _flats(z, low, high)
-                frame = np.ones(z.shape, bool)
-                frame[1:-1, 1:-1] = False
-                across = np.zeros((tile, tile), bool)
-                for k in range(8):
-                    across |= _shifted(frame, k) & (_shifted(z, k) == z[1:-1, 1:-1])
-                for r, c in zip(*np.nonzero(across), strict=True):
-                    out.append((row["layer"], row["tr"] * tile + int(r), row["tc"] * tile + int(c), int(low[r + 1, c + 1]), int(high[r + 1, c + 1])))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field("layer").type), *[pa.array(c, pa.int32()) for c in cols[1:]]], ["layer", "row", "col", "low", "high"])
+        for b, z, low, high in _read(batches, tile):
+            _, low, high = _flats(z, low, high)
+            frame = np.ones(z.shape, bool)
+            frame[..., 1:-1, 1:-1] = False
+            across = np.logical_or.reduce([_shifted(frame, k) & (_shifted(z, k) == z[..., 1:-1, 1:-1]) for k in range(8)])
+            of, r, c = np.nonzero(across)
+            place = [b[t].to_numpy()[of] * tile + x for t, x in (("tr", r), ("tc", c))]
+            yield pa.RecordBatch.from_arrays([b["layer"].take(pa.array(of)), *[pa.array(x, pa.int32()) for x in (*place, low[of, r + 1, c + 1], high[of, r + 1, c + 1])]], ["layer", "row", "col", "low", "high"])
 
     return work
 
@@ -146,31 +147,26 @@ def _directed(tile: int):
     """Direction of each cell of a tile (-1: water leaves, -2: nodata), and its place in the order of the way down."""
 
     def work(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                z, low, high = _read(row, tile)
-                lower, low, high = _flats(z, low, high)
-                own = z[1:-1, 1:-1]
-                drop, code = np.zeros(own.shape), np.full(own.shape, -1, np.int8)
-                with np.errstate(invalid="ignore"):
-                    for k, (r, c) in enumerate(OFFSETS):
-                        fall = (own - _shifted(z, k)) / (1.0 if 0 in (r, c) else 2**0.5)
-                        better = fall > drop
-                        drop[better], code[better] = fall[better], k
-                    gradient = 2 * low - np.where(high < _FAR, high, 0)
-                    rim = np.logical_or.reduce([np.isnan(_shifted(z, k)) for k in range(8)])
-                    best = np.full(own.shape, np.iinfo(np.int64).max)
-                    level = ~lower & ~rim & np.isfinite(own)
-                    for k in range(8):
-                        ok = level & (_shifted(z, k) == own) & (_shifted(low, k) < _FAR) & (_shifted(gradient, k) < best)
-                        best[ok], code[ok] = _shifted(gradient, k)[ok], k
-                code[np.isnan(own)] = -2
-                rank = np.where(np.isfinite(own) & (low[1:-1, 1:-1] < _FAR), gradient[1:-1, 1:-1], 0)
-                layer = pa.array([row["layer"]], b.schema.field("layer").type)
-                yield pa.RecordBatch.from_arrays(
-                    [layer, *[pa.array([row[c]], pa.int32()) for c in ("tr", "tc")], *[pa.array([x.tobytes()], pa.binary()) for x in (np.ascontiguousarray(own), code, rank.astype(np.int64))]],
-                    [*_AT, "z", "code", "rank"],
-                )
+        for b, z, low, high in _read(batches, tile):
+            lower, low, high = _flats(z, low, high)
+            own = z[..., 1:-1, 1:-1]
+            drop, code = np.zeros(own.shape), np.full(own.shape, -1, np.int8)
+            with np.errstate(invalid="ignore"):
+                for k, (r, c) in enumerate(OFFSETS):
+                    fall = (own - _shifted(z, k)) / (1.0 if 0 in (r, c) else 2**0.5)
+                    better = fall > drop
+                    drop[better], code[better] = fall[better], k
+                gradient = 2 * low - np.where(high < _FAR, high, 0)
+                rim = np.logical_or.reduce([np.isnan(_shifted(z, k)) for k in range(8)])
+                best = np.full(own.shape, np.iinfo(np.int64).max)
+                level = ~lower & ~rim & np.isfinite(own)
+                for k in range(8):
+                    ok = level & (_shifted(z, k) == own) & (_shifted(low, k) < _FAR) & (_shifted(gradient, k) < best)
+                    best[ok], code[ok] = _shifted(gradient, k)[ok], k
+            code[np.isnan(own)] = -2
+            rank = np.where(np.isfinite(own) & (low[..., 1:-1, 1:-1] < _FAR), gradient[..., 1:-1, 1:-1], 0)
+            packed = [pa.array([x.tobytes() for x in a], pa.binary()) for a in (own, code, rank.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*[b[c] for c in _AT], *packed], [*_AT, "z", "code", "rank"])
 
     return work
 
