@@ -101,18 +101,24 @@ def _flats(z: np.ndarray, low0: np.ndarray, high0: np.ndarray) -> tuple[np.ndarr
 _AT_ONCE = 1 << 18
 
 
+def _few(batches, tile: int):
+    """Batches cut into few tiles, as many as are held as Python rows or arrays at once."""
+    few = max(1, _AT_ONCE // (tile + 2) ** 2)
+    for b in batches:
+        for lo in range(0, b.num_rows, few):
+            yield b.slice(lo, few)
+
+
 def _read(batches, tile: int):
     """Batches of few tiles with their windows and what the frames know of steps, as arrays (window, row, col)."""
-    few = max(1, _AT_ONCE // (tile + 2) ** 2)
-    for batch in batches:
-        for b in (batch.slice(lo, few) for lo in range(0, batch.num_rows, few)):
-            z = np.stack([np.frombuffer(x.as_buffer()) for x in b["z"]]).reshape(-1, tile + 2, tile + 2)
-            low, high = np.full((2, *z.shape), _FAR, np.int64)
-            of, frame = pc.list_parent_indices(b["frame"]).to_numpy(), pc.list_flatten(b["frame"])
-            r, c = (pc.struct_field(frame, n).to_numpy() - b[t].to_numpy()[of] * tile + 1 for n, t in (("row", "tr"), ("col", "tc")))
-            for steps, n in ((low, "low"), (high, "high")):
-                steps[of, r, c] = pc.struct_field(frame, n).to_numpy()
-            yield b, z, low, high
+    for b in _few(batches, tile):
+        z = np.stack([np.frombuffer(x.as_buffer()) for x in b["z"]]).reshape(-1, tile + 2, tile + 2)
+        low, high = np.full((2, *z.shape), _FAR, np.int64)
+        of, frame = pc.list_parent_indices(b["frame"]).to_numpy(), pc.list_flatten(b["frame"])
+        r, c = (pc.struct_field(frame, n).to_numpy() - b[t].to_numpy()[of] * tile + 1 for n, t in (("row", "tr"), ("col", "tc")))
+        for steps, n in ((low, "low"), (high, "high")):
+            steps[of, r, c] = pc.struct_field(frame, n).to_numpy()
+        yield b, z, low, high
 
 
 def _borders(tile: int):
@@ -242,7 +248,7 @@ def _links(tile: int, weight: Callable | None, stop: Callable | None):
     """
 
     def work(batches):
-        for b in batches:
+        for b in _few(batches, tile):
             kind = b.schema.field("layer").type
             for row in b.to_pylist():
                 t = _Tile(row, tile)
@@ -297,7 +303,7 @@ def upstream(tiles: DataFrame, tile: int = 512) -> DataFrame:
     held = tiles.join(_by_tile(entry, tile, "inflow", "n"), _AT, "left")
 
     def count(batches):
-        for b in batches:
+        for b in _few(batches, tile):
             for row in b.to_pylist():
                 t = _Tile(row, tile)
                 own = t.known.astype(np.int64)
@@ -319,7 +325,7 @@ def cells(tiles: DataFrame, tile: int = 512) -> DataFrame:
     """layer, row, col, filled, next_row, next_col (null: water leaves), area of every cell that has a value."""
 
     def unpack(batches):
-        for b in batches:
+        for b in _few(batches, tile):
             for row in b.to_pylist():
                 t = _Tile(row, tile)
                 at = np.flatnonzero(t.known)
@@ -343,7 +349,7 @@ def _labelled(tiles: DataFrame, tile: int, stop: Callable) -> DataFrame:
     held = tiles.join(_by_tile(ends, tile, "far", "label"), _AT, "left")
 
     def work(batches):
-        for b in batches:
+        for b in _few(batches, tile):
             for row in b.to_pylist():
                 t = _Tile(row, tile)
                 halt, label = stop(t, row)
@@ -377,7 +383,7 @@ def streams(tiles: DataFrame, least: float, tile: int = 512, row_area: Callable[
     drains = _drains(least, row_area)
 
     def work(batches):
-        for b in batches:
+        for b in _few(batches, tile):
             for row in b.to_pylist():
                 t = _Tile(row, tile)
                 r, c = t.place(np.flatnonzero(drains(t, row)))
