@@ -54,7 +54,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable by undirected edges; nodes without edges are absent.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014); a round is a few grouped
-    minima and equi-joins, so hubs are combined map-side and split by AQE, and nothing is collected.
+    minima and merge joins, so hubs are combined map-side and split by AQE, and nothing is sent through the driver.
     Stars about their smallest node need no round.
     """
     from freshet.operators.lineage import Written, release
@@ -69,10 +69,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return e.select(F.col("v").alias("node"), F.col("u").alias("component")).union(e.select("u", "u").distinct())
         both = e.select(F.col("v").alias("x"), F.col("u").alias("y")).union(e.select("u", "v"))
         low = both.groupBy("x").agg(F.min(F.least("x", "y")).alias("m"))
-        large = both.join(low, "x").where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u"))
+        large = both.join(low.hint("merge"), "x").where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u"))
         # a node that is its neighbours' minimum keeps its links through them
         least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).union(least.select("v", "m"))
+        small = large.join(least.hint("merge"), "v").select(F.col("u").alias("v"), F.col("m").alias("u")).union(least.select("v", "m"))
         next_ = Written(small.where("u <> v").distinct())
         held.drop()
         held = next_
@@ -104,7 +104,7 @@ def path_sums(tree: DataFrame, weights: dict[str, Column], stops: Column | None
 
     ids = tree.select(F.col("id").alias("_known"))
     end = F.col("_known").isNull() if stops is None else F.col("_known").isNull() | F.coalesce(stops, F.lit(False))
-    start = tree.join(ids, F.col("next") == F.col("_known"), "left").withColumn("_end", end)
+    start = tree.join(ids.hint("merge"), F.col("next") == F.col("_known"), "left").withColumn("_end", end)
     names = ["steps", *weights]
     each = {"steps": F.lit(1), **weights}
     start = start.select("id", F.when(F.col("_end"), F.col("id")).otherwise(F.col("next")).alias("to"), F.col("_end").alias("done"), *[F.when(F.col("_end"), 0).otherwise(w).alias(n) for n, w in each.items()])
@@ -113,7 +113,7 @@ def path_sums(tree: DataFrame, weights: dict[str, Column], stops: Column | None
     reach, units = 1, state.count()
     while reach <= units and not state.where("not done").isEmpty():
         ahead = state.select(F.col("id").alias("_at"), F.col("to").alias("_to"), F.col("done").alias("_done"), *[F.col(n).alias(f"_{n}") for n in names])
-        moved = state.where("not done").join(ahead, F.col("to") == F.col("_at"))
+        moved = state.where("not done").join(ahead.hint("merge"), F.col("to") == F.col("_at"))
         moved = moved.select("id", F.col("_to").alias("to"), F.col("_done").alias("done"), *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in names])
         next_ = Written(state.where("done").union(moved))
         held.drop()

@@ -2,6 +2,7 @@
 
 Edges are (poly, ring, x1, y1, x2, y2) with the inside on their left. A boundary of any length is a table
 of edges until the end: rings come from pointers that double their reach, and no polygon meets in one task.
+Both sides of a join grow with the edges, so all joins ask for a merge: none is sent through the driver.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 from freshet.operators.lineage import written
 from freshet.operators.network import components, path_sums
 from freshet.operators.polygons import edges as closed_edges
-from freshet.operators.polygons import points_in
 
 _ENDS = ("x1", "y1", "x2", "y2")
 
@@ -31,13 +31,13 @@ def weld(edge_table: DataFrame, within: float, key: str = "poly") -> DataFrame:
     other = near.select(key, F.col("p").alias("q"), "cx", "cy").select("*", around.alias("dx")).select("*", around.alias("dy"))
     other = other.select(key, "q", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
     apart = F.sqrt(F.pow(F.col("p.x") - F.col("q.x"), 2) + F.pow(F.col("p.y") - F.col("q.y"), 2))
-    pairs = near.join(other, [key, "cx", "cy"]).where((F.col("q") < F.col("p")) & (apart <= within))
+    pairs = near.join(other.hint("merge"), [key, "cx", "cy"]).where((F.col("q") < F.col("p")) & (apart <= within))
     node = lambda c: F.struct(F.col(key).alias("k"), F.col(c).alias("p"))
     moved = components(pairs.select(node("p").alias("a"), node("q").alias("b"))).select(F.col("node").alias("n"), F.col("component.p").alias("m"))
     out = edge_table
     for x, y in (("x1", "y1"), ("x2", "y2")):
         at = F.struct(F.col(key).alias("k"), _point(x, y).alias("p"))
-        both = out.withColumn("_n", at).join(moved, F.col("_n") == F.col("n"), "left")
+        both = out.withColumn("_n", at).join(moved.hint("merge"), F.col("_n") == F.col("n"), "left")
         out = both.withColumns({x: F.coalesce("m.x", F.col(x)), y: F.coalesce("m.y", F.col(y))}).drop("_n", "n", "m")
     return out.where("x1 <> x2 or y1 <> y2")
 
@@ -66,30 +66,35 @@ def node(edge_table: DataFrame, within: float, key: str = "poly", cell: float |
     along = (F.col("p.x") - F.col("x1")) * ux + (F.col("p.y") - F.col("y1")) * uy
     aside = F.abs((F.col("p.x") - F.col("x1")) * uy - (F.col("p.y") - F.col("y1")) * ux)
     inner = F.col("p").isNotNull() & (F.col("p") != _point("x1", "y1")) & (F.col("p") != _point("x2", "y2"))
-    on = spans.join(corners, [key, "cx", "cy"]).where(inner & (aside <= within) & (along > 0) & (along < long)).select("_e", "p", (along / long).alias("t"))
+    on = spans.join(corners.hint("merge"), [key, "cx", "cy"]).where(inner & (aside <= within) & (along > 0) & (along < long)).select("_e", "p", (along / long).alias("t"))
     a = spans.select(key, "cx", "cy", F.col("_e").alias("_f"), *[F.col(c).alias(f"a{c}") for c in _ENDS])
     turn = lambda px, py, qx, qy, rx, ry: (F.col(qx) - F.col(px)) * (F.col(ry) - F.col(py)) - (F.col(qy) - F.col(py)) * (F.col(rx) - F.col(px))
     s1, s2 = turn("ax1", "ay1", "ax2", "ay2", "x1", "y1"), turn("ax1", "ay1", "ax2", "ay2", "x2", "y2")
     s3, s4 = turn("x1", "y1", "x2", "y2", "ax1", "ay1"), turn("x1", "y1", "x2", "y2", "ax2", "ay2")
-    met = spans.join(a, [key, "cx", "cy"]).where((F.col("_e") < F.col("_f")) & (s1 * s2 < 0) & (s3 * s4 < 0)).dropDuplicates(["_e", "_f"])
+    met = spans.join(a.hint("merge"), [key, "cx", "cy"]).where((F.col("_e") < F.col("_f")) & (s1 * s2 < 0) & (s3 * s4 < 0)).dropDuplicates(["_e", "_f"])
     t, u = s1 / (s1 - s2), s3 / (s3 - s4)
     p = F.struct((F.col("x1") + t * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + t * (F.col("y2") - F.col("y1"))).alias("y"))
     met = written(met.select("_e", "_f", p.alias("p"), t.alias("t"), u.alias("u")))
     cuts = on.union(met.select("_e", "p", "t")).union(met.select("_f", "p", "u"))
     cuts = cuts.groupBy("_e").agg(F.array_sort(F.collect_set(F.struct("t", "p"))).alias("cuts"))
-    whole = e.join(cuts, "_e", "left").withColumn("way", F.concat(F.array(_point("x1", "y1")), F.coalesce(F.transform("cuts", lambda c: c["p"]), F.array().cast("array<struct<x:double,y:double>>")), F.array(_point("x2", "y2"))))
+    whole = e.join(cuts.hint("merge"), "_e", "left").withColumn("way", F.concat(F.array(_point("x1", "y1")), F.coalesce(F.transform("cuts", lambda c: c["p"]), F.array().cast("array<struct<x:double,y:double>>")), F.array(_point("x2", "y2"))))
     pieces = whole.withColumn("s", F.explode(F.arrays_zip(F.slice("way", 1, F.size("way") - 1).alias("a"), F.slice("way", 2, F.size("way") - 1).alias("b"))))
     rest = [c for c in edge_table.columns if c not in _ENDS]
     return pieces.select(*rest, F.col("s.a.x").alias("x1"), F.col("s.a.y").alias("y1"), F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2")).where("x1 <> x2 or y1 <> y2")
 
 
+def _crosses() -> Column:
+    """Whether a ray from (x, y) to the east crosses an edge."""
+    east = (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+    return ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < east)
+
+
 def _winding(points: DataFrame, edge_table: DataFrame, cell: float) -> DataFrame:
     """id and how often the edges of its poly run round each point (id, poly, x, y); 0 is absent."""
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     e = edge_table.where("y1 <> y2").withColumn("band", F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell))))
     p = points.withColumn("band", F.floor(F.col("y") / cell))
-    crosses = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    hit = p.join(e, ["poly", "band"]).where(crosses).groupBy("id").agg(F.sum(F.when(F.col("y2") > F.col("y1"), 1).otherwise(-1)).alias("turns"))
+    hit = p.join(e.hint("merge"), ["poly", "band"]).where(_crosses()).groupBy("id").agg(F.sum(F.when(F.col("y2") > F.col("y1"), 1).otherwise(-1)).alias("turns"))
     return hit.where("turns <> 0")
 
 
@@ -100,7 +105,7 @@ def union(edge_table: DataFrame, group: DataFrame, within: float = 1e-5, overlap
     whole edges and slivers up to that width close. Then edges that run both ways cancel, and so do those
     with the union on both sides, unless overlaps is false. A polygon may be in one group only.
     """
-    own = edge_table.join(group, "poly").select(F.col("grp").alias("poly"), *_ENDS)
+    own = edge_table.join(group.hint("merge"), "poly").select(F.col("grp").alias("poly"), *_ENDS)
     # pieces that bend through a corner may come close to another: until no edge is split any more
     pieces = written(weld(own, within))
     count = pieces.count()
@@ -123,7 +128,7 @@ def union(edge_table: DataFrame, group: DataFrame, within: float = 1e-5, overlap
     beside = left.select("id", "poly", ((F.col("x1") + F.col("x2")) / 2 + dy * out).alias("x"), ((F.col("y1") + F.col("y2")) / 2 - dx * out).alias("y"))
     height = left.agg(F.avg(F.abs(F.col("y2") - F.col("y1")))).first()[0] or 1.0
     covered = _winding(beside, pieces.select("poly", *_ENDS), 4 * height).where("turns > 0").select("id")
-    return left.join(covered, "id", "left_anti").select("poly", "ring", *_ENDS)
+    return left.join(covered.hint("merge"), "id", "left_anti").select("poly", "ring", *_ENDS)
 
 
 def _successors(e: DataFrame, among: list[str], widest: bool) -> DataFrame:
@@ -137,7 +142,7 @@ def _successors(e: DataFrame, among: list[str], widest: bool) -> DataFrame:
     turn = F.pmod(F.col("back") - F.col("on"), F.lit(2 * math.pi))
     turn = F.when(turn <= 1e-12, 2 * math.pi).otherwise(turn)
     pick = F.max_by if widest else F.min_by
-    return at.join(out, [*among, "p"]).groupBy("id").agg(pick("next", turn).alias("next"))
+    return at.join(out.hint("merge"), [*among, "p"]).groupBy("id").agg(pick("next", turn).alias("next"))
 
 
 def _cycles(links: DataFrame) -> DataFrame:
@@ -145,10 +150,10 @@ def _cycles(links: DataFrame) -> DataFrame:
     state = written(links.select("id", F.col("next").alias("to"), F.least("id", "next").alias("least")))
     while True:
         ahead = state.select(F.col("id").alias("_id"), F.col("to").alias("_to"), F.col("least").alias("_least"))
-        both = written(state.join(ahead, F.col("to") == F.col("_id")).select("id", F.col("_to").alias("to"), F.least("least", "_least").alias("least"), (F.col("least") != F.col("_least")).alias("open")))
+        both = written(state.join(ahead.hint("merge"), F.col("to") == F.col("_id")).select("id", F.col("_to").alias("to"), F.least("least", "_least").alias("least"), (F.col("least") != F.col("_least")).alias("open")))
         state = both.drop("open")
         if both.where("open").isEmpty():
-            return links.join(state.select("id", F.col("least").alias("ring")), "id")
+            return links.join(state.select("id", F.col("least").alias("ring")).hint("merge"), "id")
 
 
 def assemble(edge_table: DataFrame, straight: bool = True) -> DataFrame:
@@ -165,52 +170,55 @@ def assemble(edge_table: DataFrame, straight: bool = True) -> DataFrame:
         ends = taken.select("poly", _point("x2", "y2").alias("p")).distinct()
         starts = taken.select("poly", _point("x1", "y1").alias("p")).distinct()
         kept = taken.withColumns({"_a": _point("x1", "y1"), "_b": _point("x2", "y2")})
-        kept = kept.join(ends.withColumnRenamed("p", "_a"), ["poly", "_a"], "left_semi").join(starts.withColumnRenamed("p", "_b"), ["poly", "_b"], "left_semi")
+        kept = kept.join(ends.withColumnRenamed("p", "_a").hint("merge"), ["poly", "_a"], "left_semi").join(starts.withColumnRenamed("p", "_b").hint("merge"), ["poly", "_b"], "left_semi")
         kept = written(kept.select(*taken.columns))
         if kept.count() == taken.count():
             break
         taken = kept
     first = _cycles(_successors(taken, ["poly"], False))
-    ringed = written(taken.join(first, "id"))
+    ringed = written(taken.join(first.hint("merge"), "id"))
     # a corner that a ring visits more than once: there it goes on by the last edge of its own in place of the first
     often = ringed.groupBy("ring", _point("x2", "y2").alias("p")).agg(F.count("*").alias("n")).where("n > 1")
     if not often.isEmpty():
-        again = ringed.withColumn("p", _point("x2", "y2")).join(often.select("ring", "p"), ["ring", "p"], "left_semi").drop("p")
-        out = ringed.withColumn("p", _point("x1", "y1")).join(often.select("ring", "p"), ["ring", "p"], "left_semi").drop("p")
+        again = ringed.withColumn("p", _point("x2", "y2")).join(often.select("ring", "p").hint("merge"), ["ring", "p"], "left_semi").drop("p")
+        out = ringed.withColumn("p", _point("x1", "y1")).join(often.select("ring", "p").hint("merge"), ["ring", "p"], "left_semi").drop("p")
         swapped = _successors(again.select(*ringed.columns).union(out.select(*ringed.columns)).dropDuplicates(["id"]), ["poly", "ring"], True)
-        swapped = swapped.join(again.select("id"), "id", "left_semi").withColumnRenamed("next", "_next")
-        links = ringed.select("id", "next").join(swapped, "id", "left").select("id", F.coalesce("_next", "next").alias("next"))
-        ringed = written(taken.join(_cycles(links), "id"))
+        swapped = swapped.join(again.select("id").hint("merge"), "id", "left_semi").withColumnRenamed("next", "_next")
+        links = ringed.select("id", "next").join(swapped.hint("merge"), "id", "left").select("id", F.coalesce("_next", "next").alias("next"))
+        ringed = written(taken.join(_cycles(links).hint("merge"), "id"))
     if straight:
         ahead = ringed.select(F.col("id").alias("_id"), (F.col("x2") - F.col("x1")).alias("_dx"), (F.col("y2") - F.col("y1")).alias("_dy"))
         dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-        bend = ringed.join(ahead, F.col("next") == F.col("_id")).withColumn("bend", (dx * F.col("_dy") != dy * F.col("_dx")) | (dx * F.col("_dx") + dy * F.col("_dy") < 0)).drop("_id", "_dx", "_dy")
+        bend = ringed.join(ahead.hint("merge"), F.col("next") == F.col("_id")).withColumn("bend", (dx * F.col("_dy") != dy * F.col("_dx")) | (dx * F.col("_dx") + dy * F.col("_dy") < 0)).drop("_id", "_dx", "_dy")
         ringed = written(bend)
     # the ring is opened before the edge that starts at its least corner, and steps are counted to there
     begin = ringed.groupBy("ring").agg(F.min_by("id", _point("x1", "y1")).alias("begin"), F.min(_point("x1", "y1")).alias("corner"), F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")).alias("twice"), F.count("*").alias("size"))
-    with_begin = written(ringed.join(begin, "ring"))
+    with_begin = written(ringed.join(begin.hint("merge"), "ring"))
     steps = path_sums(with_begin.select("id", F.when(F.col("next") != F.col("begin"), F.col("next")).alias("next")), {}).select("id", "steps")
-    placed = written(with_begin.join(steps, "id").withColumn("seq", (F.col("size") - 1 - F.col("steps")).cast("int")))
+    placed = written(with_begin.join(steps.hint("merge"), "id").withColumn("seq", (F.col("size") - 1 - F.col("steps")).cast("int")))
     info = written(placed.groupBy("poly", "ring").agg(F.first("corner").alias("corner"), F.first("twice").alias("twice")))
     shells = info.where("twice > 0").select("poly", "ring")
     # a hole lies in the least shell that holds the middle of one of its edges, moved a little to the left
-    hole = info.where("twice < 0").select("ring").join(ringed, "ring")
+    hole = info.where("twice < 0").select("ring").join(ringed.hint("merge"), "ring")
     spot = written(hole.groupBy("poly", "ring").agg(F.min(F.struct("x1", "y1", "x2", "y2")).alias("e")))
     dx, dy = F.col("e.x2") - F.col("e.x1"), F.col("e.y2") - F.col("e.y1")
-    spot = spot.select(F.struct("poly", "ring").alias("id"), ((F.col("e.x1") + F.col("e.x2")) / 2 - dy * 1e-6).alias("x"), ((F.col("e.y1") + F.col("e.y2")) / 2 + dx * 1e-6).alias("y"))
-    outer = written(ringed.join(shells.select("ring"), "ring", "left_semi").select(F.struct("poly", "ring").alias("poly"), *_ENDS))
+    spot = spot.select("poly", "ring", ((F.col("e.x1") + F.col("e.x2")) / 2 - dy * 1e-6).alias("x"), ((F.col("e.y1") + F.col("e.y2")) / 2 + dx * 1e-6).alias("y"))
+    outer = written(ringed.join(shells.select("ring").hint("merge"), "ring", "left_semi").select("poly", F.col("ring").alias("shell"), *_ENDS))
     height = outer.agg(F.avg(F.abs(F.col("y2") - F.col("y1")))).first()[0] or 1.0
-    held = points_in(spot, outer, 4 * height).where("id.poly = poly.poly").select(F.col("id.ring").alias("ring"), F.col("poly.ring").alias("shell"))
-    held = held.join(info.select(F.col("ring").alias("shell"), "twice"), "shell").groupBy("ring").agg(F.min_by("shell", F.struct("twice", "shell")).alias("shell"))
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    banded = outer.where("y1 <> y2").withColumn("band", F.explode(F.sequence(F.floor(low / (4 * height)), F.floor(high / (4 * height)))))
+    hit = spot.withColumn("band", F.floor(F.col("y") / (4 * height))).join(banded.hint("merge"), ["poly", "band"]).where(_crosses())
+    held = hit.groupBy("ring", "shell").agg(F.count("*").alias("n")).where("n % 2 = 1").select("ring", "shell")
+    held = held.join(info.select(F.col("ring").alias("shell"), "twice").hint("merge"), "shell").groupBy("ring").agg(F.min_by("shell", F.struct("twice", "shell")).alias("shell"))
     held = written(held)
     order = Window.partitionBy("poly").orderBy((F.col("twice") < 0).cast("int"), "corner", "twice", "ring")  # a row for each ring
-    named = written(info.join(held, "ring", "left").withColumn("number", F.row_number().over(order) - 1).withColumn("shell", F.coalesce("shell", "ring")))
-    named = named.join(named.select(F.col("ring").alias("shell"), F.col("number").alias("of")), "shell").select("ring", "number", "of")
-    rows = placed.join(named, "ring")
+    named = written(info.join(held.hint("merge"), "ring", "left").withColumn("number", F.row_number().over(order) - 1).withColumn("shell", F.coalesce("shell", "ring")))
+    named = named.join(named.select(F.col("ring").alias("shell"), F.col("number").alias("of")).hint("merge"), "shell").select("ring", "number", "of")
+    rows = placed.join(named.hint("merge"), "ring")
     if straight:
         # an edge's start stays if the edge before it bends there
         before = ringed.select(F.col("next").alias("id"), F.col("bend").alias("_turns"))
-        rows = rows.join(before, "id").where("_turns")
+        rows = rows.join(before.hint("merge"), "id").where("_turns")
         line = Window.partitionBy("poly", "number").orderBy("seq")  # one ring's corners
         rows = rows.withColumn("seq", (F.row_number().over(line) - 1).cast("int"))
     return rows.select("poly", F.col("number").cast("int").alias("ring"), "seq", F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("of").cast("int").alias("shell"))

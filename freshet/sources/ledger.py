@@ -82,7 +82,7 @@ def features(rings: DataFrame, properties: DataFrame) -> DataFrame:
         return F.to_json(F.struct(F.lit("Feature").alias("type"), "properties", F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")).alias("geometry")))
 
     one = F.size("parts") == 1
-    return parts.join(named, "poly").select("poly", F.when(one, feature("Polygon", F.get("parts", F.lit(0)))).otherwise(feature("MultiPolygon", F.col("parts"))).alias("feature"))
+    return parts.join(named.hint("merge"), "poly").select("poly", F.when(one, feature("Polygon", F.get("parts", F.lit(0)))).otherwise(feature("MultiPolygon", F.col("parts"))).alias("feature"))
 
 
 def read_features(lines: DataFrame) -> DataFrame:

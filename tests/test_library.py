@@ -353,3 +353,24 @@ def test_nearest_by_growing_distances(spark, monkeypatch):
         assert (got is None) == (wanted is None) and (got is None or abs(got[1] - wanted[1]) <= 2e-6), (i, got, wanted)
         assert got is None or got[0] == wanted[0] or abs(km((lat, lon), spots[got[0] % len(spots)]) - wanted[1]) <= 2e-6
     assert sum(seen) < 40 * len(spots)
+
+
+def test_no_edges_are_sent_through_the_driver(spark, monkeypatch):
+    """No step of a union and its rings is a broadcast, which would gather a table that grows with the edges."""
+    from freshet.operators import lineage
+
+    plans, write = [], lineage.Written.__init__
+
+    def kept(self, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        write(self, df)
+
+    monkeypatch.setattr(lineage.Written, "__init__", kept)
+    box = lambda p, x, y: [(p, 0, k, x + a, y + b) for k, (a, b) in enumerate(((0.0, 0.0), (2.0, 0.0), (2.0, 1.0), (0.0, 1.0)))]
+    edges = polygons.edges(spark.createDataFrame(box(1, 0.0, 0.0) + box(2, 2.000001, 0.0) + box(3, 1.0, 1.0) + box(4, 4.0, 1.0), "poly int, ring int, seq int, x double, y double"))
+    group = spark.createDataFrame([(k, 0) for k in (1, 2, 3, 4)], "poly int, grp int")
+    made = rings.assemble(rings.union(edges, group))
+    text = ledger.features(made, spark.createDataFrame([(0, "g")], "poly int, name string"))
+    assert sum(_net(made)[0].values()) == pytest.approx(8, abs=1e-4)
+    plans.append(text._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 20 and not [p for p in plans if "Broadcast" in p]
