@@ -1,7 +1,8 @@
 """Edges to polygons: edges welded and split where they meet, unions of polygons, rings put together, holes dealt.
 
 Edges are (poly, ring, x1, y1, x2, y2) with the inside on their left. A boundary of any length is a table
-of edges until the end: rings come from pointers that double their reach, and no polygon meets in one task.
+of edges until the end: rings come from pointers between chains of edges, which double their reach, and no polygon
+meets in one task.
 Both sides of a join grow with the edges, so all joins ask for a merge: none is sent through the driver.
 """
 
@@ -131,29 +132,107 @@ def union(edge_table: DataFrame, group: DataFrame, within: float = 1e-5, overlap
     return left.join(covered.hint("merge"), "id", "left_anti").select("poly", "ring", *_ENDS)
 
 
-def _successors(e: DataFrame, among: list[str], widest: bool) -> DataFrame:
-    """id and next: the edge that goes on from the end of each edge; `among` must agree.
+def _corners(e: DataFrame) -> DataFrame:
+    """A row for each corner (poly, x2, y2): how many edges end and begin there, and one of each; they are id and next where ins and outs are 1."""
+    none = lambda *names: [F.lit(None).cast("long" if n in ("id", "next") else "double").alias(n) for n in names]
+    end = e.select("poly", "x2", "y2", F.lit(1).alias("ins"), F.lit(0).alias("outs"), "id", "x1", "y1", *none("next", "bx", "by"))
+    start = e.select("poly", F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.lit(0), F.lit(1), *none("id", "x1", "y1"), F.col("id").alias("next"), F.col("x2").alias("bx"), F.col("y2").alias("by"))
+    return end.union(start).groupBy("poly", "x2", "y2").agg(F.sum("ins").alias("ins"), F.sum("outs").alias("outs"), *[F.min(c).alias(c) for c in ("id", "x1", "y1", "next", "bx", "by")])
+
+
+def _successors(into: DataFrame, out: DataFrame, among: list[str], widest: bool) -> DataFrame:
+    """id, next, bx, by: of the edges out the one that goes on from the end of each edge into it, and where that one ends; `among` must agree.
 
     Seen from the end of an edge, backwards, and clockwise: the first edge out, which keeps pieces of the
     inside apart that meet in a corner, or with widest the last one.
     """
-    at = e.select("id", *among, _point("x2", "y2").alias("p"), F.atan2(F.col("y1") - F.col("y2"), F.col("x1") - F.col("x2")).alias("back"))
-    out = e.select(F.col("id").alias("next"), *among, _point("x1", "y1").alias("p"), F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")).alias("on"))
+    at = into.select("id", *among, _point("x2", "y2").alias("p"), F.atan2(F.col("y1") - F.col("y2"), F.col("x1") - F.col("x2")).alias("back"))
+    on = out.select(F.struct(F.col("id").alias("next"), F.col("x2").alias("bx"), F.col("y2").alias("by")).alias("n"), *among, _point("x1", "y1").alias("p"), F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")).alias("on"))
     turn = F.pmod(F.col("back") - F.col("on"), F.lit(2 * math.pi))
     turn = F.when(turn <= 1e-12, 2 * math.pi).otherwise(turn)
     pick = F.max_by if widest else F.min_by
-    return at.join(out.hint("merge"), [*among, "p"]).groupBy("id").agg(pick("next", turn).alias("next"))
-
-
-def _cycles(links: DataFrame) -> DataFrame:
-    """id, next and ring: the least id of the cycle of each id; pointers double until all of a cycle agree."""
-    state = written(links.select("id", F.col("next").alias("to"), F.least("id", "next").alias("least")))
-    while True:
-        ahead = state.select(F.col("id").alias("_id"), F.col("to").alias("_to"), F.col("least").alias("_least"))
-        both = written(state.join(ahead.hint("merge"), F.col("to") == F.col("_id")).select("id", F.col("_to").alias("to"), F.least("least", "_least").alias("least"), (F.col("least") != F.col("_least")).alias("open")))
+    return at.join(on.hint("merge"), [*among, "p"]).groupBy("id").agg(pick("n", F.struct(turn, "n")).alias("n")).select("id", "n.*")
+
+
+_CHAIN = "head long, before long, to long, least long, marks long, twice double, cx double, cy double, ex double, ey double, cm long"
+
+
+def _chained(batches):
+    """Of a batch of links the chains that lie in it: head and marks before it for each row, and for the first of a chain what the chain comes to."""
+    import numpy as np
+    import pyarrow as pa
+
+    for b in batches:
+        n = b.num_rows
+        if not n:
+            continue
+        ids, nxt, mark, fork, x1, y1, x2, y2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "next", "mark", "fork", *_ENDS))
+        every, by = np.arange(n), np.argsort(ids)
+        j = by[np.minimum(np.searchsorted(ids, nxt, sorter=by), n - 1)]
+        here = (ids[j] == nxt) & ~fork[j]
+        back = np.full(n, -1)
+        back[j[here]] = np.flatnonzero(here)
+        while True:
+            root, least, steps = np.where(back < 0, every, back), every, (back >= 0).astype(np.int64)
+            for _ in range(n.bit_length()):
+                least, steps, root = np.minimum(least, least[root]), steps + steps[root], root[root]
+            ring = back[root] >= 0
+            if not ring.any():
+                break
+            back[ring & (least == every)] = -1  # a cycle within the batch is opened at one of its rows
+        order = np.lexsort((steps, root))
+        chain = root[order]
+        first = np.flatnonzero(np.append(True, chain[1:] != chain[:-1]))
+        number = np.cumsum(np.append(False, chain[1:] != chain[:-1]))
+        m = mark[order].astype(np.int64)
+        before = np.cumsum(m) - m
+        before -= before[first][number]
+        corner = np.lexsort((y1[order], x1[order], number))[first]
+        cross = (x1 * y2 - x2 * y1)[order]
+        ends = nxt[order][np.append(first[1:], n) - 1]
+        of = [ends, np.minimum.reduceat(ids[order], first), np.add.reduceat(m, first), np.add.reduceat(cross, first), *[v[order][corner] for v in (x1, y1, x2, y2)], before[corner]]
+        rest = np.ones(n, bool)
+        rest[first] = False
+        wide = [pa.array(v[number], mask=rest) for v in of]
+        own = b.take(pa.array(order)).select([c for c in b.schema.names if c not in ("next", "fork")])
+        yield pa.RecordBatch.from_arrays([*own.columns, pa.array(ids[chain]), pa.array(before), *wide], names=[*own.schema.names, *[c.split()[0] for c in _CHAIN.split(", ")]])
+
+
+def _chains(links: DataFrame, cell: float) -> tuple[DataFrame, DataFrame]:
+    """The edges of links (poly, id, x1, y1, x2, y2, next, mark) with the head of their chain and the marks before them, and a row for each chain with its ring.
+
+    Links are sorted by squares of the plane and whatever lies in one batch is chained there, so that pointers
+    double over chains only: as many as the batches have links between them. Where batches end doesn't matter.
+    """
+    fork = links.groupBy("next").agg(F.count("*").alias("n")).where("n > 1").select(F.col("next").alias("id"), F.lit(True).alias("fork"))
+    fork = written(fork)
+    forked = not fork.isEmpty()  # edges that several go on to, of input that is no boundary: a chain begins there
+    marked = links.join(fork.hint("merge"), "id", "left").withColumn("fork", F.coalesce("fork", F.lit(False))) if forked else links.withColumn("fork", F.lit(False))
+    square = [F.floor(F.col(c) / cell) for c in ("y1", "x1")]
+    names = [c for c in links.columns if c != "next"]
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in links.select(*names).schema.fields)
+    near = marked.select(*names, "next", "fork").repartitionByRange("poly", *square, "id").sortWithinPartitions("poly", *square, "id")
+    rows = written(near.mapInArrow(_chained, f"{kind}, {_CHAIN}"))
+    chains = rows.where("to is not null").select("poly", *[c.split()[0] for c in _CHAIN.split(", ") if not c.startswith("before ")])
+    alone = chains.where("to = head").select("head", F.col("least").alias("ring"))
+    ring = alone.union(_cycles(chains.where("to <> head").select("head", "to", "least"), forked))
+    return rows.drop(*[c for c in chains.columns if c not in ("poly", "head")]), written(chains.join(ring.hint("merge"), "head"))
+
+
+def _cycles(links: DataFrame, forked: bool) -> DataFrame:
+    """head and ring: the least of the cycle of each head; pointers double until all of a cycle agree. With forks, heads that only lead to a cycle are left out."""
+    state = written(links)
+    reach, size = 1, state.count()
+    while size:
+        ahead = state.select(F.col("head").alias("_head"), F.col("to").alias("_to"), F.col("least").alias("_least"))
+        both = written(state.join(ahead.hint("merge"), F.col("to") == F.col("_head")).select("head", F.col("_to").alias("to"), F.least("least", "_least").alias("least"), (F.col("least") != F.col("_least")).alias("open")))
         state = both.drop("open")
-        if both.where("open").isEmpty():
-            return links.join(state.select("id", F.col("least").alias("ring")).hint("merge"), "id")
+        reach *= 2
+        if reach >= 2 * size or not forked and both.where("open").isEmpty():
+            break
+    if forked:
+        state = state.join(state.select(F.col("to").alias("head")).distinct().hint("merge"), "head", "left_semi")
+    return state.select("head", F.col("least").alias("ring"))
 
 
 def assemble(edge_table: DataFrame, straight: bool = True) -> DataFrame:
@@ -164,46 +243,53 @@ def assemble(edge_table: DataFrame, straight: bool = True) -> DataFrame:
     polygon, shells first, by their first corner (the least). straight: corners without a turn are dropped.
     """
     e = edge_table.select("poly", *_ENDS).where("x1 <> x2 or y1 <> y2")
-    e = written(e.withColumn("id", F.monotonically_increasing_id()))
-    taken = e
+    taken = written(e.withColumn("id", F.monotonically_increasing_id()))
     while True:  # an edge that ends where none begins, or begins where none ends, is on no ring
-        ends = taken.select("poly", _point("x2", "y2").alias("p")).distinct()
-        starts = taken.select("poly", _point("x1", "y1").alias("p")).distinct()
-        kept = taken.withColumns({"_a": _point("x1", "y1"), "_b": _point("x2", "y2")})
-        kept = kept.join(ends.withColumnRenamed("p", "_a").hint("merge"), ["poly", "_a"], "left_semi").join(starts.withColumnRenamed("p", "_b").hint("merge"), ["poly", "_b"], "left_semi")
-        kept = written(kept.select(*taken.columns))
-        if kept.count() == taken.count():
+        corners = written(_corners(taken))
+        loose = corners.where("ins = 0 or outs = 0").select("poly", "x2", "y2")
+        if loose.isEmpty():
             break
-        taken = kept
-    first = _cycles(_successors(taken, ["poly"], False))
-    ringed = written(taken.join(first.hint("merge"), "id"))
-    # a corner that a ring visits more than once: there it goes on by the last edge of its own in place of the first
-    often = ringed.groupBy("ring", _point("x2", "y2").alias("p")).agg(F.count("*").alias("n")).where("n > 1")
-    if not often.isEmpty():
-        again = ringed.withColumn("p", _point("x2", "y2")).join(often.select("ring", "p").hint("merge"), ["ring", "p"], "left_semi").drop("p")
-        out = ringed.withColumn("p", _point("x1", "y1")).join(often.select("ring", "p").hint("merge"), ["ring", "p"], "left_semi").drop("p")
-        swapped = _successors(again.select(*ringed.columns).union(out.select(*ringed.columns)).dropDuplicates(["id"]), ["poly", "ring"], True)
-        swapped = swapped.join(again.select("id").hint("merge"), "id", "left_semi").withColumnRenamed("next", "_next")
-        links = ringed.select("id", "next").join(swapped.hint("merge"), "id", "left").select("id", F.coalesce("_next", "next").alias("next"))
-        ringed = written(taken.join(_cycles(links).hint("merge"), "id"))
-    if straight:
-        ahead = ringed.select(F.col("id").alias("_id"), (F.col("x2") - F.col("x1")).alias("_dx"), (F.col("y2") - F.col("y1")).alias("_dy"))
-        dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-        bend = ringed.join(ahead.hint("merge"), F.col("next") == F.col("_id")).withColumn("bend", (dx * F.col("_dy") != dy * F.col("_dx")) | (dx * F.col("_dx") + dy * F.col("_dy") < 0)).drop("_id", "_dx", "_dy")
-        ringed = written(bend)
-    # the ring is opened before the edge that starts at its least corner, and steps are counted to there
-    begin = ringed.groupBy("ring").agg(F.min_by("id", _point("x1", "y1")).alias("begin"), F.min(_point("x1", "y1")).alias("corner"), F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")).alias("twice"), F.count("*").alias("size"))
-    with_begin = written(ringed.join(begin.hint("merge"), "ring"))
-    steps = path_sums(with_begin.select("id", F.when(F.col("next") != F.col("begin"), F.col("next")).alias("next")), {}).select("id", "steps")
-    placed = written(with_begin.join(steps.hint("merge"), "id").withColumn("seq", (F.col("size") - 1 - F.col("steps")).cast("int")))
-    info = written(placed.groupBy("poly", "ring").agg(F.first("corner").alias("corner"), F.first("twice").alias("twice")))
-    shells = info.where("twice > 0").select("poly", "ring")
+        kept = taken.join(loose.hint("merge"), ["poly", "x2", "y2"], "left_anti").join(loose.withColumnsRenamed({"x2": "x1", "y2": "y1"}).hint("merge"), ["poly", "x1", "y1"], "left_anti")
+        taken = written(kept.select(*taken.columns))
+    extent = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
+    cell = 32 * (taken.agg(F.avg(extent)).first()[0] or 1.0)
+    dx, dy, dbx, dby = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("bx") - F.col("x2"), F.col("by") - F.col("y2")
+    mark = (dx * dby != dy * dbx) | (dx * dbx + dy * dby < 0) if straight else F.lit(True)
+    linked = lambda t: t.select("poly", "id", *_ENDS, "next", mark.alias("mark"))
+    simple = linked(corners.where("ins = 1 and outs = 1"))
+    crossing = corners.where("ins > 1 or outs > 1").select("poly", "x2", "y2")
+    if crossing.isEmpty():
+        rows, chains = _chains(simple, cell)
+    else:
+        into = written(taken.join(crossing.hint("merge"), ["poly", "x2", "y2"], "left_semi"))
+        out = written(taken.join(crossing.withColumnsRenamed({"x2": "x1", "y2": "y1"}).hint("merge"), ["poly", "x1", "y1"], "left_semi"))
+        others = written(into.join(_successors(into, out, ["poly"], False).hint("merge"), "id"))
+        rows, chains = _chains(simple.union(linked(others)), cell)
+        # a corner that a ring visits more than once: there it goes on by the last edge of its own in place of the first
+        near = into.select("id").union(out.select("id")).distinct()
+        ring = rows.select("id", "head").join(near.hint("merge"), "id").join(chains.select("head", "ring").hint("merge"), "head").select("id", "ring")
+        ring = written(ring)
+        into, out = (written(t.join(ring.hint("merge"), "id")) for t in (into, out))
+        often = written(into.groupBy("poly", "ring", "x2", "y2").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+        if not often.isEmpty():
+            again = into.join(often.hint("merge"), ["poly", "ring", "x2", "y2"], "left_semi")
+            out = out.join(often.withColumnsRenamed({"x2": "x1", "y2": "y1"}).hint("merge"), ["poly", "ring", "x1", "y1"], "left_semi")
+            swapped = _successors(again, out, ["poly", "ring"], True).select("id", *[F.col(c).alias(f"_{c}") for c in ("next", "bx", "by")])
+            others = others.join(swapped.hint("merge"), "id", "left").withColumns({c: F.coalesce(f"_{c}", c) for c in ("next", "bx", "by")})
+            rows, chains = _chains(simple.union(written(linked(others))), cell)
+    # a ring is opened before the edge that starts at its least corner, and corners are counted from there
+    corner = F.struct("cx", "cy", "ex", "ey")
+    info = chains.groupBy("poly", "ring").agg(F.min(corner).alias("e"), F.min_by("head", corner).alias("begin"), F.min_by("cm", corner).alias("cm"), F.sum("twice").alias("twice"), F.sum("marks").alias("size"))
+    info = written(info)
+    placed = written(chains.select("head", "to", "ring", "marks").join(info.select("ring", "begin", "cm", "size", (F.col("twice") > 0).alias("outer")).hint("merge"), "ring"))
+    ways = path_sums(placed.select(F.col("head").alias("id"), F.when(F.col("to") != F.col("begin"), F.col("to")).alias("next"), "marks"), {"marks": F.col("marks")}).select(F.col("id").alias("head"), F.col("marks").alias("left"))
+    ways = written(ways)
+    placed = placed.join(ways.hint("merge"), "head").join(ways.select(F.col("head").alias("begin"), F.col("left").alias("all")).hint("merge"), "begin")
+    rows = written(rows.join(placed.select("head", "ring", "outer", "size", (F.col("all") - F.col("left") - F.col("cm") + 1).cast("long").alias("shift")).hint("merge"), "head"))
     # a hole lies in the least shell that holds the middle of one of its edges, moved a little to the left
-    hole = info.where("twice < 0").select("ring").join(ringed.hint("merge"), "ring")
-    spot = written(hole.groupBy("poly", "ring").agg(F.min(F.struct("x1", "y1", "x2", "y2")).alias("e")))
-    dx, dy = F.col("e.x2") - F.col("e.x1"), F.col("e.y2") - F.col("e.y1")
-    spot = spot.select("poly", "ring", ((F.col("e.x1") + F.col("e.x2")) / 2 - dy * 1e-6).alias("x"), ((F.col("e.y1") + F.col("e.y2")) / 2 + dx * 1e-6).alias("y"))
-    outer = written(ringed.join(shells.select("ring").hint("merge"), "ring", "left_semi").select("poly", F.col("ring").alias("shell"), *_ENDS))
+    dx, dy = F.col("e.ex") - F.col("e.cx"), F.col("e.ey") - F.col("e.cy")
+    spot = info.where("twice < 0").select("poly", "ring", ((F.col("e.cx") + F.col("e.ex")) / 2 - dy * 1e-6).alias("x"), ((F.col("e.cy") + F.col("e.ey")) / 2 + dx * 1e-6).alias("y"))
+    outer = rows.where("outer").select("poly", F.col("ring").alias("shell"), *_ENDS)
     height = outer.agg(F.avg(F.abs(F.col("y2") - F.col("y1")))).first()[0] or 1.0
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     banded = outer.where("y1 <> y2").withColumn("band", F.explode(F.sequence(F.floor(low / (4 * height)), F.floor(high / (4 * height)))))
@@ -211,17 +297,14 @@ def assemble(edge_table: DataFrame, straight: bool = True) -> DataFrame:
     held = hit.groupBy("ring", "shell").agg(F.count("*").alias("n")).where("n % 2 = 1").select("ring", "shell")
     held = held.join(info.select(F.col("ring").alias("shell"), "twice").hint("merge"), "shell").groupBy("ring").agg(F.min_by("shell", F.struct("twice", "shell")).alias("shell"))
     held = written(held)
-    order = Window.partitionBy("poly").orderBy((F.col("twice") < 0).cast("int"), "corner", "twice", "ring")  # a row for each ring
-    named = written(info.join(held.hint("merge"), "ring", "left").withColumn("number", F.row_number().over(order) - 1).withColumn("shell", F.coalesce("shell", "ring")))
+    order = Window.partitionBy("poly").orderBy((F.col("twice") < 0).cast("int"), "e.cx", "e.cy", "twice", "ring")  # a row for each ring
+    named = written(info.select("poly", "ring", "e", "twice").join(held.hint("merge"), "ring", "left").withColumn("number", F.row_number().over(order) - 1).withColumn("shell", F.coalesce("shell", "ring")))
     named = named.join(named.select(F.col("ring").alias("shell"), F.col("number").alias("of")).hint("merge"), "shell").select("ring", "number", "of")
-    rows = placed.join(named.hint("merge"), "ring")
-    if straight:
-        # an edge's start stays if the edge before it bends there
-        before = ringed.select(F.col("next").alias("id"), F.col("bend").alias("_turns"))
-        rows = rows.join(before.hint("merge"), "id").where("_turns")
-        line = Window.partitionBy("poly", "number").orderBy("seq")  # one ring's corners
-        rows = rows.withColumn("seq", (F.row_number().over(line) - 1).cast("int"))
-    return rows.select("poly", F.col("number").cast("int").alias("ring"), "seq", F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("of").cast("int").alias("shell"))
+    named = chains.select("head", "ring").join(named.hint("merge"), "ring").select("head", "number", "of")
+    # the corner at the end of each edge; the one before the first edge is the last that is counted, and number 0
+    rows = rows.where("mark").join(named.hint("merge"), "head")
+    seq = F.pmod(F.col("before") + F.col("shift"), F.col("size")).cast("int")
+    return rows.select("poly", F.col("number").cast("int").alias("ring"), seq.alias("seq"), F.col("x2").alias("x"), F.col("y2").alias("y"), F.col("of").cast("int").alias("shell"))
 
 
 def edges(rings: DataFrame) -> DataFrame:

@@ -374,3 +374,42 @@ def test_no_edges_are_sent_through_the_driver(spark, monkeypatch):
     assert sum(_net(made)[0].values()) == pytest.approx(8, abs=1e-4)
     plans.append(text._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 20 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_rounds_of_a_ring_do_not_follow_its_length(spark, monkeypatch):
+    """Edges are chained where they lie, so a ring of many edges takes hardly more steps than one of few."""
+    from freshet.operators import lineage
+
+    written, write = [], lineage.Written.__init__
+
+    def counted(self, df):
+        written.append(1)
+        write(self, df)
+
+    monkeypatch.setattr(lineage.Written, "__init__", counted)
+    took = {}
+    for n in (4, 2000):
+        written.clear()
+        angle = F.lit(2 * math.pi / n) * F.col("id")
+        ring = spark.range(n).select(F.lit(1).alias("poly"), F.lit(0).alias("ring"), F.col("id").cast("int").alias("seq"), F.cos(angle).alias("x"), F.sin(angle).alias("y"))
+        made = rings.assemble(polygons.edges(ring))
+        assert sorted(r.seq for r in made.collect()) == list(range(n))
+        took[n] = len(written)
+    assert took[2000] <= took[4] + 4
+
+
+def test_rings_do_not_depend_on_batches(spark):
+    """Batches of 7 edges give the rings that large ones do; a ring that is there twice, or is led into, ends and comes once."""
+    cells = spark.range(180).select(F.lit(0).alias("layer"), F.floor(F.col("id") / 12).cast("int").alias("row"), (F.col("id") % 12).cast("int").alias("col"), (F.col("id") * 37 % 101 % 3).alias("v"))
+    edges = polygons.mask_outline(cells, F.col("v") != 0)
+    square = [(1, 0, 0.0, 0.0, 1.0, 0.0), (1, 0, 1.0, 0.0, 1.0, 1.0), (1, 0, 1.0, 1.0, 0.0, 1.0), (1, 0, 0.0, 1.0, 0.0, 0.0)]
+    lone = [(1, 0, 5.0, 5.0, 6.0, 5.0), (1, 0, 0.0, 0.0, -1.0, 0.0)]
+    edges = edges.union(spark.createDataFrame(square * 2 + lone, edges.schema))
+    whole = sorted(map(tuple, rings.assemble(edges).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        small = sorted(map(tuple, rings.assemble(edges).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert small == whole
+    assert [r[3:5] for r in whole if r[0] == 1] == [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
