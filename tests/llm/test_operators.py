@@ -76,6 +76,29 @@ def test_suffix_dedup(spark, texts):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(b), sum(gone[i]), spans, hashlib.sha256(kept).hexdigest()), i
 
 
+def test_common_anchor_is_dealt_out(spark):
+    from pyspark.sql import functions as F
+
+    from freshet.llm import suffix_dedup
+
+    # two thirds of all anchors have one hash, every tenth of the others comes twice, one twice at one place of one text
+    rows = spark.range(60_000).repartition(8).select(
+        F.col("id").cast("string").cast("binary").alias("key"), F.lit(5).alias("pos"),
+        F.expr("case when id % 3 > 0 then -1 when id % 30 = 3 then id - 3 else id end").alias("hash"),
+    )
+    rows = rows.union(spark.createDataFrame([(b"one", 5, -2), (b"one", 5, -2)], "key binary, pos int, hash long"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = suffix_dedup._repeated(rows)
+        parts = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+        m = Counter((r["hash"], r["m"]) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert m == {(-1, 40_000): 40_000} | {(i, 2): 2 for i in range(0, 60_000, 30)}
+    assert max(parts) * 4 < sum(parts)
+
+
 def test_resharding(spark, texts):
     found = _by_id(Q.op3_resharding(spark, SF))
     by = defaultdict(list)
